@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat_format, exact_dedup, line_dedup, mixing, quality_rules
+from strata.llm import chat_format, exact_dedup, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +37,16 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_source_mixing, op4_line_dedup, op5_exact_dedup)
+    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_source_mixing, op4_line_dedup, op5_exact_dedup, op9_ngram_jaccard_join, op10_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
