@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import chat_format, exact_dedup, line_dedup, mixing, ngram_join, quality_rules, suffix_dedup
+from strata.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sentence_pieces, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secret_scan(_table(spark, sf_dir, "documents")))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
+def op8_sentence_pieces(spark: SparkSession, sf_dir: str, model_path: str = "/opt/tokenizers/piece_bpe_32k.model") -> DataFrame:
+    return sentence_pieces.encode_and_check(_table(spark, sf_dir, "documents"), model_path)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +58,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_source_mixing, op4_line_dedup, op5_exact_dedup, op9_ngram_jaccard_join, op10_suffix_dedup)
+    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_source_mixing, op4_line_dedup, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_sentence_pieces, op9_ngram_jaccard_join, op10_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
