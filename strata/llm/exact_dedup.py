@@ -136,7 +136,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without all but one row of each group of equal texts, columns unchanged."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s"))
-    told = docs.withColumn("_t", F.sha2(text_or_empty(text_col), 256))
-    single = told.join(kept, F.col(id_col).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_s")), "left_semi")
-    return single.dropDuplicates([id_col, "_t"]).drop("_t")
+    seen = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    seen = staged(seen.filter("not kept or rows > 1"), "seen")
+    told = docs.withColumn("_t", F.sha2(text_or_empty(text_col), 256)).hint("merge")
+    same = F.col(id_col).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_s"))
+    repeated = seen.filter("kept").select("_k", "_s")
+    out = told.join(seen.select("_k", "_s"), same, "left_anti")
+    if not repeated.isEmpty():
+        out = out.unionByName(told.join(repeated, same, "left_semi").dropDuplicates([id_col, "_t"]))
+    return out.drop("_t")

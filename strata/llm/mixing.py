@@ -130,7 +130,7 @@ def keep_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     taken = mix(docs, id_col, text_col, source_col, **options)
     times = staged(taken.filter("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_n"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_t")).filter("_t > 0").distinct(), "times")
     sized = docs.withColumn("_w", word_count(text_or_empty(text_col)))
-    met = sized.join(times, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_n")))
+    met = sized.hint("merge").join(times, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_n")))
     return met.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*docs.columns)
 
 

@@ -314,4 +314,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """`docs` with one document of each component, the one of least id, columns unchanged."""
     found = similar_components(docs, id_col, text_col, **options)
     others = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_o")).distinct(), "others")
-    return docs.join(others, F.col(id_col).cast("long") == F.col("_o"), "left_anti")
+    return docs.hint("merge").join(others, F.col(id_col).cast("long") == F.col("_o"), "left_anti")
