@@ -109,7 +109,7 @@ def unequal(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, piece:
     groups = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
     members = staged(rows.select("doc_id", "xx", *KEY).join(groups, KEY).distinct(), "members")
     texts = docs.select(F.col(id_col).alias("d"), text_or_empty(text_col).alias("text")).withColumn("x", F.xxhash64("text"))
-    held = texts.join(members, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("xx")))
+    held = texts.hint("merge").join(members, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("xx")))
     chunk = F.explode(F.expr(f"sequence(0, cast(greatest(char_length(text) - 1, 0) div {piece} as int))"))
     chunks = held.select(*KEY, "text", chunk.alias("k")).select(*KEY, "k", F.substring("text", F.col("k") * piece + 1, F.lit(piece)).alias("chunk"))
     return chunks.distinct().groupBy(*KEY, "k").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(*KEY).distinct()
