@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import longs, parts, staged, text_or_empty, utf8
+from strata.llm.shared import as_rows, longs, parts, staged, text_or_empty, utf8
 
 #: Primes below 2 ** 31 and bases; a product of two residues fits 62 bits.
 PRIMES = (2147483647, 2147483629)
@@ -136,12 +136,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without all but one row of each group of equal texts, columns unchanged."""
-    seen = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    seen = exact_dedup(docs, id_col, text_col).groupBy(F.col("doc_id").alias("k"), F.col("text_sha256").alias("s")).agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     seen = staged(seen.filter("not kept or rows > 1"), "seen")
-    told = docs.withColumn("_t", F.sha2(text_or_empty(text_col), 256)).hint("merge")
-    same = F.col(id_col).eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_s"))
-    repeated = seen.filter("kept").select("_k", "_s")
-    out = told.join(seen.select("_k", "_s"), same, "left_anti")
+    told = as_rows(docs).select("row", F.col(f"row.{id_col}").alias("id"), F.sha2(text_or_empty(f"row.{text_col}"), 256).alias("t")).hint("merge")
+    same = F.col("id").eqNullSafe(F.col("k")) & (F.col("t") == F.col("s"))
+    repeated = seen.filter("kept").select("k", "s")
+    out = told.join(seen.select("k", "s"), same, "left_anti")
     if not repeated.isEmpty():
-        out = out.unionByName(told.join(repeated, same, "left_semi").dropDuplicates([id_col, "_t"]))
-    return out.drop("_t")
+        out = out.unionByName(told.join(repeated, same, "left_semi").dropDuplicates(["id", "t"]))
+    return out.select("row.*")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.shared import staged, text_or_empty, word_count
+from strata.llm.shared import as_rows, staged, text_or_empty, word_count
 
 #: Fixed values of the mix: weights of the sources in order, and the mix's size over that of its input.
 WEIGHTS = (5, 2, 1)
@@ -128,9 +128,8 @@ def keep_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """`docs` as the mix holds them, columns unchanged: each row as often as the nearest whole number of
     times that its words are taken."""
     taken = mix(docs, id_col, text_col, source_col, **options)
-    times = staged(taken.filter("taken > 0").select(F.col("doc_id").alias("_d"), F.col("size").alias("_n"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_t")).filter("_t > 0").distinct(), "times")
-    sized = docs.withColumn("_w", word_count(text_or_empty(text_col)))
-    met = sized.hint("merge").join(times, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_w") == F.col("_n")))
-    return met.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("_t")))).select(*docs.columns)
-
-
+    times = F.round(F.col("taken") / F.col("size")).cast("int").alias("times")
+    wanted = staged(taken.filter("taken > 0").select(F.col("doc_id").alias("d"), F.col("size").alias("n"), times).filter("times > 0").distinct(), "times")
+    held = as_rows(docs).withColumn("w", word_count(text_or_empty(f"row.{text_col}"))).hint("merge")
+    met = held.join(wanted, F.col(f"row.{id_col}").eqNullSafe(F.col("d")) & (F.col("w") == F.col("n")))
+    return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.llm.graph import components
-from strata.llm.shared import mix, parts, staged, text_or_empty, utf8, windows, word_hashes
+from strata.llm.shared import as_rows, mix, parts, staged, text_or_empty, utf8, windows, word_hashes
 
 GROUPS = 64
 LEAF = 32
@@ -313,5 +313,6 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with one document of each component, the one of least id, columns unchanged."""
     found = similar_components(docs, id_col, text_col, **options)
-    others = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_o")).distinct(), "others")
-    return docs.hint("merge").join(others, F.col(id_col).cast("long") == F.col("_o"), "left_anti")
+    others = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct(), "others")
+    held = as_rows(docs).hint("merge").join(others, F.col(f"row.{id_col}").cast("long") == F.col("other"), "left_anti")
+    return held.select("row.*")

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import longs, parts, staged, utf8, windows, word_hashes
+from strata.llm.shared import as_rows, longs, parts, staged, utf8, windows, word_hashes
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -133,10 +133,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     Hosts are judged in a first pass; the second measures each row beside its own text.
     """
     rows = staged(measured(docs, id_col, text_col, host_col), "measures")
-    hosts = staged(host_verdicts(rows, host_limit).filter("not host_ok").select(F.col("host").alias("_h")), "bad_hosts")
+    hosts = staged(host_verdicts(rows, host_limit).filter("not host_ok").select(F.col("host").alias("h")), "bad_hosts")
     failed = functools.reduce(operator.or_, base_rules().values())
-    names = {c: f"_kept_{c}" for c in docs.columns}
-    back = {v: k for k, v in names.items()}
-    held = docs.withColumnsRenamed(names).withColumn("_m", measures(names[text_col]))
-    good = held.select(*back, "_m.*").filter(~failed).select(*back).withColumnsRenamed(back)
-    return good.join(hosts, F.col(host_col).eqNullSafe(F.col("_h")), "left_anti")
+    held = as_rows(docs).withColumn("m", measures(f"row.{text_col}")).select("row", F.col(f"row.{host_col}").alias("host"), "m.*").filter(~failed)
+    return held.join(hosts, F.col("host").eqNullSafe(F.col("h")), "left_anti").select("row.*")

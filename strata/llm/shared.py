@@ -165,3 +165,8 @@ def strings(values: list) -> pa.Array:
 def longs(*names: str) -> T.StructType:
     """A struct of longs; a built type, since workers import modules without a session."""
     return T.StructType([T.StructField(n, T.LongType()) for n in names])
+
+
+def as_rows(docs: DataFrame) -> DataFrame:
+    """`docs` as one struct column `row`, so that no name of ours can clash with one of its columns."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
