@@ -89,28 +89,61 @@ class CountTree:
         return self.order[found]
 
 
-def _local_counts(size: int, least: int, batch_bytes: int = 32 << 20):
-    """Shingles that at least `least` texts of a stretch of the input share."""
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector as one byte a group after the scale's exponent; counts are rounded up, so bounds stay bounds."""
+    scale = 0
+    while (int(counts.max()) - 1 >> scale) >= 255:
+        scale += 1
+    return bytes([scale]) + (-(-counts >> scale)).astype(np.uint8).tobytes()
+
+
+def unpacked(vectors: pa.Array) -> np.ndarray:
+    """Count vectors (uint32) of such bytes."""
+    raw = np.frombuffer(vectors.buffers()[2], np.uint8)
+    at = np.frombuffer(vectors.buffers()[1], np.int32)[vectors.offset]
+    raw = raw[at : at + len(vectors) * (GROUPS + 1)].reshape(-1, GROUPS + 1)
+    return raw[:, 1:].astype(np.uint32) << raw[:, :1].astype(np.uint32)
+
+
+def set_class(s: np.ndarray) -> tuple[int, int, int]:
+    """Size and two 64-bit hashes of a set."""
+    if not len(s):
+        return 0, 0, 0
+    return len(s), int(mix(s).sum().view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
+
+
+def _survey(size: int, least: int, stretch: int = 32 << 20):
+    """Rows of two kinds: each document's set class and count vector; and shingles (token, count) that at
+    least `least` texts of a stretch of the input share."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("vector", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for i, j in parts(offsets, batch_bytes):
-                sets = [x for p, q in parts(offsets[i : j + 1] - offsets[i]) for x in shingle_sets(data[offsets[i + p] : offsets[i + q]], offsets[i + p : i + q + 1] - offsets[i + p], size)]
-                every = np.sort(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-                new = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+            for i, j in parts(offsets, stretch):
+                sets = []
+                for p, q in parts(offsets[i : j + 1] - offsets[i]):
+                    sets += shingle_sets(data[offsets[i + p] : offsets[i + q]], offsets[i + p : i + q + 1] - offsets[i + p], size)
+                n, c1, c2 = (pa.array(x, pa.int64()) for x in zip(*map(set_class, sets)))
+                vectors = pa.array([packed(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)) for s in sets], pa.binary())
+                none = pa.nulls(j - i, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), n, c1, c2, vectors, none, none], schema=schema)
+                every = np.sort(np.concatenate(sets))
+                new = np.flatnonzero(np.r_[len(every) > 0, every[1:] != every[:-1]])
                 count = np.diff(np.r_[new, len(every)])
-                often = count >= least
-                yield pa.RecordBatch.from_arrays([pa.array(every[new[often]].view(np.int64)), pa.array(count[often])], ["token", "count"])
+                often = new[count >= least]
+                none = pa.nulls(len(often), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(often), pa.binary()), pa.array(every[often].view(np.int64)), pa.array(count[count >= least])], schema=schema)
     return rows
 
 
-def frequent_shingles(texts: DataFrame, size: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent_shingles(found: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     """At most `most` shingles (16 bytes each) that the corpus repeats most, sorted, and their ranks.
 
     Every text is read. The list only orders shingles; no pair depends on what it holds.
     """
-    found = texts.mapInArrow(_local_counts(size, 3), "token long, count long").groupBy("token").agg(F.sum("count").alias("count"))
-    held = staged(found.withColumn("level", F.floor(F.log2("count")).cast("int")), "frequent")
+    counts = found.groupBy("token").agg(F.sum("count").alias("count"))
+    held = staged(counts.withColumn("level", F.floor(F.log2("count")).cast("int")), "frequent")
     level, total = 63, 0
     for row in sorted(held.groupBy("level").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["level"]):
         if total + row["n"] > most:
@@ -124,30 +157,30 @@ def frequent_shingles(texts: DataFrame, size: int, most: int) -> tuple[np.ndarra
     return tokens[order], ranks[order]
 
 
-def _describe(size: int, percent: int, frequent):
-    """Of each text: set size, two hashes of the set, the prefix, the count vector (uint16)."""
+def _prefixes(size: int, percent: int, frequent):
+    """(token, rep): the first shingles of each set in the common order. A stretch names equal sets once."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, ranks = frequent.value
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            n, c1, c2, prefix, vectors = [], [], [], [], []
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            seen: set[tuple[int, int, int]] = set()
             for i, j in parts(offsets):
-                for s in shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size):
-                    n.append(len(s))
-                    c1.append(int(mix(s).sum().view(np.int64)) if len(s) else 0)
-                    c2.append(int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)) if len(s) else 0)
-                    take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
+                tokens, owners = [], []
+                for k, s in zip(range(i, j), shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)):
+                    kind = set_class(s)
+                    if not len(s) or kind in seen:
+                        continue
+                    seen.add(kind)
                     key = s >> np.uint64(1)
                     if len(often):
                         at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                        hit = often[at] == s
-                        key = np.where(hit, (np.uint64(1) << np.uint64(63)) | ranks[at], key)
-                    prefix.append(s[np.argsort(key, kind="stable")[:take]].view(np.int64))
-                    vectors.append(np.minimum(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65535).astype(np.uint16).tobytes())
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in prefix])].astype(np.int32)), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), lists, pa.array(vectors, pa.binary())],
-                ["doc_id", "n", "c1", "c2", "prefix", "vector"])
+                        key = np.where(often[at] == s, (np.uint64(1) << np.uint64(63)) | ranks[at], key)
+                    take = len(s) - -(-percent * len(s) // 100) + 1
+                    tokens.append(s[np.argsort(key, kind="stable")[:take]].view(np.int64))
+                    owners.append(np.full(take, ids[k], np.int64))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owners))], ["token", "rep"])
     return rows
 
 
@@ -171,79 +204,87 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]):
-    for table in _groups(batches):
-        token = table.column("token").to_numpy()
-        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
-        vectors = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.uint16).reshape(-1, GROUPS)
-        component = table.column("component").to_numpy() if "component" in table.column_names else None
-        new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        for a, b in zip(new, np.r_[new[1:], len(token)]):
-            if b - a > 1:
-                yield int(token[a]), rep[a:b], n[a:b], vectors[a:b], None if component is None else component[a:b]
+def _columns(table: pa.Table):
+    """token, rep, n, vectors of whole buckets, and the offsets of the buckets."""
+    table = table.combine_chunks()
+    token, rep, n = (table.column(c).to_numpy() for c in ("token", "rep", "n"))
+    new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    return token, rep, n, unpacked(table.column("vector").chunk(0)), np.r_[new, len(token)]
 
 
 def _may_link(v: np.ndarray, n: int, vectors: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return CountTree._open(v, int(n), vectors, sizes, sizes, percent)
 
 
-def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, first = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)), pa.array(np.array(b, np.int64)), pa.array(np.array(first, bool))], ["a", "b", "first"])
+def _pair_batch(a, b, first) -> pa.RecordBatch:
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(first, pa.bool_())], ["a", "b", "first"])
+
+
+def _small_pairs(rep: np.ndarray, n: np.ndarray, vectors: np.ndarray, at: np.ndarray, small: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of buckets of at most `small` members that the bound leaves, one distance in the bucket at a time."""
+    sizes = np.diff(at)
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(rep)) - at[:-1][bucket]
+    room = np.where(sizes <= small, sizes, 0)[bucket]
+    for d in range(1, small):
+        i = np.flatnonzero(place + d < room)
+        if not len(i):
+            return
+        fits = (100 * np.minimum(n[i], n[i + d]) >= percent * np.maximum(n[i], n[i + d])) & (rep[i] != rep[i + d])
+        i = i[fits]
+        shared = np.minimum(vectors[i], vectors[i + d]).sum(axis=1, dtype=np.int64)
+        i = i[shared >= least_overlap(n[i], n[i + d], percent)]
+        yield _pair_batch(rep[i], rep[i + d], place[i] == 0)
 
 
 def _leaders(percent: int, small: int):
-    """Pairs (a, b, first): of every bucket a member and its leader; of small buckets also all other pairs
-    that the bound leaves. A large bucket is told by a pair (token, token)."""
+    """Pairs (a, b, first). Of small buckets every pair that the bound leaves, `first` where one is the
+    bucket's first; of large ones each member with its leader. A large bucket is told by (token, token)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for token, rep, n, vectors, _ in _buckets(batches):
-            order = np.argsort(mix(rep.view(np.uint64) ^ np.uint64(token % 4)))
-            rep, n, vectors = rep[order], n[order], vectors[order]
-            left = np.arange(len(rep))
-            while len(left) > 1:
-                lead, left = left[0], left[1:]
-                near = left[_may_link(vectors[lead], n[lead], vectors[left], n[left], percent)]
-                out += [(min(rep[lead], x), max(rep[lead], x), True) for x in rep[near]]
-                if len(rep) <= small:
-                    out += [(min(x, y), max(x, y), False) for k, i in enumerate(near) for x, y in [(rep[i], rep[m]) for m in near[k + 1 :][_may_link(vectors[i], n[i], vectors[near[k + 1 :]], n[near[k + 1 :]], percent)]]]
-                    rest = np.setdiff1d(left, near, assume_unique=True)
-                    for i in near:
-                        hit = rest[_may_link(vectors[i], n[i], vectors[rest], n[rest], percent)] if len(rest) else rest
-                        out += [(min(rep[i], rep[m]), max(rep[i], rep[m]), False) for m in hit]
-                left = left[~np.isin(left, near)]
-            if len(rep) > small:
-                out.append((token, token, False))
-            if len(out) > 20_000:
-                yield _pair_batch(out)
-                out = []
-        yield _pair_batch(out)
+        for table in _groups(batches):
+            token, rep, n, vectors, at = _columns(table)
+            yield from _small_pairs(rep, n, vectors, at, small, percent)
+            a, b, large = [], [], np.flatnonzero(np.diff(at) > small)
+            for k in large:
+                held = np.arange(at[k], at[k + 1])
+                left = held[np.argsort(mix(rep[held].view(np.uint64) ^ np.uint64(int(token[at[k]]) % 4)))]
+                while len(left) > 1:
+                    lead, left = left[0], left[1:]
+                    near = _may_link(vectors[lead], n[lead], vectors[left], n[left], percent)
+                    a.append(np.full(near.sum(), rep[lead]))
+                    b.append(rep[left[near]])
+                    left = left[~near]
+            if len(large):
+                marks = token[at[:-1][large]]
+                a, b = np.concatenate([marks, *a]), np.concatenate([marks, *b])
+                keep = (a != b) | (np.arange(len(a)) < len(marks))
+                yield _pair_batch(a[keep], b[keep], np.ones(keep.sum(), bool))
     return rows
 
 
 def _across(percent: int):
     """Pairs of different components that the bound leaves, by the tree of each bucket."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for _, rep, n, vectors, component in _buckets(batches):
-            kinds, number, sizes = np.unique(component, return_inverse=True, return_counts=True)
-            if len(kinds) < 2:
-                continue
-            tree = CountTree(vectors, n)
-            # The largest component asks nothing; every other member asks the whole tree.
-            for i in np.flatnonzero(number != sizes.argmax()):
-                for m in tree.near(vectors[i], int(n[i]), percent):
-                    if component[m] != component[i] and (number[m] == sizes.argmax() or i < m):
-                        out.append((min(rep[i], rep[m]), max(rep[i], rep[m]), False))
-                if len(out) > 20_000:
-                    yield _pair_batch(out)
-                    out = []
-        yield _pair_batch(out)
+        for table in _groups(batches):
+            component = table.column("component").to_numpy()
+            _, rep, n, vectors, at = _columns(table)
+            for p, q in zip(at[:-1], at[1:]):
+                kinds, number, sizes = np.unique(component[p:q], return_inverse=True, return_counts=True)
+                if len(kinds) < 2:
+                    continue
+                tree = CountTree(vectors[p:q], n[p:q])
+                # The largest component asks nothing; every other member asks the whole tree.
+                for i in np.flatnonzero(number != sizes.argmax()):
+                    near = tree.near(vectors[p + i], int(n[p + i]), percent)
+                    near = near[(number[near] != number[i]) & ((number[near] == sizes.argmax()) | (near > i))]
+                    if len(near):
+                        yield _pair_batch(np.full(len(near), rep[p + i]), rep[p + near], np.zeros(len(near), bool))
     return rows
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by token, whose token has another row. One row is held over between batches."""
+    """Rows, sorted by token and rep, whose token has another row. One row is held over between batches."""
     last, twice = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -277,32 +318,49 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * met >= percent * (F.size("ta") + F.size("tb") - met)).select("a", "b").distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, small: int = 16, frequent: int = 1 << 18) -> DataFrame:
+def _texts_of(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """Texts of the ids; they are broadcast where they are at most `most`, 8 bytes each."""
+    small = ids.count() <= most
+    return (texts if small else texts.hint("merge")).join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("rep"), "left_semi")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, small: int = 16, frequent: int = 1 << 18, broadcast_ids: int = 1 << 20) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable by links)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    order = spark.sparkContext.broadcast(frequent_shingles(texts.select("text"), size, frequent))
-    described = staged(texts.mapInArrow(_describe(size, percent, order), "doc_id long, n long, c1 long, c2 long, prefix array<long>, vector binary"), "described")
-    classes = staged(described.filter("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("vector").alias("vector")), "classes")
-    tokens = classes.select(F.explode("prefix").alias("token"), "rep", "n").repartition("token").sortWithinPartitions("token", "rep", "n")
-    shared = staged(tokens.mapInArrow(_shared_rows, "token long, rep long, n long"), "shared")
-    points = classes.select("rep", "n", "vector")
-    met = shared.join(points, ["rep", "n"]).select("token", "rep", "n", "vector")
-    pairs = staged(met.repartition("token").sortWithinPartitions("token", "rep", "n").mapInArrow(_leaders(percent, small), "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first")), "pairs")
+    survey = staged(texts.mapInArrow(_survey(size, 3), "doc_id long, n long, c1 long, c2 long, vector binary, token long, count long"), "survey")
+    described = survey.filter("n is not null")
+    order = spark.sparkContext.broadcast(frequent_shingles(survey.filter("token is not null").select("token", "count"), frequent))
+    classes = staged(described.filter("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("vector").alias("vector")), "classes")
+    # Prefixes carry the id of a class member; members of classes with copies are named by their representative.
+    tokens = texts.filter("doc_id is not null").mapInArrow(_prefixes(size, percent, order), "token long, rep long")
+    shared = staged(tokens.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(_shared_rows, "token long, rep long"), "shared")
+    copies = described.select("doc_id", *CLASS).join(classes.filter("rows > 1").select(*CLASS, "rep"), CLASS).select("doc_id", F.col("rep").alias("own"))
+    copies = staged(copies.filter("doc_id <> own").distinct(), "copies")
+    named = shared.join(copies, F.col("rep") == F.col("doc_id"), "left").select("token", F.coalesce("own", "rep").alias("rep")).distinct()
+    met = named.join(classes.select("rep", "n", "vector"), "rep").select("token", "rep", "n", "vector")
+    sorted_ = lambda df: df.repartition("token").sortWithinPartitions("token", "rep")
+    pairs = staged(sorted_(met).mapInArrow(_leaders(percent, small), "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first")), "pairs")
     large = pairs.filter("a = b").select(F.col("a").alias("token"))
     pairs = pairs.filter("a <> b")
-    crowd = staged(met.join(large, "token"), "large_buckets")
-    # Whole sets of every representative that some later step may verify.
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct()
-    sets = staged(texts.hint("merge").join(ends, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(_sets_of(size), "rep long, tokens array<long>").filter(F.size("tokens") > 0).distinct(), "sets")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return staged(_texts_of(texts, ids, broadcast_ids).mapInArrow(_sets_of(size), "rep long, tokens array<long>").filter(F.size("tokens") > 0).distinct(), "sets")
+
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    first_ids = staged(ends(pairs), "pair_ids")
+    sets = sets_of(first_ids)
     links = staged(verified(pairs.filter("first").select("a", "b"), sets, percent), "first_links")
     held = components(links)
     known = lambda name: held.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
-    named = crowd.join(known("rep"), "rep", "left").withColumn("component", F.coalesce("rep_component", "rep")).select("token", "rep", "n", "vector", "component")
-    across = named.repartition("token").sortWithinPartitions("token", "rep", "n").mapInArrow(_across(percent), "a long, b long, first boolean")
-    more = pairs.filter("not first").unionByName(across).select("a", "b").distinct()
+    crowd = met.join(large, "token").join(known("rep"), "rep", "left").withColumn("component", F.coalesce("rep_component", "rep"))
+    across = sorted_(crowd.select("token", "rep", "n", "vector", "component")).mapInArrow(_across(percent), "a long, b long, first boolean")
+    more = pairs.filter("not first").unionByName(across).select("a", "b").distinct().join(pairs.filter("first").select("a", "b"), ["a", "b"], "left_anti")
     more = more.join(known("a"), "a", "left").join(known("b"), "b", "left").filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b"))
-    links = links.unionByName(staged(verified(staged(more.select("a", "b"), "more_pairs"), sets, percent), "more_links"))
+    more = staged(more.select("a", "b"), "more_pairs")
+    late = staged(ends(more).join(first_ids, "rep", "left_anti"), "late_ids")
+    sets = sets if late.isEmpty() else sets.unionByName(sets_of(late))
+    links = links.unionByName(staged(verified(more, sets, percent), "more_links"))
     final = staged(components(links), "components")
     ids = classes.select(*CLASS, "rep").join(final, F.col("rep") == F.col("node"), "left").select(*CLASS, F.coalesce("component", "rep").alias("component_id"))
     joined = described.select("doc_id", *CLASS).join(staged(ids, "class_components"), CLASS, "left")
