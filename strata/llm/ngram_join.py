@@ -32,6 +32,8 @@ from strata.llm.graph import components
 from strata.llm.shared import as_rows, mix, parts, staged, text_or_empty, utf8, windows, word_hashes
 
 GROUPS = 64
+#: Groups of the finer vectors that whole sets carry.
+FINE = 1024
 LEAF = 32
 CLASS = ["n", "c1", "c2"]
 
@@ -97,11 +99,11 @@ def packed(counts: np.ndarray) -> bytes:
     return bytes([scale]) + (-(-counts >> scale)).astype(np.uint8).tobytes()
 
 
-def unpacked(vectors: pa.Array) -> np.ndarray:
+def unpacked(vectors: pa.Array, groups: int = GROUPS) -> np.ndarray:
     """Count vectors (uint32) of such bytes."""
     raw = np.frombuffer(vectors.buffers()[2], np.uint8)
     at = np.frombuffer(vectors.buffers()[1], np.int32)[vectors.offset]
-    raw = raw[at : at + len(vectors) * (GROUPS + 1)].reshape(-1, GROUPS + 1)
+    raw = raw[at : at + len(vectors) * (groups + 1)].reshape(-1, groups + 1)
     return raw[:, 1:].astype(np.uint32) << raw[:, :1].astype(np.uint32)
 
 
@@ -205,11 +207,14 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _columns(table: pa.Table):
-    """token, rep, n, vectors of whole buckets, and the offsets of the buckets."""
+    """token, rep, n, vectors, components (if any) of whole buckets, each member once, and the offsets of the buckets."""
     table = table.combine_chunks()
-    token, rep, n = (table.column(c).to_numpy() for c in ("token", "rep", "n"))
+    token, rep = (table.column(c).to_numpy() for c in ("token", "rep"))
+    once = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (rep[1:] != rep[:-1])])
+    token, rep, n = token[once], rep[once], table.column("n").to_numpy()[once]
+    component = table.column("component").to_numpy()[once] if "component" in table.column_names else None
     new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    return token, rep, n, unpacked(table.column("vector").chunk(0)), np.r_[new, len(token)]
+    return token, rep, n, unpacked(table.column("vector").chunk(0))[once], component, np.r_[new, len(token)]
 
 
 def _may_link(v: np.ndarray, n: int, vectors: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -243,7 +248,7 @@ def _leaders(percent: int, small: int):
     bucket's first; of large ones each member with its leader. A large bucket is told by (token, token)."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
-            token, rep, n, vectors, at = _columns(table)
+            token, rep, n, vectors, _, at = _columns(table)
             yield from _small_pairs(rep, n, vectors, at, small, percent)
             a, b, large = [], [], np.flatnonzero(np.diff(at) > small)
             for k in large:
@@ -267,8 +272,7 @@ def _across(percent: int):
     """Pairs of different components that the bound leaves, by the tree of each bucket."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
-            component = table.column("component").to_numpy()
-            _, rep, n, vectors, at = _columns(table)
+            _, rep, n, vectors, component, at = _columns(table)
             for p, q in zip(at[:-1], at[1:]):
                 kinds, number, sizes = np.unique(component[p:q], return_inverse=True, return_counts=True)
                 if len(kinds) < 2:
@@ -306,16 +310,37 @@ def _sets_of(size: int):
             for i, j in parts(offsets):
                 sets = list(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists], ["rep", "tokens"])
+                fine = pa.array([packed(np.bincount((s % np.uint64(FINE)).astype(np.int64), minlength=FINE)) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists, fine], ["rep", "tokens", "fine"])
+    return rows
+
+
+def _fine_pairs(percent: int):
+    """Pairs that the bound by finer vectors leaves."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            keep = []
+            for i in range(0, batch.num_rows, 2000):
+                va, vb = (unpacked(batch.column(c).slice(i, 2000), FINE) for c in ("va", "vb"))
+                keep.append(np.minimum(va, vb).sum(axis=1, dtype=np.int64) >= least_overlap(na[i : i + 2000], nb[i : i + 2000], percent))
+            if keep:
+                yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
     return rows
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar enough."""
-    left = pairs.hint("merge").join(sets.withColumnsRenamed({"rep": "b", "tokens": "tb"}), "b")
-    both = left.hint("merge").join(sets.withColumnsRenamed({"rep": "a", "tokens": "ta"}), "a")
-    met = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(100 * met >= percent * (F.size("ta") + F.size("tb") - met)).select("a", "b").distinct()
+    """Pairs (a, b) whose whole sets are similar enough; the finer bound goes before."""
+    def met(pairs: DataFrame, columns: dict) -> DataFrame:
+        for side in ("b", "a"):
+            held = sets.select(F.col("rep").alias(side), *[c.alias(f"{n}{side}") for n, c in columns.items()])
+            pairs = pairs.hint("merge").join(held.hint("merge"), side)
+        return pairs
+
+    close = met(pairs, {"n": F.size("tokens").cast("long"), "v": F.col("fine")}).mapInArrow(_fine_pairs(percent), "a long, b long")
+    both = met(staged(close, "close_pairs"), {"t": F.col("tokens")})
+    shared = F.size(F.array_intersect("ta", "tb"))
+    return both.filter(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct()
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
@@ -331,21 +356,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     survey = staged(texts.mapInArrow(_survey(size, 3), "doc_id long, n long, c1 long, c2 long, vector binary, token long, count long"), "survey")
     described = survey.filter("n is not null")
     order = spark.sparkContext.broadcast(frequent_shingles(survey.filter("token is not null").select("token", "count"), frequent))
-    classes = staged(described.filter("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("vector").alias("vector")), "classes")
-    # Prefixes carry the id of a class member; members of classes with copies are named by their representative.
+    classes = staged(described.filter("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.first("vector").alias("vector")), "classes")
+    # Prefixes carry the id of some class member; `points` names the representative.
     tokens = texts.filter("doc_id is not null").mapInArrow(_prefixes(size, percent, order), "token long, rep long")
     shared = staged(tokens.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(_shared_rows, "token long, rep long"), "shared")
-    copies = described.select("doc_id", *CLASS).join(classes.filter("rows > 1").select(*CLASS, "rep"), CLASS).select("doc_id", F.col("rep").alias("own"))
-    copies = staged(copies.filter("doc_id <> own").distinct(), "copies")
-    named = shared.join(copies, F.col("rep") == F.col("doc_id"), "left").select("token", F.coalesce("own", "rep").alias("rep")).distinct()
-    met = named.join(classes.select("rep", "n", "vector"), "rep").select("token", "rep", "n", "vector")
+    points = classes.select(*CLASS, "rep", "vector")
+    points = staged(described.select("doc_id", *CLASS).hint("merge").join(points, CLASS).select("doc_id", F.col("rep").alias("own"), "n", F.col("vector")), "points")
+    met = shared.hint("merge").join(points, F.col("rep") == F.col("doc_id")).select("token", F.col("own").alias("rep"), "n", "vector")
     sorted_ = lambda df: df.repartition("token").sortWithinPartitions("token", "rep")
     pairs = staged(sorted_(met).mapInArrow(_leaders(percent, small), "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first")), "pairs")
     large = pairs.filter("a = b").select(F.col("a").alias("token"))
     pairs = pairs.filter("a <> b")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        return staged(_texts_of(texts, ids, broadcast_ids).mapInArrow(_sets_of(size), "rep long, tokens array<long>").filter(F.size("tokens") > 0).distinct(), "sets")
+        return staged(_texts_of(texts, ids, broadcast_ids).mapInArrow(_sets_of(size), "rep long, tokens array<long>, fine binary").filter(F.size("tokens") > 0).distinct(), "sets")
 
     ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     first_ids = staged(ends(pairs), "pair_ids")
