@@ -32,6 +32,8 @@ from strata.llm.graph import components
 from strata.llm.shared import as_rows, mix, parts, staged, text_or_empty, utf8, windows, word_hashes
 
 GROUPS = 64
+#: Orders in which large buckets choose leaders; a member meets at most so many leaders of its kind.
+ORDERS = 16
 #: Groups of the finer vectors that whole sets carry.
 FINE = 1024
 LEAF = 32
@@ -253,7 +255,7 @@ def _leaders(percent: int, small: int):
             a, b, large = [], [], np.flatnonzero(np.diff(at) > small)
             for k in large:
                 held = np.arange(at[k], at[k + 1])
-                left = held[np.argsort(mix(rep[held].view(np.uint64) ^ np.uint64(int(token[at[k]]) % 4)))]
+                left = held[np.argsort(mix(rep[held].view(np.uint64) ^ np.uint64(int(token[at[k]]) % ORDERS)))]
                 while len(left) > 1:
                     lead, left = left[0], left[1:]
                     near = _may_link(vectors[lead], n[lead], vectors[left], n[left], percent)
@@ -377,7 +379,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = staged(verified(pairs.filter("first").select("a", "b"), sets, percent), "first_links")
     held = components(links)
     known = lambda name: held.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
-    crowd = met.join(large, "token").join(known("rep"), "rep", "left").withColumn("component", F.coalesce("rep_component", "rep"))
+    # Members of large buckets: their tokens are few, and narrow rows meet them before vectors do.
+    large = F.broadcast(large) if large.count() <= broadcast_ids else large
+    crowd = shared.join(large, "token", "left_semi").hint("merge").join(points, F.col("rep") == F.col("doc_id")).select("token", F.col("own").alias("rep"), "n", "vector")
+    crowd = crowd.join(known("rep"), "rep", "left").withColumn("component", F.coalesce("rep_component", "rep"))
     across = sorted_(crowd.select("token", "rep", "n", "vector", "component")).mapInArrow(_across(percent), "a long, b long, first boolean")
     more = pairs.filter("not first").unionByName(across).select("a", "b").distinct().join(pairs.filter("first").select("a", "b"), ["a", "b"], "left_anti")
     more = more.join(known("a"), "a", "left").join(known("b"), "b", "left").filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b"))
