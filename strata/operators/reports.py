@@ -74,7 +74,7 @@ def by_period(daily: DataFrame, today: str, since: str | None = None, until: str
     begin = F.greatest(first, F.to_date(F.lit(since[:10]))) if since else first
     ends = [F.last_day(first), F.to_date(F.lit(today))] + ([F.to_date(F.lit(until[:10]))] if until else [])
     calendar = F.greatest(F.lit(1), F.datediff(F.least(*ends), begin) + 1)
-    long = sums.join(F.broadcast(span)).filter("span > 30").withColumn("calendar_days", calendar)
+    long = sums.join(F.broadcast(span)).filter("span > 30").withColumn("calendar_days", calendar.cast("long"))
     return long.select("month", "session_count", "total_output_tokens", "calendar_days", F.expr("total_output_tokens div calendar_days").alias("tokens_per_day")).orderBy("month")
 
 
