@@ -98,4 +98,30 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
        sum(length(esc) + CASE WHEN before = role THEN length('<|im_next|>') ELSE length(role) + length('<|im_start|><|im_sep|><|im_end|>') END)::BIGINT AS formatted_chars
 FROM escaped GROUP BY conv_id""",
+    "op2_quality_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, source FROM documents),
+w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+win AS (SELECT r, i, count(*) OVER (PARTITION BY r, list_slice(ws, i, i + 4)) AS n FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM win, range(0, 5) g(k) WHERE n > 1 GROUP BY r),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT d.doc_id, d.source, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r)),
+h AS (SELECT source, rule, count(*)::DOUBLE AS n, sum(CASE rule WHEN 1 THEN n_words < 10 WHEN 2 THEN 100 * n_repeat_words > 20 * n_words WHEN 3 THEN 10 * n_symbols > n_words WHEN 4 THEN 10 * n_dup_lines > n_words
+  ELSE word_chars < 2 * n_words OR word_chars > 15 * n_words END::INT) AS f FROM m, range(1, 6) g(rule) GROUP BY ALL),
+s AS (SELECT rule, avg(1 / n) AS inv, avg(f / n) AS mean, var_pop(f / n) AS var FROM h GROUP BY rule),
+k AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / (greatest(var - mean * (1 - mean) * inv, 1e-9) / greatest(1 - inv, 1e-9)) - 1, 1.0), 1e4) AS strength FROM s),
+v AS (SELECT source, NOT bool_or((f + mean * strength) / (n + strength) > 0.5) AS host_ok FROM h JOIN k USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, host_ok,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND host_ok AS kept FROM m JOIN v ON m.source IS NOT DISTINCT FROM v.source""",
+    "op9_ngram_jaccard_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, list_slice(ws, i, i + 4) AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+  UNION ALL SELECT doc_id, ws FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met.n >= 80 * (x.size + y.size - met.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT w.doc_id, coalesce(size, 0) AS n_shingles, c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)""",
 }
