@@ -19,7 +19,7 @@ def chk_rows(c: Catalog) -> DataFrame:
 CANDIDATE = "CASE p_partkey % 8 WHEN 0 THEN CONCAT('\"src/', p_brand, '.py\",') WHEN 1 THEN CONCAT('https://x.y/', p_brand) WHEN 2 THEN CONCAT('-', p_brand) WHEN 3 THEN CONCAT('a/', p_brand, ':12:3') WHEN 4 THEN 'Makefile' WHEN 5 THEN p_name WHEN 6 THEN '..' ELSE CONCAT('file:///tmp/', p_brand) END"
 
 
-@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN CONCAT('src/', p_brand, '.py"') WHEN 3 THEN CONCAT('a/', p_brand) WHEN 4 THEN 'Makefile' ELSE CONCAT('/tmp/', p_brand) END AS path FROM part WHERE p_partkey % 8 IN (0, 3, 4, 7)")
+@query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN CONCAT('src/', p_brand, '.py\"') WHEN 3 THEN CONCAT('a/', p_brand) WHEN 4 THEN 'Makefile' ELSE CONCAT('/tmp/', p_brand) END AS path FROM part WHERE p_partkey % 8 IN (0, 3, 4, 7)")
 def cls_looks_path(c: Catalog) -> DataFrame:
     rows = c.sql(f"SELECT p_partkey, {CANDIDATE} AS x FROM {{part}} WHERE p_partkey % 8 <> 5")
     return rows.filter(classify.looks_like_path(F.col("x"))).select("p_partkey", classify.clean_path(F.col("x")).alias("path"))
