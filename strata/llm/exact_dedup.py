@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import as_rows, longs, parts, staged, text_or_empty, utf8
+from strata.llm.shared import as_rows, longs, parts, staged, text_or_empty, trim, utf8
 
 #: Primes below 2 ** 31 and bases; a product of two residues fits 62 bits.
 PRIMES = (2147483647, 2147483629)
@@ -76,6 +76,7 @@ def fingerprint(texts: pa.Array) -> pa.Array:
     for i, j in parts(offsets):
         for held, x in zip(out, fingerprint_bytes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])):
             held.append(x)
+    trim()
     names = ["n", "h1", "h2", "p1", "p2"]
     return pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], names)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.shared import parts, staged, utf8
+from strata.llm.shared import parts, staged, trimmed, utf8
 
 BUCKETS = 1 << 14
 
@@ -37,7 +37,7 @@ def _trigrams(data: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         data, offsets = utf8(batch.column("text"))
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
         for lang in sorted(set(langs)):
@@ -65,7 +65,7 @@ def _scored(model, worth: float):
     """Posterior of the text alone: trigrams depend on each other, so a text is worth `worth` of them at most."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.value
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = utf8(batch.column("text"))
             post = np.zeros((batch.num_rows, len(table)))
             for i, j in parts(offsets):

@@ -14,8 +14,8 @@ each bucket first links its members to a few leaders; what is verified is contra
 between different components are asked for after that.
 
 Cases: a text without words, or null, has an empty set and links with nothing; a null id takes part in
-no link and its component is null; rows that share an id are one document that links where any of them
-does; an empty table gives no rows; other columns are ignored.
+no link and its component is null; rows repeated with id and text count once; of several texts under one id
+the links of any may count; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.llm.graph import components
-from strata.llm.shared import as_rows, mix, parts, staged, text_or_empty, utf8, windows, word_hashes
+from strata.llm.shared import as_rows, mix, parts, staged, text_or_empty, trimmed, utf8, windows, word_hashes
 
 GROUPS = 64
 #: Orders in which large buckets choose leaders; a member meets at most so many leaders of its kind.
@@ -93,20 +93,37 @@ class CountTree:
         return self.order[found]
 
 
-def packed(counts: np.ndarray) -> bytes:
-    """A count vector as one byte a group after the scale's exponent; counts are rounded up, so bounds stay bounds."""
+def scaled(counts: np.ndarray, most: int) -> tuple[int, np.ndarray]:
+    """Counts divided by a power of two so that none exceeds `most`, rounded up: bounds stay bounds."""
     scale = 0
-    while (int(counts.max()) - 1 >> scale) >= 255:
+    while -(-int(counts.max()) >> scale) > most:
         scale += 1
-    return bytes([scale]) + (-(-counts >> scale)).astype(np.uint8).tobytes()
+    return scale, (-(-counts >> scale)).astype(np.uint8)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A count vector with half a byte a group, after the exponent of its scale."""
+    scale, small = scaled(counts, 15)
+    return bytes([scale]) + (small[::2] | small[1::2] << 4).tobytes()
+
+
+def packed_fine(counts: np.ndarray) -> bytes:
+    """A count vector with a byte a group, after the exponent of its scale."""
+    scale, small = scaled(counts, 255)
+    return bytes([scale]) + small.tobytes()
 
 
-def unpacked(vectors: pa.Array, groups: int = GROUPS) -> np.ndarray:
-    """Count vectors (uint32) of such bytes."""
-    raw = np.frombuffer(vectors.buffers()[2], np.uint8)
+def _raw(vectors: pa.Array, width: int) -> np.ndarray:
     at = np.frombuffer(vectors.buffers()[1], np.int32)[vectors.offset]
-    raw = raw[at : at + len(vectors) * (groups + 1)].reshape(-1, groups + 1)
-    return raw[:, 1:].astype(np.uint32) << raw[:, :1].astype(np.uint32)
+    return np.frombuffer(vectors.buffers()[2], np.uint8)[at : at + len(vectors) * (width + 1)].reshape(-1, width + 1)
+
+
+def unpacked(vectors: pa.Array) -> np.ndarray:
+    """Count vectors (uint32) of packed ones."""
+    raw = _raw(vectors, GROUPS // 2)
+    out = np.empty((len(raw), GROUPS), np.uint32)
+    out[:, ::2], out[:, 1::2] = raw[:, 1:] & 15, raw[:, 1:] >> 4
+    return out << raw[:, :1].astype(np.uint32)
 
 
 def set_class(s: np.ndarray) -> tuple[int, int, int]:
@@ -116,13 +133,13 @@ def set_class(s: np.ndarray) -> tuple[int, int, int]:
     return len(s), int(mix(s).sum().view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64))
 
 
-def _survey(size: int, least: int, stretch: int = 32 << 20):
+def _survey(size: int, least: int, stretch: int = 8 << 20):
     """Rows of two kinds: each document's set class and count vector; and shingles (token, count) that at
     least `least` texts of a stretch of the input share."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("vector", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = utf8(batch.column("text"))
             for i, j in parts(offsets, stretch):
                 sets = []
@@ -165,7 +182,7 @@ def _prefixes(size: int, percent: int, frequent):
     """(token, rep): the first shingles of each set in the common order. A stretch names equal sets once."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, ranks = frequent.value
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = utf8(batch.column("text"))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             seen: set[tuple[int, int, int]] = set()
@@ -191,7 +208,7 @@ def _prefixes(size: int, percent: int, frequent):
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Whole buckets of batches sorted by token, several at a time."""
     held: list[pa.RecordBatch] = []
-    for batch in batches:
+    for batch in trimmed(batches):
         if not batch.num_rows:
             continue
         token = batch.column("token").to_numpy()
@@ -209,23 +226,29 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _columns(table: pa.Table):
-    """token, rep, n, vectors, components (if any) of whole buckets, each member once, and the offsets of the buckets."""
+    """token, rep, n, vectors of whole buckets, each member once, and the offsets of the buckets."""
     table = table.combine_chunks()
     token, rep = (table.column(c).to_numpy() for c in ("token", "rep"))
     once = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (rep[1:] != rep[:-1])])
     token, rep, n = token[once], rep[once], table.column("n").to_numpy()[once]
-    component = table.column("component").to_numpy()[once] if "component" in table.column_names else None
     new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    return token, rep, n, unpacked(table.column("vector").chunk(0))[once], component, np.r_[new, len(token)]
+    return token, rep, n, unpacked(table.column("vector").chunk(0))[once], np.r_[new, len(token)]
 
 
 def _may_link(v: np.ndarray, n: int, vectors: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return CountTree._open(v, int(n), vectors, sizes, sizes, percent)
 
 
-def _pair_batch(a, b, first) -> pa.RecordBatch:
-    low, high = np.minimum(a, b), np.maximum(a, b)
-    return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(first, pa.bool_())], ["a", "b", "first"])
+#: Kinds of rows that buckets give: a pair, a pair to verify first, and (token, member) of a large bucket.
+PAIR, FIRST, MEMBER = 0, 1, 2
+
+
+def _rows_of(a, b, kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.broadcast_to(kind, len(a)), pa.int32())], ["a", "b", "kind"])
+
+
+def _pair_batch(a, b, kind) -> pa.RecordBatch:
+    return _rows_of(np.minimum(a, b), np.maximum(a, b), kind)
 
 
 def _small_pairs(rep: np.ndarray, n: np.ndarray, vectors: np.ndarray, at: np.ndarray, small: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -242,57 +265,83 @@ def _small_pairs(rep: np.ndarray, n: np.ndarray, vectors: np.ndarray, at: np.nda
         i = i[fits]
         shared = np.minimum(vectors[i], vectors[i + d]).sum(axis=1, dtype=np.int64)
         i = i[shared >= least_overlap(n[i], n[i + d], percent)]
-        yield _pair_batch(rep[i], rep[i + d], place[i] == 0)
+        yield _pair_batch(rep[i], rep[i + d], np.where(place[i] == 0, FIRST, PAIR).astype(np.int32))
 
 
 def _leaders(percent: int, small: int):
-    """Pairs (a, b, first). Of small buckets every pair that the bound leaves, `first` where one is the
-    bucket's first; of large ones each member with its leader. A large bucket is told by (token, token)."""
+    """Rows (a, b, kind). Of small buckets every pair that the bound leaves, FIRST where one is the bucket's
+    first; of large ones each member with its leader, and the members that the bound leaves with anyone."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
-            token, rep, n, vectors, _, at = _columns(table)
+            token, rep, n, vectors, at = _columns(table)
             yield from _small_pairs(rep, n, vectors, at, small, percent)
-            a, b, large = [], [], np.flatnonzero(np.diff(at) > small)
-            for k in large:
+            for k in np.flatnonzero(np.diff(at) > small):
                 held = np.arange(at[k], at[k + 1])
                 left = held[np.argsort(mix(rep[held].view(np.uint64) ^ np.uint64(int(token[at[k]]) % ORDERS)))]
-                while len(left) > 1:
+                active = np.zeros(len(held), bool)
+                while len(left):
                     lead, left = left[0], left[1:]
                     near = _may_link(vectors[lead], n[lead], vectors[left], n[left], percent)
-                    a.append(np.full(near.sum(), rep[lead]))
-                    b.append(rep[left[near]])
+                    if near.any():
+                        active[left[near] - at[k]] = active[lead - at[k]] = True
+                        yield _pair_batch(np.full(near.sum(), rep[lead]), rep[left[near]], FIRST)
+                    else:  # those that earlier leaders took may still be near
+                        active[lead - at[k]] = _may_link(vectors[lead], n[lead], vectors[held], n[held], percent).sum() > 1
                     left = left[~near]
-            if len(large):
-                marks = token[at[:-1][large]]
-                a, b = np.concatenate([marks, *a]), np.concatenate([marks, *b])
-                keep = (a != b) | (np.arange(len(a)) < len(marks))
-                yield _pair_batch(a[keep], b[keep], np.ones(keep.sum(), bool))
+                if active.any():
+                    yield _rows_of(np.full(active.sum(), token[at[k]]), rep[held[active]], MEMBER)
     return rows
 
 
+def _finer(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Finer vectors as they are packed: bytes, and the scales' exponents."""
+    raw = _raw(vectors, FINE)
+    return raw[:, 1:], raw[:, :1]
+
+
+def _fine_overlap(small: np.ndarray, scale: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Most that set i can share with the others by their finer vectors."""
+    if not scale[i] and not scale[others].any():
+        return np.minimum(small[others], small[i]).sum(axis=1, dtype=np.int64)
+    fine = small[others].astype(np.uint32) << scale[others].astype(np.uint32)
+    return np.minimum(fine, small[i].astype(np.uint32) << np.uint32(scale[i, 0])).sum(axis=1, dtype=np.int64)
+
+
 def _across(percent: int):
-    """Pairs of different components that the bound leaves, by the tree of each bucket."""
+    """Pairs of different components that the bounds leave: each bucket's tree over GROUPS groups, then the
+    finer vectors of what it finds."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
-            _, rep, n, vectors, component, at = _columns(table)
-            for p, q in zip(at[:-1], at[1:]):
+            table = table.combine_chunks()
+            token, all_reps = (table.column(c).to_numpy() for c in ("token", "rep"))
+            once = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (all_reps[1:] != all_reps[:-1])])
+            token, rep = token[once], all_reps[once]
+            n, component = (table.column(c).to_numpy()[once] for c in ("n", "component"))
+            small, scale = _finer(table.column("fine").chunk(0))
+            new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            for p, q in zip(new, np.r_[new[1:], len(token)]):
                 kinds, number, sizes = np.unique(component[p:q], return_inverse=True, return_counts=True)
                 if len(kinds) < 2:
                     continue
-                tree = CountTree(vectors[p:q], n[p:q])
+                own = once[p:q]
+                coarse = (small[own].reshape(-1, FINE // GROUPS, GROUPS).sum(axis=1, dtype=np.uint32)) << scale[own].astype(np.uint32)
+                tree = CountTree(coarse, n[p:q])
                 # The largest component asks nothing; every other member asks the whole tree.
                 for i in np.flatnonzero(number != sizes.argmax()):
-                    near = tree.near(vectors[p + i], int(n[p + i]), percent)
+                    near = tree.near(coarse[i], int(n[p + i]), percent)
                     near = near[(number[near] != number[i]) & ((number[near] == sizes.argmax()) | (near > i))]
                     if len(near):
-                        yield _pair_batch(np.full(len(near), rep[p + i]), rep[p + near], np.zeros(len(near), bool))
+                        most = np.concatenate([_fine_overlap(small, scale, own[i], own[near[k : k + 500]]) for k in range(0, len(near), 500)])
+                        near = near[most >= least_overlap(n[p + i], n[p + near], percent)]
+                    if len(near):
+                        yield _pair_batch(np.full(len(near), rep[p + i]), rep[p + near], PAIR)
     return rows
 
 
 def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows, sorted by token and rep, whose token has another row. One row is held over between batches."""
     last, twice = None, False
-    for batch in batches:
+    for batch in trimmed(batches):
         if not batch.num_rows:
             continue
         batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0] if last is not None else batch
@@ -307,12 +356,12 @@ def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets_of(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = utf8(batch.column("text"))
             for i, j in parts(offsets):
                 sets = list(shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in sets])].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
-                fine = pa.array([packed(np.bincount((s % np.uint64(FINE)).astype(np.int64), minlength=FINE)) for s in sets], pa.binary())
+                fine = pa.array([packed_fine(np.bincount((s % np.uint64(FINE)).astype(np.int64), minlength=FINE)) for s in sets], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), lists, fine], ["rep", "tokens", "fine"])
     return rows
 
@@ -320,22 +369,30 @@ def _sets_of(size: int):
 def _fine_pairs(percent: int):
     """Pairs that the bound by finer vectors leaves."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
             keep = []
             for i in range(0, batch.num_rows, 2000):
-                va, vb = (unpacked(batch.column(c).slice(i, 2000), FINE) for c in ("va", "vb"))
-                keep.append(np.minimum(va, vb).sum(axis=1, dtype=np.int64) >= least_overlap(na[i : i + 2000], nb[i : i + 2000], percent))
+                (va, sa), (vb, sb) = (_finer(batch.column(c).slice(i, 2000)) for c in ("va", "vb"))
+                both = np.minimum(va.astype(np.uint32) << sa.astype(np.uint32), vb.astype(np.uint32) << sb.astype(np.uint32))
+                keep.append(both.sum(axis=1, dtype=np.int64) >= least_overlap(na[i : i + 2000], nb[i : i + 2000], percent))
             if keep:
                 yield batch.select(["a", "b"]).filter(pa.array(np.concatenate(keep)))
     return rows
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar enough; the finer bound goes before."""
+def few(ids: DataFrame, most: int) -> DataFrame:
+    """The ids, to be broadcast where they are at most `most`, 8 bytes each."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_ids: int) -> DataFrame:
+    """Pairs (a, b), of a written table, whose whole sets are similar enough; the finer bound goes before."""
     def met(pairs: DataFrame, columns: dict) -> DataFrame:
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        asked = sets.join(few(ends, broadcast_ids), "rep", "left_semi")
         for side in ("b", "a"):
-            held = sets.select(F.col("rep").alias(side), *[c.alias(f"{n}{side}") for n, c in columns.items()])
+            held = asked.select(F.col("rep").alias(side), *[c.alias(f"{n}{side}") for n, c in columns.items()])
             pairs = pairs.hint("merge").join(held.hint("merge"), side)
         return pairs
 
@@ -346,7 +403,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """Texts of the ids; they are broadcast where they are at most `most`, 8 bytes each."""
+    """Texts of the ids; past the bound of the broadcast, texts and ids are merged."""
     small = ids.count() <= most
     return (texts if small else texts.hint("merge")).join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("rep"), "left_semi")
 
@@ -366,33 +423,27 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     points = staged(described.select("doc_id", *CLASS).hint("merge").join(points, CLASS).select("doc_id", F.col("rep").alias("own"), "n", F.col("vector")), "points")
     met = shared.hint("merge").join(points, F.col("rep") == F.col("doc_id")).select("token", F.col("own").alias("rep"), "n", "vector")
     sorted_ = lambda df: df.repartition("token").sortWithinPartitions("token", "rep")
-    pairs = staged(sorted_(met).mapInArrow(_leaders(percent, small), "a long, b long, first boolean").groupBy("a", "b").agg(F.max("first").alias("first")), "pairs")
-    large = pairs.filter("a = b").select(F.col("a").alias("token"))
-    pairs = pairs.filter("a <> b")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        return staged(_texts_of(texts, ids, broadcast_ids).mapInArrow(_sets_of(size), "rep long, tokens array<long>, fine binary").filter(F.size("tokens") > 0).distinct(), "sets")
-
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    first_ids = staged(ends(pairs), "pair_ids")
-    sets = sets_of(first_ids)
-    links = staged(verified(pairs.filter("first").select("a", "b"), sets, percent), "first_links")
+    pair_rows = "a long, b long, kind int"
+    found = sorted_(met).mapInArrow(_leaders(percent, small), pair_rows)
+    found = staged(found.groupBy("a", "b", (F.col("kind") == MEMBER).alias("member")).agg(F.max("kind").alias("kind")), "pairs")
+    pairs = found.filter("not member").select("a", "b", (F.col("kind") == FIRST).alias("first"))
+    crowd = found.filter("member").select(F.col("a").alias("token"), F.col("b").alias("rep"))
+    # Whole sets of every representative that a later step may verify.
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct(), "ids")
+    sets = staged(_texts_of(texts, ids, broadcast_ids).mapInArrow(_sets_of(size), "rep long, tokens array<long>, fine binary").filter(F.size("tokens") > 0), "sets")
+    links = staged(verified(pairs.filter("first").select("a", "b"), sets, percent, broadcast_ids), "first_links")
     held = components(links)
     known = lambda name: held.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
-    # Members of large buckets: their tokens are few, and narrow rows meet them before vectors do.
-    large = F.broadcast(large) if large.count() <= broadcast_ids else large
-    crowd = shared.join(large, "token", "left_semi").hint("merge").join(points, F.col("rep") == F.col("doc_id")).select("token", F.col("own").alias("rep"), "n", "vector")
-    crowd = crowd.join(known("rep"), "rep", "left").withColumn("component", F.coalesce("rep_component", "rep"))
-    across = sorted_(crowd.select("token", "rep", "n", "vector", "component")).mapInArrow(_across(percent), "a long, b long, first boolean")
-    more = pairs.filter("not first").unionByName(across).select("a", "b").distinct().join(pairs.filter("first").select("a", "b"), ["a", "b"], "left_anti")
+    members = sets.select("rep", F.size("tokens").cast("long").alias("n"), "fine").join(known("rep"), "rep", "left").withColumn("component", F.coalesce("rep_component", "rep"))
+    crowd = crowd.hint("merge").join(members, "rep").select("token", "rep", "n", "component", "fine")
+    across = sorted_(crowd).mapInArrow(_across(percent), pair_rows)
+    more = pairs.filter("not first").select("a", "b").unionByName(across.select("a", "b")).distinct().join(pairs.filter("first").select("a", "b"), ["a", "b"], "left_anti")
     more = more.join(known("a"), "a", "left").join(known("b"), "b", "left").filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b"))
     more = staged(more.select("a", "b"), "more_pairs")
-    late = staged(ends(more).join(first_ids, "rep", "left_anti"), "late_ids")
-    sets = sets if late.isEmpty() else sets.unionByName(sets_of(late))
-    links = links.unionByName(staged(verified(more, sets, percent), "more_links"))
+    links = links.unionByName(staged(verified(more, sets, percent, broadcast_ids), "more_links"))
     final = staged(components(links), "components")
-    ids = classes.select(*CLASS, "rep").join(final, F.col("rep") == F.col("node"), "left").select(*CLASS, F.coalesce("component", "rep").alias("component_id"))
-    joined = described.select("doc_id", *CLASS).join(staged(ids, "class_components"), CLASS, "left")
+    named = classes.select(*CLASS, "rep").join(final, F.col("rep") == F.col("node"), "left").select(*CLASS, F.coalesce("component", "rep").alias("component_id"))
+    joined = described.select("doc_id", *CLASS).join(staged(named, "class_components"), CLASS, "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 

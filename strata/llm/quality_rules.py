@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import as_rows, longs, parts, staged, utf8, windows, word_hashes
+from strata.llm.shared import as_rows, longs, parts, staged, trim, utf8, windows, word_hashes
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -77,6 +77,7 @@ def measures(texts: pa.Array) -> pa.Array:
         for held, x in zip(out, (np.diff(at), _sums(_IN_WORD[d], o), _sums(_SYMBOL[d], o), repeated_words(words, at))):
             held.append(x)
     lines = pa.array([_dup_lines(x.as_py()) for x in texts], pa.int64())
+    trim()
     n, chars, symbols, repeats = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out)
     return pa.StructArray.from_arrays([n, chars, symbols, pc.cast(lines, pa.int64()), repeats], ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.shared import parts, utf8
+from strata.llm.shared import parts, trimmed, utf8
 
 MARKED = re.compile(r" +[^ ]*")
 
@@ -199,10 +199,10 @@ def gather(values: np.ndarray, offsets: np.ndarray, picked: np.ndarray) -> np.nd
     return values[np.arange(total[-1]) + np.repeat(offsets[:-1][picked] - total[:-1], sizes)]
 
 
-def _encode(vocabulary, stretch: int = 8 << 20):
+def _encode(vocabulary, stretch: int = 3 << 20):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = utf8(batch.column("text"))
             for i, j in parts(offsets, stretch):
                 numbers: dict[str, int] = {}
@@ -236,7 +236,7 @@ def _decode(vocabulary):
         pieces = [single.get(i, p.encode() if v.rank[i] >= 0 else b"") for i, p in enumerate(v.pieces)]
         data = np.frombuffer(b"".join(pieces), np.uint8)
         at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-        for batch in batches:
+        for batch in trimmed(batches):
             lists = batch.column("ids")
             ends = lists.offsets.to_numpy()
             flat = lists.values.to_numpy()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -65,8 +66,8 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(offsets: np.ndarray, most: int = 1 << 21):
-    """Runs [i, j) of texts with about `most` bytes, at least one text each."""
+def parts(offsets: np.ndarray, most: int = 1 << 19):
+    """Runs [i, j) of texts with about `most` bytes, at least one text each. Eight-byte arrays of a run stay small."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
@@ -74,6 +75,23 @@ def parts(offsets: np.ndarray, most: int = 1 << 21):
         i = min(j, n)
 
 
+def trim() -> None:
+    """Give memory that a batch no longer needs back to the system; idle workers else hold on to it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
+def trimmed(batches):
+    """The batches, with a trim after each is done with."""
+    for batch in batches:
+        yield batch
+        del batch
+        trim()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -94,7 +112,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        have = np.ones(max(n, 1 << 16), np.uint64)
+        have = np.ones(max(n, 1 << 20), np.uint64)
         filled = 1
         while filled < len(have):
             take = min(filled, len(have) - filled)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.shared import mix, parts, prefix_sums, span_hash, staged, text_or_empty, utf8
+from strata.llm.shared import mix, parts, prefix_sums, span_hash, staged, text_or_empty, trimmed, utf8
 
 WIDTHS = (32, 8, 1)
 _LOW = np.uint64((1 << 24) - 1)
@@ -78,7 +78,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
 
 def _anchor_rows(window: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             data, offsets = utf8(batch.column("text"))
             for i, j in parts(offsets):
                 t, q, low, high, g, s = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window, gram)
@@ -98,7 +98,7 @@ def covered(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in trimmed(batches):
         data, offsets = utf8(batch.column("text"))
         held = memoryview(np.ascontiguousarray(data))
         lists = batch.column("spans")
