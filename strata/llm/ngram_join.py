@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strata.llm.graph import components
 from strata.llm.shared import as_rows, mix, parts, staged, text_or_empty, trimmed, utf8, windows, word_hashes

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strata.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sentence_pieces, suffix_dedup
 

@@ -1,45 +1,22 @@
-"""Helpers that several training-data operators use: staging, Arrow text access, rolling hashes."""
+"""Helpers that several training-data operators use: Arrow text access, word and rolling hashes."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.sources.store import staged  # noqa: F401  (operators stage their tables through here)
+
 #: The white space of all word and strip rules here: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strata-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and return the written table.
-
-    It cuts the lineage at a place that survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strata-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -176,10 +153,6 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def strings(values: list) -> pa.Array:
-    return pa.array(values, pa.string())
-
-
 def longs(*names: str) -> T.StructType:
     """A struct of longs; a built type, since workers import modules without a session."""
     return T.StructType([T.StructField(n, T.LongType()) for n in names])
