@@ -157,11 +157,15 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int | None = None,
     content = F.expr(f"substring(cast(text as binary), q - high + 1, high - low + {window})")
     cells = staged(at.select(*KEY, "q", "low", "high", "gram", "need", content.alias("content")).distinct(), "contents")
     for width in widths:
-        cut = staged(split_cells(cells, width, window), f"cells_{width}")
+        cut = split_cells(cells, width, window)
+        # Bytes are read off only for a further pass.
+        cut = staged(cut.drop("content") if width == widths[-1] else cut, f"cells_{width}")
         outer = cut.groupBy("gram", "outer").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "outer", F.lit(True).alias("twice"))
         inner = cut.groupBy("gram", "inner").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "inner")
         met = staged(cut.join(inner, ["gram", "inner"], "left_semi").join(outer, ["gram", "outer"], "left"), f"met_{width}")
         spans.append(met.filter("twice and need").select(*span))
+        if width == widths[-1]:
+            break
         rest = met.filter("twice is null")
         rep = met.filter("twice").dropDuplicates(["gram", "outer"]).withColumn("need", F.lit(False))
         rep = rep.join(rest.select("gram", "inner").distinct(), ["gram", "inner"], "left_semi")
