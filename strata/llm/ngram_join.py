@@ -13,6 +13,12 @@ its upper levels prune little. Hence the buckets, which lose no pair. Copies are
 each bucket first links its members to a few leaders; what is verified is contracted, and only pairs
 between different components are asked for after that.
 
+No bucket is gathered whole. One of more than `block` rows is hot: the first pass deals its members by a hash
+to parts of about `block` and chooses leaders in each; parts differ between tokens of different orders, so that
+links of several buckets bring parts together. All members of a hot bucket go to the second pass, where
+buckets of one component end. The others are cut by size class (linked sets are in one or in neighbouring
+classes) and dealt in blocks; each two blocks that hold pairs to ask for are a cell of their own.
+
 Cases: a text without words, or null, has an empty set and links with nothing; a null id takes part in
 no link and its component is null; rows repeated with id and text count once; of several texts under one id
 the links of any may count; an empty table gives no rows; other columns are ignored.
@@ -20,6 +26,7 @@ the links of any may count; an empty table gives no rows; other columns are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -204,18 +211,31 @@ def _prefixes(size: int, percent: int, frequent):
     return rows
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Whole buckets of batches sorted by token, several at a time."""
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Whether each row but the first differs from the row before."""
+    return np.any([c[1:] != c[:-1] for c in columns], axis=0)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of batches sorted by `keys` and rep, several at a time; a member's copies are dropped as they come."""
     held: list[pa.RecordBatch] = []
+    last = None
     for batch in trimmed(batches):
         if not batch.num_rows:
             continue
-        token = batch.column("token").to_numpy()
-        cut = int(np.searchsorted(token, token[-1]))
-        if cut:
+        columns = [batch.column(k).to_numpy() for k in [*keys, "rep"]]
+        once = np.r_[last != [c[0] for c in columns], _changes(columns)]
+        last = [c[-1] for c in columns]
+        if not once.any():
+            continue
+        batch = batch if once.all() else batch.filter(pa.array(once))
+        columns = [c[once] for c in columns[:-1]]
+        new = np.flatnonzero(_changes(columns))
+        if len(new):
+            cut = int(new[-1]) + 1
             yield pa.Table.from_batches([*held, batch.slice(0, cut)])
             held = [batch.slice(cut)]
-        elif held and held[-1].column("token")[0].as_py() != token[0]:
+        elif held and [held[-1].column(k)[0].as_py() for k in keys] != [c[0] for c in columns]:
             yield pa.Table.from_batches(held)
             held = [batch]
         else:
@@ -224,22 +244,24 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+#: Columns that tell the groups of the two passes apart.
+PART, CELL = ["token", "part"], ["token", "ca", "cb"]
+
+
 def _columns(table: pa.Table):
-    """token, rep, n, vectors of whole buckets, each member once, and the offsets of the buckets."""
+    """token, part, rep, n, vectors of whole groups, and the offsets of the groups."""
     table = table.combine_chunks()
-    token, rep = (table.column(c).to_numpy() for c in ("token", "rep"))
-    once = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (rep[1:] != rep[:-1])])
-    token, rep, n = token[once], rep[once], table.column("n").to_numpy()[once]
-    new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    return token, rep, n, unpacked(table.column("vector").chunk(0))[once], np.r_[new, len(token)]
+    token, part, rep, n = (table.column(c).to_numpy() for c in (*PART, "rep", "n"))
+    new = np.flatnonzero(np.r_[True, _changes([token, part])])
+    return token, part, rep, n, unpacked(table.column("vector").chunk(0)), np.r_[new, len(token)]
 
 
 def _may_link(v: np.ndarray, n: int, vectors: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
     return CountTree._open(v, int(n), vectors, sizes, sizes, percent)
 
 
-#: Kinds of rows that buckets give: a pair, a pair to verify first, and (token, member) of a large bucket.
-PAIR, FIRST, MEMBER = 0, 1, 2
+#: Kinds of rows that buckets give: a pair, a pair to verify first, and (token, member) of a large or a hot bucket.
+PAIR, FIRST, MEMBER, HOT = 0, 1, 2, 3
 
 
 def _rows_of(a, b, kind) -> pa.RecordBatch:
@@ -269,10 +291,14 @@ def _small_pairs(rep: np.ndarray, n: np.ndarray, vectors: np.ndarray, at: np.nda
 
 def _leaders(percent: int, small: int):
     """Rows (a, b, kind). Of small buckets every pair that the bound leaves, FIRST where one is the bucket's
-    first; of large ones each member with its leader, and the members that the bound leaves with anyone."""
+    first; of large ones each member with its leader, and the members that the bound leaves with anyone. A part
+    of a hot bucket cannot tell who is alone, and gives all its members."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
-            token, rep, n, vectors, at = _columns(table)
+        for table in _groups(batches, PART):
+            token, part, rep, n, vectors, at = _columns(table)
+            hot = part >= 0
+            if hot.any():
+                yield _rows_of(token[hot], rep[hot], HOT)
             yield from _small_pairs(rep, n, vectors, at, small, percent)
             for k in np.flatnonzero(np.diff(at) > small):
                 held = np.arange(at[k], at[k + 1])
@@ -287,7 +313,7 @@ def _leaders(percent: int, small: int):
                     else:  # those that earlier leaders took may still be near
                         active[lead - at[k]] = _may_link(vectors[lead], n[lead], vectors[held], n[held], percent).sum() > 1
                     left = left[~near]
-                if active.any():
+                if active.any() and not hot[at[k]]:
                     yield _rows_of(np.full(active.sum(), token[at[k]]), rep[held[active]], MEMBER)
     return rows
 
@@ -307,28 +333,27 @@ def _fine_overlap(small: np.ndarray, scale: np.ndarray, i: int, others: np.ndarr
 
 
 def _across(percent: int):
-    """Pairs of different components that the bounds leave: each bucket's tree over GROUPS groups, then the
-    finer vectors of what it finds."""
+    """Pairs of different components that the bounds leave: each bucket's or cell's tree over GROUPS groups, then
+    the finer vectors of what it finds. A cell of two blocks gives pairs of one with the other."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches):
+        for table in _groups(batches, CELL):
             table = table.combine_chunks()
-            token, all_reps = (table.column(c).to_numpy() for c in ("token", "rep"))
-            once = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (all_reps[1:] != all_reps[:-1])])
-            token, rep = token[once], all_reps[once]
-            n, component = (table.column(c).to_numpy()[once] for c in ("n", "component"))
+            token, ca, cb, block, rep, n, component = (table.column(c).to_numpy() for c in (*CELL, "block", "rep", "n", "component"))
             small, scale = _finer(table.column("fine").chunk(0))
-            new = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+            new = np.flatnonzero(np.r_[True, _changes([token, ca, cb])])
             for p, q in zip(new, np.r_[new[1:], len(token)]):
                 kinds, number, sizes = np.unique(component[p:q], return_inverse=True, return_counts=True)
                 if len(kinds) < 2:
                     continue
-                own = once[p:q]
+                own = np.arange(p, q)
                 coarse = (small[own].reshape(-1, FINE // GROUPS, GROUPS).sum(axis=1, dtype=np.uint32)) << scale[own].astype(np.uint32)
                 tree = CountTree(coarse, n[p:q])
                 # The largest component asks nothing; every other member asks the whole tree.
                 for i in np.flatnonzero(number != sizes.argmax()):
                     near = tree.near(coarse[i], int(n[p + i]), percent)
                     near = near[(number[near] != number[i]) & ((number[near] == sizes.argmax()) | (near > i))]
+                    if ca[p] != cb[p]:
+                        near = near[block[p + near] != block[p + i]]
                     if len(near):
                         most = np.concatenate([_fine_overlap(small, scale, own[i], own[near[k : k + 500]]) for k in range(0, len(near), 500)])
                         near = near[most >= least_overlap(n[p + i], n[p + near], percent)]
@@ -337,20 +362,37 @@ def _across(percent: int):
     return rows
 
 
-def _shared_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by token and rep, whose token has another row. One row is held over between batches."""
-    last, twice = None, False
-    for batch in trimmed(batches):
-        if not batch.num_rows:
-            continue
-        batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0] if last is not None else batch
-        token = batch.column("token").to_numpy()
-        same = token[1:] == token[:-1]
-        keep = np.r_[twice, same] | np.r_[same, False]
-        last, twice = batch.slice(batch.num_rows - 1), bool(same[-1]) if len(same) else twice
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1]))
-    if last is not None and twice:
-        yield last
+def _shared_rows(block: int):
+    """Rows (token, rep), sorted so, whose token has another row, and (token, count) of tokens of more than
+    `block` rows. One row is held over between batches."""
+    def hot(tokens, counts) -> pa.RecordBatch:
+        over = np.asarray(counts) > block
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(tokens)[over], pa.int64()), pa.nulls(over.sum(), pa.int64()), pa.array(np.asarray(counts)[over], pa.int64())], ["token", "rep", "count"])
+
+    def plain(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.int64())], ["token", "rep", "count"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, twice, run = None, False, 0
+        for batch in trimmed(batches):
+            if not batch.num_rows:
+                continue
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0] if last is not None else batch
+            token = batch.column("token").to_numpy()
+            same = token[1:] == token[:-1]
+            keep = np.r_[twice, same] | np.r_[same, False]
+            last, twice = batch.slice(batch.num_rows - 1), bool(same[-1]) if len(same) else twice
+            yield plain(batch.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1])))
+            # `run` rows of the first token came before this batch; the last row comes again with the next.
+            new = np.flatnonzero(np.r_[True, ~same])
+            counts = np.diff(np.r_[new, len(token)])
+            counts[0] += run
+            run = int(counts[-1]) - 1
+            yield hot(token[new[:-1]], counts[:-1])
+        if last is not None and twice:
+            yield plain(last)
+            yield hot(last.column("token").to_numpy(), [run + 1])
+    return rows
 
 
 def _sets_of(size: int):
@@ -401,13 +443,47 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_ids: int
     return both.filter(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct()
 
 
+def _parts_for(count, block: int):
+    """A power of two of parts that hold about `block` of `count` rows each at most."""
+    return F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(count / block, F.lit(1.0))))).cast("long")
+
+
+def dealt(rows: DataFrame, hot: DataFrame, block: int) -> DataFrame:
+    """`rows` (token, rep, ...) with `part`: -1, and of the tokens in `hot` (token, count) a part by hash. Tokens of
+    one order deal alike, so that a member has no more leaders than there are orders."""
+    many = hot.select("token", _parts_for(F.col("count"), block).alias("parts"))
+    part = F.pmod(F.xxhash64("rep", F.pmod("token", F.lit(ORDERS))), F.col("parts"))
+    return rows.join(many, "token", "left").withColumn("part", F.coalesce(part, F.lit(-1))).drop("parts")
+
+
+def cells(members: DataFrame, percent: int, block: int, broadcast_ids: int) -> DataFrame:
+    """token, ca, cb, block, rep of hot buckets' members (token, rep, n, component): cells of one or two blocks
+    with all pairs of different components whose sizes are near enough."""
+    per = staged(members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")), "hot_components")
+    giant = per.groupBy("token").agg(F.max(F.struct("size", "component"))["component"].alias("giant"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds")
+    # A hair wider than the ratio of linked sizes, so that no rounding puts a pair two classes apart.
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    asked = members.join(few(staged(giant, "giants"), broadcast_ids), "token")
+    asked = asked.select("token", "rep", F.floor(F.log("n") / width).cast("long").alias("kind"), (F.col("component") != F.col("giant")).cast("long").alias("asks"))
+    kinds = asked.groupBy("token", "kind", "asks").agg(F.count(F.lit(1)).alias("count"))
+    kinds = staged(kinds.select("token", "kind", "asks", _parts_for(F.col("count"), block).alias("parts")), "hot_kinds")
+    name = lambda slot: (F.col("kind") * 2 + F.col("asks")) * (1 << 40) + slot
+    blocks = kinds.select("token", "kind", "asks", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("slot"))
+    blocks = staged(blocks.select("token", "kind", "asks", name(F.col("slot")).alias("block")), "hot_blocks")
+    a, b = (blocks.select("token", *[F.col(c).alias(f"{c}{side}") for c in ("kind", "asks", "block")]) for side in "ab")
+    met = a.join(b, "token").filter("blocka <= blockb and abs(kinda - kindb) <= 1 and asksa + asksb > 0")
+    ends = met.select("token", F.col("blocka").alias("ca"), F.col("blockb").alias("cb")).withColumn("block", F.explode(F.array_distinct(F.array("ca", "cb"))))
+    placed = asked.join(few(kinds, broadcast_ids), ["token", "kind", "asks"]).select("token", "rep", name(F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block"))
+    return placed.join(ends, ["token", "block"]).select("token", "ca", "cb", "block", "rep")
+
+
 def _texts_of(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     """Texts of the ids; past the bound of the broadcast, texts and ids are merged."""
     small = ids.count() <= most
     return (texts if small else texts.hint("merge")).join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("rep"), "left_semi")
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, small: int = 16, frequent: int = 1 << 18, broadcast_ids: int = 1 << 20) -> DataFrame:
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, small: int = 16, frequent: int = 1 << 18, broadcast_ids: int = 1 << 20, block: int = 1 << 12) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable by links)."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -417,16 +493,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = staged(described.filter("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.first("vector").alias("vector")), "classes")
     # Prefixes carry the id of some class member; `points` names the representative.
     tokens = texts.filter("doc_id is not null").mapInArrow(_prefixes(size, percent, order), "token long, rep long")
-    shared = staged(tokens.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(_shared_rows, "token long, rep long"), "shared")
+    shared = staged(tokens.repartition("token").sortWithinPartitions("token", "rep").mapInArrow(_shared_rows(block), "token long, rep long, count long"), "shared")
     points = classes.select(*CLASS, "rep", "vector")
     points = staged(described.select("doc_id", *CLASS).hint("merge").join(points, CLASS).select("doc_id", F.col("rep").alias("own"), "n", F.col("vector")), "points")
-    met = shared.hint("merge").join(points, F.col("rep") == F.col("doc_id")).select("token", F.col("own").alias("rep"), "n", "vector")
-    sorted_ = lambda df: df.repartition("token").sortWithinPartitions("token", "rep")
+    hot = shared.filter("count is not null").select("token", "count")
+    met = shared.filter("count is null").hint("merge").join(points, F.col("rep") == F.col("doc_id")).select("token", F.col("own").alias("rep"), "n", "vector")
+    any_hot = not hot.isEmpty()
+    met = dealt(met, few(hot, broadcast_ids), block) if any_hot else met.withColumn("part", F.lit(-1).cast("long"))
+    sorted_ = lambda df, keys: df.repartition(*keys).sortWithinPartitions(*keys, "rep")
     pair_rows = "a long, b long, kind int"
-    found = sorted_(met).mapInArrow(_leaders(percent, small), pair_rows)
-    found = staged(found.groupBy("a", "b", (F.col("kind") == MEMBER).alias("member")).agg(F.max("kind").alias("kind")), "pairs")
+    found = sorted_(met, PART).mapInArrow(_leaders(percent, small), pair_rows)
+    found = staged(found.groupBy("a", "b", (F.col("kind") >= MEMBER).alias("member")).agg(F.max("kind").alias("kind")), "pairs")
     pairs = found.filter("not member").select("a", "b", (F.col("kind") == FIRST).alias("first"))
-    crowd = found.filter("member").select(F.col("a").alias("token"), F.col("b").alias("rep"))
+    crowd = found.filter("member").select(F.col("a").alias("token"), F.col("b").alias("rep"), (F.col("kind") == HOT).alias("hot"))
     # Whole sets of every representative that a later step may verify.
     ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowd.select("rep")).distinct(), "ids")
     sets = staged(_texts_of(texts, ids, broadcast_ids).mapInArrow(_sets_of(size), "rep long, tokens array<long>, fine binary").filter(F.size("tokens") > 0), "sets")
@@ -434,8 +513,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = components(links)
     known = lambda name: held.select(F.col("node").alias(name), F.col("component").alias(f"{name}_component"))
     members = sets.select("rep", F.size("tokens").cast("long").alias("n"), "fine").join(known("rep"), "rep", "left").withColumn("component", F.coalesce("rep_component", "rep"))
-    crowd = crowd.hint("merge").join(members, "rep").select("token", "rep", "n", "component", "fine")
-    across = sorted_(crowd).mapInArrow(_across(percent), pair_rows)
+    alone = F.lit(-1).cast("long")
+    places = crowd.filter("not hot").select("token", alone.alias("ca"), alone.alias("cb"), alone.alias("block"), "rep")
+    if any_hot:
+        light = staged(crowd.filter("hot").hint("merge").join(members.drop("fine"), "rep").select("token", "rep", "n", "component"), "hot_members")
+        places = places.unionByName(cells(light, percent, block, broadcast_ids))
+    crowd = places.hint("merge").join(members, "rep").select(*CELL, "block", "rep", "n", "component", "fine")
+    across = sorted_(crowd, CELL).mapInArrow(_across(percent), pair_rows)
     more = pairs.filter("not first").select("a", "b").unionByName(across.select("a", "b")).distinct().join(pairs.filter("first").select("a", "b"), ["a", "b"], "left_anti")
     more = more.join(known("a"), "a", "left").join(known("b"), "b", "left").filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b"))
     more = staged(more.select("a", "b"), "more_pairs")

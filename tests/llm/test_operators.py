@@ -275,6 +275,53 @@ def test_ngram_join(frame, corpus):
     assert ngram_join.similar_components(frame(rows).limit(0)).count() == 0
 
 
+def brute_components(rows, sets):
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    return [rows[find(i)][0] for i in range(len(rows))]
+
+
+def test_ngram_join_of_hot_buckets(frame):
+    r = Random(8)
+    base = [f"w{r.randrange(400)}" for _ in range(60)]
+    rows = []
+    for i in range(240):
+        text = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 5])):
+            text[r.randrange(8, len(text))] = f"x{r.randrange(10_000)}"
+        rows.append((i, " ".join(text[: r.randint(40, 60)]), "en", "s"))
+    rows += [(300 + i, " ".join(base[:5] + [f"y{i}" for _ in range(i % 4)]), "en", "s") for i in range(40)]
+    sets = [shingles(x[1]) for x in rows]
+    want = [(x[0], len(s), c) for x, s, c in zip(rows, sets, brute_components(rows, sets))]
+    assert 3 < len({w[2] for w in want}) < 200
+    for small, block in ((3, 8), (16, 40)):
+        same(ngram_join.similar_components(frame(rows), small=small, block=block), want)
+
+
+def test_no_hot_bucket_is_one_task(spark):
+    r = Random(4)
+    near = [(1, i, r.randint(10, 60), r.choice([7, 7, 7, 8, 9, 1000 + i])) for i in range(1500)]
+    df = spark.createDataFrame(near + [(2, 5, 20, 7), (2, 6, 20, 8), (3, 1, 20, 7), (3, 2, 20, 7)], "token long, rep long, n long, component long")
+    parts = ngram_join.dealt(df, spark.createDataFrame([(1, 1500)], "token long, count long"), 100).groupBy("token", "part").count().collect()
+    assert max(p["count"] for p in parts) <= 200 and sum(p["count"] for p in parts) == 1504 and all((p.part < 0) == (p.token > 1) for p in parts)
+    held = defaultdict(list)
+    for c in ngram_join.cells(df, 80, 100, 1000).collect():
+        held[c.token, c.ca, c.cb].append((c.rep, c.block))
+    assert max(map(len, held.values())) <= 400 and {k[0] for k in held} == {1, 2}
+    met = {(min(a, b), max(a, b)) for (token, ca, cb), rows in held.items() if token == 1 for a, x in rows for b, y in rows if a != b and (ca == cb or x != y)}
+    asked = {(a[1], b[1]) for a in near for b in near if a[1] < b[1] and a[3] != b[3] and 100 * min(a[2], b[2]) >= 80 * max(a[2], b[2])}
+    assert asked <= met
+
+
 def test_count_tree_loses_no_point():
     import numpy as np
     rng = np.random.default_rng(2)
