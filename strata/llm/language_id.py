@@ -119,8 +119,9 @@ def language_id(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id",
     whole = [float(x or 0) for x in _sums(hosts, [], n).first()["sums"]]
     world = F.array(*[F.lit((x + 1) / (sum(whole) + n)) for x in whole])
     suffixes = _sums(hosts, ["suffix"], n).select("suffix", _shrunk(F.col("sums"), world, strength).alias("suffix_prior"))
-    domains = _sums(hosts, ["domain", "suffix"], n).join(suffixes, "suffix").select("domain", "suffix_prior", _shrunk(F.col("sums"), F.col("suffix_prior"), strength).alias("domain_prior"))
-    priors = staged(hosts.select("host", "domain", F.col("post").alias("host_sums")).join(domains, "domain").drop("domain"), "host_priors")
+    domains = _sums(hosts, ["domain", "suffix"], n).join(suffixes, "suffix").select("domain", "suffix", "suffix_prior", _shrunk(F.col("sums"), F.col("suffix_prior"), strength).alias("domain_prior"))
+    # Hosts without two parts have the domain '' under several suffixes.
+    priors = staged(hosts.select("host", "domain", "suffix", F.col("post").alias("host_sums")).join(domains, ["domain", "suffix"]).drop("domain", "suffix"), "host_priors")
     said = _sums(rows, ["declared"], n).select("declared", F.col("sums").alias("said_sums"))
     said = staged(said.select("declared", F.zip_with("said_sums", F.array(*[F.lit(x) for x in whole]), lambda s, t: (s + 0.5) / (t + 1.0)).alias("said")), "declared")
     met = rows.join(priors, "host").join(said, "declared")

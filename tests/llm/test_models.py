@@ -61,6 +61,15 @@ def test_language_of_held_out_pages(spark):
     assert {r.lang for r in language_id.language_id(df, labelled.limit(0)).collect()} == {None}
 
 
+def test_hosts_without_a_domain_give_one_row_a_page(spark):
+    labelled = spark.createDataFrame([(i, t, lang) for i, lang, t in page_rows(90, 1)], "doc_id long, text string, lang string")
+    urls = [None, "http://localhost/a", "http://localhost:8080/b", "http://[::1]/x", "http://intranet/", "https://a.example.com./", "/relative", "https://www.example.com/"]
+    pages = [(i, urls[i % len(urls)], f"<p>{t}</p>") for i, _, t in page_rows(64, 2)]
+    got = language_id.language_id(spark.createDataFrame(pages, "page_id long, url string, html string"), labelled).collect()
+    assert sorted(r.page_id for r in got) == list(range(64))
+    assert {r.host: r.suffix for r in got if r.host in ("", "localhost", "intranet")} == {"": "", "localhost": "localhost", "intranet": "intranet"}
+
+
 @needs_model
 def test_pipeline_stages(spark, frame, corpus, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
