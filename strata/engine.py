@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.functions import classify
 from strata.operators import catalog, filters, lineage, narrative, reports, scan, search, sinks, visibility
 from strata.sources.store import Store
+from strata.sources.transcripts import PRIVATE_MARKERS
 from strata.streaming import incremental
 
 
@@ -19,9 +20,9 @@ class Engine:
 
     # Ingest.
 
-    def sync(self, folders: list[tuple[str, str, int]]) -> int:
+    def sync(self, folders: list[tuple[str, str, int]], ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS) -> int:
         """Read new and changed transcripts, then derive what depends on whole sessions."""
-        count = incremental.sync(self.spark, folders, self.store)
+        count = incremental.sync(self.spark, folders, self.store, ignore, markers)
         if count:
             self.derive()
         return count
@@ -42,13 +43,21 @@ class Engine:
             "duration_seconds": F.when(F.col("source") == "claudecode", classify.duration_seconds(F.col("first_timestamp"), F.col("last_timestamp"))),
             "username": F.lit("local"), "visibility": F.lit("unlisted")})
         parents = lineage.resolve_parents(told)
+        private = self.store.read("private_files", "file string").select("file", F.lit("private").alias("marked"))
+        told = told.join(private, "file", "left").withColumn("visibility", F.coalesce("marked", "visibility")).drop("marked")
         self.store.write("catalog", told.join(parents, "session_id", "left"))
+        if self.store.version("private_files") and self.store.version("search_index"):
+            self.store.write("search_index", self.store.read("search_index").join(self.open_sessions().select("session_id"), "session_id", "left_semi"))
 
     # Tables.
 
     def sessions(self, origin: str = "all") -> DataFrame:
         return self.store.read("catalog").filter(filters.origin(origin))
 
+    def open_sessions(self) -> DataFrame:
+        """Sessions without a privacy marker."""
+        return self.sessions().filter("visibility <> 'private'")
+
     def daily(self) -> DataFrame:
         return catalog.daily_effective(self.store.read("session_daily_usage"), self.sessions())
 
@@ -62,11 +71,11 @@ class Engine:
 
     def index(self) -> None:
         """Build the search index of all sessions."""
-        docs = search.documents(self.sessions(), self.store.read("turns"))
+        docs = search.documents(self.open_sessions(), self.store.read("turns"))
         self.store.write("search_index", search.indexed(docs, ("session_id", "field_label", "chunk_index", "tier")))
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        return search.search(self.store.read("search_index"), self.sessions(), query, limit=limit)
+        return search.search(self.store.read("search_index"), self.open_sessions(), query, limit=limit)
 
     def show(self, session_id: str) -> DataFrame:
         """Turns of one session in order; a unique prefix of its id will do."""
@@ -81,12 +90,12 @@ class Engine:
     def review(self) -> tuple[DataFrame, DataFrame]:
         """(findings, recommendations) of transcripts and metadata."""
         turns = self.store.read("turns").select("session_id", F.lit("transcript").alias("source"), "text")
-        meta = scan.metadata_rows(self.sessions(), ["first_user_message", "session_summary", "project"])
+        meta = scan.metadata_rows(self.open_sessions(), ["first_user_message", "session_summary", "project"])
         found = scan.findings(turns.unionByName(meta))
-        return found, scan.recommendation(self.sessions(), found)
+        return found, scan.recommendation(self.open_sessions(), found)
 
     def recompute_visibility(self, rules: list[dict]) -> DataFrame:
-        rows = self.sessions().withColumns({c: F.lit(None).cast("string") for c in ("default_visibility", "visibility_source", "reviewed_hash", "file_hash")})
+        rows = self.open_sessions().withColumns({c: F.lit(None).cast("string") for c in ("default_visibility", "visibility_source", "reviewed_hash", "file_hash")})
         return visibility.recompute(rows, rules)
 
     def backup_plan(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:

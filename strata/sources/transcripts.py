@@ -32,6 +32,8 @@ NUMBERS = (
     "payload.source.subagent.thread_spawn.depth",
 )
 TOKEN_NUMBERS = tuple(f"payload.info.total_token_usage.{k}" for k in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens"))
+#: Strings that make a session private wherever they stand in it.
+PRIVATE_MARKERS = ("ccshare:private", "agentus:private", "logpile:private")
 #: Longest line that search reads.
 MOST_CHARS = 64 << 20
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from strata.operators import catalog, records, sinks
 from strata.operators.paths import session_paths
-from strata.sources.store import Store
-from strata.sources.transcripts import changed_files, files, first_stem, read_lines
+from strata.sources.store import Store, staged
+from strata.sources.transcripts import PRIVATE_MARKERS, changed_files, files, first_stem, private_files, read_lines, transcripts_only
 from strata.sources.transcripts import records as good_records
 
 KEYED = ("tool_calls", "session_paths", "session_daily_usage", "turns")
@@ -44,6 +44,22 @@ def merge(store: Store, tables: dict[str, DataFrame]) -> None:
         store.write("message_claims", sinks.replace_children(store.read("message_claims", claims.schema), claims, touched))
 
 
+def ingest(spark: SparkSession, names: list[str], dialect: str, store: Store, markers: tuple[str, ...]) -> None:
+    """Write the sessions of files, but for files with a privacy marker: those go to the table `private_files`,
+    and of a session that is already held from one the turns are dropped."""
+    lines = read_lines(spark, names)
+    private = staged(private_files(lines, markers), "private_files")
+    marked = not private.isEmpty()
+    tables = derive(lines.join(private, "file", "left_anti") if marked else lines, dialect)
+    merge(store, tables)
+    if marked or store.version("private_files"):
+        held = store.read("private_files", private.schema).join(tables["sessions"].select("file"), "file", "left_anti")
+        store.write("private_files", held.unionByName(private).distinct())
+    if marked:
+        hidden = store.read("sessions").join(private, "file", "left_semi").select("session_id")
+        store.write("turns", store.read("turns").join(hidden, "session_id", "left_anti"))
+
+
 def refresh_native(store: Store) -> None:
     """Usage that counts each message once, over all claims."""
     measures = records.MEASURES[:8]
@@ -51,17 +67,17 @@ def refresh_native(store: Store) -> None:
     store.write_if_changed("native_usage", catalog.native_usage(store.read("message_claims"), sessions, measures))
 
 
-def sync(spark: SparkSession, folders: list[tuple[str, str, int]], store: Store) -> int:
+def sync(spark: SparkSession, folders: list[tuple[str, str, int]], store: Store, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS) -> int:
     """Ingest new and changed transcripts of (folder, dialect, priority); tells how many files it read."""
     found = None
     for folder, dialect, priority in folders:
         part = files(spark, folder).withColumns({"dialect": F.lit(dialect), "priority": F.lit(priority)})
         found = part if found is None else found.unionByName(part)
-    found = first_stem(found)
+    found = first_stem(transcripts_only(found, ignore))
     changed = changed_files(found, store.read("ledger", found.schema))
     names = [(r.file, r.dialect) for r in changed.select("file", "dialect").collect()]  # names only; their lines stay on executors
     for dialect in sorted({d for _, d in names}):
-        merge(store, derive(read_lines(spark, [f for f, d in names if d == dialect]), "codex" if dialect.startswith("codex") else dialect))
+        ingest(spark, [f for f, d in names if d == dialect], "codex" if dialect.startswith("codex") else dialect, store, markers)
     if names:
         store.write("ledger", sinks.upsert(store.read("ledger", found.schema), changed, key="file"))
         if store.version("message_claims"):
@@ -69,14 +85,14 @@ def sync(spark: SparkSession, folders: list[tuple[str, str, int]], store: Store)
     return len(names)
 
 
-def stream(spark: SparkSession, folder: str, dialect: str, store: Store, checkpoint: str, files_per_batch: int = 200):
+def stream(spark: SparkSession, folder: str, dialect: str, store: Store, checkpoint: str, files_per_batch: int = 200, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS):
     """A streaming query that ingests new files of a folder and stops when none is left."""
     source = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch).text(folder)
     lines = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
 
     def batch(rows: DataFrame, number: int) -> None:
-        names = [r.file for r in rows.select("file").distinct().collect()]
+        names = [r.file for r in transcripts_only(rows.select("file"), ignore).distinct().collect()]
         if names:
-            merge(store, derive(read_lines(rows.sparkSession, names), dialect))
+            ingest(rows.sparkSession, names, dialect, store, markers)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -52,6 +52,24 @@ def test_reports_search_and_review(engine):
     assert {r.next_visibility for r in engine.recompute_visibility([]).collect()} == {"unlisted"}
 
 
+def test_private_ignored_and_journal_files_stay_out(spark, tmp_path):
+    at, folder = "2026-07-01T10:00:00Z", tmp_path / "claude"
+    line = lambda s, text: t.user(s, at, text)
+    t.write(folder / "open.jsonl", [line("open", "about login flow")])
+    t.write(folder / "turned.jsonl", [line("turned", "the login flow again")])
+    t.write(folder / "secret.jsonl", [line("secret", "login flow"), line("secret", "logpile:private")])
+    t.write(folder / "skip-me.jsonl", [line("skip-me", "login flow")])
+    t.write(folder / "root" / "subagents" / "workflows" / "wf" / "journal.jsonl", [line("journal", "login flow")])
+    engine, folders = Engine(spark, str(tmp_path / "store")), [(str(folder), "claudecode", 0)]
+    assert engine.sync(folders, ignore=("skip-*",)) == 3
+    engine.index()
+    assert {r.session_id for r in engine.sessions().collect()} == {"open", "turned"} == {r.session_id for r in engine.search("login flow").collect()}
+    t.write(folder / "turned.jsonl", [line("turned", "the login flow again"), line("turned", "now logpile:private")])
+    assert engine.sync(folders, ignore=("skip-*",)) == 1
+    assert {r.session_id: r.visibility for r in engine.sessions().collect()} == {"open": "unlisted", "turned": "private"}
+    assert {r.session_id for r in engine.search("login flow").collect()} == {"open"} and engine.show("turned").count() == 0
+
+
 def test_status_truth_table(spark):
     zero = dict.fromkeys([f"{k}_{x}_count" for k in ("test", "lint", "build", "format") for x in ("run", "failure")] + ["write_path_count", "git_commit_count"], 0)
     cases = [({}, 0, "exploration"), ({"write_path_count": 1}, 0, "success"), ({"test_run_count": 2, "test_failure_count": 1}, 0, "partial"), ({"test_run_count": 1, "test_failure_count": 1}, 0, "failed"), ({}, 3, "failed"), ({"format_run_count": 1, "format_failure_count": 1}, 0, "partial"), ({"lint_run_count": 1}, 0, "success")]
