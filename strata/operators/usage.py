@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,17 +87,23 @@ def daily_usage(events: DataFrame, measures: tuple[str, ...], keys: tuple[str, .
 
 
 def reconcile(daily: DataFrame, totals: DataFrame, fallback_day: str, measures: tuple[str, ...]) -> DataFrame:
-    """Day rows whose sums equal the session totals: what no day has goes to the session's fallback day.
+    """Day rows whose sums equal the session totals: what no day has goes to the session's fallback day, and what
+    the days have too much is taken from the latest days downward, from none more than it has.
 
-    `totals` hold session_id, the measures and a column `fallback_day`. Rows that were filled are
+    `totals` hold session_id, the measures and a column `fallback_day`. Rows that were filled or cut are
     approximated.
     """
-    summed = daily.groupBy("session_id").agg(*[F.sum(m).alias(f"_{m}") for m in measures])
-    left = totals.join(summed, "session_id", "left").select("session_id", F.col(fallback_day).alias("day"), *[F.greatest(F.lit(0), zero(F.col(m)) - zero(F.col(f"_{m}"))).alias(m) for m in measures])
-    some = F.lit(False)
-    for m in measures:
-        some = some | (F.col(m) > 0)
-    both = daily.select("session_id", "day", *measures, F.lit(0).alias("approximated")).unionByName(left.filter(some).select("session_id", "day", *measures, F.lit(1).alias("approximated")))
+    whole = totals.select("session_id", F.col(fallback_day).alias("_fallback"), *[F.greatest(F.lit(0), zero(F.col(m))).alias(f"_{m}") for m in measures])
+    later = Window.partitionBy("session_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    of_session = Window.partitionBy("session_id")
+    seen = daily.select("session_id", "day", *[zero(F.col(m)).alias(m) for m in measures]).select("*", *[F.sum(m).over(of_session).alias(f"sum_{m}") for m in measures], *[zero(F.sum(m).over(later)).alias(f"later_{m}") for m in measures])
+    excess = {m: F.col(f"sum_{m}") - F.col(f"_{m}") for m in measures}
+    cut = {m: F.coalesce(F.least(F.col(m), F.greatest(F.lit(0), excess[m] - F.col(f"later_{m}"))), F.lit(0)) for m in measures}
+    some = lambda values: functools.reduce(operator.or_, [v > 0 for v in values])
+    held = seen.join(whole, "session_id", "left").select("session_id", "day", *[(F.col(m) - cut[m]).alias(m) for m in measures], some(cut.values()).cast("int").alias("approximated"))
+    summed = daily.groupBy("session_id").agg(*[F.sum(m).alias(f"sum_{m}") for m in measures])
+    left = whole.join(summed, "session_id", "left").select("session_id", F.col("_fallback").alias("day"), *[F.greatest(F.lit(0), -F.coalesce(excess[m], -F.col(f"_{m}"))).alias(m) for m in measures])
+    both = held.unionByName(left.filter(some([F.col(m) for m in measures])).withColumn("approximated", F.lit(1)))
     return both.groupBy("session_id", "day").agg(*[F.sum(m).cast("long").alias(m) for m in measures], F.max("approximated").alias("approximated"))
 
 

@@ -20,8 +20,8 @@ KEYED = ("tool_calls", "session_paths", "session_daily_usage", "turns")
 
 
 def derive(lines: DataFrame, dialect: str) -> dict[str, DataFrame]:
-    """Session tables of lines (file, seq, value)."""
-    tables = {"claudecode": records.claude, "codex": records.codex}[dialect](good_records(lines))
+    """Session tables of lines (file, seq, value). Lines are parsed once: every table reads the staged records."""
+    tables = {"claudecode": records.claude, "codex": records.codex}[dialect](staged(good_records(lines), "records"))
     out = {k: tables[k] for k in ("sessions", "turns")}
     calls = tables["tool_calls"]
     out["tool_calls"] = calls.select("session_id", "seq", "tool_name", "command", "timestamp", "operation", "is_error")
