@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.llm.shared import let, scanned
+
 START, SEP, NEXT, END = "<|im_start|>", "<|im_sep|>", "<|im_next|>", "<|im_end|>"
 #: Marks of this and of other public templates, as look-aheads after the first character.
 CONTROL = r"(<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\]))"
@@ -29,9 +31,10 @@ def unescape(text: Column) -> Column:
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                          text: str = "text", learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conversation: conv_id, formatted, loss_spans (code points of `formatted`, end exclusive).
+    """One row per conversation: conv_id, formatted, loss_spans (start, end: code points of `formatted`, end
+    exclusive; first_byte, last_byte: the same in bytes of UTF-8).
 
-    Spans cover the texts of the roles in `learn`, one span for each turn.
+    Spans cover the texts of the roles in `learn`, one span for each turn. Time follows the turns in proportion.
     """
     empty = F.lit("")
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), empty).alias("role"), F.coalesce(F.col(text), empty).alias("text"))
@@ -44,20 +47,25 @@ def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "t
         F.transform(F.slice("turns", b + 1, e - b), lambda t: escape(t["text"])).alias("texts")))
     runs = bounded.select("conv_id", run.alias("runs"))
     body = F.transform("runs", lambda r: F.concat(F.lit(START), escape(r["role"]), F.lit(SEP), F.array_join(r["texts"], NEXT), F.lit(END)))
-    # Every text as (characters before it since the last text, its characters, learnt or not).
-    marks = F.flatten(F.transform("runs", lambda r: F.transform(r["texts"], lambda t, i: F.struct(
-        F.when(i == 0, F.char_length(escape(r["role"])) + len(START) + len(SEP)).otherwise(len(NEXT)).alias("before"),
-        F.char_length(t).alias("chars"),
-        F.when(i == F.size(r["texts"]) - 1, len(END)).otherwise(0).alias("after"),
-        r["role"].isin(*learn).alias("learn")))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["before"]
-        span = F.array(F.struct(start.alias("start"), (start + m["chars"]).alias("end")))
-        return F.struct((start + m["chars"] + m["after"]).alias("at"), F.when(m["learn"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
-
-    return runs.select("conv_id", F.array_join(body, "").alias("formatted"), F.aggregate(marks, zero, step)["spans"].alias("loss_spans"))
+    # Every text as (what stands before it since the last text, its size, what stands after), in code points and bytes.
+    head = len(START) + len(SEP)
+    marks = F.flatten(F.transform("runs", lambda r: let(escape(r["role"]), lambda role: F.transform(r["texts"], lambda t, i: F.struct(
+        F.when(i == 0, F.char_length(role) + head).otherwise(len(NEXT)).cast("long").alias("chars_before"),
+        F.when(i == 0, F.octet_length(role) + head).otherwise(len(NEXT)).cast("long").alias("bytes_before"),
+        F.char_length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"),
+        F.when(i == F.size(r["texts"]) - 1, len(END)).otherwise(0).cast("long").alias("after"),
+        r["role"].isin(*learn).alias("learn"))))))
+
+    def spans(marks: Column) -> Column:
+        add = lambda a, x: F.struct((a["chars"] + x["chars"]).alias("chars"), (a["bytes"] + x["bytes"]).alias("bytes"))
+        steps = F.transform(marks, lambda m: F.struct((m["chars_before"] + m["chars"] + m["after"]).alias("chars"), (m["bytes_before"] + m["bytes"] + m["after"]).alias("bytes")))
+        zero = F.struct(F.lit(0).cast("long").alias("chars"), F.lit(0).cast("long").alias("bytes"))
+        placed = F.zip_with(marks, scanned(steps, zero, add), lambda m, t: F.struct(
+            (t["chars"] - m["after"] - m["chars"]).alias("start"), (t["chars"] - m["after"]).alias("end"),
+            (t["bytes"] - m["after"] - m["bytes"]).alias("first_byte"), (t["bytes"] - m["after"]).alias("last_byte"), m["learn"].alias("learn")))
+        return F.transform(F.filter(placed, lambda s: s["learn"]), lambda s: F.struct(*[s[c].cast("int").alias(c) for c in ("start", "end", "first_byte", "last_byte")]))
+
+    return runs.select("conv_id", F.array_join(body, "").alias("formatted"), let(marks, spans).alias("loss_spans"))
 
 
 def parse(formatted: DataFrame) -> DataFrame:
@@ -66,7 +74,9 @@ def parse(formatted: DataFrame) -> DataFrame:
     parts = F.transform(runs, lambda r: F.split(F.substring(r, F.lit(1), F.char_length(r) - len(END)), r"<\|im_sep\|>"))
     turns = F.flatten(F.transform(parts, lambda p: F.transform(F.split(F.get(p, F.lit(1)), r"<\|im_next\|>"), lambda t: F.struct(
         unescape(F.get(p, F.lit(0))).alias("role"), unescape(t).alias("text")))))
-    learnt = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["end"] - s["start"])))
+    # Bytes are cut at once; a cut at a code point would count from the start each time.
+    cut = lambda held, s: unescape(F.substring(held, s["first_byte"] + 1, s["last_byte"] - s["first_byte"]).cast("string"))
+    learnt = let(F.col("formatted").cast("binary"), lambda held: F.transform("loss_spans", lambda s: cut(held, s)))
     return formatted.withColumn("turns", turns).withColumn("learnt", F.array_join(learnt, ""))
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +34,8 @@ def ascii_lower(column: Column) -> Column:
 
 
 def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all texts one after another, and the n + 1 offsets; null counts as empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    """Bytes of all texts (strings or bytes) one after another, and the n + 1 offsets; null counts as empty."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     if texts.offset:
         texts = pa.concat_arrays([texts])
     _, at, data = texts.buffers()
@@ -161,3 +162,55 @@ def longs(*names: str) -> T.StructType:
 def as_rows(docs: DataFrame) -> DataFrame:
     """`docs` as one struct column `row`, so that no name of ours can clash with one of its columns."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def ranked(rows: DataFrame, *columns: str) -> DataFrame:
+    """`rows` with `rank`, from 0 in order of the columns. Rows are ranked by range partitions, so that no task
+    holds them all; the driver sees one count for each partition."""
+    held = staged(rows.repartitionByRange(*map(F.col, columns)).withColumn("pid", F.spark_partition_id()), "ranged")
+    counts = {r["pid"]: r["n"] for r in held.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, seen = [F.lit(-1), F.lit(0).cast("long")], 0
+    for pid in sorted(counts):
+        before += [F.lit(pid), F.lit(seen).cast("long")]
+        seen += counts[pid]
+    place = F.row_number().over(Window.partitionBy("pid").orderBy(*columns)) - 1
+    return held.withColumn("rank", place + F.create_map(*before)[F.col("pid")]).drop("pid")
+
+
+def few(keys: DataFrame, most: int) -> DataFrame:
+    """The keys of a written table, to be broadcast where they are at most `most`; else as they are."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def scanned(values: Column, zero: Column, join: Callable[[Column, Column], Column], block: int = 128) -> Column:
+    """Running results of `join` (associative, `zero` neutral) along an array: entry i has joined values 0 to i.
+
+    A running list that grows by one copies itself at every step, so lists here grow inside blocks, and over
+    blocks of blocks: of n values each is copied about `block` times.
+    """
+    def grown(xs: Column, first: Column) -> Column:
+        """`first`, then the running results of `xs` from it."""
+        return F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x))))
+
+    def cut(xs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / block).cast("int")), lambda b: F.slice(xs, b * block + 1, F.lit(block)))
+
+    def over(blocks: Column, befores: Column) -> Column:
+        """Running results of all values of `blocks`, where `befores` has what stands before each block."""
+        return F.flatten(F.zip_with(blocks, befores, lambda xs, b: let(grown(xs, b), lambda ys: F.slice(ys, F.lit(2), F.size(xs)))))
+
+    def ahead(xs: Column) -> Column:
+        """What stands before each of `xs`, in two levels of blocks."""
+        total = lambda ys: F.aggregate(ys, zero, join)
+        return let(cut(xs), lambda blocks: let(grown(F.transform(blocks, total), zero), lambda firsts: F.flatten(
+            F.zip_with(blocks, F.slice(firsts, F.lit(1), F.size(blocks)), lambda ys, b: let(grown(ys, b), lambda zs: F.slice(zs, F.lit(1), F.size(ys)))))))
+
+    total = lambda ys: F.aggregate(ys, zero, join)
+    whole = lambda vs: let(grown(vs, zero), lambda ys: F.slice(ys, F.lit(2), F.size(vs)))
+    blocked = lambda vs: let(cut(vs), lambda blocks: let(ahead(F.transform(blocks, total)), lambda befores: over(blocks, befores)))
+    return let(values, lambda vs: F.when(F.size(vs) <= block, whole(vs)).otherwise(blocked(vs)))
