@@ -10,18 +10,15 @@ takes the least cut at which the expected share of ordinary tokens above it stay
 classes, where tests are weak and ordinary tokens pass them, so get a higher cut or none.
 
 Cases: null text counts as empty; repeated rows are scanned as rows and count as such in the classes; an
-empty table gives no rows; other columns are ignored. A text with m matches of one kind costs m * m / 2
-copies of references in its own row.
+empty table gives no rows; other columns are ignored. Time follows the matches of a text in proportion.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import staged, text_or_empty
+from strata.llm.shared import let, scanned, staged, text_or_empty
 
 #: Fixed patterns. For access and hex the least lengths are part of the pattern, which changes no match:
 #: their matches are whole runs. An assignment is matched first and dropped if its value is short.
@@ -47,26 +44,20 @@ CUTS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5)
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def placed(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Spans (start, kind, end) of the pattern's matches whose group has `least` characters."""
     pieces, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
     lengths = F.zip_with(F.zip_with(pieces, whole, lambda p, w: F.struct(F.char_length(p).alias("gap"), F.char_length(w).alias("size"))), value,
                          lambda x, v: F.struct(x["gap"].alias("gap"), x["size"].alias("size"), (F.char_length(v) >= least).alias("good")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(acc: Column, m: Column) -> Column:
-        start = acc["at"] + m["gap"]
-        one = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + m["size"]).alias("end")))
-        return F.struct((start + m["size"]).alias("at"), F.when(m["good"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+    def spans(marks: Column) -> Column:
+        ends = scanned(F.transform(marks, lambda m: m["gap"] + m["size"]), F.lit(0), lambda a, b: a + b)
+        every = F.zip_with(marks, ends, lambda m, e: F.struct((e - m["size"]).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), m["good"].alias("good")))
+        return F.transform(F.filter(every, lambda x: x["good"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    found = F.aggregate(F.filter(lengths, lambda m: m["size"].isNotNull()), zero, step)["spans"]
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(SPAN))
+    found = let(F.filter(lengths, lambda m: m["size"].isNotNull()), spans)
+    return F.when(F.regexp_like(text, F.lit(pattern)), found.cast(SPAN)).otherwise(F.array().cast(SPAN))
 
 
 def upper_tail(z: Column) -> Column:
@@ -114,9 +105,7 @@ def randomness(core: Column, alphabet: Column) -> Column:
 
 def candidates(text: Column) -> Column:
     """Spans of tokens with their class and p value: array of (start, end, stratum, p)."""
-    token = lambda s: F.rtrim(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit("="))
-
-    def tested(s: Column) -> Column:
+    def tested(s: Column, token: Column) -> Column:
         def of(core: Column) -> Column:
             name, alphabet = F.lit(None).cast("string"), F.lit(None).cast("string")
             for e, (pattern, letters) in reversed(ENCODINGS.items()):
@@ -126,12 +115,26 @@ def candidates(text: Column) -> Column:
             length = F.least(F.floor(F.log2(F.char_length(core))), F.lit(12))
             p = F.when(mixed & name.isNotNull(), randomness(core, alphabet))
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat_ws(":", name, length).alias("stratum"), p.alias("p"))
-        return let(token(s), of)
+        return let(F.rtrim(token, F.lit("=")), of)
 
-    found = F.filter(F.transform(placed(text, TOKEN, 3), tested), lambda c: c["p"].isNotNull())
+    # All matches are placed, so spans and matches go in pairs.
+    found = F.filter(F.zip_with(placed(text, TOKEN, 3), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), tested), lambda c: c["p"].isNotNull())
     return F.when(F.regexp_like(text, F.lit(TOKEN)), found).otherwise(F.array().cast("array<struct<start:int,end:int,stratum:string,p:double>>"))
 
 
+def apart(spans: Column) -> Column:
+    """`spans`, in order, without those of kind 3 that overlap one of another kind."""
+    far = F.lit(2**31 - 1)
+
+    def kept(xs: Column) -> Column:
+        reach = scanned(F.transform(xs, lambda x: F.when(x["kind"] < 3, x["end"]).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+        ahead = scanned(F.transform(F.reverse(xs), lambda x: F.when(x["kind"] < 3, x["start"]).otherwise(far)), far, lambda a, b: F.least(a, b))
+        free = F.zip_with(xs, F.zip_with(reach, F.reverse(ahead), lambda r, a: F.struct(r.alias("reach"), a.alias("ahead"))),
+                          lambda x, y: F.struct(x.alias("x"), ((x["kind"] < 3) | ((y["reach"] <= x["start"]) & (y["ahead"] >= x["end"]))).alias("stays")))
+        return F.transform(F.filter(free, lambda f: f["stays"]), lambda f: f["x"])
+    return let(spans, kept)
+
+
 def cuts(rows: DataFrame, fdr: float) -> dict[str, float]:
     """The cut of each class that has one; classes are at most encodings times 13 lengths."""
     tested = rows.select(F.explode("candidates").alias("c")).select("c.*")
@@ -154,14 +157,14 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fixed = F.array_sort(F.concat(placed(text, ASSIGN, 0, 2, 6), placed(text, ACCESS, 1), placed(text, HEX, 2)))
     rows = staged(base.select("doc_id", fixed.alias("base_spans"), candidates(text).alias("candidates")), "candidates")
     cut = cuts(rows, fdr)
-    free = lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     if cut:
         least = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
-        found = F.filter("candidates", lambda c: (c["p"] > least[c["stratum"]]) & free(c))
+        found = F.filter("candidates", lambda c: c["p"] > least[c["stratum"]])
     else:
         found = F.filter("candidates", lambda c: F.lit(False))
     added = F.transform(found, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return rows.select("doc_id", "base_spans", F.array_sort(F.concat("base_spans", added)).alias("spans"))
+    spans = let(added, lambda more: F.when(F.size(more) == 0, F.col("base_spans")).otherwise(apart(F.array_sort(F.concat("base_spans", more)))))
+    return rows.select("doc_id", "base_spans", spans.alias("spans"))
 
 
 def digest(found: DataFrame) -> DataFrame:
