@@ -4,7 +4,8 @@ A text is cut in chunks of CHUNK bytes; each chunk is hashed by itself, modulo t
 combine by H(AB) = H(A) + base ** |A| * H(B). Texts above `huge_bytes` are cut in segments that
 different tasks hash; the segments combine by the same rule. Texts of equal fingerprint (length and
 both hashes) are then compared chunk by chunk: a chunk row per group, position and content, counted
-with map-side combine, so that a group of any size is read as a stream and never gathered.
+with map-side combine, so that a group of any size is read as a stream and never gathered. Chunks and
+segments are slices of the text's bytes, cut in one walk, so time follows the length of a text.
 
 Cases: null text counts as empty; an empty text is a text; a null id loses against any other; of rows
 repeated with id and text exactly one stays; an empty table gives no rows; other columns are ignored.
@@ -12,12 +13,15 @@ repeated with id and text exactly one stays; an empty table gives no rows; other
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strata.llm.shared import as_rows, longs, parts, staged, text_or_empty, trim, utf8
+from strata.llm.shared import as_rows, few, longs, parts, staged, text_or_empty, trim, trimmed, utf8
 
 #: Primes below 2 ** 31 and bases; a product of two residues fits 62 bits.
 PRIMES = (2147483647, 2147483629)
@@ -94,9 +98,9 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, huge_bytes: int =
     row = base.withColumn("xx", F.xxhash64("text")).withColumn("text_sha256", F.sha2("text", 256))
     large = F.octet_length("text") > huge_bytes
     small = row.filter(~large).select("doc_id", "xx", "text_sha256", fingerprint("text").alias("fp"))
-    step = max(1, huge_bytes // 4)
-    cut = row.filter(large).select("doc_id", "xx", "text_sha256", "text", F.explode(F.expr(f"sequence(0, cast((char_length(text) - 1) div {step} as int))")).alias("k"))
-    segments = cut.select("doc_id", "xx", "text_sha256", "k", F.substring("text", F.col("k") * step + 1, F.lit(step)).alias("text")).repartition("doc_id", "k")
+    names = ["doc_id", "xx", "text_sha256"]
+    cut = row.filter(large).mapInArrow(_pieces(names, max(1, huge_bytes // 4)), T.StructType([*[row.schema[c] for c in names], *PIECE]))
+    segments = cut.repartition("doc_id", "k").withColumnRenamed("piece", "text")
     hashed = segments.select("doc_id", "xx", "text_sha256", "k", fingerprint("text").alias("fp"))
     once = hashed.groupBy("doc_id", "xx", "text_sha256", "k", "fp").agg(F.count(F.lit(1)).alias("copies"))
     unit = F.expr(f"cast(named_struct('n', 0L, 'h1', 0L, 'h2', 0L, 'p1', 1L, 'p2', 1L) as {FP.simpleString()})")
@@ -105,14 +109,36 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, huge_bytes: int =
     return small.unionByName(long).select("doc_id", "xx", "text_sha256", *[F.col("fp")[c].alias(c) for c in KEY])
 
 
-def unequal(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, piece: int = 4096) -> DataFrame:
-    """Fingerprints whose texts differ in some chunk; without a collision, none."""
+def _pieces(names: list[str], size: int, most: int = 4 << 20):
+    """Rows (names, k, piece) of the texts' pieces of `size` bytes: one walk over each text, with batches of about `most` bytes."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in trimmed(batches):
+            data, offsets = utf8(batch.column("text"))
+            counts = np.maximum(-(-np.diff(offsets) // size), 1)
+            owner = np.repeat(np.arange(batch.num_rows), counts)
+            k = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            start = offsets[owner] + k * size
+            end = np.minimum(start + size, offsets[owner + 1])
+            step = max(1, most // size)
+            for i in range(0, len(owner), step):
+                s, e, at = start[i : i + step], end[i : i + step], pa.array(owner[i : i + step])
+                # Pieces of neighbouring texts lie one after another.
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(s), [None, pa.py_buffer(np.r_[0, np.cumsum(e - s)].astype(np.int64)), pa.py_buffer(data[s[0] : e[-1]].tobytes())])
+                yield pa.RecordBatch.from_arrays([*[batch.column(n).take(at) for n in names], pa.array(k[i : i + step]), held.cast(pa.binary())], [*names, "k", "piece"])
+    return rows
+
+
+PIECE = [T.StructField("k", T.LongType()), T.StructField("piece", T.BinaryType())]
+
+
+def unequal(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, few_ids: int = 1 << 18) -> DataFrame:
+    """Fingerprints whose texts differ in some chunk; without a collision, none. Texts of group members alone
+    are read for chunks: up to `few_ids` of them (some 100 bytes each) find their rows by a broadcast, more by a merge."""
     groups = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows")
     members = staged(rows.select("doc_id", "xx", *KEY).join(groups, KEY).distinct(), "members")
     texts = docs.select(F.col(id_col).alias("d"), text_or_empty(text_col).alias("text")).withColumn("x", F.xxhash64("text"))
-    held = texts.hint("merge").join(members, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("xx")))
-    chunk = F.explode(F.expr(f"sequence(0, cast(greatest(char_length(text) - 1, 0) div {piece} as int))"))
-    chunks = held.select(*KEY, "text", chunk.alias("k")).select(*KEY, "k", F.substring("text", F.col("k") * piece + 1, F.lit(piece)).alias("chunk"))
+    held = texts.join(few(members, few_ids), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("x") == F.col("xx")))
+    chunks = held.select(*KEY, "text").mapInArrow(_pieces(KEY, CHUNK), T.StructType([*[rows.schema[c] for c in KEY], *PIECE]))
     return chunks.distinct().groupBy(*KEY, "k").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select(*KEY).distinct()
 
 
