@@ -18,11 +18,10 @@ import operator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import as_rows, longs, parts, staged, trim, utf8, windows, word_hashes
+from strata.llm.shared import as_rows, longs, parts, prefix_sums, span_hash, staged, trim, utf8, windows, word_hashes
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -30,8 +29,10 @@ MEASURES = longs("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_
 
 _SYMBOL = np.zeros(256, np.int64)
 _SYMBOL[[ord(x) for x in SYMBOLS]] = 1
+_SPACES = np.zeros(256, bool)
+_SPACES[[32, 9, 10, 11, 12, 13]] = True
 _IN_WORD = np.ones(256, np.int64)
-_IN_WORD[[32, 9, 10, 11, 12, 13]] = 0
+_IN_WORD[_SPACES] = 0
 _IN_WORD[0x80:0xC0] = 0  # continuation bytes: a code point counts once
 
 
@@ -60,26 +61,33 @@ def repeated_words(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _sums((np.cumsum(edge[:-1]) > 0).astype(np.int64), at)
 
 
-def _dup_lines(text: str | None) -> int:
-    if not text or "\n" not in text:
-        return 0
-    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-    return len(lines) - len(set(lines))
+def repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each text, its \n-split lines with a word that equal an earlier line of it."""
+    breaks = np.flatnonzero(data == 10)
+    starts = np.union1d(breaks + 1, offsets[:-1])
+    starts = starts[starts < len(data)]
+    ends = np.minimum(np.append(starts[1:], len(data)), np.append(breaks, len(data))[np.searchsorted(breaks, starts)])
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    inside = np.concatenate([[0], np.cumsum(~_SPACES[data])])
+    said = inside[ends] > inside[starts]
+    starts, ends, owner = starts[said], ends[said], owner[said]
+    key = span_hash(prefix_sums(data), starts, ends)
+    order = np.lexsort((key, owner))
+    same = (key[order][1:] == key[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    return np.bincount(owner[order][1:][same], minlength=len(offsets) - 1).astype(np.int64)
 
 
 @F.arrow_udf(MEASURES)
 def measures(texts: pa.Array) -> pa.Array:
     data, offsets = utf8(texts)
-    out: list[list[np.ndarray]] = [[] for _ in range(4)]
+    out: list[list[np.ndarray]] = [[] for _ in range(5)]
     for i, j in parts(offsets):
         d, o = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         words, at = word_hashes(d, o, lower=False)
-        for held, x in zip(out, (np.diff(at), _sums(_IN_WORD[d], o), _sums(_SYMBOL[d], o), repeated_words(words, at))):
+        for held, x in zip(out, (np.diff(at), _sums(_IN_WORD[d], o), _sums(_SYMBOL[d], o), repeated_lines(d, o), repeated_words(words, at))):
             held.append(x)
-    lines = pa.array([_dup_lines(x.as_py()) for x in texts], pa.int64())
     trim()
-    n, chars, symbols, repeats = (pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out)
-    return pa.StructArray.from_arrays([n, chars, symbols, pc.cast(lines, pa.int64()), repeats], ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"])
+    return pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], MEASURES.names)
 
 
 def base_rules() -> dict[str, Column]:
