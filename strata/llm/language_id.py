@@ -2,7 +2,8 @@
 
 log P(lang | page) = text likelihood + P(declared markup language | lang) + P(address suffix | lang)
 + host prior, up to a constant. The text model is multinomial over hashed byte trigrams, fitted on at most
-`sample` labelled documents (those of least seeded hash; the one bounded sample here). Everything else is
+`sample` labelled documents (those of least seeded hash of id and text, chosen before any text moves; the one
+bounded sample here). Everything else is
 grouped aggregation over all pages: the text posteriors, summed by declared language, suffix, registered
 domain and host, give the likelihoods and a prior that shrinks host to domain to suffix to the whole
 table. A page's own posterior is taken out of its host's sums, so that no text counts twice.
@@ -15,6 +16,7 @@ of one language give that language; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,10 +52,28 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(hit.astype(np.int32)), pa.array(total[hit])], ["lang", "bucket", "n"])
 
 
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """The rows of the `sample` least values of the seeded hash `h`, and any that tie with the last.
+
+    Hashes spread evenly, so one bound, from the number of rows, leaves few more than are asked for however many
+    partitions there are; the driver then sees those hashes alone, and no text moves.
+    """
+    total = rows.count()
+    if total <= sample:
+        return rows
+    share = (sample + 8 * math.sqrt(sample) + 32) / total
+    while True:
+        below = rows.filter(F.col("h") < int(share * 2.0**64) - 2**63) if share < 1 else rows
+        hashes = [r["h"] for r in below.select("h").distinct().orderBy("h").limit(sample).collect()]
+        if len(hashes) == sample or share >= 1:
+            return rows.filter(F.col("h") <= hashes[-1])
+        share *= 4
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 2000) -> tuple[list[str], np.ndarray]:
     """Languages, and log probabilities (languages x BUCKETS)."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(11), id_col).alias("h")).filter("lang is not null and text is not null")
-    counts = rows.orderBy("h", "lang").limit(sample).select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(11), id_col, text_col).alias("h")).filter("lang is not null and text is not null")
+    counts = sampled(rows, sample).select("text", "lang").mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
     langs = sorted({r["lang"] for r in counts})
     table = np.full((len(langs), BUCKETS), 0.5)
     for r in counts:
