@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.shared import as_rows, staged, text_or_empty, word_count
+from strata.llm.shared import as_rows, ranked, staged, text_or_empty, word_count
 
 #: Fixed values of the mix: weights of the sources in order, and the mix's size over that of its input.
 WEIGHTS = (5, 2, 1)
@@ -28,22 +28,11 @@ KEY = ["skey", "snull"]
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """skey, snull, source_size, target; `sized` holds skey, snull and size.
-
-    Sources are ranked by range partitions, so no task holds them all; the driver sees one count for
-    each partition.
-    """
+    """skey, snull, source_size, target; `sized` holds skey, snull and size."""
     sums = sized.groupBy(*KEY).agg(F.sum("size").alias("source_size"))
-    ranged = sums.repartitionByRange(F.col("snull"), F.col("skey")).withColumn("pid", F.spark_partition_id())
-    parts = staged(ranged, "sources")
-    counts = {r["pid"]: r["n"] for r in parts.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, seen = [], 0
-    for pid in sorted(counts):
-        before += [F.lit(pid), F.lit(seen)]
-        seen += counts[pid]
-    if not counts:
+    if sums.isEmpty():
         return sums.withColumn("target", F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy("pid").orderBy("snull", "skey")) - 1 + F.create_map(*before)[F.col("pid")]
+    parts, rank = ranked(sums, "snull", "skey"), F.col("rank")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
     held = staged(parts.select(*KEY, "source_size", weight.alias("weight")), "weighted")
     most = MOST_REPEATS * F.col("source_size")
@@ -96,9 +85,10 @@ def apportion(cells: DataFrame, block_words: int) -> DataFrame:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7,
         block_words: int = 16, shard_words: int = 50_000, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE) -> DataFrame:
-    """One row per row of `docs`: doc_id, source, size, source_size, target, quota (its shard's), taken."""
+    """One row per row of `docs`: doc_id, xx (hash of its text), source, size, source_size, target, quota (its shard's),
+    taken."""
     sized = staged(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"),
+        F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("xx"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"),
         F.coalesce(F.col(source_col), F.lit("")).alias("skey"), F.col(source_col).isNull().alias("snull")), "sized")
     targets = staged(source_targets(sized, weights, share), "targets")
     order = F.xxhash64(F.lit(seed), "doc_id")
@@ -108,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cells = placed.groupBy(*KEY, "shard").agg(F.sum("size").alias("words"), F.first("target").alias("t"), F.first("source_size").alias("s"))
     cells = cells.select(*KEY, "shard", "words", F.when(F.col("s") > 0, F.col("t") * F.col("words") / F.col("s")).otherwise(0.0).alias("target"))
     quotas = staged(apportion(cells, block_words).select(*KEY, "shard", "words", "quota"), "quotas")
-    in_shard = Window.partitionBy(*KEY, "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    in_shard = Window.partitionBy(*KEY, "shard").orderBy("order", "doc_id", "size", "xx").rowsBetween(Window.unboundedPreceding, 0)
     at = placed.withColumn("begin", F.sum("size").over(in_shard) - F.col("size"))
     met = at.join(quotas, [*KEY, "shard"])
     words, size, begin = F.col("words"), F.col("size"), F.col("begin")
@@ -121,15 +111,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         return F.greatest(F.lit(0), F.least(begin + size, b) - F.greatest(begin, a))
 
     part = shared(F.col("first"), F.col("last")) + shared(F.lit(0), F.col("last") - words)
-    return met.select("doc_id", "source", "size", "source_size", "target", F.col("quota").cast("long").alias("quota"), (F.col("rounds") * size + part).cast("long").alias("taken"))
+    return met.select("doc_id", "xx", "source", "size", "source_size", "target", F.col("quota").cast("long").alias("quota"), (F.col("rounds") * size + part).cast("long").alias("taken"))
 
 
 def keep_taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """`docs` as the mix holds them, columns unchanged: each row as often as the nearest whole number of
-    times that its words are taken."""
+    times that its words are taken. Rows that share id, text and source share their times out evenly."""
     taken = mix(docs, id_col, text_col, source_col, **options)
-    times = F.round(F.col("taken") / F.col("size")).cast("int").alias("times")
-    wanted = staged(taken.filter("taken > 0").select(F.col("doc_id").alias("d"), F.col("size").alias("n"), times).filter("times > 0").distinct(), "times")
-    held = as_rows(docs).withColumn("w", word_count(text_or_empty(f"row.{text_col}"))).hint("merge")
-    met = held.join(wanted, F.col(f"row.{id_col}").eqNullSafe(F.col("d")) & (F.col("w") == F.col("n")))
+    times = F.sum(F.when(F.col("taken") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0)).cast("long")
+    wanted = taken.groupBy(F.col("doc_id").alias("d"), F.col("xx").alias("x"), F.col("source").alias("s")).agg(times.alias("times"), F.count(F.lit(1)).alias("rows"))
+    wanted = staged(wanted.filter("times > 0"), "times")
+    name = lambda c: F.col(f"row.{c}")
+    held = as_rows(docs).withColumn("w", F.xxhash64(text_or_empty(f"row.{text_col}"))).hint("merge")
+    met = held.join(wanted, name(id_col).eqNullSafe(F.col("d")) & (F.col("w") == F.col("x")) & name(source_col).eqNullSafe(F.col("s")))
+    once = met.filter("rows = 1").withColumn("times", F.col("times").cast("int"))
+    many = met.filter("rows > 1").withColumn("place", F.row_number().over(Window.partitionBy("d", "x", "s").orderBy("times")))
+    many = many.withColumn("times", (F.floor(F.col("times") / F.col("rows")) + (F.col("place") <= F.col("times") % F.col("rows")).cast("int")).cast("int")).filter("times > 0")
+    met = once.select("row", "times").unionByName(many.select("row", "times")) if not wanted.filter("rows > 1").isEmpty() else once
     return met.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
