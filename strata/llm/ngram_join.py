@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.llm.graph import components
-from strata.llm.shared import as_rows, mix, parts, staged, text_or_empty, trimmed, utf8, windows, word_hashes
+from strata.llm.shared import as_rows, few, mix, parts, ranked, staged, text_or_empty, trimmed, utf8, windows, word_hashes
 
 GROUPS = 64
 #: Orders in which large buckets choose leaders; a member meets at most so many leaders of its kind.
@@ -142,7 +143,7 @@ def set_class(s: np.ndarray) -> tuple[int, int, int]:
 def _survey(size: int, least: int, stretch: int = 8 << 20):
     """Rows of two kinds: each document's set class and count vector; and shingles (token, count) that at
     least `least` texts of a stretch of the input share."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("vector", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("xx", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("vector", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
@@ -154,13 +155,13 @@ def _survey(size: int, least: int, stretch: int = 8 << 20):
                 n, c1, c2 = (pa.array(x, pa.int64()) for x in zip(*map(set_class, sets)))
                 vectors = pa.array([packed(np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)) for s in sets], pa.binary())
                 none = pa.nulls(j - i, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), n, c1, c2, vectors, none, none], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), batch.column("xx").slice(i, j - i), n, c1, c2, vectors, none, none], schema=schema)
                 every = np.sort(np.concatenate(sets))
                 new = np.flatnonzero(np.r_[len(every) > 0, every[1:] != every[:-1]])
                 count = np.diff(np.r_[new, len(every)])
                 often = new[count >= least]
                 none = pa.nulls(len(often), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(often), pa.binary()), pa.array(every[often].view(np.int64)), pa.array(count[count >= least])], schema=schema)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.nulls(len(often), pa.binary()), pa.array(every[often].view(np.int64)), pa.array(count[count >= least])], schema=schema)
     return rows
 
 
@@ -256,10 +257,6 @@ def _columns(table: pa.Table):
     return token, part, rep, n, unpacked(table.column("vector").chunk(0)), np.r_[new, len(token)]
 
 
-def _may_link(v: np.ndarray, n: int, vectors: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    return CountTree._open(v, int(n), vectors, sizes, sizes, percent)
-
-
 #: Kinds of rows that buckets give: a pair, a pair to verify first, and (token, member) of a large or a hot bucket.
 PAIR, FIRST, MEMBER, HOT = 0, 1, 2, 3
 
@@ -302,17 +299,18 @@ def _leaders(percent: int, small: int):
             yield from _small_pairs(rep, n, vectors, at, small, percent)
             for k in np.flatnonzero(np.diff(at) > small):
                 held = np.arange(at[k], at[k + 1])
-                left = held[np.argsort(mix(rep[held].view(np.uint64) ^ np.uint64(int(token[at[k]]) % ORDERS)))]
-                active = np.zeros(len(held), bool)
-                while len(left):
-                    lead, left = left[0], left[1:]
-                    near = _may_link(vectors[lead], n[lead], vectors[left], n[left], percent)
-                    if near.any():
-                        active[left[near] - at[k]] = active[lead - at[k]] = True
-                        yield _pair_batch(np.full(near.sum(), rep[lead]), rep[left[near]], FIRST)
-                    else:  # those that earlier leaders took may still be near
-                        active[lead - at[k]] = _may_link(vectors[lead], n[lead], vectors[held], n[held], percent).sum() > 1
-                    left = left[~near]
+                tree = CountTree(vectors[held], n[held])
+                taken, active = np.zeros(len(held), bool), np.zeros(len(held), bool)
+                for lead in np.argsort(mix(rep[held].view(np.uint64) ^ np.uint64(int(token[at[k]]) % ORDERS))):
+                    if taken[lead]:
+                        continue
+                    near = tree.near(vectors[held[lead]], int(n[held[lead]]), percent)
+                    near = near[near != lead]
+                    active[lead] = len(near) > 0
+                    led = near[~taken[near]]
+                    taken[lead] = taken[led] = active[led] = True
+                    if len(led):
+                        yield _pair_batch(np.full(len(led), rep[held[lead]]), rep[held[led]], FIRST)
                 if active.any() and not hot[at[k]]:
                     yield _rows_of(np.full(active.sum(), token[at[k]]), rep[held[active]], MEMBER)
     return rows
@@ -422,11 +420,6 @@ def _fine_pairs(percent: int):
     return rows
 
 
-def few(ids: DataFrame, most: int) -> DataFrame:
-    """The ids, to be broadcast where they are at most `most`, 8 bytes each."""
-    return F.broadcast(ids) if ids.count() <= most else ids
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int, broadcast_ids: int) -> DataFrame:
     """Pairs (a, b), of a written table, whose whole sets are similar enough; the finer bound goes before."""
     def met(pairs: DataFrame, columns: dict) -> DataFrame:
@@ -484,10 +477,22 @@ def _texts_of(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, small: int = 16, frequent: int = 1 << 18, broadcast_ids: int = 1 << 20, block: int = 1 << 12) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable by links)."""
+    """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable by links), xx (hash of its text).
+
+    Ids of whole numbers are used as they are; others go by their rank.
+    """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    survey = staged(texts.mapInArrow(_survey(size, 3), "doc_id long, n long, c1 long, c2 long, vector binary, token long, count long"), "survey")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).withColumn("xx", F.xxhash64("text"))
+    if not isinstance(texts.schema["doc_id"].dataType, T.IntegralType):
+        names = staged(ranked(texts.select("doc_id").filter("doc_id is not null").distinct(), "doc_id"), "ids").select(F.col("doc_id").alias("name"), F.col("rank").cast("long").alias("key"))
+        keyed = texts.hint("merge").join(names, F.col("doc_id") == F.col("name"), "left").select(F.col("key").alias("doc_id"), "text")
+        found = similar_components(keyed, "doc_id", "text", size, percent, small, frequent, broadcast_ids, block)
+        for column in ("doc_id", "component_id"):
+            named = names.select(F.col("key").alias(f"{column}_key"), F.col("name").alias(f"{column}_name"))
+            found = found.join(named, F.col(column) == F.col(f"{column}_key"), "left")
+        return found.select(F.col("doc_id_name").alias("doc_id"), "n_shingles", F.col("component_id_name").alias("component_id"), "xx")
+    texts = texts.withColumn("doc_id", F.col("doc_id").cast("long"))
+    survey = staged(texts.mapInArrow(_survey(size, 3), "doc_id long, xx long, n long, c1 long, c2 long, vector binary, token long, count long"), "survey")
     described = survey.filter("n is not null")
     order = spark.sparkContext.broadcast(frequent_shingles(survey.filter("token is not null").select("token", "count"), frequent))
     classes = staged(described.filter("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("rep"), F.first("vector").alias("vector")), "classes")
@@ -526,14 +531,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(staged(verified(more, sets, percent, broadcast_ids), "more_links"))
     final = staged(components(links), "components")
     named = classes.select(*CLASS, "rep").join(final, F.col("rep") == F.col("node"), "left").select(*CLASS, F.coalesce("component", "rep").alias("component_id"))
-    joined = described.select("doc_id", *CLASS).join(staged(named, "class_components"), CLASS, "left")
+    joined = described.select("doc_id", "xx", *CLASS).join(staged(named, "class_components"), CLASS, "left")
     own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), "xx")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one document of each component, the one of least id, columns unchanged."""
+    """`docs` with one document of each component, the one of least id, columns unchanged. Each text of a repeated
+    id is judged by itself."""
     found = similar_components(docs, id_col, text_col, **options)
-    others = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("other")).distinct(), "others")
-    held = as_rows(docs).hint("merge").join(others, F.col(f"row.{id_col}").cast("long") == F.col("other"), "left_anti")
-    return held.select("row.*")
+    others = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("other"), F.col("xx").alias("x")).distinct(), "others")
+    held = as_rows(docs).withColumn("w", F.xxhash64(text_or_empty(f"row.{text_col}"))).hint("merge")
+    return held.join(others, (F.col(f"row.{id_col}") == F.col("other")) & (F.col("w") == F.col("x")), "left_anti").select("row.*")
