@@ -49,7 +49,7 @@ def op8_sentence_pieces(spark: SparkSession, sf_dir: str, model_path: str = "/op
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_components(_table(spark, sf_dir, "documents"))
+    return ngram_join.similar_components(_table(spark, sf_dir, "documents")).drop("xx")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +123,7 @@ met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON
 link AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met.n >= 80 * (x.size + y.size - met.n)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT w.doc_id, coalesce(size, 0) AS n_shingles, c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a) USING (doc_id)""",
-    "op10_suffix_dedup": """
+    "op10_suffix_dedup": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
 h AS (SELECT r, i, md5(b[i:i + 399]) AS m FROM (SELECT r, b, unnest(range(1, n - 398)) AS i FROM d) x),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY m) AS c FROM h) y WHERE c > 1),
@@ -132,6 +132,7 @@ k AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS run FROM g),
 s AS (SELECT r, min(i) AS a, max(i) + 399 AS z FROM k GROUP BY r, run),
 p AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM s),
 t AS (SELECT r, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS last, string_agg(CASE WHEN a - 1 > before THEN hex(b[before + 1:a - 1]) ELSE '' END, '' ORDER BY a) AS x FROM p JOIN d USING (r) GROUP BY r)
-SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
-  CASE WHEN x IS NULL THEN sha256(b) ELSE sha256(unhex(x || CASE WHEN last < n THEN hex(b[last + 1:n]) ELSE '' END)) END AS kept_sha256 FROM d LEFT JOIN t USING (r)""",
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256,
+  decode(unhex(regexp_replace(k, '([0-7][0-9A-F]|[CD][0-9A-F][89AB][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F]){2}|F[0-7](?:[89AB][0-9A-F]){3})|..', '\1', 'g'))) AS kept_text
+FROM (SELECT doc_id, n, n_removed, n_spans, CASE WHEN x IS NULL THEN hex(b) ELSE x || CASE WHEN last < n THEN hex(b[last + 1:n]) ELSE '' END END AS k FROM d LEFT JOIN t USING (r)) z""",
 }

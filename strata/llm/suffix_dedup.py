@@ -16,7 +16,7 @@ row for each task. Offsets are bytes of UTF-8; matches never cross documents.
 
 Cases: null text counts as empty; texts shorter than the window lose nothing; rows repeated with id and text
 are copies of each other; a null id is an id like any other; an empty table gives no rows; other columns
-are ignored.
+are ignored. Long texts are read in stretches, so a task holds a fixed share of one besides the text itself.
 """
 
 from __future__ import annotations
@@ -76,16 +76,30 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     return t, (q - offsets[t]).astype(np.int32), low.astype(np.int32), high.astype(np.int32), hashes[q].view(np.int64), stretch.view(np.int64)
 
 
-def _anchor_rows(window: int, gram: int):
+def stretches(offsets: np.ndarray, window: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """(text, first, end) of runs of bytes: whole texts together, or stretches of a long one that overlap by a window
+    less a byte, so that each window is whole in just one. -1 for a run of several texts: first and end are texts."""
+    for i, j in parts(offsets, most):
+        size = int(offsets[j] - offsets[i])
+        if j - i > 1 or size <= 2 * most:
+            yield -1, i, j
+        else:
+            for a in range(0, size - window + 1, most):
+                yield i, a, min(a + most + window - 1, size)
+
+
+def _anchor_rows(window: int, gram: int, most: int = 1 << 19):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in trimmed(batches):
             data, offsets = utf8(batch.column("text"))
-            for i, j in parts(offsets):
-                t, q, low, high, g, s = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], window, gram)
-                at = pa.array(t + i)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("xx").take(at), *map(pa.array, (q, low, high, g, s))],
-                    ["doc_id", "xx", "q", "low", "high", "gram", "outer"])
+            for text, a, b in stretches(offsets, window, most):
+                if text < 0:
+                    t, q, *rest = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], window, gram)
+                    at = pa.array(t + a)
+                else:
+                    t, q, *rest = anchors(data[offsets[text] + a : offsets[text] + b], np.array([0, b - a]), window, gram)
+                    q, at = q + np.int32(a), pa.array(np.full(len(t), text))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("xx").take(at), *map(pa.array, (q, *rest))], ["doc_id", "xx", "q", "low", "high", "gram", "outer"])
     return rows
 
 
@@ -120,8 +134,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept.append(b"".join(pieces))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
-             pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+             pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()), pa.array(kept, pa.binary()), pa.array([x.decode(errors="ignore") for x in kept], pa.string())],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"])
 
 
 def split_cells(cells: DataFrame, width: int, window: int) -> DataFrame:
@@ -141,7 +155,8 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int | None = None,
     fields = [docs.schema["doc_id"], T.StructField("xx", T.LongType())]
     fields += [T.StructField(n, T.IntegerType()) for n in ("q", "low", "high")] + [T.StructField(n, T.LongType()) for n in ("gram", "outer")]
     found = staged(docs.mapInArrow(_anchor_rows(window, gram), T.StructType(fields)), "anchors")
-    shared = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
+    # Whatever meets the rows of a hot gram is staged first: its join can then be split by adaptive execution.
+    shared = staged(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "grams")
     held = staged(found.join(shared, "gram"), "shared_anchors")
     twice = staged(held.groupBy("gram", "outer").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "outer", F.lit(True).alias("twice")), "stretches")
     told = staged(held.join(twice, ["gram", "outer"], "left"), "told_anchors")
@@ -149,7 +164,7 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int | None = None,
     spans = [told.filter("twice").select(*span)]
     open_ = told.filter("twice is null")
     # One member of each settled stretch goes on as a partner, where its gram has open anchors.
-    partners = told.filter("twice").dropDuplicates(["gram", "outer"]).join(open_.select("gram").distinct(), "gram", "left_semi")
+    partners = told.filter("twice").dropDuplicates(["gram", "outer"]).join(staged(open_.select("gram").distinct(), "open_grams"), "gram", "left_semi")
     columns = [*KEY, "q", "low", "high", "gram"]
     going = staged(open_.select(*columns, F.lit(True).alias("need")).unionByName(partners.select(*columns, F.lit(False).alias("need"))), "open_anchors")
     texts = docs.withColumnsRenamed({"doc_id": "d", "xx": "x"})
@@ -160,15 +175,15 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int | None = None,
         cut = split_cells(cells, width, window)
         # Bytes are read off only for a further pass.
         cut = staged(cut.drop("content") if width == widths[-1] else cut, f"cells_{width}")
-        outer = cut.groupBy("gram", "outer").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "outer", F.lit(True).alias("twice"))
-        inner = cut.groupBy("gram", "inner").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "inner")
+        outer = staged(cut.groupBy("gram", "outer").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "outer", F.lit(True).alias("twice")), f"outer_{width}")
+        inner = staged(cut.groupBy("gram", "inner").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", "inner"), f"inner_{width}")
         met = staged(cut.join(inner, ["gram", "inner"], "left_semi").join(outer, ["gram", "outer"], "left"), f"met_{width}")
         spans.append(met.filter("twice and need").select(*span))
         if width == widths[-1]:
             break
         rest = met.filter("twice is null")
         rep = met.filter("twice").dropDuplicates(["gram", "outer"]).withColumn("need", F.lit(False))
-        rep = rep.join(rest.select("gram", "inner").distinct(), ["gram", "inner"], "left_semi")
+        rep = rep.join(staged(rest.select("gram", "inner").distinct(), f"open_{width}"), ["gram", "inner"], "left_semi")
         cells = rest.unionByName(rep.select(*rest.columns)).select(*KEY, "q", "low", "high", "gram", "need", "content")
     out = spans[0]
     for more in spans[1:]:
@@ -177,10 +192,11 @@ def repeated_spans(docs: DataFrame, window: int = 400, gram: int | None = None,
 
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 400, gram: int | None = None, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes)."""
+    """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), and kept_text, the
+    same as text without what a cut left of a character."""
     base = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("xx"), "text")
     spans = repeated_spans(base, window, gram, widths)
     lists = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnsRenamed({"doc_id": "d", "xx": "x"})
     met = base.hint("merge").join(lists, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("xx") == F.col("x")), "left").select("doc_id", "text", "spans")
     fields = [base.schema["doc_id"]] + [T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")]
-    return met.mapInArrow(_cut, T.StructType([*fields, T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]))
+    return met.mapInArrow(_cut, T.StructType([*fields, T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType()), T.StructField("kept_text", T.StringType())]))
