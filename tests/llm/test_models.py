@@ -3,10 +3,12 @@
 import hashlib
 import os
 import random
+from collections import Counter
 
 import pytest
 
 from strata.llm import language_id, sentence_pieces
+from tests.llm import restated
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 needs_model = pytest.mark.skipif(not os.path.exists(MODEL), reason="no tokenizer file")
@@ -61,6 +63,18 @@ def test_language_of_held_out_pages(spark):
     assert {r.lang for r in language_id.language_id(df, labelled.limit(0)).collect()} == {None}
 
 
+def test_language_equals_its_restatement(spark):
+    """Fused scores of all pages: ties, nulls, repeated rows, odd addresses."""
+    labelled = [(i, t, lang) for i, lang, t in page_rows(120, 3)]
+    pages = [(i, f"https://{'x' if i % 4 else lang}.site{i % 6}.{('com', 'de', 'fr')[i % 3]}/x", f"<html lang='{lang if i % 5 else 'en'}'><p>{t}</p>") for i, lang, t in page_rows(90, 4)]
+    pages += [(900, None, None), (901, "https://localhost/", ""), (902, "no address", "<p>" + WORDS["fr"] + "</p>"), (903, "http://[::1]/", "&amp;"), pages[3], pages[3]]
+    pages = [(1000 + k, *p[1:]) for k, p in enumerate(pages)]
+    df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, post string")
+    got = {r.page_id: (r.lang, r.prob) for r in language_id.language_id(df, spark.createDataFrame(labelled, "doc_id long, text string, lang string")).collect()}
+    want = restated.languages(pages, [(t, lang) for _, t, lang in labelled])
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+
+
 def test_hosts_without_a_domain_give_one_row_a_page(spark):
     labelled = spark.createDataFrame([(i, t, lang) for i, lang, t in page_rows(90, 1)], "doc_id long, text string, lang string")
     urls = [None, "http://localhost/a", "http://localhost:8080/b", "http://[::1]/x", "http://intranet/", "https://a.example.com./", "/relative", "https://www.example.com/"]
@@ -70,6 +84,27 @@ def test_hosts_without_a_domain_give_one_row_a_page(spark):
     assert {r.host: r.suffix for r in got if r.host in ("", "localhost", "intranet")} == {"": "", "localhost": "localhost", "intranet": "intranet"}
 
 
+def restated_pipeline(rows):
+    """Rows of the pipeline over (doc_id, text, source), by plain Python."""
+    import sentencepiece
+    from tests.llm.test_operators import brute_components, measures, shingles
+    rows = [r for r, ok in zip(rows, restated.good(rows, measures)) if ok]
+    last = {}
+    for r in rows:
+        last[r[1] or ""] = max(last.get(r[1] or "", -1), r[0])
+    rows = list({(t or "", d): (d, t, s) for d, t, s in rows if last[t or ""] == d}.values())
+    rows.sort()
+    rows = [r for r, c in zip(rows, brute_components(rows, [shingles(t) for _, t, _ in rows])) if r[0] == c]
+    model, out = sentencepiece.SentencePieceProcessor(model_file=MODEL), Counter()
+    for (doc, text, _), taken in zip(rows, restated.mixed(rows)):
+        size = restated.n_words(text)
+        ids = tuple(model.encode(text or ""))
+        times = int(taken / size + 0.5) if size else 0
+        if times:
+            out[doc, len(ids), ids, hashlib.sha256((text or "").encode()).hexdigest()] += times
+    return out
+
+
 @needs_model
 def test_pipeline_stages(spark, frame, corpus, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -86,6 +121,4 @@ def test_pipeline_stages(spark, frame, corpus, tmp_path):
     assert set(near) <= set(exact) <= set(good) and set(mixed) <= set(near) and len(near) == len(set(near)) < len(exact) < len(good)
     assert max(mixed.count(d) for d in mixed) <= 2
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    text = {d: t for d, t, *_ in corpus}
-    assert sorted(r.doc_id for r in out) == sorted(mixed)
-    assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in out)
+    assert Counter((r.doc_id, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in out) == restated_pipeline([(d, t, s) for d, t, _, s in corpus])

@@ -7,6 +7,7 @@ from random import Random
 
 import pytest
 
+from tests.llm import restated
 from strata.llm import chat_format, exact_dedup, graph, line_dedup, mixing, ngram_join, quality_rules, secret_scan, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -84,22 +85,6 @@ def test_small_hosts_shrink_to_the_mean(frame):
     assert not got[600].host_ok
 
 
-def brute_targets(sizes):
-    """Targets of [(source, size)] in order, by the stated rounds."""
-    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sizes)}
-    left, target, free = 1.5 * sum(sizes.values()), dict.fromkeys(sizes, 0.0), list(sizes)
-    while free:
-        unit = left / sum(weights[s] for s in free)
-        over = [s for s in free if weights[s] * unit > 2 * sizes[s]]
-        for s in over or free:
-            target[s] = 2.0 * sizes[s] if over else weights[s] * unit
-        if not over:
-            break
-        left -= sum(target[s] for s in over)
-        free = [s for s in free if s not in over]
-    return target
-
-
 @pytest.mark.parametrize("shard_words", [200, 50_000])
 def test_mixing(frame, corpus, shard_words):
     size = {i: len(WORD.findall(r[1] or "")) for i, r in enumerate(corpus)}
@@ -107,7 +92,7 @@ def test_mixing(frame, corpus, shard_words):
     for i, r in enumerate(corpus):
         totals[r[3]] += size[i]
     totals = dict(sorted(totals.items(), key=lambda x: (x[0] is None, x[0] or "")))
-    target = brute_targets(totals)
+    target = restated.targets(totals)
     rows = mixing.mix(frame(corpus), shard_words=shard_words, block_words=4).collect()
     assert len(rows) == len(corpus)
     taken = Counter()
@@ -118,6 +103,8 @@ def test_mixing(frame, corpus, shard_words):
         taken[r.source] += r.taken
     for s, t in target.items():
         assert abs(taken[s] - t) <= 4 * max(1, totals[s] // shard_words + 1)
+    want = restated.mixed([(r[0], r[1], r[3]) for r in corpus], 4, shard_words)
+    assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r[0], n) for r, n in zip(corpus, want))
     again = mixing.mix(frame(corpus[::-1]), shard_words=shard_words, block_words=4).collect()
     assert Counter(again) == Counter(rows)
     assert mixing.mix(frame(corpus[:2]).limit(0)).count() == 0
@@ -222,7 +209,11 @@ def test_secret_scan(frame, corpus):
         spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
         counts = Counter(s[1] for s in spans)
         want.append((doc, counts[0], counts[1], counts[2], sha(",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)))))
-    found = secret_scan.digest(secret_scan.secret_scan(frame(rows)))
+    scanned = secret_scan.secret_scan(frame(rows))
+    base = {r.doc_id: [(x.start, x.end) for x in r.base_spans] for r in scanned.collect()}
+    random = sorted((r.doc_id, x.start, x.end) for r in scanned.collect() for x in r.spans if x.kind == 3)
+    assert random == sorted(restated.random_spans([(r[0], r[1]) for r in rows], secret_scan.TOKEN, secret_scan.ENCODINGS, secret_scan.CUTS, 0.1, base))
+    found = secret_scan.digest(scanned)
     same(found.drop("spans"), want)
     spans = {r.doc_id: r.spans for r in found.collect()}
     found = sum(spans[3100 + i] == "random:4:40" for i in range(39))
@@ -267,7 +258,7 @@ def test_ngram_join(frame, corpus):
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
     want = [(r[0], len(sets[i]), None if r[0] is None else least[find(i)]) for i, r in enumerate(rows)]
     for small in (16, 3):
-        same(ngram_join.similar_components(frame(rows), small=small), want)
+        same(ngram_join.similar_components(frame(rows), small=small).drop("xx"), want)
     assert len({w[2] for w in want}) < len(want) * 0.8
     one = ngram_join.keep_one(frame(rows))
     assert one.columns == frame(rows).columns
@@ -304,7 +295,7 @@ def test_ngram_join_of_hot_buckets(frame):
     want = [(x[0], len(s), c) for x, s, c in zip(rows, sets, brute_components(rows, sets))]
     assert 3 < len({w[2] for w in want}) < 200
     for small, block in ((3, 8), (16, 40)):
-        same(ngram_join.similar_components(frame(rows), small=small, block=block), want)
+        same(ngram_join.similar_components(frame(rows), small=small, block=block).drop("xx"), want)
 
 
 def test_no_hot_bucket_is_one_task(spark):
@@ -357,11 +348,83 @@ def brute_windows(rows, size):
 def test_suffix_dedup(frame, corpus):
     rows = [r for r in corpus if r[0] not in (905, 906)] + [(None, corpus[9][1], None, None), (5000, "a" * 150, "en", "s"), (5001, "ab" * 90, "en", "s"), (5002, "x" + "ab" * 40, "en", "s"), (5003, "a" * 59, "en", "s"), (5004, "q" * 60, "en", "s")]
     want = list(brute_windows(rows, 60))
-    same(suffix_dedup.suffix_dedup(frame(rows), window=60).drop("kept"), want)
+    same(suffix_dedup.suffix_dedup(frame(rows), window=60).drop("kept", "kept_text"), want)
     assert 0 < sum(w[2] for w in want) < sum(w[1] for w in want)
     assert suffix_dedup.suffix_dedup(frame(rows).limit(0)).count() == 0
 
 
 def test_suffix_dedup_default_window(frame, corpus):
     rows = [r for r in corpus if r[0] < 60] + [(905, "word " * 300, "en", "s")]
-    same(suffix_dedup.suffix_dedup(frame(rows)).drop("kept"), list(brute_windows(rows, 400)))
+    same(suffix_dedup.suffix_dedup(frame(rows)).drop("kept", "kept_text"), list(brute_windows(rows, 400)))
+
+
+def test_chats_of_many_turns(spark):
+    """Time follows the turns in proportion; a text is read back at any place."""
+    from pyspark.sql import functions as F
+    n = 20_000
+    role, text = F.when(F.col("id") % 3 == 0, "user").otherwise("assistant"), F.concat(F.lit("é<s>"), "id")
+    df = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), text.alias("text"))
+    got = chat_format.digest(chat_format.format_conversations(df)).first()
+    learnt = "".join(f"é<s>{i}" for i in range(n) if i % 3)
+    assert (got.n_turns, got.loss_chars, got.loss_sha256) == (n, len(learnt), sha(learnt))
+
+
+def test_texts_of_many_matches(frame):
+    text = " ".join(f"token={i:08d} {i:032x}" for i in range(5000))
+    got = secret_scan.digest(secret_scan.secret_scan(frame([(1, text, "en", "s")]))).first()
+    assert (got.n_assign, got.n_hex) == (5000, 5000)
+
+
+def test_huge_texts(frame):
+    """Texts of many segments and chunks; one byte at the end tells two apart."""
+    big = "é0123456789abcde" * 1_000_000
+    rows = frame([(1, big, "en", "s"), (2, big, "en", "s"), (3, big[:-1] + "f", "en", "s"), (4, "short", "en", "s")])
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(rows).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True), 4: (4, 1, True)}
+
+
+def test_suffix_dedup_of_a_text_past_16_mib(frame):
+    r = Random(2)
+    text, passage = r.randbytes(9 << 20).hex(), r.randbytes(300).hex()
+    at = (1 << 24) - 100
+    text = text[:at] + passage + text[at:] + passage
+    got = suffix_dedup.suffix_dedup(frame([(1, text, "en", "s"), (2, "x" + passage + "y", "en", "s")])).collect()
+    assert {x.doc_id: (x.n_removed, x.n_spans) for x in got} == {1: (1200, 2), 2: (600, 1)}
+    assert {x.doc_id: x.kept_text for x in got}[2] == "xy"
+
+
+def test_kept_text_drops_cut_characters(frame):
+    both = "shared passage that is long enough é"
+    got = suffix_dedup.suffix_dedup(frame([(1, both, "en", "s"), (2, both[:-1] + "è", "en", "s")]), window=20).collect()
+    assert {r.kept_text for r in got} == {""} and {r.n_bytes - r.n_removed for r in got} == {1}
+
+
+def test_ngram_join_of_other_ids(spark, corpus):
+    rows = [(f"k{d % 7}-{d}", t) for d, t, *_ in corpus]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    numbers = {name: i for i, name in enumerate(sorted({r[0] for r in rows}))}
+    plain = spark.createDataFrame([(numbers[d], t) for d, t in rows], "doc_id long, text string")
+    names = {i: name for name, i in numbers.items()}
+    want = [(names[r.doc_id], r.n_shingles, names[r.component_id]) for r in ngram_join.similar_components(plain).collect()]
+    same(ngram_join.similar_components(df).drop("xx"), want)
+    one = ngram_join.keep_one(df)
+    assert one.columns == ["doc_id", "text"] and 0 < one.count() < len(rows)
+
+
+def test_rows_of_one_id_are_judged_by_text(frame):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "s"), (7, text + " end", "en", "s"), (7, "something else entirely that stands alone here", "en", "s")]
+    kept = ngram_join.keep_one(frame(rows)).collect()
+    assert sorted((r.doc_id, r.text[:4]) for r in kept) == [(1, "w0 w"), (7, "some")]
+    many = [(5, " ".join(f"v{i}" for i in range(64)), "en", "s")] * 3 + [(6, " ".join(f"u{i}" for i in range(64)), "en", "s")]
+    held = Counter(r.doc_id for r in mixing.keep_taken(frame(many)).collect())
+    assert held[5] <= 6 and held[6] <= 2 and sum(held.values()) == 6
+
+
+def test_language_sample_is_even(spark):
+    from pyspark.sql import functions as F
+    from strata.llm import language_id
+    rows = spark.range(50_000).select(F.xxhash64("id").alias("h"), "id").repartition(40)
+    got = language_id.sampled(rows, 300).collect()
+    want = sorted(r.h for r in rows.collect())[:300]
+    assert sorted(r.h for r in got) == want
