@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from strata.functions import classify
 from strata.operators import catalog, filters, lineage, narrative, reports, scan, search, sinks, visibility
-from strata.sources.store import Store
+from strata.sources.store import Store, staged
 from strata.sources.transcripts import PRIVATE_MARKERS
 from strata.streaming import incremental
 
+RULE = "id int, priority int, field string, mode string, pattern string, visibility string, source_scope string, threshold double, enabled boolean"
+
 
 class Engine:
     """Lazy queries over the newest versions of the tables in `root`."""
@@ -41,13 +43,27 @@ class Engine:
             "objective_family": classify.objective_family(seed), "objective_label": classify.objective_label(seed),
             "subagent": classify.is_subagent(F.col("spawn_depth"), F.col("source"), F.col("parent_thread_id"), F.col("file")),
             "duration_seconds": F.when(F.col("source") == "claudecode", classify.duration_seconds(F.col("first_timestamp"), F.col("last_timestamp"))),
-            "username": F.lit("local"), "visibility": F.lit("unlisted")})
-        parents = lineage.resolve_parents(told)
+            "username": F.lit("local"), "visibility": F.lit("unlisted"), "visibility_source": F.lit("default"),
+            **{c: F.lit(None).cast("string") for c in ("default_visibility", "reviewed_hash", "reviewed_metadata_hash")}})
+        told = told.withColumn("metadata_hash", search.metadata_hash(told)).join(self.store.read("file_hashes", "file string, file_hash string"), "file", "left")
+        told = told.join(lineage.resolve_parents(told), "session_id", "left")
+        if rules := self.rules():
+            ruled = visibility.recompute(told, rules)
+            told = ruled.withColumns({"visibility": F.col("next_visibility"), "visibility_source": F.when(F.startswith("reason", F.lit("rule ")), "rule").otherwise(F.col("visibility_source"))}).drop("next_visibility", "reason")
+        # What people decided outlives an ingest: users, manual levels and reviews; changed public sessions fall back.
+        if self.store.version("catalog"):
+            held = self.store.read("catalog")
+            names = held.select("session_id", F.col("username").alias("_user"), F.col("default_visibility").alias("_default"))
+            told = told.join(names, "session_id", "left").withColumns({"username": F.coalesce("_user", "username"), "default_visibility": F.coalesce("_default", "default_visibility")}).drop("_user", "_default")
+            told = sinks.upsert_sessions(held, told)
         private = self.store.read("private_files", "file string").select("file", F.lit("private").alias("marked"))
         told = told.join(private, "file", "left").withColumn("visibility", F.coalesce("marked", "visibility")).drop("marked")
-        self.store.write("catalog", told.join(parents, "session_id", "left"))
+        self.store.write("catalog", told)
         if self.store.version("private_files") and self.store.version("search_index"):
-            self.store.write("search_index", self.store.read("search_index").join(self.open_sessions().select("session_id"), "session_id", "left_semi"))
+            for name in ("search_index", "search_postings"):
+                order = ("token", *search.DOC) if name == "search_postings" else ("session_id",)
+                left = self.store.read(name).join(self.open_sessions().select("session_id"), "session_id", "left_semi")
+                self.store.write(name, left.repartitionByRange(*order).sortWithinPartitions(*order))
 
     # Tables.
 
@@ -71,11 +87,14 @@ class Engine:
 
     def index(self) -> None:
         """Build the search index of all sessions."""
-        docs = search.documents(self.open_sessions(), self.store.read("turns"))
-        self.store.write("search_index", search.indexed(docs, ("session_id", "field_label", "chunk_index", "tier")))
+        docs = staged(search.documents(self.open_sessions(), self.store.read("turns")), "search_documents")
+        self.store.write("search_index", search.indexed(docs, search.DOC).repartitionByRange("session_id").sortWithinPartitions("session_id"))
+        self.store.write("search_postings", search.postings(docs, search.DOC))
+        self.store.write("search_stats", search.index_stats(docs))
 
     def search(self, query: str, limit: int = 20) -> DataFrame:
-        return search.search(self.store.read("search_index"), self.open_sessions(), query, limit=limit)
+        held = self.store.read("search_postings"), self.store.read("search_stats")
+        return search.search(self.store.read("search_index"), self.open_sessions(), query, limit=limit, held=held)
 
     def show(self, session_id: str) -> DataFrame:
         """Turns of one session in order; a unique prefix of its id will do."""
@@ -94,9 +113,53 @@ class Engine:
         found = scan.findings(turns.unionByName(meta))
         return found, scan.recommendation(self.open_sessions(), found)
 
-    def recompute_visibility(self, rules: list[dict]) -> DataFrame:
-        rows = self.open_sessions().withColumns({c: F.lit(None).cast("string") for c in ("default_visibility", "visibility_source", "reviewed_hash", "file_hash")})
-        return visibility.recompute(rows, rules)
+    def rules(self) -> list[dict]:
+        """Visibility rules in order; they are configuration, a few dozen at most."""
+        rows = self.store.read("rules", RULE).orderBy("priority", "id").collect()
+        return [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]
+
+    def add_rule(self, field: str, mode: str, pattern: str, level: str, priority: int = 100, source_scope: str = "all", threshold: float | None = None, enabled: bool = True) -> int:
+        visibility.match_score(mode, pattern, F.lit(""))  # an unknown mode is an error here
+        held = self.rules()
+        number = max((r["id"] for r in held), default=0) + 1
+        held.append({"id": number, "priority": priority, "field": field, "mode": mode, "pattern": pattern, "visibility": level, "source_scope": source_scope, "threshold": threshold, "enabled": enabled})
+        self._write_rules(held)
+        return number
+
+    def delete_rule(self, number: int) -> bool:
+        held = self.rules()
+        left = [r for r in held if r["id"] != number]
+        if len(left) < len(held):
+            self._write_rules(left)
+        return len(left) < len(held)
+
+    def _write_rules(self, rules: list[dict]) -> None:
+        names = [x.split()[0] for x in RULE.split(", ")]
+        self.store.write("rules", self.spark.createDataFrame([tuple(r.get(n) for n in names) for r in rules], RULE))
+
+    def recompute_visibility(self, rules: list[dict] | None = None) -> DataFrame:
+        """Sessions with `next_visibility`, what the rules (the stored ones by default) make of them; nothing is written."""
+        return visibility.recompute(self.open_sessions(), self.rules() if rules is None else rules)
+
+    def apply_rules(self) -> None:
+        """Give all sessions but the manual and private ones the level of the stored rules."""
+        new = self.recompute_visibility().select("session_id", F.col("next_visibility").alias("_next"))
+        rows = self.sessions().join(new, "session_id", "left")
+        moved = F.col("_next").isNotNull() & (F.col("_next") != F.col("visibility"))
+        self.store.write("catalog", rows.withColumns({"visibility_source": F.when(moved, "rule").otherwise(F.col("visibility_source")), "visibility": F.coalesce("_next", "visibility")}).drop("_next"))
+
+    def set_visibility(self, wanted: DataFrame, actor: str, at: str) -> DataFrame:
+        """Apply levels (session_id, target) by hand; returns and keeps the audit rows."""
+        after, audit = visibility.transition(self.sessions(), wanted, actor, at)
+        after, audit = staged(after, "catalog"), staged(audit, "audit")
+        self.store.write("catalog", after)
+        self.store.write("audit", self.store.read("audit", audit.schema).unionByName(audit))
+        return audit
+
+    def mark_reviewed(self, session_ids: DataFrame) -> None:
+        """Take the present file and metadata of sessions as reviewed."""
+        rows = self.sessions().join(session_ids.select("session_id", F.lit(True).alias("_seen")).distinct(), "session_id", "left")
+        self.store.write("catalog", rows.withColumns({f"reviewed_{h}" if h != "file_hash" else "reviewed_hash": F.when(F.col("_seen"), F.col(h)).otherwise(F.col(f"reviewed_{h}" if h != "file_hash" else "reviewed_hash")) for h in ("file_hash", "metadata_hash")}).drop("_seen"))
 
     def backup_plan(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         plan = sinks.backup_plan(files)

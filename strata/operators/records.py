@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.classify import event_day, event_time, operation, squeeze, zero
+from strata.functions.classify import event_day, event_time, operation, zero
 from strata.functions.text import is_agents_payload, strip_preamble
 from strata.functions.words import content_text
 from strata.operators import usage
@@ -226,9 +226,3 @@ def output_is_error(output: Column, text: Column) -> Column:
     shown = F.coalesce(vget(parsed, "output"), vget(parsed, "content"), text, F.lit(""))
     words = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(shown, r"Process exited with code (\d+)", 1), F.lit("")), F.lit("999999999")), F.lit(0)) != 0
     return code | flag | words
-
-
-def rendered(tables: dict[str, DataFrame]) -> DataFrame:
-    """Turns and tool calls of sessions in order, for display."""
-    calls = tables["tool_calls"].select("session_id", F.col("seq.seq").alias("seq"), F.lit("tool_use").alias("role"), F.concat_ws(" ", "tool_name", squeeze(F.col("command"))).alias("text"))
-    return tables["turns"].select("session_id", "seq", "role", "text").unionByName(calls).orderBy("session_id", "seq")

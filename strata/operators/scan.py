@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import functools
 import json
 import math
+import operator
 import re
 from collections import Counter
 
@@ -153,7 +155,7 @@ FINDING = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("rule", T.
 
 
 @F.arrow_udf(FINDING)
-def find(texts: pa.Array) -> pa.Array:
+def _find(texts: pa.Array) -> pa.Array:
     out = []
     for text in texts.to_pylist():
         found = spans(text or "")
@@ -163,15 +165,35 @@ def find(texts: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.StringType())
-def mask(texts: pa.Array) -> pa.Array:
-    """Texts with everything found masked."""
+def _mask(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else masked(t, merged([(s, e) for _, s, e in spans(t)])) for t in texts.to_pylist()], pa.string())
 
 
+def _loose(pattern: str) -> str:
+    """A pattern of the JVM that meets every text the rule's pattern meets: without looks aside and word bounds, and
+    with Python's classes of letters, digits and white space."""
+    bare = re.sub(r"\(\?<?!(?:\[[^\]]*\]|[^()\[\]])*\)", "", pattern).replace(r"\b", "").replace("(?P<", "(?<")
+    return "(?U)" + bare.replace(r"\w", r"\p{L}\p{N}_").replace(r"\d", r"\p{Nd}").replace(r"\s{", r"[\s\x1c-\x1f]{")
+
+
+#: A rule that refers back to its own match begins like the rule after it.
+LOOSE = tuple(_loose(pattern) for _, _, _, pattern, _ in RULES if "(?P=" not in pattern)
+
+
+def suspicious(text: Column) -> Column:
+    """Whether some rule may have a finding in the text."""
+    return F.coalesce(functools.reduce(operator.or_, [F.regexp_like(text, F.lit(p)) for p in LOOSE]), F.lit(False))
+
+
+def mask(text: Column) -> Column:
+    """Text with everything found masked."""
+    return F.when(suspicious(text), _mask(F.when(suspicious(text), text))).otherwise(text)
+
+
 def findings(rows: DataFrame, key: str = "session_id", source: str = "source", text: str = "text") -> DataFrame:
     """One row per finding, each title and place once."""
     names = lambda i: F.get(F.array(*[F.lit(r[i]) for r in RULES]), F.col("f.rule"))
-    one = rows.select(key, F.col(source).alias("source"), F.explode(find(text)).alias("f"))
+    one = rows.filter(suspicious(F.col(text))).select(key, F.col(source).alias("source"), F.explode(_find(text)).alias("f"))
     return one.select(key, "source", names(1).alias("category"), names(2).alias("severity"), names(0).alias("title"), "f.line", "f.start", "f.end", "f.excerpt").dropDuplicates([key, "source", "category", "severity", "title", "line", "start"])
 
 

@@ -53,6 +53,14 @@ def phrase_count(stream: Column, words: list[str]) -> Column:
     return F.regexp_count(stream, F.lit(rf"(?<= ){quoted}(?= )"))
 
 
+def bm25() -> Column:
+    """Score of a row with tf, n_words, docs, mean_words and hits."""
+    idf = F.log((F.col("docs") - F.col("hits") + 0.5) / (F.col("hits") + 0.5))
+    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+    length = 1 - B + B * F.col("n_words") / F.col("mean_words")
+    return -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
+
+
 def scored(index: DataFrame, query: str) -> DataFrame:
     """Documents with the phrase and their BM25 score (negative, least best) over the whole index."""
     words = query_tokens(query)
@@ -60,11 +68,45 @@ def scored(index: DataFrame, query: str) -> DataFrame:
         return index.limit(0).withColumn("score", F.lit(0.0))
     counted = index.withColumn("tf", phrase_count(F.col("stream"), words))
     stats = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n_words").alias("mean_words"), F.sum((F.col("tf") > 0).cast("long")).alias("hits"))
-    idf = F.log((F.col("docs") - F.col("hits") + 0.5) / (F.col("hits") + 0.5))
-    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    length = 1 - B + B * F.col("n_words") / F.col("mean_words")
-    score = -idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)
-    return counted.filter("tf > 0").join(F.broadcast(stats)).withColumn("score", score).drop("docs", "mean_words", "hits")
+    return counted.filter("tf > 0").join(F.broadcast(stats)).withColumn("score", bm25()).drop("docs", "mean_words", "hits")
+
+
+def postings(docs: DataFrame, id_columns: tuple[str, ...], text: str = "text", fold: bool = True) -> DataFrame:
+    """token, the id columns, n_words, at (places of the token in order), sorted by token: a query for a few tokens reads
+    their row groups alone. Postings of one frequent token are many ranges."""
+    held = docs.select(*id_columns, tokens(F.col(text), fold).alias("words"))
+    placed = held.select(*id_columns, F.size("words").alias("n_words"), F.posexplode("words").alias("place", "token"))
+    grouped = placed.groupBy("token", *id_columns, "n_words").agg(F.array_sort(F.collect_list("place")).alias("at"))
+    return grouped.repartitionByRange("token", *id_columns).sortWithinPartitions("token", *id_columns)
+
+
+def index_stats(docs: DataFrame, text: str = "text", fold: bool = True) -> DataFrame:
+    """docs, mean_words: one row about the whole index."""
+    return docs.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size(tokens(F.col(text), fold))).alias("mean_words"))
+
+
+def matched(index: DataFrame, words: list[str], id_columns: tuple[str, ...]) -> DataFrame:
+    """The id columns, n_words, tf of documents with the phrase, from the postings of its tokens alone."""
+    numbers = {w: [i for i, x in enumerate(words) if x == w] for w in words}
+    hits = index.filter(F.col("token").isin(list(numbers)))
+    if len(words) == 1:
+        return hits.select(*id_columns, "n_words", F.size("at").alias("tf"))
+    offsets = F.create_map(*[c for w, at in numbers.items() for c in (F.lit(w), F.array(*[F.lit(i) for i in at]))])
+    starts = hits.select(*id_columns, "n_words", "at", F.explode(offsets[F.col("token")]).alias("i")).select(*id_columns, "n_words", F.transform("at", lambda p: p - F.col("i")).alias("starts"))
+    met = starts.groupBy(*id_columns, "n_words").agg(F.collect_list("starts").alias("all")).filter(F.size("all") == len(words))
+    both = F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0)), lambda a, x: F.array_intersect(a, x))
+    return met.select(*id_columns, "n_words", F.size(both).alias("tf")).filter("tf > 0")
+
+
+def scored_postings(index: DataFrame, stats: DataFrame, query: str, id_columns: tuple[str, ...]) -> DataFrame:
+    """As `scored`, from postings and the index's stats: documents without a token of the query are not read."""
+    words = query_tokens(query)
+    if not words:
+        return index.limit(0).select(*id_columns, "n_words", F.lit(0).alias("tf"), F.lit(0.0).alias("score"))
+    hits = matched(index, words, id_columns)
+    number = hits.agg(F.count(F.lit(1)).alias("hits"))
+    rows = hits.join(F.broadcast(stats)).join(F.broadcast(number))
+    return rows.withColumn("score", bm25()).drop("docs", "mean_words", "hits")
 
 
 def eligible(states: DataFrame, sessions: DataFrame, public: bool = False) -> DataFrame:
@@ -90,19 +132,25 @@ def snippet(stream: Column, words: list[str], width: int = 28) -> Column:
     return F.concat(lead, F.concat_ws(" ", F.array_join(left, " "), F.lit(f"[{' '.join(words)}]"), F.array_join(right, " ")), tail)
 
 
-def search(index: DataFrame, sessions: DataFrame, query: str, allowed: DataFrame | None = None, limit: int = 20, public: bool = False) -> DataFrame:
+DOC = ("session_id", "field_label", "chunk_index", "tier")
+
+
+def search(index: DataFrame, sessions: DataFrame, query: str, allowed: DataFrame | None = None, limit: int = 20, public: bool = False, held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Best document of each session: structured before transcript, then score, newest, id.
 
-    Scores count the whole index, results only the allowed sessions; public results hide the score.
+    Scores count the whole index, results only the allowed sessions; public results hide the score. With `held`, the
+    postings and stats of the index, only what the query's tokens name is read, and `index` for the snippets alone.
     """
-    hits = scored(index, query)
+    hits = scored(index, query) if held is None else scored_postings(*held, query, DOC)
     if allowed is not None:
         hits = hits.join(allowed.select("session_id"), "session_id", "left_semi")
     one = best(hits, "session_id", F.col("tier"), F.col("score"), F.col("field_label"), F.col("chunk_index"))
-    out = one.join(sessions.select("session_id", "first_timestamp"), "session_id")
+    top = one.join(sessions.select("session_id", "first_timestamp"), "session_id").orderBy("tier", "score", F.desc_nulls_last("first_timestamp"), "session_id").limit(limit)
+    if held is not None:
+        ids = [r[0] for r in top.select("session_id").collect()]  # at most `limit`
+        top = top.join(index.filter(F.col("session_id").isin(ids)).select(*DOC, "stream"), list(DOC)).orderBy("tier", "score", F.desc_nulls_last("first_timestamp"), "session_id")
     shown = F.lit(None).cast("double") if public else F.col("score")
-    ordered = out.orderBy("tier", "score", F.desc_nulls_last("first_timestamp"), "session_id").limit(limit)
-    return ordered.select("session_id", "tier", "field_label", "chunk_index", snippet(F.col("stream"), query_tokens(query)).alias("snippet"), shown.alias("score"), "first_timestamp")
+    return top.select("session_id", "tier", "field_label", "chunk_index", snippet(F.col("stream"), query_tokens(query)).alias("snippet"), shown.alias("score"), "first_timestamp")
 
 
 def raw_search(lines: DataFrame, text: str) -> DataFrame:

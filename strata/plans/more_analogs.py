@@ -16,12 +16,12 @@ def chk_rows(c: Catalog) -> DataFrame:
     return archive.numbered(lines).select("file", F.col("event_index").cast("long").alias("event_index"), "byte_start", "byte_end")
 
 
-CANDIDATE = "CASE p_partkey % 8 WHEN 0 THEN CONCAT('\"src/', p_brand, '.py\",') WHEN 1 THEN CONCAT('https://x.y/', p_brand) WHEN 2 THEN CONCAT('-', p_brand) WHEN 3 THEN CONCAT('a/', p_brand, ':12:3') WHEN 4 THEN 'Makefile' WHEN 5 THEN p_name WHEN 6 THEN '..' ELSE CONCAT('file:///tmp/', p_brand) END"
+CANDIDATE = "CASE p_partkey % 8 WHEN 0 THEN CONCAT('\"src/', p_brand, '.py\",') WHEN 1 THEN CONCAT('https://x.y/', p_brand) WHEN 2 THEN CONCAT('-', p_brand) WHEN 3 THEN CONCAT('a/', p_brand, ':12:3') WHEN 4 THEN 'Makefile' WHEN 5 THEN 'plain words' WHEN 6 THEN '..' ELSE CONCAT('file:///tmp/', p_brand) END"
 
 
 @query("SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN CONCAT('src/', p_brand, '.py\"') WHEN 3 THEN CONCAT('a/', p_brand) WHEN 4 THEN 'Makefile' ELSE CONCAT('/tmp/', p_brand) END AS path FROM part WHERE p_partkey % 8 IN (0, 3, 4, 7)")
 def cls_looks_path(c: Catalog) -> DataFrame:
-    rows = c.sql(f"SELECT p_partkey, {CANDIDATE} AS x FROM {{part}} WHERE p_partkey % 8 <> 5")
+    rows = c.sql(f"SELECT p_partkey, {CANDIDATE} AS x FROM {{part}}")
     return rows.filter(classify.looks_like_path(F.col("x"))).select("p_partkey", classify.clean_path(F.col("x")).alias("path"))
 
 
@@ -43,11 +43,6 @@ def cls_narrative_clip(c: Catalog) -> DataFrame:
     return c.table("documents").select("doc_id", classify.clip(F.col("text"), 60).alias("goal"))
 
 
-@query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}\p{Co}]+'), lambda x: x <> ''))::BIGINT AS n_tokens FROM documents")
-def fts_tokens(c: Catalog) -> DataFrame:
-    return c.table("documents").select("doc_id", F.size(text.tokens(F.col("text"), fold=False)).cast("long").alias("n_tokens"))
-
-
 @query("SELECT session_id FROM sessions WHERE n % 7 = 0 AND n % 3 <> 0 AND n % 2 = 0")
 def fts_eligible(c: Catalog) -> DataFrame:
     states = c.sessions.select("session_id", F.when(F.col("n") % 7 == 0, search.VERSION).otherwise(1).alias("index_version"), F.when(F.col("n") % 2 == 0, "ok").otherwise("error").alias("status"), F.when(F.col("n") % 3 == 0, "old").otherwise("h").alias("indexed_hash"))

@@ -1,0 +1,148 @@
+"""Display, filters, hashes and texts over the driver's tables, each beside its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strata.functions import text
+from strata.functions.classify import event_day
+from strata.functions.words import content_text
+from strata.operators import archive, catalog, filters, narrative, paths, render, scan, search, sinks
+from strata.plans.analogs import Catalog, continued, query
+from strata.plans.parsed import ANSWER, KEPT, LINES, PROMPT, RESULT, TURNS, plain
+from strata.sources import transcripts
+from strata.sources.store import staged
+
+
+def _records(c: Catalog) -> DataFrame:
+    items = c.sql(LINES)
+    return staged(transcripts.records(c.sql(PROMPT).unionByName(c.spark.sql(ANSWER, lines=items)).unionByName(c.spark.sql(RESULT, lines=items))), "records")
+
+
+# Of a message's copies display takes the first.
+RENDERED = KEPT + """, firsts AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, ln % 3 ORDER BY ln) AS c FROM lines),
+shown AS (SELECT o_orderkey AS o, 0 AS seq, 0 AS place, 'user' AS kind, NULL AS name, '  do ' || o_orderpriority || ' ' AS text, false AS is_error FROM orders
+UNION ALL SELECT l_orderkey, ln * 10, 0, 'text', NULL, 'said', false FROM firsts WHERE c = 1
+UNION ALL SELECT l_orderkey, ln * 10, 1, 'tool_use', l_returnflag || l_linestatus, '{"command":"git log ' || l_partkey || '"}', false FROM firsts WHERE c = 1
+UNION ALL SELECT l_orderkey, ln * 10 + 1, 0, 'tool_result', NULL, l_returnflag, l_returnflag = 'R' FROM lines) """
+
+
+@plain(RENDERED + "SELECT '/p/-w-app/' || o || '.jsonl' AS file, seq, place, kind, name, text, is_error FROM shown")
+def prs_render(c: Catalog) -> DataFrame:
+    return render.claude(_records(c)).select("file", "seq", "place", "kind", "name", "text", "is_error")
+
+
+@plain(RENDERED + "SELECT seq, place, kind, text FROM shown WHERE o = 5 AND (seq > 10 OR (seq = 10 AND place > 0)) ORDER BY seq, place LIMIT 4")
+def prs_page(c: Catalog) -> DataFrame:
+    return render.page(render.claude(_records(c)), "/p/-w-app/5.jsonl", (10, 0), 4).select("seq", "place", "kind", "text")
+
+
+@query("SELECT session_id FROM sessions WHERE n % 3 <> 1")
+def flt_objective(c: Catalog) -> DataFrame:
+    rows = c.sessions.withColumns({"objective_family": F.when(F.col("n") % 3 == 0, "fix the login flow").when(F.col("n") % 3 == 1, "other").otherwise(""), "session_goal": F.lit("Fix the login flow"), "first_user_message": F.lit(""), "session_summary": F.lit("")})
+    return filters.with_objective(rows, "Fix the  login flow").select("session_id")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_suppkey = 7")
+def flt_prefix(c: Catalog) -> DataFrame:
+    return filters.by_prefix(c.table("supplier").select("s_suppkey", F.concat(F.lit("k"), "s_suppkey", F.lit("-x")).alias("session_id")), "k7-").select("s_suppkey")
+
+
+@query("SELECT doc_id, 1::BIGINT AS lines FROM documents WHERE contains(lower(text), 'tion of')")
+def flt_raw(c: Catalog) -> DataFrame:
+    lines = c.table("documents").select(F.col("doc_id").alias("file"), F.lit(0).alias("seq"), F.col("text").alias("value"))
+    return search.raw_search(lines, "TION of").select(F.col("file").alias("doc_id"), "lines")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")
+def flt_tool_date(c: Catalog) -> DataFrame:
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    told = F.when(F.col("event_id") % 3 == 0, F.concat(stamp, F.lit("Z"))).when(F.col("event_id") % 3 == 1, stamp).otherwise(F.concat(F.lit("on "), stamp))
+    return c.table("events").select("event_id", event_day(told).alias("day"))
+
+
+@query("SELECT username, CASE WHEN username IN ('u1', 'u2', 'u3') THEN 'private' ELSE 'public' END = 'public' AS listed_public, true AS listed_private, username NOT IN ('u1', 'u2', 'u3') AS direct_public, true AS direct_private FROM (SELECT DISTINCT username FROM sessions) x")
+def flt_profile_visible(c: Catalog) -> DataFrame:
+    users = c.sessions.select("username").distinct().withColumn("profile_visibility", F.when(F.col("username").isin("u1", "u2", "u3"), "private").otherwise("public"))
+    return catalog.user_catalog(users).drop("profile_visibility")
+
+
+@query("SELECT session_id, unnest(list_filter([{'l': 'repo', 't': repo_name}, {'l': 'project', 't': project}], lambda x: x.t IS NOT NULL AND x.t <> '')).l AS field_label, unnest(list_filter([{'l': 'repo', 't': repo_name}, {'l': 'project', 't': project}], lambda x: x.t IS NOT NULL AND x.t <> '')).t AS text FROM sessions")
+def fts_structured(c: Catalog) -> DataFrame:
+    turns = c.spark.createDataFrame([], "session_id string, role string, seq int, text string, searched boolean")
+    return search.documents(c.sessions, turns).select("session_id", "field_label", "text")
+
+
+@query("SELECT session_id, 'repo_name' AS source, 'repo_name: ' || repo_name AS text FROM sessions WHERE repo_name IS NOT NULL UNION ALL SELECT session_id, 'branch', 'branch: ' || branch FROM sessions WHERE branch IS NOT NULL")
+def pub_meta(c: Catalog) -> DataFrame:
+    return scan.metadata_rows(c.sessions, ["repo_name", "branch"])
+
+
+@query("""SELECT session_id, sha256('[["repo_name",' || COALESCE('"' || repo_name || '"', 'null') || '],["branch",' || COALESCE('"' || branch || '"', 'null') || ']]') AS sha FROM sessions""")
+def pub_metahash(c: Catalog) -> DataFrame:
+    return c.sessions.select("session_id", scan.metadata_sha(["repo_name", "branch"]).alias("sha"))
+
+
+@query("SELECT event_index, role, substr(text, i * 180 + 1, 200) AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS event_index FROM conversations) x, generate_series(0, CASE WHEN length(text) <= 200 THEN 0 ELSE CAST(ceil(length(text) / 180.0) AS BIGINT) - 1 END) g(i) WHERE trim(text) <> '' AND conv_id = 3")
+def chk_show(c: Catalog) -> DataFrame:
+    return archive.show(archive.chunks(c.sql(TURNS), 200, 20), "s3").select(F.col("event_index").cast("long").alias("event_index"), "role", "text")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN role || ' ' || text ELSE text END AS said FROM conversations WHERE text <> ''")
+def prs_extract_text(c: Catalog) -> DataFrame:
+    one = F.to_json(F.struct(F.col("text").alias("content")))
+    many = F.to_json(F.array(F.struct(F.lit("thinking").alias("type"), F.col("role").alias("thinking"), F.lit(None).cast("string").alias("text")), F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("thinking"), F.col("text").alias("text"))))
+    return c.table("conversations").filter("text <> ''").select("conv_id", "turn", content_text(F.when(F.col("turn") % 2 == 0, many).otherwise(one)).alias("said"))
+
+
+@query("SELECT p_partkey, 'src/' || p_size || '.py;docs/' || p_size || '.md' AS found FROM part")
+def cls_paths_args(c: Catalog) -> DataFrame:
+    call = F.to_json(F.struct(F.concat(F.lit("src/"), "p_size", F.lit(".py")).alias("file_path"), F.col("p_name").alias("note"), F.struct(F.array(F.concat(F.lit("docs/"), "p_size", F.lit(".md"))).alias("paths")).alias("more")))
+    return c.table("part").select("p_partkey", F.array_join(paths.argument_paths(call), ";").alias("found"))
+
+
+@query("SELECT p_partkey, 'a/' || p_size || '.py;../b/' || p_size AS found FROM part")
+def cls_paths_cmd(c: Catalog) -> DataFrame:
+    command = F.concat(F.lit("cat 'a/"), "p_size", F.lit(".py' -n && diff a/"), "p_size", F.lit(".py ../b/"), "p_size", F.lit(" | head"))
+    return c.table("part").select("p_partkey", F.array_join(paths.command_paths(command), ";").alias("found"))
+
+
+@query("SELECT session_id, CASE WHEN n % 90 < 40 THEN 'r' || n % 90 END AS repo_name, CASE WHEN n % 90 < 40 THEN 'main' END AS branch FROM sessions")
+def cls_repo(c: Catalog) -> DataFrame:
+    known = c.sessions.filter("n % 90 < 40").select(F.concat(F.lit("/w/"), F.col("n") % 90).alias("workspace_root"), F.concat(F.lit("r"), F.col("n") % 90).alias("repo_name"), F.lit("main").alias("branch")).distinct()
+    rows = c.sessions.select("session_id", F.concat(F.lit("/w/"), F.col("n") % 90).alias("workspace_root"))
+    return narrative.with_repositories(rows, known).select("session_id", "repo_name", "branch")
+
+
+@query("SELECT session_id, CASE WHEN total_input_tokens * 37 >= 1000000 THEN printf('%.1fM', total_input_tokens * 37 / 1e6) WHEN total_input_tokens * 37 >= 1000 THEN printf('%.1fK', total_input_tokens * 37 / 1e3) ELSE CAST(total_input_tokens * 37 AS STRING) END AS shown FROM sessions")
+def fmt_tokens(c: Catalog) -> DataFrame:
+    return c.sessions.select("session_id", text.format_tokens(F.col("total_input_tokens") * 37).alias("shown"))
+
+
+@query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE sha256(CAST(l.doc_id AS VARCHAR)) = sha256(CAST(d.doc_id AS VARCHAR)))")
+def snk_push(c: Catalog) -> DataFrame:
+    keyed = lambda t: c.table(t).select("doc_id", sinks.object_key(F.sha2(F.col("doc_id").cast("string"), 256), F.lit("x.jsonl")).alias("object"))
+    return sinks.missing(keyed("documents"), keyed("labels"), "object").select("doc_id")
+
+
+@query("SELECT session_id FROM sessions WHERE n % 4 < 2")
+def version_reprocess(c: Catalog) -> DataFrame:
+    rows = c.sessions.withColumn("parser_version", F.when(F.col("n") % 4 == 0, 7).when(F.col("n") % 4 > 1, 8))
+    return rows.filter(sinks.versions("parser_version", 8)).select("session_id")
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 4 <> 0")
+def src_fingerprint(c: Catalog) -> DataFrame:
+    """Files without a ledger row of their size and time."""
+    at = F.timestamp_micros(F.col("page_id") * 1000)
+    found = c.table("pages").select("page_id", F.concat(F.lit("/p/"), "page_id").alias("file"), F.col("page_id").alias("size"), at.alias("modified"))
+    shift = F.col("page_id") % 4
+    ledger = found.filter(shift != 3).select("file", F.when(shift == 1, F.col("size") + 1).otherwise(F.col("size")).alias("size"), F.when(shift == 2, F.timestamp_micros(F.unix_micros("modified") + 5)).otherwise(F.col("modified")).alias("modified"))
+    return transcripts.changed_files(found, ledger).select("page_id")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'src/' || page_id END AS relative FROM pages")
+def cls_repo_relative(c: Catalog) -> DataFrame:
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/r/app/src/"), "page_id")).otherwise(F.concat(F.lit("/r/apple/"), "page_id"))
+    return c.table("pages").select("page_id", paths.repo_relative(path, F.lit("/r/./app/")).alias("relative"))

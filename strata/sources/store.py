@@ -30,32 +30,69 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 
 class Store:
-    """Catalog tables as versioned Parquet folders. A write makes a new version and then appends its
-    number to the table's log, so readers see the old version or the new one."""
+    """Catalog tables as Parquet folders. A table written whole gets versions: readers see the old one or the new one,
+    and versions before the last two are deleted. A table replaced by key is split in buckets of the key's hash, and
+    a batch writes only the buckets that it touches; a batch that breaks off is run again and then writes the same."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _fs(self, path: str):
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(conf), where
 
+    def _split(self, table: str) -> str:
+        return f"{self.root}/{table}/buckets"
+
+    def _versions(self, table: str) -> list[int]:
+        fs, where = self._fs(f"{self.root}/{table}")
+        names = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory()] if fs.exists(where) else []
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(self._fs(f"{self.root}/{table}/{n}/_SUCCESS")[1]))
+
     def version(self, table: str) -> int:
         """The number of the newest complete version, 0 if there is none."""
-        fs, where = self._fs(f"{self.root}/{table}")
-        if not fs.exists(where):
-            return 0
-        done = [s.getPath().getName() for s in fs.listStatus(where) if s.isDirectory() and fs.exists(self._fs(f"{self.root}/{table}/{s.getPath().getName()}/_SUCCESS")[1])]
-        return max((int(n[1:]) for n in done if n[:1] == "v" and n[1:].isdigit()), default=0)
+        fs, where = self._fs(self._split(table))
+        return 1 if fs.exists(where) else max(self._versions(table), default=0)
 
     def write(self, table: str, rows: DataFrame, *partition_by: str) -> int:
         number = self.version(table) + 1
         rows.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{table}/v{number}")
+        for old in self._versions(table)[:-2]:
+            fs, where = self._fs(f"{self.root}/{table}/v{old}")
+            fs.delete(where, True)
         return number
 
+    def replace(self, table: str, rows: DataFrame, touched: DataFrame, key: str = "session_id") -> None:
+        """Put `rows` in place of all rows whose key `touched` has. Only the buckets of those keys are read and written."""
+        bucket = F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+        keys = touched.select(key).distinct()
+        numbers = [r[0] for r in keys.select(bucket).distinct().collect()]  # at most `buckets`
+        merged = rows.withColumn("bucket", bucket)
+        if self.version(table):
+            held = self._buckets(table).filter(F.col("bucket").isin(numbers))
+            merged = held.join(keys, key, "left_anti").unionByName(merged, allowMissingColumns=True)
+        else:  # no bucket may come of a batch without rows; the columns are known all the same
+            merged.limit(0).write.mode("overwrite").parquet(f"{self.root}/{table}/columns")
+        merged = staged(merged, table)
+        fs, where = self._fs(self._split(table))
+        fs.mkdirs(where)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self._split(table))
+        left = {r[0] for r in merged.select("bucket").distinct().collect()}
+        for number in set(numbers) - left:
+            fs, where = self._fs(f"{self._split(table)}/bucket={number}")
+            fs.delete(where, True)
+
+    def _buckets(self, table: str) -> DataFrame:
+        fs, where = self._fs(self._split(table))
+        held = any(s.isDirectory() for s in fs.listStatus(where))
+        return self.spark.read.parquet(self._split(table) if held else f"{self.root}/{table}/columns")
+
     def read(self, table: str, schema=None) -> DataFrame:
         number = self.version(table)
+        fs, where = self._fs(self._split(table))
+        if number and fs.exists(where):
+            return self._buckets(table).drop("bucket")
         if not number:
             if schema is None:
                 raise FileNotFoundError(f"no table {table} in {self.root}")

@@ -7,6 +7,8 @@ nothing, and owners of shared messages are recomputed for the sessions that the
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,17 +33,19 @@ def derive(lines: DataFrame, dialect: str) -> dict[str, DataFrame]:
     return out
 
 
+def file_hashes(lines: DataFrame) -> DataFrame:
+    """file, file_hash: two sums of hashes over the file's lines. It tells that lines came or changed, however large the
+    file; no task reads a file as a whole."""
+    sums = [F.sum(F.xxhash64(F.lit(k), "value").cast("decimal(38,0)")) for k in (1, 2)]
+    return lines.groupBy("file").agg(F.concat_ws(":", F.count(F.lit(1)), *[s.cast("string") for s in sums]).alias("file_hash"))
+
+
 def merge(store: Store, tables: dict[str, DataFrame]) -> None:
-    """Write one batch: every keyed table replaced for the batch's sessions."""
-    new = tables["sessions"]
-    touched = new.select("session_id")
-    held = store.read("sessions", new.schema)
-    store.write("sessions", sinks.upsert(held, new, guarded=tuple(c for c in sinks.GUARDED if c in new.columns)))
-    for name in KEYED:
-        store.write(name, sinks.replace_children(store.read(name, tables[name].schema), tables[name], touched))
-    claims = tables.get("message_claims")
-    if claims is not None:
-        store.write("message_claims", sinks.replace_children(store.read("message_claims", claims.schema), claims, touched))
+    """Write one batch: every keyed table replaced for the batch's sessions, in the buckets that hold them."""
+    touched = staged(tables["sessions"].select("session_id"), "touched")
+    for name in ("sessions", *KEYED, "message_claims"):
+        if tables.get(name) is not None:
+            store.replace(name, tables[name], touched)
 
 
 def ingest(spark: SparkSession, names: list[str], dialect: str, store: Store, markers: tuple[str, ...]) -> None:
@@ -50,14 +54,16 @@ def ingest(spark: SparkSession, names: list[str], dialect: str, store: Store, ma
     lines = read_lines(spark, names)
     private = staged(private_files(lines, markers), "private_files")
     marked = not private.isEmpty()
+    hashes = staged(file_hashes(lines), "file_hashes")
     tables = derive(lines.join(private, "file", "left_anti") if marked else lines, dialect)
     merge(store, tables)
+    store.write("file_hashes", sinks.upsert(store.read("file_hashes", hashes.schema), hashes, key="file"))
     if marked or store.version("private_files"):
         held = store.read("private_files", private.schema).join(tables["sessions"].select("file"), "file", "left_anti")
         store.write("private_files", held.unionByName(private).distinct())
     if marked:
         hidden = store.read("sessions").join(private, "file", "left_semi").select("session_id")
-        store.write("turns", store.read("turns").join(hidden, "session_id", "left_anti"))
+        store.replace("turns", store.read("turns").limit(0), staged(hidden, "hidden"))
 
 
 def refresh_native(store: Store) -> None:
@@ -67,32 +73,41 @@ def refresh_native(store: Store) -> None:
     store.write_if_changed("native_usage", catalog.native_usage(store.read("message_claims"), sessions, measures))
 
 
-def sync(spark: SparkSession, folders: list[tuple[str, str, int]], store: Store, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS) -> int:
+def refresh(spark: SparkSession, found: DataFrame, store: Store, markers: tuple[str, ...], batch: int) -> int:
+    """Ingest the new and changed of `found` (file, size, modified, dialect, priority), `batch` files at a time; of
+    files with one stem, those of earlier batches included, the first counts. Tells how many files were read."""
+    ledger = store.read("ledger", found.schema)
+    known = ledger.select(*found.columns).join(found.select("file"), "file", "left_anti").withColumn("_new", F.lit(False))
+    first = first_stem(found.withColumn("_new", F.lit(True)).unionByName(known)).filter("_new").drop("_new")
+    changed = staged(changed_files(first, ledger), "changed_files")
+    count = changed.count()
+    for dialect in sorted(r[0] for r in changed.select("dialect").distinct().collect()):
+        names = changed.filter(F.col("dialect") == dialect).select("file").toLocalIterator()
+        while part := [r.file for r in itertools.islice(names, batch)]:
+            ingest(spark, part, "codex" if dialect.startswith("codex") else dialect, store, markers)
+    if count:
+        store.write("ledger", sinks.upsert(ledger, changed, key="file"))
+        if store.version("message_claims"):
+            refresh_native(store)
+    return count
+
+
+def sync(spark: SparkSession, folders: list[tuple[str, str, int]], store: Store, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS, batch: int = 10_000) -> int:
     """Ingest new and changed transcripts of (folder, dialect, priority); tells how many files it read."""
     found = None
     for folder, dialect, priority in folders:
         part = files(spark, folder).withColumns({"dialect": F.lit(dialect), "priority": F.lit(priority)})
         found = part if found is None else found.unionByName(part)
-    found = first_stem(transcripts_only(found, ignore))
-    changed = changed_files(found, store.read("ledger", found.schema))
-    names = [(r.file, r.dialect) for r in changed.select("file", "dialect").collect()]  # names only; their lines stay on executors
-    for dialect in sorted({d for _, d in names}):
-        ingest(spark, [f for f, d in names if d == dialect], "codex" if dialect.startswith("codex") else dialect, store, markers)
-    if names:
-        store.write("ledger", sinks.upsert(store.read("ledger", found.schema), changed, key="file"))
-        if store.version("message_claims"):
-            refresh_native(store)
-    return len(names)
+    return refresh(spark, staged(transcripts_only(found, ignore), "found_files"), store, markers, batch)
 
 
-def stream(spark: SparkSession, folder: str, dialect: str, store: Store, checkpoint: str, files_per_batch: int = 200, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS):
-    """A streaming query that ingests new files of a folder and stops when none is left."""
+def stream(spark: SparkSession, folder: str, dialect: str, store: Store, checkpoint: str, files_per_batch: int = 200, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS, priority: int = 0):
+    """A streaming query that ingests new files of a folder, by the same ledger as `sync`, and stops when none is left."""
     source = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch).text(folder)
-    lines = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    lines = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))
 
     def batch(rows: DataFrame, number: int) -> None:
-        names = [r.file for r in transcripts_only(rows.select("file"), ignore).distinct().collect()]
-        if names:
-            ingest(rows.sparkSession, names, dialect, store, markers)
+        found = transcripts_only(rows, ignore).distinct().withColumns({"dialect": F.lit(dialect), "priority": F.lit(priority)})
+        refresh(rows.sparkSession, staged(found, "found_files"), store, markers, files_per_batch)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

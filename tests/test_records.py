@@ -21,15 +21,15 @@ def one(tables):
 
 
 def test_forked_snapshot(spark, tmp_path):
-    t.write(tmp_path / "rollout-leaf.jsonl", t.forked())
+    t.write(tmp_path / "rollout-branch.jsonl", t.forked())
     tables = records.codex(load(spark, tmp_path))
     s = one(tables)
-    assert (s.fresh_input_tokens, s.cached_input_tokens, s.total_input_tokens, s.total_output_tokens, s.reasoning_output_tokens) == (3000, 2000, 5000, 200, 50)
+    assert (s.fresh_input_tokens, s.cached_input_tokens, s.total_input_tokens, s.total_output_tokens, s.reasoning_output_tokens) == (1300, 1100, 2400, 270, 45)
     assert (s.user_message_count, s.tool_call_count, s.error_count) == (1, 1, 1)
-    assert (s.session_id, s.thread_id, s.parent_thread_id, s.spawn_depth) == ("rollout-leaf", "leaf-thread", "parent-thread", 1)
-    assert s.first_user_message == "The copied topic" and s.project == "/w/leaf"
+    assert (s.session_id, s.thread_id, s.parent_thread_id, s.spawn_depth) == ("rollout-branch", "branch", "trunk", 2)
+    assert s.first_user_message == "Plan the index" and s.project == "/w/branch"
     call = tables["tool_calls"].collect()[0]
-    assert call.command == "cat src/a.py && pytest" and call.operation == "read" and call.is_error and call.command_paths == ["src/a.py"]
+    assert call.command == "cat src/index.py && pytest" and call.operation == "read" and call.is_error and call.command_paths == ["src/index.py"]
 
 
 def test_copy_without_own_task_is_all_inherited(spark, tmp_path):
@@ -43,13 +43,13 @@ def test_second_meta_must_match(spark, tmp_path):
     rows[1]["payload"]["id"] = "other"
     t.write(tmp_path / "x.jsonl", rows)
     s = one(records.codex(load(spark, tmp_path)))
-    assert s.total_input_tokens == 15_000 and s.user_message_count == 2
+    assert s.total_input_tokens == 9_400 and s.user_message_count == 2
 
 
 def test_counter_epochs(spark, tmp_path):
     t.write(tmp_path / "x.jsonl", t.epochs())
     s = one(records.codex(load(spark, tmp_path)))
-    assert (s.fresh_input_tokens, s.cached_input_tokens, s.total_input_tokens, s.total_output_tokens, s.reasoning_output_tokens) == (400, 1500, 1900, 160, 60)
+    assert (s.fresh_input_tokens, s.cached_input_tokens, s.total_input_tokens, s.total_output_tokens, s.reasoning_output_tokens) == (450, 750, 1200, 130, 40)
 
 
 def test_wobble_and_rate_limits_are_no_reset(spark, tmp_path):
