@@ -537,8 +537,8 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """`docs` with one document of each component, the one of least id, columns unchanged. Each text of a repeated
-    id is judged by itself."""
+    """`docs` with one document of each component, the one of least id, columns unchanged. Rows
+    are looked up by id and text."""
     found = similar_components(docs, id_col, text_col, **options)
     others = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("other"), F.col("xx").alias("x")).distinct(), "others")
     held = as_rows(docs).withColumn("w", F.xxhash64(text_or_empty(f"row.{text_col}"))).hint("merge")
