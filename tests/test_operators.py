@@ -208,7 +208,7 @@ def test_store_and_sync(spark, tmp_path):
     assert incremental.sync(spark, folders, store) == 1
     assert sorted(r.session_id for r in store.read("sessions").collect()) == ["r1", "s1", "s2"]
     native = {r.session_id: r.native_total_output_tokens for r in store.read("native_usage").collect()}
-    assert native == {"r1": 160, "s1": 5, "s2": 0}
+    assert native == {"r1": 130, "s1": 5, "s2": 0}
     with open(claude / "s1.jsonl", "a") as f:
         f.write('{"type":"user","sessionId":"s1","timestamp":"2026-07-01T11:00:00Z","message":{"role":"user","content":"more words"}}\n')
     assert incremental.sync(spark, folders, store) == 1
