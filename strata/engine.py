@@ -82,6 +82,10 @@ class Engine:
     def stats(self, today: str, username: str | None = None, since: str | None = None, until: str | None = None) -> dict[str, DataFrame]:
         return reports.stats(self.sessions(), self.daily(), self.store.read("tool_calls"), today, username, since, until)
 
+    def stats_text(self, today: str, **bounds: str | None) -> list[str]:
+        """The five reports as printed lines."""
+        return reports.stats_text(self.stats(today, **bounds))
+
     def top_tools(self, limit: int = 20) -> DataFrame:
         return reports.top_tools(self.store.read("tool_calls"), self.sessions(), limit)
 

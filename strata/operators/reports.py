@@ -68,14 +68,14 @@ def by_period(daily: DataFrame, today: str, since: str | None = None, until: str
     """
     rows = daily.filter(days(since, until))
     month = F.substring("day", 1, 7)
-    sums = rows.groupBy(month.alias("month")).agg(F.countDistinct("session_id").alias("session_count"), _total("total_output_tokens"), F.min("day").alias("low"), F.max("day").alias("high"))
+    sums = rows.groupBy(month.alias("month")).agg(F.countDistinct("session_id").alias("session_count"), *map(_total, SUMS), F.min("day").alias("low"), F.max("day").alias("high"))
     span = sums.agg(F.datediff(F.to_date(F.max("high")), F.to_date(F.min("low"))).alias("span"))
     first = F.to_date(F.concat("month", F.lit("-01")))
     begin = F.greatest(first, F.to_date(F.lit(since[:10]))) if since else first
     ends = [F.last_day(first), F.to_date(F.lit(today))] + ([F.to_date(F.lit(until[:10]))] if until else [])
     calendar = F.greatest(F.lit(1), F.datediff(F.least(*ends), begin) + 1)
     long = sums.join(F.broadcast(span)).filter("span > 30").withColumn("calendar_days", calendar.cast("long"))
-    return long.select("month", "session_count", "total_output_tokens", "calendar_days", F.expr("total_output_tokens div calendar_days").alias("tokens_per_day")).orderBy("month")
+    return long.select("month", "session_count", *SUMS, "calendar_days", F.expr("total_output_tokens div calendar_days").alias("tokens_per_day")).orderBy("month")
 
 
 def dashboard(sessions: DataFrame) -> DataFrame:
@@ -93,10 +93,10 @@ def landing(sessions: DataFrame, limit: int = 14) -> DataFrame:
     return sessions.filter("first_timestamp is not null").groupBy(F.substring("first_timestamp", 1, 10).alias("day")).agg(F.count(F.lit(1)).alias("sessions"), _total("total_output_tokens")).orderBy(F.desc("day")).limit(limit)
 
 
-def pivoted_days(rows: DataFrame, by: str, values: list[str], measure: str, limit: int = 30) -> DataFrame:
-    """A row for each of the newest days and a column for each value, zero where nothing is."""
-    newest = rows.groupBy("day").agg(F.sum(measure).alias("_s")).orderBy(F.desc("day")).limit(limit).select("day")
-    wide = rows.join(newest, "day", "left_semi").groupBy("day").pivot(by, values).agg(F.sum(measure))
+def pivoted_days(rows: DataFrame, by: str, values: list[str], measure: str, today: str, back: int = 30) -> DataFrame:
+    """A row for each day from `back` days before today and a column for each value, zero where nothing is."""
+    recent = rows.filter(F.col("day") >= F.date_sub(F.to_date(F.lit(today)), back).cast("string"))
+    wide = recent.groupBy("day").pivot(by, values).agg(F.sum(measure))
     return wide.na.fill(0).select("day", *[F.col(f"`{v}`").cast("long").alias(v) for v in values])
 
 
@@ -237,3 +237,33 @@ def stats(sessions: DataFrame, daily: DataFrame, tool_calls: DataFrame, today: s
         "by_repo": by_repo(scope),
         "by_period": by_period(used, today, since, until),
     }
+
+
+# Sections of the printed report, as title and columns (heading, column, width, form).
+SECTIONS = {
+    "by_pattern": ("By behavioral pattern", (("Pattern", "pattern", 22, str), ("Sessions", "session_count", 10, "{:,}"), ("Output", "total_output_tokens", 14, "{:,}"), ("%", "pct_of_total", 8, "{:.1f}%"), ("Avg/sess", "avg_output_per_session", 12, "{:,}"))),
+    "subagent_breakdown": ("Subagent command breakdown", (("Category", "category", 16, str), ("Commands", "n", 10, "{:,}"), ("%", "pct", 8, "{:.1f}%"))),
+    "by_repo": ("By repo (top 10)", (("Repo", "repo_name", 30, str), ("Sessions", "session_count", 10, "{:,}"), ("Output", "total_output_tokens", 14, "{:,}"), ("%", "pct_of_total", 8, "{:.1f}%"))),
+    "by_period": ("By month (event-dated)", (("Month", "month", 10, str), ("Sessions", "session_count", 10, "{:,}"), ("Input", "total_input_tokens", 16, "{:,}"), ("Output", "total_output_tokens", 14, "{:,}"), ("Tok/day", "tokens_per_day", 12, "{:,}"))),
+}
+TOTALS = (("Input tokens", "total_input_tokens"), ("Output tokens", "total_output_tokens"), ("Cached tokens", "cached_input_tokens"), ("Cache writes", "cache_creation_input_tokens"), ("Repos touched", "repos_touched"))
+
+
+def stats_text(bundle: dict[str, DataFrame]) -> list[str]:
+    """Lines of the reports of `stats`. Each has a row for a class, a category, one of ten repositories or a month, so
+    what reaches the driver does not grow with the sessions."""
+    def cell(value, width: int, form) -> str:
+        if form is str:
+            return f"{value if len(value) <= width - 2 else value[:width - 5] + '...':<{width}}"
+        return f"{form.format(value):>{width}}"
+
+    total = bundle["overview"].first()
+    pairs = [("Sessions", f"{total.total_sessions:,}"), ("Date range", " to ".join((d or "?")[:10] for d in (total.first_date, total.last_date)))]
+    out = ["=== Overview ===", *[f"  {name + ':':<16}{value}" for name, value in pairs + [(n, f"{total[c]:,}") for n, c in TOTALS]]]
+    for name, (title, columns) in SECTIONS.items():
+        rows = bundle[name].collect()
+        if rows:
+            heads = [f"{h:<{w}}" if form is str else f"{h:>{w}}" for h, _, w, form in columns]
+            shown = [r for r in rows if name != "by_pattern" or r.session_count]
+            out += ["", f"=== {title} ===", "  " + "".join(heads), *["  " + "".join(cell(r[c], w, form) for _, c, w, form in columns) for r in shown]]
+    return out

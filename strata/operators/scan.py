@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.operators import filters
+
 # Fixed values: (title, category, severity, pattern with a group `secret` where less than the match is
 # the secret, check). Patterns are in the common syntax of Python and Java.
 RULES = (
@@ -48,6 +50,7 @@ RULES = (
 NAMED_PREFIXES = ("sk-", "sk_", "xox", "aiza", "npm_", "pypi-", "github_pat_", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "eyj")
 SEVERITY = ("medium", "high")
 VISIBILITY = ("private", "unlisted", "public")
+STATUSES = ("exploration", "success", "partial", "failed")
 
 
 def _json_part(part: str):
@@ -232,15 +235,25 @@ def metadata_sha(fields: list[str]) -> Column:
     return F.sha2(F.to_json(pairs), 256)
 
 
-def queue(sessions: DataFrame, reviews: DataFrame, status: str = "pending") -> DataFrame:
+def queue(sessions: DataFrame, reviews: DataFrame, level: str = "pending", status: str | None = None, origin: str | None = None, username: str | None = None) -> DataFrame:
     """Sessions to publish: unlisted, then private, then others, newest first.
 
-    `needs_changes` are those whose recommendation is stricter than what they are now.
+    `level` is one of the levels, `pending` (not public), `needs_changes` (the recommendation is stricter than what
+    they are now) or `all`; a session without status counts as exploration, without origin as a person's own.
     """
     rows = sessions.join(reviews.select("session_id", "recommendation"), "session_id", "left")
     stricter = F.coalesce(rank(F.col("recommendation")) < rank(F.col("visibility")), F.lit(False))
-    picked = {"pending": F.col("visibility") != "public", "needs_changes": stricter, "all": F.lit(True)}
-    if status not in picked:
+    picked = {"pending": F.col("visibility") != "public", "needs_changes": stricter, "all": F.lit(True)} | {v: F.col("visibility") == v for v in VISIBILITY}
+    if level not in picked:
+        raise ValueError(f"unknown level: {level}")
+    if status and status not in STATUSES:
         raise ValueError(f"unknown status: {status}")
+    hit = picked[level]
+    if status:
+        hit = hit & (F.coalesce("session_status", F.lit("exploration")) == status)
+    if origin:
+        hit = hit & filters.origin(origin)
+    if username:
+        hit = hit & (F.col("username") == username)
     place = F.when(F.col("visibility") == "unlisted", 0).when(F.col("visibility") == "private", 1).otherwise(2)
-    return rows.filter(picked[status]).withColumn("needs_changes", stricter).orderBy(place, F.desc_nulls_last("first_timestamp"), F.desc("session_id"))
+    return rows.filter(hit).withColumn("needs_changes", stricter).orderBy(place, F.desc_nulls_last("first_timestamp"), F.desc("session_id"))

@@ -7,10 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.functions.text import clean_search_text, tokens, windows
+from strata.functions.text import clean_search_text, title_text, tokens, windows
 
 # Structured fields of a session and their labels, ranked before transcript text.
 STRUCTURED = (("session_goal", "goal"), ("session_summary", "summary"), ("first_user_message", "title"), ("repo_name", "repo"), ("project", "project"))
+TITLES = ("session_goal", "first_user_message")
 # BM25 parameters.
 K1, B = 1.2, 0.75
 VERSION = 7
@@ -24,7 +25,7 @@ def metadata_hash(sessions: DataFrame) -> Column:
 
 def documents(sessions: DataFrame, turns: DataFrame, chunk: int = 12_000, overlap: int = 400) -> DataFrame:
     """session_id, field_label, chunk_index, tier, text: structured fields (tier 0) and cleaned transcript windows (tier 1)."""
-    fields = F.array(*[F.struct(F.lit(label).alias("field_label"), F.col(c).alias("text")) for c, label in STRUCTURED if c in sessions.columns])
+    fields = F.array(*[F.struct(F.lit(label).alias("field_label"), (title_text(F.col(c)) if c in TITLES else F.col(c)).alias("text")) for c, label in STRUCTURED if c in sessions.columns])
     structured = sessions.select("session_id", F.explode(fields).alias("f")).select("session_id", "f.field_label", F.lit(0).alias("chunk_index"), F.lit(0).alias("tier"), F.trim("f.text").alias("text")).filter("text <> ''")
     said = turns.filter("searched").select("session_id", "role", "seq", clean_search_text(F.col("text")).alias("text")).filter("text <> ''")
     number = F.row_number().over(Window.partitionBy("session_id", "role").orderBy("seq"))

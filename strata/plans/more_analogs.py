@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import classify, text
-from strata.operators import archive, filters, paths, reports, scan, search, sinks, usage, visibility
+from strata.operators import archive, filters, narrative, paths, reports, scan, search, sinks, usage, visibility
 from strata.plans.analogs import Catalog, continued, query
 
 
@@ -43,6 +43,42 @@ def cls_narrative_clip(c: Catalog) -> DataFrame:
     return c.table("documents").select("doc_id", classify.clip(F.col("text"), 60).alias("goal"))
 
 
+# Activity of a session by its number: files written, runs and failures of checks, commits, errors.
+TOLD = """SELECT session_id, source, repo_name, project, CONCAT('do ', o_orderpriority) AS first_user_message, n % 4 AS write_path_count, CASE WHEN n % 4 > 1 THEN 'src/a.py, b.md' END AS samples,
+  n % 3 AS test_run_count, CASE WHEN n % 6 = 5 THEN 2 ELSE 0 END AS test_failure_count, CASE WHEN n % 8 < 3 THEN n % 8 ELSE 0 END AS lint_run_count, CASE WHEN n % 24 = 2 THEN 1 ELSE 0 END AS lint_failure_count,
+  CASE WHEN n % 5 = 0 THEN 2 ELSE 0 END AS build_run_count, CASE WHEN n % 20 = 0 THEN 1 ELSE 0 END AS build_failure_count, CASE WHEN n % 9 = 4 THEN 1 ELSE 0 END AS format_run_count, 0 AS format_failure_count,
+  CASE WHEN n % 7 = 0 THEN n % 3 ELSE 0 END AS git_commit_count, CASE WHEN n % 11 = 0 THEN 1 ELSE 0 END AS error_count FROM {sessions}"""
+
+
+def _many(count: str, word: str) -> str:
+    return f"CONCAT({count}, ' {word}', CASE WHEN {count} <> 1 THEN 's' ELSE '' END)"
+
+
+def _ran(kind: str, name: str) -> str:
+    with_ = f"CASE WHEN {kind}_failure_count > 0 THEN CONCAT(' with ', {_many(kind + '_failure_count', 'failure')}) ELSE '' END"
+    return f"CASE WHEN {kind}_run_count > 0 THEN CONCAT('Ran {name} ', {_many(kind + '_run_count', 'time')}, {with_}, '.') END"
+
+
+BROKEN = "nullif(concat_ws(', ', " + ", ".join(f"CASE WHEN {k}_failure_count > 0 THEN {_many(k + '_failure_count', k + ' failure')} END" for k in ("test", "lint", "build")) + "), '')"
+
+
+@continued(f""", t AS ({TOLD.replace("{sessions}", "sessions")}),
+g AS (SELECT *, write_path_count > 0 OR format_run_count > 0 OR git_commit_count > 0 OR test_run_count > test_failure_count OR build_run_count > build_failure_count OR lint_run_count > lint_failure_count AS good,
+  error_count + test_failure_count + lint_failure_count + build_failure_count > 0 AS bad, {BROKEN} AS broken FROM t),
+r AS (SELECT *, CASE WHEN bad AND good THEN 'partial' WHEN bad THEN 'failed' WHEN good THEN 'success' ELSE 'exploration' END AS session_status FROM g)
+SELECT session_id, first_user_message AS session_goal, session_status,
+  concat_ws(' ', CONCAT('Worked in ', coalesce(nullif(repo_name, ''), nullif(project, ''), source), '.'),
+    CASE WHEN write_path_count > 0 THEN CONCAT('Touched ', {_many("write_path_count", "file")}, CASE WHEN samples IS NULL THEN '' ELSE CONCAT(' (', samples, ')') END, '.') END,
+    {_ran("test", "tests")}, {_ran("lint", "lint checks")}, {_ran("build", "builds")},
+    CASE WHEN git_commit_count > 0 THEN CONCAT('Made ', {_many("git_commit_count", "git commit")}, '.') WHEN write_path_count + test_run_count + lint_run_count + build_run_count = 0 THEN 'Primarily inspected files and commands.' END) AS session_summary,
+  CASE session_status WHEN 'partial' THEN CONCAT('Made progress, but left ', coalesce(broken, 'recorded errors'), '.') WHEN 'failed' THEN CONCAT('Ended with ', coalesce(broken, 'errors'), ' and no successful publish signal.')
+    WHEN 'exploration' THEN 'No decisive code-change outcome was recorded.' ELSE CASE WHEN git_commit_count > 0 THEN CONCAT('Ended with ', {_many("git_commit_count", "git commit")}, '.')
+    WHEN write_path_count > 0 THEN 'Ended with code changes and no recorded failing checks.' ELSE 'Completed without recorded failures.' END END AS session_outcome FROM r""")
+def cls_narrative(c: Catalog) -> DataFrame:
+    told = narrative.narrative(c.spark.sql(TOLD, sessions=c.sessions))
+    return told.select("session_id", "session_goal", "session_status", "session_summary", "session_outcome")
+
+
 @query("SELECT session_id FROM sessions WHERE n % 7 = 0 AND n % 3 <> 0 AND n % 2 = 0")
 def fts_eligible(c: Catalog) -> DataFrame:
     states = c.sessions.select("session_id", F.when(F.col("n") % 7 == 0, search.VERSION).otherwise(1).alias("index_version"), F.when(F.col("n") % 2 == 0, "ok").otherwise("error").alias("status"), F.when(F.col("n") % 3 == 0, "old").otherwise("h").alias("indexed_hash"))
@@ -114,6 +150,13 @@ def pub_queue(c: Catalog) -> DataFrame:
     return scan.queue(c.sessions, reviews, "needs_changes").select("session_id", "visibility", "recommendation")
 
 
+@query("SELECT session_id, visibility, n % 6 IN (4, 5) AS needs_changes FROM sessions WHERE visibility = 'unlisted' AND session_status = 'success' AND username = 'u7' AND n % 5 <> 1")
+def flt_queue(c: Catalog) -> DataFrame:
+    reviews = c.sessions.select("session_id", F.when(F.col("n") % 6 > 3, "private").otherwise("unlisted").alias("recommendation"))
+    rows = c.sessions.withColumn("session_origin", F.when(F.col("n") % 5 == 0, "human_direct").when(F.col("n") % 5 == 1, "pipeline_eval"))
+    return scan.queue(rows, reviews, "unlisted", "success", "human_direct", "u7").select("session_id", "visibility", "needs_changes")
+
+
 @query("SELECT session_id, list_position(['private', 'unlisted', 'public'], visibility) <= CASE WHEN n % 3 = 0 THEN 3 ELSE 2 END AS allowed FROM sessions")
 def pub_apply(c: Catalog) -> DataFrame:
     recommended = F.when(F.col("n") % 3 == 0, "public").otherwise("unlisted")

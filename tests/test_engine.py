@@ -38,6 +38,7 @@ def test_sessions_tell_their_story(engine):
 
 def test_reports_search_and_review(engine):
     stats = engine.stats("2026-08-01")
+    assert engine.stats_text("2026-08-01")[0] == "=== Overview ==="
     over = stats["overview"].first()
     assert (over.total_sessions, over.total_output_tokens) == (3, 230)
     assert {r.pattern: r.session_count for r in stats["by_pattern"].collect()}["subagent"] == 1

@@ -29,6 +29,40 @@ def test_objective_families(spark):
     assert values(spark, classify.objective_family(F.col("x")), rows, "x string") == ["fix <code> at <path> for issue <n>", "see <url> and <id>", None, None, "b c d"]
 
 
+def test_preambles_and_titles(spark):
+    rows = [("<cwd>/x</cwd>\n<system-reminder>a\nb</system-reminder> Fix it\n",), ("<cwd> fix it",), ("<recommended_plugins>a</recommended_plugins> fix",), ("<recommended_plugins>a fix",), ("<cwd-x>a</cwd-x>",),
+            ("# AGENTS.md instructions for /x",), ("<cwd>1</cwd>" * 5,), ("",), (None,), ("\t fix <cwd>x</cwd>\n",)]
+    assert values(spark, text.strip_preamble(F.col("x")), rows, "x string") == ["Fix it", "fix it", "fix", "", "<cwd-x>a</cwd-x>", "# AGENTS.md instructions for /x", "<cwd>1</cwd>", "", "", "fix <cwd>x</cwd>"]
+    assert values(spark, text.title_text(F.col("x")), rows, "x string") == ["Fix it", "fix it", "", "", "<cwd-x>a</cwd-x>", "", "<cwd>1</cwd>", "", "", "fix <cwd>x</cwd>"]
+
+
+def test_queue_filters(spark):
+    rows = spark.createDataFrame([("a", "private", None, None, "u", "2026-01-01"), ("b", "unlisted", "success", "human_direct", "u", "2026-01-02"), ("c", "public", "failed", "pipeline_eval", "v", None)],
+                                 "session_id string, visibility string, session_status string, session_origin string, username string, first_timestamp string")
+    reviews = spark.createDataFrame([("c", "private"), ("b", "public")], "session_id string, recommendation string")
+    ids = lambda *a, **k: [r.session_id for r in scan.queue(rows, reviews, *a, **k).collect()]
+    assert ids() == ["b", "a"] and ids("needs_changes") == ["c"] and ids("all") == ["b", "a", "c"] and ids("private") == ["a"]
+    assert ids("all", status="exploration") == ["a"] and ids("all", origin="human_direct") == ["b", "a"] and ids("all", username="v") == ["c"]
+    for bad in ({"level": "secret"}, {"status": "odd"}, {"origin": "odd"}):
+        with pytest.raises(ValueError):
+            scan.queue(rows, reviews, **bad)
+
+
+def test_printed_stats(spark):
+    total = "total_input_tokens long, total_output_tokens long, cached_input_tokens long, cache_creation_input_tokens long"
+    bundle = {
+        "overview": spark.createDataFrame([(2, "2026-05-01T00", None, 1234567, 5, 0, 0, 1)], f"total_sessions long, first_date string, last_date string, {total}, repos_touched long"),
+        "by_pattern": spark.createDataFrame([("short-task", 2, 5, 2, 100.0), ("marathon", 0, 0, 0, 0.0)], "pattern string, session_count long, total_output_tokens long, avg_output_per_session long, pct_of_total double"),
+        "subagent_breakdown": spark.createDataFrame([], "category string, n long, pct double"),
+        "by_repo": spark.createDataFrame([("r" * 40, 2, 1500, 100.0)], "repo_name string, session_count long, total_output_tokens long, pct_of_total double"),
+        "by_period": spark.createDataFrame([("2026-05", 2, 1, 2, 0, 0, 3, 7)], f"month string, session_count long, {total}, calendar_days long, tokens_per_day long")}
+    assert reports.stats_text(bundle) == [
+        "=== Overview ===", "  Sessions:       2", "  Date range:     2026-05-01 to ?", "  Input tokens:   1,234,567", "  Output tokens:  5", "  Cached tokens:  0", "  Cache writes:   0", "  Repos touched:  1",
+        "", "=== By behavioral pattern ===", "  Pattern                 Sessions        Output       %    Avg/sess", "  short-task                     2             5  100.0%           2",
+        "", "=== By repo (top 10) ===", "  Repo                            Sessions        Output       %", "  " + "r" * 25 + "...           2         1,500  100.0%".rjust(37),
+        "", "=== By month (event-dated) ===", "  Month       Sessions           Input        Output     Tok/day", "  2026-05            2               1             2           7"]
+
+
 def test_patterns_and_subagents(spark):
     rows = [(1, 500, 900), (0, 101, 0), (0, 50, 501), (0, 20, 500), (0, 100, 0), (0, 19, 0), (0, 5, 0), (0, 4, 0), (None, None, None)]
     got = values(spark, classify.session_pattern(F.col("d"), F.col("u"), F.col("n"), F.lit(False)), rows, "d int, u int, n int")
