@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import chat_format, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sentence_pieces, suffix_dedup
+from strata.llm import chat_format, exact_dedup, fill_middle, language_id, line_dedup, mixing, ngram_join, quality_rules, secret_scan, sentence_pieces, spelling, suffix_dedup, suffix_tree
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,8 +56,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(fill_middle.fill_middle(_table(spark, sf_dir, "documents")))
+
+
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.suffix_tree_scores(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_source_mixing, op4_line_dedup, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_sentence_pieces, op9_ngram_jaccard_join, op10_suffix_dedup)
+    f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_source_mixing, op4_line_dedup, op5_exact_dedup, op6_secret_scan, op7_language_id, op8_sentence_pieces, op9_ngram_jaccard_join, op10_suffix_dedup,
+                              op11_fill_middle, op12_suffix_tree, op13_spelling_variants)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -135,4 +148,32 @@ t AS (SELECT r, count(*) AS n_spans, sum(z - a + 1) AS n_removed, max(z) AS last
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256,
   decode(unhex(regexp_replace(k, '([0-7][0-9A-F]|[CD][0-9A-F][89AB][0-9A-F]|E[0-9A-F](?:[89AB][0-9A-F]){2}|F[0-7](?:[89AB][0-9A-F]){3})|..', '\1', 'g'))) AS kept_text
 FROM (SELECT doc_id, n, n_removed, n_spans, CASE WHEN x IS NULL THEN hex(b) ELSE x || CASE WHEN last < n THEN hex(b[last + 1:n]) ELSE '' END END AS k FROM d LEFT JOIN t USING (r)) z""",
+    "op11_fill_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || doc_id) AS h, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+x AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, t, u, n, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+  CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:lo], '') AS pre, array_to_string(u[lo + 1:hi], '') AS mid, array_to_string(u[hi + 1:n], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p""",
+    "op13_spelling_variants": r"""
+WITH RECURSIVE bits AS (
+  SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS r FROM documents) z),
+kinds AS (SELECT doc_id, run, count(*) AS times, hex(encode(doc_id || ':' || run)) AS x FROM runs GROUP BY ALL),
+hashes AS (SELECT run, times, length(run) AS len, xor(list_reduce(list_transform(range(length(x) // 2), lambda k: ('0x' || x[2 * k + 1:2 * k + 2])::BIGINT),
+  lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295::BIGINT), 4294967295) AS h FROM kinds, crc),
+thin AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:h % len] || run[h % len + 2:] ELSE run END AS word, times FROM hashes),
+w AS (SELECT word, sum(times)::BIGINT AS n FROM thin WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2),
+cut AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w) z),
+met AS (SELECT a.word AS a, b.word AS b FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT cut.word, w.word FROM cut JOIN w ON cut.rest = w.word UNION SELECT w.word, cut.word FROM cut JOIN w ON cut.rest = w.word),
+best AS (SELECT a AS word, count(*) AS n_near, min((-w.n, encode(b))) AS best FROM met JOIN w ON w.word = b GROUP BY a),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 10 * w.n THEN decode(best[2]) END AS form, CASE WHEN -best[1] >= 10 * w.n THEN -best[1] END AS form_n FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT walk.word, walk.next, f.form FROM walk JOIN forms f ON f.word = walk.next)
+SELECT forms.word, forms.form, walk.at AS root, n, n_near, form_n FROM forms JOIN walk ON walk.word = forms.word AND walk.next IS NULL""",
 }

@@ -53,6 +53,20 @@ def parts(offsets: np.ndarray, most: int = 1 << 19):
         i = min(j, n)
 
 
+def cut_long(data: np.ndarray, offsets: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The offsets with further cuts, and the text that each piece is of: texts of over `most` bytes are cut before white space
+    at about every `most` bytes. A longer word stays whole."""
+    cuts = [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(np.diff(offsets) > most).tolist():
+        space = np.flatnonzero(_SPACE[data[offsets[k] : offsets[k + 1]]])
+        at = np.searchsorted(space, np.arange(most, offsets[k + 1] - offsets[k], most))
+        cuts.append(offsets[k] + np.unique(space[at[at < len(space)]]))
+    inside = np.concatenate(cuts).astype(np.int64)
+    pieces = np.ones(len(offsets) - 1, np.int64)
+    np.add.at(pieces, np.searchsorted(offsets, inside, side="right") - 1, 1)
+    return np.sort(np.concatenate([offsets, inside])), np.repeat(np.arange(len(pieces)), pieces)
+
+
 def trim() -> None:
     """Give memory that a batch no longer needs back to the system; idle workers else hold on to it."""
     pa.default_memory_pool().release_unused()
