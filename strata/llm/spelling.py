@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.shared import ascii_lower, staged, text_or_empty
+from strata.llm.shared import ascii_lower, let, staged, text_or_empty
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
 #: A word one edit away shares one of this many rarest bigrams.
@@ -45,8 +45,8 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def bigrams(word: Column) -> Column:
     """Numbers of a word's bigrams by position, from 0."""
-    code = lambda at: F.instr(F.lit(LETTERS), F.substring(word, at, F.lit(1))) - 1
-    return F.transform(F.sequence(F.lit(1), F.char_length(word) - 1), lambda i: code(i) * len(LETTERS) + code(i + 1))
+    codes = F.transform(F.split(word, "(?<=.)(?=.)"), lambda c: F.instr(F.lit(LETTERS), c) - 1)
+    return let(codes, lambda cs: F.transform(F.sequence(F.lit(0), F.size(cs) - 2), lambda i: F.get(cs, i) * len(LETTERS) + F.get(cs, i + 1)))
 
 
 def gram_order(words: DataFrame) -> list[int]:
