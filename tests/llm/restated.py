@@ -43,34 +43,70 @@ def targets(sizes):
 
 
 def mixed(rows, block=16, shard_words=50_000, seed=("int", 7)):
-    """Words taken of each row (doc_id, text, source), in order."""
+    """Words taken by each row (doc_id, text, source), in order, and of each shard its pieces (key, size, rows, taken, piece)."""
     size = [n_words(t) for _, t, _ in rows]
     totals = defaultdict(int)
     for (_, _, s), n in zip(rows, size):
         totals[s] += n
     totals = dict(sorted(totals.items(), key=lambda x: (x[0] is None, x[0] or "")))
-    target, cells = targets(totals), defaultdict(list)
+    target, cells, alike = targets(totals), defaultdict(list), defaultdict(list)
     for i, (d, t, s) in enumerate(rows):
-        cells[s is None, s or "", spark_hash(seed, d) % max(1, -(-totals[s] // shard_words))].append(i)
-    words = {c: sum(size[i] for i in held) for c, held in cells.items()}
+        alike[d, t or "", s].append(i)
+    for (d, t, s), held in alike.items():
+        each = max(1, shard_words // max(size[held[0]], 1))
+        for p in range(0, len(held), each):
+            part = held[p : p + each]
+            cells[s is None, s or "", spark_hash(seed, d, spark_hash(t), p // each) % max(1, -(-totals[s] // shard_words))].append((d, t, part, p // each, size[part[0]] * len(part)))
+    words = {c: sum(x[4] for x in held) for c, held in cells.items()}
     source = lambda c: None if c[0] else c[1]
     want = {c: target[source(c)] * words[c] / totals[source(c)] if totals[source(c)] else 0.0 for c in cells}
     cap, quota = {c: -(-2 * w // block) for c, w in words.items()}, dict.fromkeys(sorted(cells), 0)
     for _ in range(min(round(sum(want.values()) / block), sum(cap.values()))):
         best = max((c for c in quota if quota[c] < cap[c]), key=lambda c: want[c] / (2 * quota[c] + 1))
         quota[best] += 1
-    taken = [0] * len(rows)
+    taken, shards = [0] * len(rows), defaultdict(list)
     for c, held in cells.items():
-        order = sorted(held, key=lambda i: (spark_hash(seed, "order", rows[i][0]), rows[i][0] is not None, rows[i][0] or 0, size[i], spark_hash(rows[i][1] or "")))
+        order = sorted((x for x in held if x[4]), key=lambda x: (spark_hash(seed, "order", x[0], spark_hash(x[1]), x[3]), x[0] is not None, x[0] or 0, spark_hash(x[1]), x[3]))
         whole = min(quota[c] * block, 2 * words[c])
         rounds = whole // words[c] if words[c] else 0
         first = spark_hash(seed, "start", c[1], c[0], c[2]) % max(1, -(-words[c] // block)) * block
         last, begin = first + whole - rounds * words[c], 0
-        for i in order:
-            over = lambda a, b: max(0, min(begin + size[i], b) - max(begin, a))
-            taken[i] = rounds * size[i] + over(first, last) + over(0, last - words[c])
-            begin += size[i]
-    return taken
+        for d, t, part, piece, own in order:
+            over = lambda a, b: max(0, min(begin + own, b) - max(begin, a))  # noqa: E731, B023
+            got = rounds * own + over(first, last) + over(0, last - words[c])
+            begin += own
+            for j, i in enumerate(part):
+                taken[i] = (j + 1) * got // len(part) - j * got // len(part)
+            shards[c].append(((d, t, source(c)), own // len(part), len(part), got, piece))
+    return taken, shards
+
+
+def copies(rows):
+    """Of each (doc_id, text, source) how often the mix holds it in whole texts."""
+    out = Counter()
+    for held in mixed(rows)[1].values():
+        left, least = 0, {}
+        for k, (_, size, _, got, _) in enumerate(held):
+            least[k] = got // size
+            left += got % size
+        order = sorted(range(len(held)), key=lambda k: (held[k][3] % held[k][1] == 0, -held[k][1], spark_hash(held[k][0][0], spark_hash(held[k][0][1]), held[k][4])))
+        for k in order:
+            more = min(left // held[k][1], 2 * held[k][2] - least[k])
+            least[k] += more
+            left -= more * held[k][1]
+        free = [k for k in order if least[k] < 2 * held[k][2]]
+        if left and free:
+            last = min(free, key=lambda k: held[k][1])
+            other, over = {**least, last: least[last] + 1}, held[last][1] - left
+            for k in sorted(order, key=lambda k: (-held[k][1], spark_hash(held[k][0][0], spark_hash(held[k][0][1]), held[k][4]))):
+                if k != last:
+                    less = min(over // held[k][1], other[k])
+                    other[k] -= less
+                    over -= less * held[k][1]
+            least = other if over < left else least
+        for k, n in least.items():
+            out[held[k][0]] += n
+    return out
 
 
 def good(rows, measures, limit=0.5):

@@ -96,10 +96,8 @@ def restated_pipeline(rows):
     rows.sort()
     rows = [r for r, c in zip(rows, brute_components(rows, [shingles(t) for _, t, _ in rows])) if r[0] == c]
     model, out = sentencepiece.SentencePieceProcessor(model_file=MODEL), Counter()
-    for (doc, text, _), taken in zip(rows, restated.mixed(rows)):
-        size = restated.n_words(text)
+    for (doc, text, _), times in restated.copies(rows).items():
         ids = tuple(model.encode(text or ""))
-        times = int(taken / size + 0.5) if size else 0
         if times:
             out[doc, len(ids), ids, hashlib.sha256((text or "").encode()).hexdigest()] += times
     return out

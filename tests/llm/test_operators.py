@@ -103,7 +103,7 @@ def test_mixing(frame, corpus, shard_words):
         taken[r.source] += r.taken
     for s, t in target.items():
         assert abs(taken[s] - t) <= 4 * max(1, totals[s] // shard_words + 1)
-    want = restated.mixed([(r[0], r[1], r[3]) for r in corpus], 4, shard_words)
+    want, _ = restated.mixed([(r[0], r[1], r[3]) for r in corpus], 4, shard_words)
     assert Counter((r.doc_id, r.taken) for r in rows) == Counter((r[0], n) for r, n in zip(corpus, want))
     again = mixing.mix(frame(corpus[::-1]), shard_words=shard_words, block_words=4).collect()
     assert Counter(again) == Counter(rows)
@@ -417,6 +417,40 @@ def test_rows_of_one_id_share_their_times(frame):
     assert held[5] <= 6 and held[6] <= 2 and sum(held.values()) == 6
 
 
+def test_whole_copies_come_near_the_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    target = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    held = mixing.keep_taken(docs).collect()
+    words, times = Counter(), Counter((r.doc_id, r.text) for r in held)
+    for r in held:
+        words[r.source] += len(WORD.findall(r.text or ""))
+    assert max(times.values()) <= 2
+    for s, t in target.items():
+        assert abs(words[s] - t) <= 0.02 * t
+    got = restated.copies([(r.doc_id, r.text, r.source) for r in docs.collect()])
+    assert Counter((r.doc_id, r.text, r.source) for r in held) == +got
+
+
+def test_hot_ids_are_dealt_to_shards(spark):
+    rows = [(None, "a b c d", "s")] * 900 + [(7, " ".join(f"v{i}" for i in range(40)), "s")] * 300 + [(7, f"only {i}", "s") for i in range(50)] + [(8, "", "s")] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    dealt = mixing.pieces(df, shard_words=1000)
+    assert dealt.filter("size > 0").groupBy("shard").sum("rows").count() > 8
+    assert dealt.agg({"rows": "max"}).first()[0] <= 250
+    want, _ = restated.mixed(rows, 16, 1000)
+    assert Counter((r.doc_id, r.size, r.taken) for r in mixing.mix(df, shard_words=1000).collect()) == Counter((d, restated.n_words(t), n) for (d, t, _), n in zip(rows, want))
+    held = mixing.keep_taken(df).collect()
+    assert abs(sum(restated.n_words(r.text) for r in held) - 1.5 * sum(restated.n_words(t) for _, t, _ in rows)) <= 40
+    assert Counter((r.doc_id, r.text, r.source) for r in held) == +restated.copies(rows)
+
+
+def test_long_text_in_a_mix(spark):
+    rows = [(1, "long " * 400_000, "s"), (2, "a b c", "s"), (3, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want, _ = restated.mixed(rows)
+    assert {(r.doc_id, r.taken) for r in mixing.mix(df).collect()} == set(zip((1, 2, 3), want))
+
+
 def test_language_sample_is_even(spark):
     from pyspark.sql import functions as F
     from strata.llm import language_id
