@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from strata.functions import classify
 from strata.operators import catalog, filters, lineage, narrative, reports, scan, search, sinks, visibility
 from strata.sources.store import Store, staged
-from strata.sources.transcripts import PRIVATE_MARKERS
 from strata.streaming import incremental
 
 RULE = "id int, priority int, field string, mode string, pattern string, visibility string, source_scope string, threshold double, enabled boolean"
@@ -22,7 +21,7 @@ class Engine:
 
     # Ingest.
 
-    def sync(self, folders: list[tuple[str, str, int]], ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS) -> int:
+    def sync(self, folders: list[tuple[str, str, int]], ignore: tuple[str, ...] = (), markers: tuple[str, ...] = ()) -> int:
         """Read new and changed transcripts, then derive what depends on whole sessions."""
         count = incremental.sync(self.spark, folders, self.store, ignore, markers)
         if count:

@@ -76,3 +76,46 @@ def content_text(contents: pa.Array) -> pa.Array:
         except ValueError:
             return ""
     return pa.array([of(t) for t in contents.to_pylist()], pa.string())
+
+
+FRAGMENTS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("role", "tool_name", "text")]))
+#: Blocks by type: role of the fragment, and the fields that hold what was said, first to last.
+TOOL_BLOCKS = {"tool_use": ("tool_use", ("input", "arguments")), "function_call": ("tool_use", ("input", "arguments")),
+               "tool_result": ("tool_result", ("content", "output")), "function_call_output": ("tool_result", ("content", "output"))}
+
+
+def compact(node) -> str:
+    return json.dumps(node, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def content_pieces(node, role: str | None, kind: str | None) -> list[tuple[str | None, str | None, str]]:
+    """(role, tool name, text) of message content of a record of type `kind`, in document order, without empty ones."""
+    out, todo = [], [node]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, list):
+            todo += reversed(at)
+        elif isinstance(at, dict) and (at.get("type") or kind) in TOOL_BLOCKS:
+            name, fields = TOOL_BLOCKS[at.get("type") or kind]
+            said = next((at[f] for f in fields if f in at), at)
+            if name == "tool_use" or isinstance(said, dict):
+                said = compact(said)
+            elif not isinstance(said, str):
+                said = joined_text(said) or compact(said)
+            out.append((name, at.get("name") if name == "tool_use" else None, said))
+        elif isinstance(at, dict) and "content" in at and not {"text", "thinking"} & at.keys():
+            todo.append(at["content"])
+        elif isinstance(at, dict):
+            said = next((at[f] or "" for f in ("text", "thinking") if f in at), None)
+            out.append((role, None, joined_text(at) if said is None else str(said)))
+        elif at is not None:
+            out.append((role, None, str(at)))
+    return [(r, None if n is None else str(n), t) for r, n, t in ((r, n, t.replace("\0", "").strip()) for r, n, t in out) if t]
+
+
+@F.arrow_udf(FRAGMENTS)
+def content_fragments(contents: pa.Array, roles: pa.Array, kinds: pa.Array) -> pa.Array:
+    rows = zip(contents.to_pylist(), roles.to_pylist(), kinds.to_pylist())
+    names = FRAGMENTS.elementType.names
+    found = [[dict(zip(names, x)) for x in content_pieces(json.loads(c), r, k)] if c else [] for c, r, k in rows]
+    return pa.array(found, pa.list_(pa.struct([(n, pa.string()) for n in names])))

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.text import windows
-from strata.functions.words import content_text
-from strata.operators.records import blocks, vget
-from strata.sources.transcripts import field
+from strata.functions.words import content_fragments, content_text
+from strata.sources.transcripts import field, infer_dialect
 
 
 def numbered(lines: DataFrame) -> DataFrame:
@@ -20,47 +19,72 @@ def numbered(lines: DataFrame) -> DataFrame:
     return lines.join(at, ["file", "seq"]).select("file", "seq", "event_index", (F.col("end") - F.col("size")).alias("byte_start"), F.col("end").alias("byte_end"), "value")
 
 
-def _piece(kind: Column, role: Column, text: Column) -> Column:
-    return F.struct(kind.alias("kind"), role.alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+def _bare(text: Column) -> Column:
+    return F.trim(F.translate(text, "\0", ""), F.lit(" \t\n\r\f\v"))
+
+
+def _given(path: str) -> Column:
+    """A field that says something: null for null, an empty string or an empty list or object."""
+    v = field(path, "variant")
+    return F.when(~F.to_json(v).isin("null", '""', "[]", "{}", "false", "0"), v)
+
+
+def _text(v: Column) -> Column:
+    """A string as it is, anything else as JSON."""
+    return F.when(F.schema_of_variant(v) == "STRING", v.cast("string")).otherwise(F.to_json(v))
+
+
+def _content() -> tuple[Column, Column, Column]:
+    """Type, role and content of a record `v` of its file's dialect; no content where the record says nothing to keep."""
+    kind = F.coalesce(field("type"), field("record_type"))
+    inner = F.schema_of_variant(field("payload", "variant")).startswith("OBJECT") & kind.isin("response_item", "session_meta", "event_msg", "turn_context")
+    wrapped = F.coalesce(inner, F.lit(False))
+    codex_kind = F.when(wrapped & (kind == "response_item"), field("payload.type")).otherwise(kind)
+    of = lambda f, *a: F.when(wrapped, f(f"payload.{a[0]}", *a[1:])).otherwise(f(*a))
+    codex, claude = F.col("dialect") == "codex", F.col("dialect") == "claudecode"
+    spoken = F.when(codex_kind == "message", of(field, "content", "variant")).when(codex_kind == "reasoning", F.coalesce(of(_given, "summary"), of(_given, "content")))
+    turn = F.when(kind.isin("user", "assistant", "system"), F.coalesce(_given("message.content"), _given("content")))
+    content = F.when(codex, spoken).when(claude, turn).otherwise(F.coalesce(*map(_given, ("message", "content", "text"))))
+    role = F.when(codex, F.when(codex_kind == "reasoning", "reasoning").otherwise(of(field, "role"))).when(claude, F.coalesce(F.nullif(field("message.role"), F.lit("")), kind)).otherwise(field("role"))
+    return F.when(codex, codex_kind).otherwise(kind), role, content
 
 
 def fragments() -> Column:
-    """Fragments of a record `v`: messages, tool uses, tool results, reasoning, other events."""
-    role = F.coalesce(field("message.role"), field("payload.role"), field("role"), field("type"))
-    inner = F.coalesce(field("payload.type"), field("type"))
-    def of_block(b: Column) -> Column:
-        kind = vget(b, "type")
-        text = F.coalesce(vget(b, "text"), vget(b, "thinking"), F.to_json(F.coalesce(vget(b, "input", "variant"), vget(b, "content", "variant"))))
-        named = F.when(kind == "tool_use", "tool_use").when(kind == "tool_result", "tool_result").when(kind == "thinking", "reasoning").otherwise("message")
-        return _piece(named, role, text)
-    plain = F.when(F.schema_of_variant(field("message.content", "variant")) == "STRING", F.array(_piece(F.lit("message"), role, field("message.content"))))
-    claude = F.when(field("message", "variant").isNotNull(), F.coalesce(plain, F.transform(blocks("message.content"), of_block)))
-    payload = F.when(
-        inner == "token_count", F.array().cast("array<struct<kind:string,role:string,text:string>>")
-    ).when(inner.isin("message", "user_message", "agent_message"), F.transform(blocks("payload.content"), lambda b: _piece(F.lit("message"), role, vget(b, "text")))
-    ).when(inner == "function_call", F.array(_piece(F.lit("tool_use"), F.lit("assistant"), F.concat_ws(" ", field("payload.name"), field("payload.arguments"))))
-    ).when(inner == "function_call_output", F.array(_piece(F.lit("tool_result"), F.lit("tool"), field("payload.output")))
-    ).when(inner == "reasoning", F.transform(blocks("payload.summary"), lambda b: _piece(F.lit("reasoning"), F.lit("assistant"), vget(b, "text"))))
-    return F.coalesce(claude, payload, F.array(_piece(F.lit("event"), role, F.to_json("v"))))
+    """Fragments (role, tool_name, text) of a record `v` with `dialect`: what messages, calls, results, reasoning and events say;
+    of other records nothing. Blocks are walked by the one helper in Python, and records without blocks stay in the engine."""
+    record, role, content = _content()
+    one = lambda r, name, text: F.array(F.struct(F.lit(r).alias("role"), name.alias("tool_name"), _bare(F.coalesce(text, F.lit(""))).alias("text")))
+    none = F.lit(None).cast("string")
+    codex, wrapped = F.col("dialect") == "codex", field("payload", "variant").isNotNull()
+    at = lambda p: F.when(wrapped, field(f"payload.{p}", "variant")).otherwise(field(p, "variant"))
+    name = F.coalesce(field("payload.name"), field("name"))
+    event = content_text(F.to_json(F.coalesce(*[_given(f"payload.{p}") for p in ("message", "content", "text")])))
+    tool = F.when(codex & (record == "function_call"), one("tool_use", name, _text(F.coalesce(at("arguments"), F.parse_json(F.lit("{}")))))).when(
+        codex & (record == "function_call_output"), one("tool_result", none, _text(at("output")))).when(
+        codex & (record == "event_msg") & (F.coalesce(field("payload.type"), F.lit("")) != "token_count"), one("event", none, event))
+    return F.coalesce(tool, content_fragments(F.to_json(content), role, record))
 
 
 def chunks(lines: DataFrame, most: int = 12_000, overlap: int = 400) -> DataFrame:
-    """file, event_index, fragment_index, chunk_index, byte_start, byte_end, session_id, kind, role, text.
+    """file, event_index, fragment_index, chunk_index, byte_start, byte_end, session_id, record_type, kind, role, tool_name, text.
 
-    A session id holds on to the lines below it; a line that is no JSON is one raw fragment.
+    `lines` may have the dialect of each file; else it is inferred. A session id holds on to the lines below it; a line
+    that is no JSON object is one raw fragment. Kinds are message, tool_use, tool_result, reasoning, event and raw.
     """
     rows = numbered(lines).withColumn("v", F.try_parse_json("value"))
-    named = F.coalesce(field("sessionId"), field("payload.id"), field("session_id"))
+    told = lines.select("file", "dialect").distinct() if "dialect" in lines.columns else infer_dialect(lines)
+    rows = rows.join(told, "file").withColumn("object", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
+    named = [F.nullif(field(p + k), F.lit("")) for p in ("payload.", "message.", "") for k in ("session_id", "sessionId", "conversation_id")]
+    named = F.coalesce(*named, F.when(F.col("dialect").isin("codex") & (F.coalesce(field("type"), field("record_type")) == "session_meta"), F.coalesce(field("payload.id"), field("id"))))
     sticky = F.last("own", ignorenulls=True).over(Window.partitionBy("file").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    ids = rows.select("file", "seq", F.when(F.col("v").isNotNull(), named).alias("own")).withColumn("session_id", sticky).drop("own")
-    raw = F.array(_piece(F.lit("raw"), F.lit(None).cast("string"), F.col("value")))
-    cut = rows.filter(F.trim("value") != "").select("file", "seq", "event_index", "byte_start", "byte_end", F.posexplode(F.when(F.col("v").isNull(), raw).otherwise(fragments())).alias("fragment_index", "f"))
-    out = cut.filter(F.trim("f.text") != "").select("file", "seq", "event_index", "fragment_index", "byte_start", "byte_end", "f.kind", "f.role", F.explode(windows(F.col("f.text"), most, overlap)).alias("w"))
-    return out.join(ids, ["file", "seq"]).select("file", "event_index", "fragment_index", F.col("w.chunk_index").alias("chunk_index"), "byte_start", "byte_end", "session_id", "kind", "role", F.col("w.chunk").alias("text"))
-
-
-def text_of_content() -> Column:
-    return content_text(F.to_json(field("message.content", "variant")))
+    ids = rows.select("file", "seq", F.when(F.col("object"), named).alias("own")).withColumn("session_id", sticky).drop("own")
+    said = rows.filter(F.col("object")).select("file", "seq", "event_index", "byte_start", "byte_end", _content()[0].alias("record_type"), fragments().alias("fs"))
+    raw = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("tool_name"), _bare(F.col("value")).alias("text")))
+    other = rows.filter(~F.col("object") & (F.trim("value") != "")).select("file", "seq", "event_index", "byte_start", "byte_end", F.lit("raw").alias("record_type"), raw.alias("fs"))
+    cut = said.unionByName(other).select("file", "seq", "event_index", "byte_start", "byte_end", "record_type", F.posexplode("fs").alias("fragment_index", "f")).filter("f.text <> ''")
+    kind = F.when(F.col("record_type") == "raw", "raw").when(F.col("role").isin("tool_use", "tool_result", "reasoning", "event"), F.col("role")).otherwise("message")
+    out = cut.select("file", "seq", "event_index", "fragment_index", "byte_start", "byte_end", "record_type", "f.role", "f.tool_name", F.explode(windows(F.col("f.text"), most, overlap)).alias("w"))
+    return out.join(ids, ["file", "seq"]).select("file", "event_index", "fragment_index", F.col("w.chunk_index").alias("chunk_index"), "byte_start", "byte_end", "session_id", "record_type", kind.alias("kind"), "role", "tool_name", F.col("w.chunk").alias("text"))
 
 
 def show(rows: DataFrame, session_id: str) -> DataFrame:

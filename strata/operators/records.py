@@ -34,14 +34,25 @@ def blocks(path: str) -> Column:
     return F.coalesce(field(path, "array<variant>"), F.when(F.schema_of_variant(field(path, "variant")).startswith("OBJECT"), F.array(field(path, "variant"))), F.array().cast("array<variant>"))
 
 
-def typed_text(path: str, kinds: tuple[str, ...], bare: bool = False) -> Column:
-    """Text of string content or of blocks of these types; with `bare` also of blocks of just a text."""
+def typed_blocks(get, kinds: tuple[str, ...], bare: bool = False, path: str = "content") -> Column:
+    """Texts of string content or of blocks of these types, one entry each; with `bare` also of blocks of just a text. `get` reads
+    a field of the record."""
+    raw = get(path, "variant")
+    many = F.coalesce(get(path, "array<variant>"), F.when(F.schema_of_variant(raw).startswith("OBJECT"), F.array(raw)), F.array().cast("array<variant>"))
+
     def fits(b: Column) -> Column:
         good = F.coalesce(vget(b, "type").isin(*kinds), F.lit(False))
         return good | (F.schema_of_variant(b) == "OBJECT<text: STRING>") if bare else good
-    plain = F.when(F.schema_of_variant(field(path, "variant")) == "STRING", field(path))
-    text = F.transform(F.filter(blocks(path), lambda b: fits(b) & (F.schema_of_variant(vget(b, "text", "variant")) == "STRING")), lambda b: vget(b, "text"))
-    return F.coalesce(plain, F.array_join(text, " "))
+    texts = F.transform(F.filter(many, lambda b: fits(b) & (F.schema_of_variant(vget(b, "text", "variant")) == "STRING")), lambda b: vget(b, "text"))
+    return F.when(F.schema_of_variant(raw) == "STRING", F.array(get(path))).otherwise(texts)
+
+
+def spoken(texts: Column, searched: Column, user: bool = False) -> Column:
+    """What of a turn's texts is indexed, one entry each: of a user's what follows the harness's wrappers, unless it is a
+    message of instructions; nothing of a turn that is not searched."""
+    bare = F.transform(texts, lambda t: strip_preamble(t)) if user else texts
+    own = F.filter(bare, lambda t: (F.trim(t) != "") & ~is_agents_payload(t)) if user else bare
+    return F.when(searched, own).otherwise(F.array().cast("array<string>"))
 
 
 def _blank(*names: str) -> list[Column]:
@@ -59,7 +70,7 @@ def claude(records: DataFrame) -> dict[str, DataFrame]:
     content = blocks("message.content")
     has_result = F.exists(content, lambda b: F.coalesce(vget(b, "type") == "tool_result", F.lit(False)))
     user = base.filter("rtype = 'user'").select("file", "seq", "v", "ts", has_result.alias("has_result"))
-    typed = user.filter("not has_result").select("file", "seq", "ts", F.trim(typed_text("message.content", ("text",))).alias("text"), F.coalesce(field("isMeta", "boolean"), F.lit(False)).alias("meta")).filter("text <> ''")
+    typed = user.filter("not has_result").select("file", "seq", "ts", typed_blocks(field, ("text",), path="message.content").alias("texts"), F.coalesce(field("isMeta", "boolean"), F.lit(False)).alias("meta")).withColumn("text", F.trim(F.array_join("texts", " "))).filter("text <> ''")
     results = user.filter("has_result").select("file", "seq", F.explode(content).alias("b")).filter(vget(F.col("b"), "type") == "tool_result").select("file", "seq", vget(F.col("b"), "tool_use_id").alias("call_id"), F.coalesce(vget(F.col("b"), "is_error", "boolean"), F.lit(False)).alias("is_error"))
 
     assistant = base.filter("rtype = 'assistant'")
@@ -102,8 +113,10 @@ def claude(records: DataFrame) -> dict[str, DataFrame]:
     sessions = _sessions(ids, events, title, model, errors, "claudecode")
     key = F.when(F.col("request_id").isNotNull(), F.concat("message_id", F.lit(":"), "request_id")).when(F.col("uuid").isNotNull(), F.concat(F.lit("uuid:"), "uuid")).otherwise(F.concat(F.lit("mid:"), "message_id"))
     claims = messages.join(ids.select("file", "session_id", "fallback_day"), "file").select(key.alias("claim_key"), "session_id", F.coalesce(event_day(F.col("ts")), "fallback_day").alias("day"), *MEASURES[:8])
-    turns = typed.select("file", "seq", F.lit("user").alias("role"), "text", (~F.col("meta")).alias("searched")).unionByName(
-        assistant.select("file", "seq", F.lit("assistant").alias("role"), typed_text("message.content", ("text",)).alias("text"), F.lit(True).alias("searched")).filter("text <> ''"))
+    open_ = ~F.coalesce(field("isMeta", "boolean"), F.lit(False))
+    answers = assistant.select("file", "seq", typed_blocks(field, ("text",), path="message.content").alias("texts"), open_.alias("searched"))
+    turns = typed.select("file", "seq", F.lit("user").alias("role"), "text", (~F.col("meta")).alias("searched"), spoken(F.col("texts"), ~F.col("meta"), user=True).alias("spoken")).unionByName(
+        answers.select("file", "seq", F.lit("assistant").alias("role"), F.array_join("texts", " ").alias("text"), "searched", spoken(F.col("texts"), F.col("searched")).alias("spoken")).filter("text <> ''"))
     return {"sessions": sessions, "messages": messages, "tool_calls": _named(calls, ids), "events": _named(events, ids), "claims": claims, "turns": _named(turns, ids)}
 
 
@@ -169,10 +182,12 @@ def codex(records: DataFrame) -> dict[str, DataFrame]:
         nothing = nothing & (F.col(c) == 0)
     deltas = usage.counter_deltas(counted, ["file"], "seq", reset=nothing, replay=F.col("replay"))
 
-    text = strip_preamble(typed_text_of(_payload, ("text", "input_text", "output_text")))
+    kinds = ("text", "input_text", "output_text")
+    texts = typed_blocks(_payload, kinds, bare=True)
+    text = strip_preamble(F.array_join(texts, " "))
     context = F.regexp_like(text, F.lit(r"(?s)^\s*<(environment_context|cwd)>.*?</\1>\s*$"))
-    users = rows.filter((F.col("rtype") == "message") & (_payload("role") == "user")).select("file", "seq", "ts", "replay", F.when(~context, text).alias("text")).filter(F.char_length("text") >= 3)
-    replies = rows.filter((F.col("rtype") == "message") & (_payload("role") == "assistant") & ~F.col("replay")).select("file", "seq", "ts", content_text(F.to_json(_payload("content", "variant"))).alias("text")).filter(F.trim("text") != "")
+    users = rows.filter((F.col("rtype") == "message") & (_payload("role") == "user")).select("file", "seq", "ts", "replay", F.when(~context, text).alias("text"), texts.alias("texts")).filter(F.char_length("text") >= 3)
+    replies = rows.filter((F.col("rtype") == "message") & (_payload("role") == "assistant") & ~F.col("replay")).select("file", "seq", "ts", content_text(F.to_json(_payload("content", "variant"))).alias("text"), texts.alias("texts")).filter(F.trim("text") != "")
 
     live = rows.filter(~F.col("replay"))
     raw = _payload("arguments", "variant")
@@ -185,7 +200,7 @@ def codex(records: DataFrame) -> dict[str, DataFrame]:
     results = output.select("file", "seq", "call_id", output_is_error(F.col("o"), F.col("text")).alias("is_error"))
     calls = usage.attach_results(calls, results.filter("call_id is not null").select("file", "call_id", F.struct("seq", F.lit(0).alias("place")).alias("seq"), "is_error"))
 
-    cwd = F.nullif(F.when(F.col("rtype").isin("session_meta", "turn_context"), _payload("cwd")).when((F.col("rtype") == "message") & (_payload("role") == "user"), F.trim(F.regexp_extract(typed_text_of(_payload, ("text", "input_text", "output_text")), r"(?s)<cwd>(.*?)</cwd>", 1))), F.lit(""))
+    cwd = F.nullif(F.when(F.col("rtype").isin("session_meta", "turn_context"), _payload("cwd")).when((F.col("rtype") == "message") & (_payload("role") == "user"), F.trim(F.regexp_extract(F.array_join(texts, " "), r"(?s)<cwd>(.*?)</cwd>", 1))), F.lit(""))
     spawn = "source.subagent.thread_spawn"
     meta = F.when(F.col("rtype") == "session_meta", F.struct(_payload("id").alias("id"), _payload("timestamp").alias("at"), F.col("ts").alias("ts"), F.coalesce(*[F.nullif(_payload(p), F.lit("")) for p in ("parent_thread_id", f"{spawn}.parent_thread_id", "forked_from_id")]).alias("parent"), zero(_payload(f"{spawn}.depth", "int")).alias("depth")))
     told = rows.select("file", "seq", "ts", F.nullif(field("id"), F.lit("")).alias("own_id"), cwd.alias("cwd"), meta.alias("meta"), F.when(F.col("rtype") == "turn_context", F.nullif(_payload("model"), F.lit(""))).alias("model"))
@@ -205,19 +220,13 @@ def codex(records: DataFrame) -> dict[str, DataFrame]:
         .unionByName(replies.select("file", event_day(F.col("ts")).alias("day"), *_blank(*MEASURES[:10]), F.lit(1).cast("long").alias("assistant_message_count"), *_blank("tool_call_count")))
         .unionByName(calls.select("file", event_day(F.col("timestamp")).alias("day"), *_blank(*MEASURES[:11]), F.lit(1).cast("long").alias("tool_call_count"))))
     sessions = _sessions(ids.drop("model"), events, title, ids.select("file", "model"), errors, "codex")
-    turns = users.select("file", "seq", F.lit("user").alias("role"), "text", (~F.col("replay") & ~is_agents_payload(F.col("text"))).alias("searched")).unionByName(replies.select("file", "seq", F.lit("assistant").alias("role"), "text", F.lit(True).alias("searched")))
+    searched = ~F.col("replay") & ~is_agents_payload(F.col("text"))
+    turns = users.select("file", "seq", F.lit("user").alias("role"), "text", searched.alias("searched"), spoken(F.col("texts"), ~F.col("replay"), user=True).alias("spoken"))
+    # A reply is counted and shown with all its text; searched is only what it says in blocks of text.
+    turns = turns.unionByName(replies.select("file", "seq", F.lit("assistant").alias("role"), "text", F.lit(True).alias("searched"), spoken(F.col("texts"), F.lit(True)).alias("spoken")))
     return {"sessions": sessions, "tool_calls": _named(calls, ids), "events": _named(events, ids), "turns": _named(turns, ids)}
 
 
-def typed_text_of(get, kinds: tuple[str, ...]) -> Column:
-    """Text of a normalised record's content: a string, blocks of these types, or blocks of just a text."""
-    raw = get("content", "variant")
-    many = F.coalesce(get("content", "array<variant>"), F.when(F.schema_of_variant(raw).startswith("OBJECT"), F.array(raw)), F.array().cast("array<variant>"))
-    fits = lambda b: F.coalesce(vget(b, "type").isin(*kinds), F.lit(False)) | (F.schema_of_variant(b) == "OBJECT<text: STRING>")
-    text = F.transform(F.filter(many, lambda b: fits(b) & (F.schema_of_variant(vget(b, "text", "variant")) == "STRING")), lambda b: vget(b, "text"))
-    return F.coalesce(F.when(F.schema_of_variant(raw) == "STRING", get("content")), F.array_join(text, " "))
-
-
 def output_is_error(output: Column, text: Column) -> Column:
     """Whether a tool's output tells a failure: exit code, error flag, or the words of a failed process."""
     parsed = F.coalesce(F.when(F.schema_of_variant(output) == "STRING", F.try_parse_json(text)), output)

@@ -24,11 +24,13 @@ def metadata_hash(sessions: DataFrame) -> Column:
 
 
 def documents(sessions: DataFrame, turns: DataFrame, chunk: int = 12_000, overlap: int = 400) -> DataFrame:
-    """session_id, field_label, chunk_index, tier, text: structured fields (tier 0) and cleaned transcript windows (tier 1)."""
+    """session_id, field_label, chunk_index, tier, text: structured fields (tier 0) and cleaned transcript windows (tier 1) of each
+    text that a turn speaks (`spoken`, or its whole text where the turns have no such column)."""
     fields = F.array(*[F.struct(F.lit(label).alias("field_label"), (title_text(F.col(c)) if c in TITLES else F.col(c)).alias("text")) for c, label in STRUCTURED if c in sessions.columns])
     structured = sessions.select("session_id", F.explode(fields).alias("f")).select("session_id", "f.field_label", F.lit(0).alias("chunk_index"), F.lit(0).alias("tier"), F.trim("f.text").alias("text")).filter("text <> ''")
-    said = turns.filter("searched").select("session_id", "role", "seq", clean_search_text(F.col("text")).alias("text")).filter("text <> ''")
-    number = F.row_number().over(Window.partitionBy("session_id", "role").orderBy("seq"))
+    own = F.col("spoken") if "spoken" in turns.columns else F.array("text")
+    said = turns.filter("searched").select("session_id", "role", "seq", F.posexplode(own).alias("block", "text")).withColumn("text", clean_search_text(F.col("text"))).filter("text <> ''")
+    number = F.row_number().over(Window.partitionBy("session_id", "role").orderBy("seq", "block"))
     cut = said.withColumn("turn", number).select("session_id", "role", "turn", F.explode(windows(F.col("text"), chunk, overlap)).alias("w"))
     transcript = cut.select("session_id", F.concat("role", F.lit(":"), "turn").alias("field_label"), F.col("w.chunk_index").alias("chunk_index"), F.lit(1).alias("tier"), F.col("w.chunk").alias("text"))
     return structured.unionByName(transcript)

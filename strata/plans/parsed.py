@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions import text
 from strata.operators import archive, records
 from strata.plans.analogs import ORACLE_SQL, Catalog, query
 from strata.sources import transcripts
@@ -184,8 +185,8 @@ def src_infer(c: Catalog) -> DataFrame:
 
 @query("SELECT DISTINCT 'h' || user_id AS file FROM events WHERE event_type = 'purchase'")
 def prs_private_marker(c: Catalog) -> DataFrame:
-    lines = c.table("events").select(F.concat(F.lit("h"), "user_id").alias("file"), F.when(F.col("event_type") == "purchase", "x ccshare:private y").otherwise("ccshare").alias("value"))
-    return transcripts.private_files(lines, transcripts.PRIVATE_MARKERS)
+    lines = c.table("events").select(F.concat(F.lit("h"), "user_id").alias("file"), F.when(F.col("event_type") == "purchase", "x [[keep-out]] y").otherwise("keep-out").alias("value"))
+    return transcripts.private_files(lines, ("[[keep-out]]", "nobody writes this"))
 
 
 @query("SELECT page_id FROM pages WHERE page_id % 5 <> 0")
@@ -214,3 +215,56 @@ def chk_missing(c: Catalog) -> DataFrame:
     name = F.concat(F.lit("/a/"), "page_id", F.when(F.col("page_id") % 4 == 0, ".txt").when(F.col("page_id") % 4 == 3, ".ndjson").otherwise(".jsonl"))
     files = c.table("pages").select("page_id", name.alias("file"))
     return archive.unindexed(files, files.filter("page_id % 4 = 2")).select("page_id")
+
+
+# Records of both dialects with every kind of content, and some that have nothing to keep.
+ARCHIVED = """SELECT CONCAT(CASE WHEN event_id % 10 < 6 THEN 'c' ELSE 'k' END, user_id % 11) AS file, CAST(event_id AS INT) AS seq, CASE WHEN event_id % 10 < 6 THEN 'codex' ELSE 'claudecode' END AS dialect, CASE event_id % 10
+  WHEN 0 THEN CONCAT('{{"type":"event_msg","payload":{{"type":"agent_message","message":"did ', event_type, '"}}}}')
+  WHEN 1 THEN CONCAT('{{"type":"response_item","payload":{{"type":"message","role":"user","content":"  plain ', event_id, ' "}}}}')
+  WHEN 2 THEN CONCAT('{{"type":"response_item","payload":{{"type":"function_call","name":"shell","arguments":"go ', event_id, '"}}}}')
+  WHEN 3 THEN CONCAT('{{"type":"response_item","payload":{{"type":"function_call_output","output":{{"ok":', event_id, '}}}}}}')
+  WHEN 4 THEN '{{"type":"event_msg","payload":{{"type":"token_count","message":"no"}}}}'
+  WHEN 5 THEN CONCAT('{{"type":"response_item","payload":{{"type":"reasoning","summary":[{{"text":"why ', event_type, '"}},{{"text":" "}}]}}}}')
+  WHEN 6 THEN '{{"type":"summary","summary":"of it all"}}'
+  WHEN 7 THEN CONCAT('{{"type":"assistant","message":{{"role":"assistant","content":[{{"type":"thinking","thinking":"hm ', event_type, '"}},{{"type":"tool_use","name":"Edit","input":{{"b":1,"a":', event_id, '}}}},{{"type":"text","text":" done "}}]}}}}')
+  WHEN 8 THEN CONCAT('{{"type":"user","sessionId":"S', user_id, '","message":{{"content":[{{"type":"tool_result","content":[{{"type":"text","text":"out"}},{{"type":"text","text":"', event_id, '"}}]}}]}}}}')
+  ELSE CONCAT('{{"type":"system","content":"sys ', event_type, '"}}') END AS value FROM {events}"""
+
+
+@plain("""WITH e AS (SELECT *, (CASE WHEN event_id % 10 < 6 THEN 'c' ELSE 'k' END) || user_id % 11 AS file FROM events),
+n AS (SELECT *, (row_number() OVER (PARTITION BY file ORDER BY event_id))::INT AS event_index, last_value(CASE WHEN event_id % 10 = 8 THEN 'S' || user_id END IGNORE NULLS) OVER (PARTITION BY file ORDER BY event_id) AS session_id FROM e),
+f AS (SELECT *, unnest(CASE event_id % 10 WHEN 0 THEN [['event', NULL, 'did ' || event_type]] WHEN 1 THEN [['user', NULL, 'plain ' || event_id]] WHEN 2 THEN [['tool_use', 'shell', 'go ' || event_id]] WHEN 3 THEN [['tool_result', NULL, '{"ok":' || event_id || '}']]
+  WHEN 5 THEN [['reasoning', NULL, 'why ' || event_type]] WHEN 7 THEN [['assistant', NULL, 'hm ' || event_type], ['tool_use', 'Edit', '{"a":' || event_id || ',"b":1}'], ['assistant', NULL, 'done']] WHEN 8 THEN [['tool_result', NULL, 'out ' || event_id]] WHEN 9 THEN [['system', NULL, 'sys ' || event_type]] ELSE [] END) AS p FROM n)
+SELECT file, event_index, session_id, p[1] AS role, p[2] AS tool_name, p[3] AS text, CASE WHEN p[1] IN ('event', 'tool_use', 'tool_result', 'reasoning') THEN p[1] ELSE 'message' END AS kind FROM f""")
+def chk_records(c: Catalog) -> DataFrame:
+    return archive.chunks(c.sql(ARCHIVED)).select("file", F.col("event_index").cast("int").alias("event_index"), "session_id", "role", "tool_name", "text", "kind")
+
+
+# What is indexed of both dialects: typed blocks without wrappers; no thinking, no results, no instructions.
+SPOKEN = """SELECT CONCAT('/p/-w/', CASE WHEN event_id % 8 < 4 THEN 'k' ELSE 'c' END, event_id % 5, '.jsonl') AS file, CAST(event_id AS INT) AS seq, CASE event_id % 8
+  WHEN 0 THEN CONCAT('{{"type":"user","message":{{"role":"user","content":[{{"type":"text","text":"<system-reminder>of ', event_type, '</system-reminder> ask ', event_id, '"}},{{"type":"text","text":"<cwd>/x</cwd>"}}]}}}}')
+  WHEN 1 THEN CONCAT('{{"type":"assistant","message":{{"id":"m', event_id, '","role":"assistant","content":[{{"type":"thinking","thinking":"hm"}},{{"type":"text","text":"said ', event_type, '"}},{{"type":"text","text":"more"}}]}}}}')
+  WHEN 2 THEN '{{"type":"user","isMeta":true,"message":{{"role":"user","content":"caveat"}}}}'
+  WHEN 3 THEN '{{"type":"user","message":{{"role":"user","content":[{{"type":"tool_result","tool_use_id":"c","content":"out"}},{{"type":"text","text":"hook"}}]}}}}'
+  WHEN 4 THEN CONCAT('{{"type":"response_item","payload":{{"type":"message","role":"user","content":[{{"type":"input_text","text":"<environment_context>e</environment_context>"}},{{"type":"input_text","text":"wish ', event_id, '"}}]}}}}')
+  WHEN 5 THEN CONCAT('{{"type":"response_item","payload":{{"type":"message","role":"assistant","content":[{{"type":"thinking","thinking":"hidden"}},{{"type":"output_text","text":"shown ', event_type, '"}}]}}}}')
+  WHEN 6 THEN '{{"type":"response_item","payload":{{"type":"message","role":"user","content":"# AGENTS.md instructions for /w"}}}}'
+  ELSE '{{"type":"response_item","payload":{{"type":"message","role":"assistant","content":[{{"type":"refusal","content":"kept back"}}]}}}}' END AS value FROM {events}"""
+
+
+@query("""SELECT (CASE WHEN event_id % 8 < 4 THEN 'k' ELSE 'c' END) || event_id % 5 AS session_id, event_id::INT AS seq, CASE WHEN event_id % 4 = 0 THEN 'user' ELSE 'assistant' END AS role,
+  unnest(CASE event_id % 8 WHEN 0 THEN ['ask ' || event_id] WHEN 1 THEN ['said ' || event_type, 'more'] WHEN 4 THEN ['wish ' || event_id] ELSE ['shown ' || event_type] END) AS text FROM events WHERE event_id % 8 IN (0, 1, 4, 5)""")
+def fts_extract(c: Catalog) -> DataFrame:
+    lines = c.sql(SPOKEN)
+    held = [f(transcripts.records(lines.filter(F.col("file").contains(mark))))["turns"].filter("searched") for f, mark in ((records.claude, "/k"), (records.codex, "/c"))]
+    both = held[0].select("session_id", "seq", "role", "spoken").unionByName(held[1].select("session_id", "seq", "role", "spoken"))
+    return both.select("session_id", "seq", "role", F.explode("spoken").alias("text"))
+
+
+# What stands before a user's own words, by tag.
+@query("""SELECT event_id, CASE event_id % 6 WHEN 3 THEN '<task>of it</task> do ' || event_id WHEN 4 THEN '' WHEN 5 THEN '<heartbeat>5</heartbeat>do ' || event_id ELSE 'do ' || event_id END AS own FROM events""")
+def fts_preamble(c: Catalog) -> DataFrame:
+    said = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN CONCAT('<cwd>/w</cwd>\n<system-reminder a="b">x</system-reminder> do ', event_id) WHEN 1 THEN CONCAT(' <turn_aborted> do ', event_id) WHEN 2 THEN CONCAT('do ', event_id)
+      WHEN 3 THEN CONCAT('<task>of it</task> do ', event_id) WHEN 4 THEN CONCAT('<recommended_plugins> p, q do ', event_id)
+      ELSE CONCAT('<heartbeat>1</heartbeat><heartbeat>2</heartbeat><heartbeat>3</heartbeat><heartbeat>4</heartbeat><heartbeat>5</heartbeat>do ', event_id) END AS text FROM {events}"""
+    return c.sql(said).select("event_id", text.strip_preamble(F.col("text")).alias("own"))

@@ -32,8 +32,6 @@ NUMBERS = (
     "payload.source.subagent.thread_spawn.depth",
 )
 TOKEN_NUMBERS = tuple(f"payload.info.total_token_usage.{k}" for k in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens"))
-#: Strings that make a session private wherever they stand in it.
-PRIVATE_MARKERS = ("ccshare:private", "agentus:private", "logpile:private")
 #: Longest line that search reads.
 MOST_CHARS = 64 << 20
 
@@ -93,30 +91,36 @@ def _at(path: str) -> Column:
     return F.try_variant_get("v", f"$.{path}", "variant")
 
 
-def _kind(path: str) -> Column:
-    """JSON type of a field: its name up to the type arguments; null if the field is missing."""
-    return F.regexp_extract(F.schema_of_variant(_at(path)), r"^([A-Z]+)", 1)
-
-
 def field(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("v", f"$.{path}", kind)
 
 
-def reject_reason() -> Column:
-    """The first field whose type would make a record unsafe, of a record `v`; null if none."""
-    out = F.lit(None).cast("string")
+def _checks() -> list[Column]:
+    """(path, type found, types allowed, a number where one is due) of each field that a record has to hold well."""
     record = F.coalesce(field("type"), field("record_type"))
-    call = (record == "response_item") & (field("payload.type") == "function_call")
-    checks = [(p, _kind(p).isin(*kinds)) for p, kinds in FIELD_TYPES.items()]
-    whole = lambda p: (_kind(p) == "VOID") | field(p, "double").isNotNull()
-    checks += [(p, whole(p)) for p in NUMBERS]
-    token = field("payload.type") == "token_count"
-    checks += [(p, ~token | (_kind(p) == "OBJECT")) for p in ("payload.info", "payload.info.total_token_usage")]
-    checks += [(p, ~token | whole(p)) for p in TOKEN_NUMBERS]
-    checks += [("name", (record != "function_call") | (_kind("name") == "STRING")), ("payload.name", ~call | (_kind("payload.name") == "STRING"))]
-    for path, good in reversed(checks):
-        out = F.when(_kind(path).isNotNull() & ~F.coalesce(good, F.lit(True)), path).otherwise(out)
-    return out
+    token = F.coalesce(field("payload.type") == "token_count", F.lit(False))
+    call = F.coalesce((record == "response_item") & (field("payload.type") == "function_call"), F.lit(False))
+    anything = F.lit(None).cast("array<string>")
+
+    def check(path: str, kinds: Column, number: Column) -> Column:
+        return F.struct(F.lit(path).alias("path"), F.schema_of_variant(_at(path)).alias("kind"), kinds.alias("kinds"), number.alias("number"))
+
+    typed = lambda *kinds: F.array(*map(F.lit, kinds))
+    due = lambda path: F.coalesce(F.when(F.schema_of_variant(_at(path)) == "VOID", 0.0), field(path, "double"))
+    fine = F.lit(0.0)
+    out = [check(p, typed(*kinds), fine) for p, kinds in FIELD_TYPES.items()] + [check(p, anything, due(p)) for p in NUMBERS]
+    out += [check(p, F.when(token, typed("OBJECT")), fine) for p in ("payload.info", "payload.info.total_token_usage")]
+    out += [check(p, anything, F.when(token, due(p)).otherwise(fine)) for p in TOKEN_NUMBERS]
+    named = F.coalesce(record == "function_call", F.lit(False))
+    return [*out, check("name", F.when(named, typed("STRING")), fine), check("payload.name", F.when(call, typed("STRING")), fine)]
+
+
+def reject_reason() -> Column:
+    """The first field whose type would make a record unsafe, of a record `v`; null if none. Fields are read once each into an array
+    that one filter goes through, so the generated code stays small."""
+    found = lambda c: F.regexp_extract(c["kind"], r"^([A-Z]+)", 1)  # noqa: E731  without type arguments
+    bad = lambda c: c["kind"].isNotNull() & (c["number"].isNull() | ~F.coalesce(F.array_contains(c["kinds"], found(c)), F.lit(True)))
+    return F.get(F.filter(F.array(*_checks()), bad), F.lit(0))["path"]
 
 
 def parsed_lines(lines: DataFrame, most_chars: int | None = None) -> DataFrame:
@@ -156,7 +160,7 @@ def project_of_path(path: Column) -> Column:
 
 
 def private_files(rows: DataFrame, markers: tuple[str, ...]) -> DataFrame:
-    """Files with a privacy marker anywhere in a record."""
+    """Files with one of the privacy markers anywhere in a record; which strings mark one is the caller's to say."""
     hit = F.lit(False)
     for m in markers:
         hit = hit | F.col("value").contains(m)

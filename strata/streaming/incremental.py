@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strata.operators import catalog, records, sinks
 from strata.operators.paths import session_paths
 from strata.sources.store import Store, staged
-from strata.sources.transcripts import PRIVATE_MARKERS, changed_files, files, first_stem, private_files, read_lines, transcripts_only
+from strata.sources.transcripts import changed_files, files, first_stem, private_files, read_lines, transcripts_only
 from strata.sources.transcripts import records as good_records
 
 KEYED = ("tool_calls", "session_paths", "session_daily_usage", "turns")
@@ -92,7 +92,7 @@ def refresh(spark: SparkSession, found: DataFrame, store: Store, markers: tuple[
     return count
 
 
-def sync(spark: SparkSession, folders: list[tuple[str, str, int]], store: Store, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS, batch: int = 10_000) -> int:
+def sync(spark: SparkSession, folders: list[tuple[str, str, int]], store: Store, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = batch: int = 10_000) -> int:
     """Ingest new and changed transcripts of (folder, dialect, priority); tells how many files it read."""
     found = None
     for folder, dialect, priority in folders:
@@ -101,7 +101,7 @@ def sync(spark: SparkSession, folders: list[tuple[str, str, int]], store: Store,
     return refresh(spark, staged(transcripts_only(found, ignore), "found_files"), store, markers, batch)
 
 
-def stream(spark: SparkSession, folder: str, dialect: str, store: Store, checkpoint: str, files_per_batch: int = 200, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = PRIVATE_MARKERS, priority: int = 0):
+def stream(spark: SparkSession, folder: str, dialect: str, store: Store, checkpoint: str, files_per_batch: int = 200, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = priority: int = 0):
     """A streaming query that ingests new files of a folder, by the same ledger as `sync`, and stops when none is left."""
     source = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("maxFilesPerTrigger", files_per_batch).text(folder)
     lines = source.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"))

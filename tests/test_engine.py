@@ -58,15 +58,15 @@ def test_private_ignored_and_journal_files_stay_out(spark, tmp_path):
     line = lambda s, text: t.user(s, at, text)
     t.write(folder / "open.jsonl", [line("open", "about login flow")])
     t.write(folder / "turned.jsonl", [line("turned", "the login flow again")])
-    t.write(folder / "secret.jsonl", [line("secret", "login flow"), line("secret", "logpile:private")])
+    t.write(folder / "secret.jsonl", [line("secret", "login flow"), line("secret", "[[keep-out]]")])
     t.write(folder / "skip-me.jsonl", [line("skip-me", "login flow")])
     t.write(folder / "root" / "subagents" / "workflows" / "wf" / "journal.jsonl", [line("journal", "login flow")])
     engine, folders = Engine(spark, str(tmp_path / "store")), [(str(folder), "claudecode", 0)]
-    assert engine.sync(folders, ignore=("skip-*",)) == 3
+    assert engine.sync(folders, ignore=("skip-*",), markers=("[[keep-out]]",)) == 3
     engine.index()
     assert {r.session_id for r in engine.sessions().collect()} == {"open", "turned"} == {r.session_id for r in engine.search("login flow").collect()}
-    t.write(folder / "turned.jsonl", [line("turned", "the login flow again"), line("turned", "now logpile:private")])
-    assert engine.sync(folders, ignore=("skip-*",)) == 1
+    t.write(folder / "turned.jsonl", [line("turned", "the login flow again"), line("turned", "now [[keep-out]]")])
+    assert engine.sync(folders, ignore=("skip-*",), markers=("[[keep-out]]",)) == 1
     assert {r.session_id: r.visibility for r in engine.sessions().collect()} == {"open": "unlisted", "turned": "private"}
     assert {r.session_id for r in engine.search("login flow").collect()} == {"open"} and engine.show("turned").count() == 0
 
