@@ -23,11 +23,26 @@ class Engine:
 
     def sync(self, folders: list[tuple[str, str, int]], ignore: tuple[str, ...] = (), markers: tuple[str, ...] = ()) -> int:
         """Read new and changed transcripts, then derive what depends on whole sessions."""
+        self.store.vacuum()
         count = incremental.sync(self.spark, folders, self.store, ignore, markers)
-        if count:
-            self.derive()
+        self.catch_up()
         return count
 
+    def stream(self, folder: str, dialect: str, checkpoint: str, **options):
+        """As `sync`, for the new files of a folder by Structured Streaming; the catalog and a built index follow every batch."""
+        return incremental.stream(self.spark, folder, dialect, self.store, checkpoint, after=lambda count: self.catch_up(), **options)
+
+    def catch_up(self) -> None:
+        """Derive the catalog if it is behind the sessions, and refresh an index that was built. A run that broke off between is
+        so made good by the next."""
+        now = str(self.store.version("sessions"))
+        if now != "0" and self.store.marks().get("derived") != now:
+            with self.store.batch():
+                self.derive()
+                self.store.mark("derived", now)
+        if self.store.version("search_states"):
+            self.index()
+
     def derive(self, workspaces: DataFrame | None = None) -> None:
         """Activity, narrative, origin, objective and parents of all sessions, as the table `catalog`."""
         base = self.store.read("sessions")
@@ -58,11 +73,6 @@ class Engine:
         private = self.store.read("private_files", "file string").select("file", F.lit("private").alias("marked"))
         told = told.join(private, "file", "left").withColumn("visibility", F.coalesce("marked", "visibility")).drop("marked")
         self.store.write("catalog", told)
-        if self.store.version("private_files") and self.store.version("search_index"):
-            for name in ("search_index", "search_postings"):
-                order = ("token", *search.DOC) if name == "search_postings" else ("session_id",)
-                left = self.store.read(name).join(self.open_sessions().select("session_id"), "session_id", "left_semi")
-                self.store.write(name, left.repartitionByRange(*order).sortWithinPartitions(*order))
 
     # Tables.
 
@@ -88,16 +98,19 @@ class Engine:
     def top_tools(self, limit: int = 20) -> DataFrame:
         return reports.top_tools(self.store.read("tool_calls"), self.sessions(), limit)
 
-    def index(self) -> None:
-        """Build the search index of all sessions."""
-        docs = staged(search.documents(self.open_sessions(), self.store.read("turns")), "search_documents")
-        self.store.write("search_index", search.indexed(docs, search.DOC).repartitionByRange("session_id").sortWithinPartitions("session_id"))
-        self.store.write("search_postings", search.postings(docs, search.DOC))
-        self.store.write("search_stats", search.index_stats(docs))
-
-    def search(self, query: str, limit: int = 20) -> DataFrame:
-        held = self.store.read("search_postings"), self.store.read("search_stats")
-        return search.search(self.store.read("search_index"), self.open_sessions(), query, limit=limit, held=held)
+    def index(self, batch: int = 20_000) -> int:
+        """Index the sessions that are new or changed; tells how many."""
+        return search.refresh_index(self.store, self.open_sessions(), self.store.read("turns"), batch)
+
+    def search(self, query: str, limit: int = 20, public: bool = False) -> DataFrame:
+        """The best document of each session whose index is current; in public mode of reviewed public sessions alone."""
+        held = self.store.read("search_postings"), search.summed_sizes(self.store.read("search_sizes"))
+        sessions = search.stamped(self.open_sessions())
+        if public:
+            flags = catalog.session_catalog(sessions, self.store.read("users", "username string, display_name string, profile_visibility string, default_visibility string"))
+            sessions = flags.withColumns({"reviewed_hash": F.concat_ws("/", "reviewed_hash", "reviewed_metadata_hash")})
+        allowed = search.eligible(self.store.read("search_states", search.STATE), sessions, public)
+        return search.search(self.store.read("search_index"), sessions, query, allowed, limit, public, held)
 
     def show(self, session_id: str) -> DataFrame:
         """Turns of one session in order; a unique prefix of its id will do."""

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions.text import clean_search_text, title_text, tokens, windows
+from strata.sources.store import Store, staged
 
 # Structured fields of a session and their labels, ranked before transcript text.
 STRUCTURED = (("session_goal", "goal"), ("session_summary", "summary"), ("first_user_message", "title"), ("repo_name", "repo"), ("project", "project"))
@@ -74,13 +79,31 @@ def scored(index: DataFrame, query: str) -> DataFrame:
     return counted.filter("tf > 0").join(F.broadcast(stats)).withColumn("score", bm25()).drop("docs", "mean_words", "hits")
 
 
+def _placed(ids: tuple[str, ...]):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            coded = words.flatten().dictionary_encode()
+            codes, sizes = coded.indices.to_numpy(), np.diff(words.offsets.to_numpy())
+            owner, begin = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+            order = np.lexsort((codes, owner))
+            code, own = codes[order], owner[order]
+            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (own[1:] != own[:-1]))) if len(code) else np.zeros(0, np.int64)
+            places = (np.arange(len(codes)) - begin)[order].astype(np.int32)
+            at = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(places))
+            of = pa.array(own[first])
+            columns = [coded.dictionary.take(pa.array(code[first])), *[batch.column(c).take(of) for c in ids], pa.array(sizes[own[first]].astype(np.int32)), at]
+            yield pa.RecordBatch.from_arrays(columns, ["token", *ids, "n_words", "at"])
+    return rows
+
+
 def postings(docs: DataFrame, id_columns: tuple[str, ...], text: str = "text", fold: bool = True) -> DataFrame:
     """token, the id columns, n_words, at (places of the token in order), sorted by token: a query for a few tokens reads
-    their row groups alone. Postings of one frequent token are many ranges."""
+    their row groups alone. Places are gathered inside each document, so one row a token and document is moved, once."""
     held = docs.select(*id_columns, tokens(F.col(text), fold).alias("words"))
-    placed = held.select(*id_columns, F.size("words").alias("n_words"), F.posexplode("words").alias("place", "token"))
-    grouped = placed.groupBy("token", *id_columns, "n_words").agg(F.array_sort(F.collect_list("place")).alias("at"))
-    return grouped.repartitionByRange("token", *id_columns).sortWithinPartitions("token", *id_columns)
+    fields = [T.StructField("token", T.StringType()), *[docs.schema[c] for c in id_columns], T.StructField("n_words", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))]
+    placed = staged(held.mapInArrow(_placed(tuple(id_columns)), T.StructType(fields)), "placed")
+    return placed.repartitionByRange("token", *id_columns).sortWithinPartitions("token", *id_columns)
 
 
 def index_stats(docs: DataFrame, text: str = "text", fold: bool = True) -> DataFrame:
@@ -187,3 +210,50 @@ def to_index(sessions: DataFrame, states: DataFrame) -> DataFrame:
 
 def orphans(index: DataFrame, sessions: DataFrame) -> DataFrame:
     return index.join(sessions.select("session_id"), "session_id", "left_anti")
+
+
+#: Tables of the index, each of segments by session.
+INDEX_TABLES = ("search_index", "search_postings", "search_sizes")
+STATE = "session_id string, indexed_hash string, index_version int, status string"
+
+
+def stamped(sessions: DataFrame) -> DataFrame:
+    """Sessions whose hash covers all that is indexed: the transcript and the structured fields."""
+    return sessions.withColumn("file_hash", F.concat_ws("/", "file_hash", "metadata_hash"))
+
+
+def index_batch(store: Store, sessions: DataFrame, turns: DataFrame) -> None:
+    """Append one segment: documents, postings and sizes of these sessions in place of what the index has of them, and their
+    states, all at once. A session without documents has a state alone."""
+    docs = staged(documents(sessions, turns.join(sessions.select("session_id"), "session_id", "left_semi")), "search_documents")
+    touched = staged(sessions.select("session_id", "file_hash"), "touched")
+    index = staged(indexed(docs, DOC), "indexed")
+    sizes = index.groupBy("session_id").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_words").cast("long").alias("words"))
+    states = touched.select("session_id", F.col("file_hash").alias("indexed_hash"), F.lit(VERSION).alias("index_version"), F.lit("ok").alias("status"))
+    with store.batch():
+        for name, rows in zip(INDEX_TABLES, (index.repartitionByRange("session_id").sortWithinPartitions("session_id"), postings(docs, DOC), sizes)):
+            store.replace(name, rows, touched)
+        store.replace("search_states", states, touched)
+
+
+def refresh_index(store: Store, sessions: DataFrame, turns: DataFrame, batch: int = 20_000) -> int:
+    """Bring the index up to date, `batch` sessions at a time; each batch stands when it is written, so a run that breaks off goes on
+    where it was. Sessions that are gone lose their rows. Tells how many sessions were indexed."""
+    sessions = stamped(sessions)
+    gone = staged(orphans(store.read("search_states", STATE), sessions).select("session_id"), "gone")
+    if not gone.isEmpty():
+        with store.batch():
+            for name in (*INDEX_TABLES, "search_states"):
+                store.replace(name, store.read(name).limit(0), gone)
+    due = staged(to_index(sessions, store.read("search_states", STATE)).select("session_id"), "due")
+    total = due.count()
+    slots = max(1, -(-total // batch))
+    for k in range(slots if total else 0):
+        part = due.filter(F.pmod(F.xxhash64("session_id"), F.lit(slots)) == k) if slots > 1 else due
+        index_batch(store, staged(sessions.join(part, "session_id", "left_semi"), "batch"), turns)
+    return total
+
+
+def summed_sizes(sizes: DataFrame) -> DataFrame:
+    """docs, mean_words of the whole index, from its sessions' sums."""
+    return sizes.agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("docs")).alias("mean_words"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions import text
 from strata.operators import archive, records
 from strata.plans.analogs import ORACLE_SQL, Catalog, query
-from strata.sources import transcripts
-from strata.sources.store import staged
+from strata.sources import bounded, transcripts
+from strata.sources.store import shared_dir, staged
 
 # Line items with a number of their own in the order.
 LINES = "SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS INT) AS ln FROM {lineitem}"
@@ -268,3 +270,34 @@ def fts_preamble(c: Catalog) -> DataFrame:
       WHEN 3 THEN CONCAT('<task>of it</task> do ', event_id) WHEN 4 THEN CONCAT('<recommended_plugins> p, q do ', event_id)
       ELSE CONCAT('<heartbeat>1</heartbeat><heartbeat>2</heartbeat><heartbeat>3</heartbeat><heartbeat>4</heartbeat><heartbeat>5</heartbeat>do ', event_id) END AS text FROM {events}"""
     return c.sql(said).select("event_id", text.strip_preamble(F.col("text")).alias("own"))
+
+
+# Files of lines of many lengths, written to the shared folder in a stated order.
+FILED = """SELECT user_id % 13 AS k, event_id, CONCAT(event_id, ':', REPEAT(event_type, CAST(event_id % 9 AS INT))) AS value FROM {events}"""
+FILED_SQL = "WITH l AS (SELECT user_id % 13 AS k, event_id, event_id || ':' || repeat(event_type, event_id % 9) AS line FROM events) "
+
+
+def _filed(c: Catalog) -> str:
+    folder = f"{shared_dir(c.spark)}/strata-{uuid.uuid4().hex}/filed"
+    c.sql(FILED).repartition("k").sortWithinPartitions("k", "event_id").select("k", "value").write.partitionBy("k").text(folder)
+    return folder
+
+
+def _of_file(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("k", F.regexp_extract("file", r"/k=(\d+)/", 1).cast("long"))
+
+
+@plain(FILED_SQL + "SELECT k, sha256(string_agg(line || chr(10), '' ORDER BY event_id)) AS sha256, sum(length(line) + 1)::BIGINT AS size FROM l GROUP BY k")
+def src_hash(c: Catalog) -> DataFrame:
+    return _of_file(bounded.hashed_files(transcripts.files(c.spark, _filed(c), "*.txt"))).select("k", "sha256", "size")
+
+
+@plain(FILED_SQL + "SELECT k, start, bytes FROM (SELECT k, length(line) AS bytes, (sum(length(line) + 1) OVER (PARTITION BY k ORDER BY event_id) - length(line) - 1)::BIGINT AS start FROM l) x WHERE bytes > 40")
+def src_long_lines(c: Catalog) -> DataFrame:
+    return _of_file(bounded.long_lines(transcripts.files(c.spark, _filed(c), "*.txt"), 40, 1000)).select("k", "start", "bytes")
+
+
+@plain(FILED_SQL + "SELECT k, count(*) AS lines, sum(length(line))::BIGINT AS chars, min(line) AS first FROM l WHERE length(line) <= 40 GROUP BY k")
+def src_kept_lines(c: Catalog) -> DataFrame:
+    kept = _of_file(bounded.read_lines(c.spark, [_filed(c)], 40, 1000, "*.txt")[0])
+    return kept.groupBy("k").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.char_length("value")).cast("long").alias("chars"), F.min("value").alias("first"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,8 @@ NUMBERS = (
     "payload.source.subagent.thread_spawn.depth",
 )
 TOKEN_NUMBERS = tuple(f"payload.info.total_token_usage.{k}" for k in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens"))
-#: Longest line that search reads.
-MOST_CHARS = 64 << 20
+#: Longest line that is read, in bytes.
+MOST_BYTES = 64 << 20
 
 
 def roots(home: str) -> list[tuple[str, str, int]]:
@@ -41,31 +44,20 @@ def roots(home: str) -> list[tuple[str, str, int]]:
     return [(f"{home.rstrip('/')}/{path}", dialect, i) for i, (path, dialect) in enumerate(ROOTS)]
 
 
-def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, seq, value: all lines of *.jsonl files below `paths`.
+def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """file, seq, value: all lines of the files of a pattern below `paths`, each read whole; `bounded.read_lines` has a bound.
 
     seq orders the lines of a file however the file is split; no line is moved to number it.
     """
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(paths)
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(paths)
     seq = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return rows.select(F.col("_metadata.file_path").alias("file"), seq.alias("seq"), "value")
 
 
-def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file, size, modified of each *.jsonl file, without reading it."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(paths)
-    return rows.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-
-
-def hashed_files(spark: SparkSession, paths: str | list[str], pattern: str = "*") -> DataFrame:
+def files(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """file, size, modified of each file of the pattern, without reading it."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
-    return rows.select(F.col("path").alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-
-
-def verified_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Content-addressed objects whose name is their hash."""
-    named = F.regexp_extract("file", r"/([0-9a-f]{64})(?:\.[A-Za-z0-9]+)?$", 1)
-    return hashed_files(spark, f"{root.rstrip('/')}/raw/sha256").withColumn("named", named).filter(F.col("named") == F.col("sha256")).drop("named")
+    return rows.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def changed_files(found: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -123,14 +115,14 @@ def reject_reason() -> Column:
     return F.get(F.filter(F.array(*_checks()), bad), F.lit(0))["path"]
 
 
-def parsed_lines(lines: DataFrame, most_chars: int | None = None) -> DataFrame:
-    """file, seq, v, reject: every line that is not blank, parsed; `reject` says why a line is no record."""
+def parsed_lines(lines: DataFrame, most_chars: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """file, seq, v, reject and the columns to `keep`: every line that is not blank, parsed; `reject` says why a line is no record."""
     rows = lines.filter(F.trim("value") != "")
     bounded = F.lit(True) if most_chars is None else F.char_length("value") <= most_chars
     v = F.when(bounded, F.try_parse_json("value"))
-    rows = rows.select("file", "seq", bounded.alias("bounded"), v.alias("v"))
+    rows = rows.select("file", "seq", *keep, bounded.alias("bounded"), v.alias("v"))
     shape = F.when(~F.col("bounded"), "too_long").when(F.col("v").isNull(), "invalid_json").when(~F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), "not_object")
-    return rows.select("file", "seq", "v", F.coalesce(shape, reject_reason()).alias("reject"))
+    return rows.select("file", "seq", "v", F.coalesce(shape, reject_reason()).alias("reject"), *keep)
 
 
 def records(lines: DataFrame, most_chars: int | None = None) -> DataFrame:
@@ -159,9 +151,11 @@ def project_of_path(path: Column) -> Column:
     return F.try_element_at(F.filter(F.split(folder, "-"), lambda p: F.char_length(p) > 1), F.lit(-1))
 
 
+def holds_marker(markers: tuple[str, ...]) -> Column:
+    """Whether a line has one of the privacy markers; which strings mark one is the caller's to say."""
+    return functools.reduce(operator.or_, [F.contains("value", F.lit(m)) for m in markers], F.lit(False))
+
+
 def private_files(rows: DataFrame, markers: tuple[str, ...]) -> DataFrame:
-    """Files with one of the privacy markers anywhere in a record; which strings mark one is the caller's to say."""
-    hit = F.lit(False)
-    for m in markers:
-        hit = hit | F.col("value").contains(m)
-    return rows.groupBy("file").agg(F.max(hit).alias("private")).filter("private").select("file")
+    """Files with one of the privacy markers anywhere in a record."""
+    return rows.filter(holds_marker(markers)).select("file").distinct()

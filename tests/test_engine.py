@@ -93,20 +93,6 @@ def test_decisions_outlive_a_sync(spark, tmp_path):
     assert {r.session_id: r.user_message_count for r in engine.sessions().collect()} == {"held": 2, "shown": 2, "plain": 1}
 
 
-def test_batches_touch_their_buckets_alone(spark, tmp_path):
-    from strata.sources.store import Store
-    store = Store(spark, str(tmp_path / "store"), buckets=8)
-    rows = lambda *pairs: spark.createDataFrame(pairs, "session_id string, n int")
-    first = rows(*[(f"s{i}", i) for i in range(40)])
-    store.replace("t", first, first)
-    times = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "store/t/buckets").rglob("*.parquet")}
-    before = times()
-    for _ in range(2):  # a batch that runs again changes nothing
-        store.replace("t", rows(("s3", 300)), rows(("s3", 0), ("s4", 0)))
-        assert {r.session_id: r.n for r in store.read("t").collect()} == {f"s{i}": i for i in range(40) if i not in (3, 4)} | {"s3": 300}
-    assert len({p.parent.name for p in before.keys() - times().keys()}) <= 2
-
-
 def test_stream_and_sync_share_a_ledger(spark, tmp_path):
     from strata.sources.store import Store
     from strata.streaming import incremental
