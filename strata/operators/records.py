@@ -1,7 +1,8 @@
 """Session tables from transcript records of both dialects.
 
-`claude(records)` and `codex(records)` take (file, seq, v) and return lazy tables by name: sessions, messages,
-tool_calls, events (per-message usage with its day), turns, and for claudecode claims.
+`claude(records)` and `codex(records)` take (file, seq, v) and return tables by name: sessions, messages,
+tool_calls, events (per-message usage with its day), turns, and for claudecode claims. What several of them share (calls, events,
+ids and the like, all without the records) is written once, so that no table works it out again and plans stay small.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from strata.functions.text import is_agents_payload, strip_preamble
 from strata.functions.words import content_text
 from strata.operators import usage
 from strata.operators.paths import argument_paths, command_paths, first_word
+from strata.sources.store import staged
 from strata.sources.transcripts import field
 
 USAGE_TYPE = "struct<input_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint, output_tokens bigint, cache_creation struct<ephemeral_5m_input_tokens bigint, ephemeral_1h_input_tokens bigint>, iterations array<struct<input_tokens bigint, cache_read_input_tokens bigint, cache_creation_input_tokens bigint, output_tokens bigint, cache_creation struct<ephemeral_5m_input_tokens bigint, ephemeral_1h_input_tokens bigint>>>>"
@@ -71,6 +73,7 @@ def claude(records: DataFrame) -> dict[str, DataFrame]:
     has_result = F.exists(content, lambda b: F.coalesce(vget(b, "type") == "tool_result", F.lit(False)))
     user = base.filter("rtype = 'user'").select("file", "seq", "v", "ts", has_result.alias("has_result"))
     typed = user.filter("not has_result").select("file", "seq", "ts", typed_blocks(field, ("text",), path="message.content").alias("texts"), F.coalesce(field("isMeta", "boolean"), F.lit(False)).alias("meta")).withColumn("text", F.trim(F.array_join("texts", " "))).filter("text <> ''")
+    typed = staged(typed, "typed")
     results = user.filter("has_result").select("file", "seq", F.explode(content).alias("b")).filter(vget(F.col("b"), "type") == "tool_result").select("file", "seq", vget(F.col("b"), "tool_use_id").alias("call_id"), F.coalesce(vget(F.col("b"), "is_error", "boolean"), F.lit(False)).alias("is_error"))
 
     assistant = base.filter("rtype = 'assistant'")
@@ -81,14 +84,14 @@ def claude(records: DataFrame) -> dict[str, DataFrame]:
         F.col("u.input_tokens").alias("fresh_input_tokens"), F.col("u.cache_read_input_tokens").alias("cached_input_tokens"), F.col("u.cache_creation_input_tokens").alias("cache_creation_input_tokens"),
         F.col("split.five_minutes").alias("cache_creation_5m_input_tokens"), F.col("split.one_hour").alias("cache_creation_1h_input_tokens"), F.col("split.unknown").alias("cache_creation_unknown_input_tokens"),
         (F.col("u.input_tokens") + F.col("u.cache_read_input_tokens") + F.col("u.cache_creation_input_tokens")).alias("total_input_tokens"), F.col("u.output_tokens").alias("total_output_tokens"))
-    messages = usage.dedupe_messages(counts, output="total_output_tokens", order="seq")
+    messages = staged(usage.dedupe_messages(counts, output="total_output_tokens", order="seq"), "messages")
 
     use = assistant.select("file", "seq", "ts", F.posexplode(content).alias("place", "b")).filter(vget(F.col("b"), "type") == "tool_use")
     cmd = F.coalesce(*[F.nullif(c, F.lit("")) for k in ("command", "cmd") for c in (F.array_join(vget(F.col("b"), f"input.{k}", "array<string>"), " "), vget(F.col("b"), f"input.{k}"))])
     calls = use.select("file", F.struct("seq", "place").alias("seq"), F.col("ts").alias("timestamp"), F.coalesce(vget(F.col("b"), "name"), F.lit("unknown")).alias("tool_name"), vget(F.col("b"), "id").alias("call_id"), cmd.alias("command"), F.to_json(vget(F.col("b"), "input", "variant")).alias("arguments"))
     calls = _with_paths(calls)
     numbered = results.select("file", "call_id", F.struct("seq", F.lit(1 << 30).alias("place")).alias("seq"), "is_error")
-    calls = usage.attach_results(calls, numbered)
+    calls = staged(usage.attach_results(calls, numbered), "calls")
 
     scalars = base.groupBy("file").agg(
         _first(F.nullif(F.col("ts"), F.lit(""))).alias("first_timestamp"), F.max_by("ts", F.when(F.col("ts") != "", F.col("seq"))).alias("last_timestamp"), _first(F.col("raw_session")).alias("raw_session"),
@@ -101,6 +104,7 @@ def claude(records: DataFrame) -> dict[str, DataFrame]:
     parent = F.coalesce("raw_session", F.nullif(F.regexp_extract(path, r"^.*?([^/]+)/subagents/", 1), F.lit("")))
     ids = scalars.select("*", F.when(is_sub, F.when(raw_agent.startswith("agent-"), raw_agent).otherwise(F.concat(F.lit("agent-"), raw_agent))).otherwise(name).alias("session_id"),
                          F.when(is_sub, raw_agent).otherwise(F.coalesce("raw_session", name)).alias("thread_id"), F.when(is_sub, parent).alias("parent_thread_id"), F.when(is_sub, F.greatest(F.lit(1), depth)).otherwise(0).alias("spawn_depth"))
+    ids = staged(ids, "ids")
     title = typed.filter("not meta").groupBy("file").agg(F.substring(F.min_by("text", "seq"), 1, 500).alias("first_user_message"))
     model = assistant.select("file", "seq", field("message.model").alias("model"), field("message.id").alias("mid")).filter("mid is not null and mid <> ''").groupBy("file").agg(_first(F.nullif(F.col("model"), F.lit(""))).alias("model"))
     errors = results.groupBy("file").agg(F.sum(F.col("is_error").cast("long")).alias("error_count"))
@@ -110,6 +114,7 @@ def claude(records: DataFrame) -> dict[str, DataFrame]:
         messages.select("file", event_day(F.col("ts")).alias("day"), *[c for c in MEASURES[:8]], *_blank(*zeros), *_blank("user_message_count"), F.lit(1).cast("long").alias("assistant_message_count"), *_blank("tool_call_count"))
         .unionByName(typed.select("file", event_day(F.col("ts")).alias("day"), *_blank(*MEASURES[:9]), F.lit(1).cast("long").alias("user_message_count"), *_blank("assistant_message_count", "tool_call_count")))
         .unionByName(calls.select("file", event_day(F.col("timestamp")).alias("day"), *_blank(*MEASURES[:11]), F.lit(1).cast("long").alias("tool_call_count"))))
+    events = staged(events, "events")
     sessions = _sessions(ids, events, title, model, errors, "claudecode")
     key = F.when(F.col("request_id").isNotNull(), F.concat("message_id", F.lit(":"), "request_id")).when(F.col("uuid").isNotNull(), F.concat(F.lit("uuid:"), "uuid")).otherwise(F.concat(F.lit("mid:"), "message_id"))
     claims = messages.join(ids.select("file", "session_id", "fallback_day"), "file").select(key.alias("claim_key"), "session_id", F.coalesce(event_day(F.col("ts")), "fallback_day").alias("day"), *MEASURES[:8])
@@ -171,6 +176,7 @@ def codex(records: DataFrame) -> dict[str, DataFrame]:
     is_copy = F.coalesce((F.col("forked") == F.col("copied")) & (F.col("forked") != ""), F.lit(False))
     windows = shape.select("file", is_copy.alias("is_copy"), "end")
     inherited = numbered.join(windows, "file").filter("is_copy and i >= 1 and (end is null or i < end)").select("file", "seq", F.lit(True).alias("replay"))
+    inherited = staged(inherited, "inherited")
     rows = base.join(inherited, ["file", "seq"], "left").withColumn("replay", F.coalesce("replay", F.lit(False)))
 
     totals = "info.total_token_usage"
@@ -186,8 +192,8 @@ def codex(records: DataFrame) -> dict[str, DataFrame]:
     texts = typed_blocks(_payload, kinds, bare=True)
     text = strip_preamble(F.array_join(texts, " "))
     context = F.regexp_like(text, F.lit(r"(?s)^\s*<(environment_context|cwd)>.*?</\1>\s*$"))
-    users = rows.filter((F.col("rtype") == "message") & (_payload("role") == "user")).select("file", "seq", "ts", "replay", F.when(~context, text).alias("text"), texts.alias("texts")).filter(F.char_length("text") >= 3)
-    replies = rows.filter((F.col("rtype") == "message") & (_payload("role") == "assistant") & ~F.col("replay")).select("file", "seq", "ts", content_text(F.to_json(_payload("content", "variant"))).alias("text"), texts.alias("texts")).filter(F.trim("text") != "")
+    users = staged(rows.filter((F.col("rtype") == "message") & (_payload("role") == "user")).select("file", "seq", "ts", "replay", F.when(~context, text).alias("text"), texts.alias("texts")).filter(F.char_length("text") >= 3), "users")
+    replies = staged(rows.filter((F.col("rtype") == "message") & (_payload("role") == "assistant") & ~F.col("replay")).select("file", "seq", "ts", content_text(F.to_json(_payload("content", "variant"))).alias("text"), texts.alias("texts")).filter(F.trim("text") != ""), "replies")
 
     live = rows.filter(~F.col("replay"))
     raw = _payload("arguments", "variant")
@@ -198,7 +204,7 @@ def codex(records: DataFrame) -> dict[str, DataFrame]:
     calls = _with_paths(call.select("file", F.struct("seq", F.lit(0).alias("place")).alias("seq"), F.col("ts").alias("timestamp"), "tool_name", "call_id", cmd.alias("command"), F.to_json("a").alias("arguments")))
     output = live.filter("rtype = 'function_call_output'").select("file", "seq", F.coalesce(F.nullif(_payload("call_id"), F.lit("")), _payload("id")).alias("call_id"), _payload("output", "variant").alias("o"), _payload("output").alias("text"))
     results = output.select("file", "seq", "call_id", output_is_error(F.col("o"), F.col("text")).alias("is_error"))
-    calls = usage.attach_results(calls, results.filter("call_id is not null").select("file", "call_id", F.struct("seq", F.lit(0).alias("place")).alias("seq"), "is_error"))
+    calls = staged(usage.attach_results(calls, results.filter("call_id is not null").select("file", "call_id", F.struct("seq", F.lit(0).alias("place")).alias("seq"), "is_error")), "calls")
 
     cwd = F.nullif(F.when(F.col("rtype").isin("session_meta", "turn_context"), _payload("cwd")).when((F.col("rtype") == "message") & (_payload("role") == "user"), F.trim(F.regexp_extract(F.array_join(texts, " "), r"(?s)<cwd>(.*?)</cwd>", 1))), F.lit(""))
     spawn = "source.subagent.thread_spawn"
@@ -210,6 +216,7 @@ def codex(records: DataFrame) -> dict[str, DataFrame]:
     name = stem(F.col("file"))
     ids = scalars.select("file", name.alias("session_id"), "project", "fallback_day", "model", F.coalesce("m.at", "m.ts", "first_ts").alias("first_timestamp"), F.coalesce("last_timestamp", "m.at").alias("last_timestamp"),
                          F.coalesce(F.nullif(F.col("m.id"), F.lit("")), "own_id", name).alias("thread_id"), F.col("m.parent").alias("parent_thread_id"), zero(F.col("m.depth")).alias("spawn_depth"))
+    ids = staged(ids, "ids")
     title = users.filter(~is_agents_payload(F.col("text"))).groupBy("file").agg(F.substring(F.min_by("text", "seq"), 1, 500).alias("first_user_message"))
     errors = results.groupBy("file").agg(F.sum(F.col("is_error").cast("long")).alias("error_count"))
     d = lambda c: F.col(f"{c}_delta").cast("long")
@@ -219,6 +226,7 @@ def codex(records: DataFrame) -> dict[str, DataFrame]:
         .unionByName(users.filter("not replay").select("file", event_day(F.col("ts")).alias("day"), *_blank(*MEASURES[:9]), F.lit(1).cast("long").alias("user_message_count"), *_blank(*MEASURES[10:])))
         .unionByName(replies.select("file", event_day(F.col("ts")).alias("day"), *_blank(*MEASURES[:10]), F.lit(1).cast("long").alias("assistant_message_count"), *_blank("tool_call_count")))
         .unionByName(calls.select("file", event_day(F.col("timestamp")).alias("day"), *_blank(*MEASURES[:11]), F.lit(1).cast("long").alias("tool_call_count"))))
+    events = staged(events, "events")
     sessions = _sessions(ids.drop("model"), events, title, ids.select("file", "model"), errors, "codex")
     searched = ~F.col("replay") & ~is_agents_payload(F.col("text"))
     turns = users.select("file", "seq", F.lit("user").alias("role"), "text", searched.alias("searched"), spoken(F.col("texts"), ~F.col("replay"), user=True).alias("spoken"))

@@ -116,13 +116,15 @@ def reject_reason() -> Column:
 
 
 def parsed_lines(lines: DataFrame, most_chars: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """file, seq, v, reject and the columns to `keep`: every line that is not blank, parsed; `reject` says why a line is no record."""
+    """file, seq, v, reject and the columns to `keep`: every line that is not blank, parsed; `reject` says why a line is no record.
+
+    Both come out of an array of one, past which the optimiser moves no filter, so that neither is worked out twice."""
     rows = lines.filter(F.trim("value") != "")
     bounded = F.lit(True) if most_chars is None else F.char_length("value") <= most_chars
     v = F.when(bounded, F.try_parse_json("value"))
-    rows = rows.select("file", "seq", *keep, bounded.alias("bounded"), v.alias("v"))
+    rows = rows.select("file", "seq", *keep, bounded.alias("bounded"), F.explode(F.array(v)).alias("v"))
     shape = F.when(~F.col("bounded"), "too_long").when(F.col("v").isNull(), "invalid_json").when(~F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")), "not_object")
-    return rows.select("file", "seq", "v", F.coalesce(shape, reject_reason()).alias("reject"), *keep)
+    return rows.select("file", "seq", "v", F.explode(F.array(F.coalesce(shape, reject_reason()))).alias("reject"), *keep)
 
 
 def records(lines: DataFrame, most_chars: int | None = None) -> DataFrame:
