@@ -3,13 +3,14 @@
 Words are maximal letter runs, counted with map-side combine. Candidates come from a rare-first q-gram prefix
 filter: bigrams get one global order by frequency, and each word is posted under its three rarest bigrams, with
 their positions. One edit spoils at most two bigrams of a word, so two words one edit apart share one of the
-three, at one position or, in the longer word, at most one further on; lengths differ by one at most. Postings
-meet by (bigram, position, length), and pairs are verified by edit distance in the join itself.
+three: the words are alike from their beginning through it, or from it to their end. So postings meet by length and that part of the
+word, which holds the bigram and its position, and pairs are verified by edit distance in the join itself.
 
 The order has at most 90 x 90 bigrams (the letters of the pattern after lower-casing), so it is one small row for every
-task. A bucket of more than `hot` words is not compared pair by pair: its postings carry the word less one letter as
-well, and words one edit apart agree in one of these; such a sub-bucket holds at most one word for each letter.
-A word's near words are at most a few thousand, so no later group is large.
+task. A bucket of more than `hot` words is not compared pair by pair: its postings carry the word less one letter of its
+other part as well, and words one edit apart agree in one of these; such a sub-bucket holds at most one word for each letter.
+Keys are 64-bit hashes; what collides is told apart by the verification. A word's near words are at most a few thousand, so no
+later group is large.
 
 Cases: null or empty text has no words; a null id is an empty string in the hash that picks what is deleted;
 repeated rows count as often as they stand; of equal counts the form of least code points wins; an empty table gives
@@ -60,35 +61,43 @@ def gram_order(words: DataFrame) -> list[int]:
 
 
 def postings(words: DataFrame) -> DataFrame:
-    """word, n, size, gram, pos: the PREFIX rarest bigrams of each word."""
+    """word, n, size, pos: the PREFIX rarest bigrams of each word."""
     order = words.sparkSession.createDataFrame([(gram_order(words),)], "places array<int>")
     placed = lambda places: F.transform(bigrams(F.col("word")), lambda g, i: F.struct(F.get(places, g).alias("gram"), i.alias("pos")))
     rare = words.join(F.broadcast(order)).select("word", "n", F.char_length("word").alias("size"), F.explode(F.slice(F.array_sort(placed(F.col("places"))), 1, PREFIX)).alias("p"))
-    return rare.select("word", "n", "size", "p.gram", "p.pos")
+    return rare.select("word", "n", "size", "p.pos")
 
 
-def less_one(word: Column, size: Column) -> Column:
-    """The word without its i-th letter, for each i."""
-    return F.transform(F.sequence(F.lit(1), size), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, size)))
+def less_one(word: Column, begin: Column, end: Column) -> Column:
+    """The word without its i-th letter, for each i from `begin` to `end`."""
+    at = F.when(begin <= end, F.sequence(begin, end)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.char_length(word))))
 
 
-def near_pairs(words: DataFrame, hot: int = 256) -> DataFrame:
+def near_pairs(words: DataFrame, hot: int = 128) -> DataFrame:
     """word, n, near, near_n: both directions of every pair of words one edit apart."""
-    posted = staged(postings(words), "postings")
-    key = ["gram", "pos", "size"]
-    large = staged(posted.groupBy(*key).count().filter(F.col("count") > hot).select(*key, F.lit(True).alias("hot")), "hot_buckets")
-    word, size, rest = F.col("word"), F.col("size"), less_one(F.col("word"), F.col("letters"))
-    marked = lambda xs: F.transform(xs, lambda x, i: F.concat(i.cast("string"), F.lit(":"), x))
-    none = F.array(F.lit(""))
-
-    held = posted.join(large, key, "left").withColumn("letters", size)
-    held = held.select(*key, word.alias("near"), F.col("n").alias("near_n"), F.explode(F.when(F.col("hot"), F.concat(marked(rest), F.array(word))).otherwise(none)).alias("part"))
-    ask = F.array(*[F.struct((F.col("pos") - p).alias("pos"), (size - s).alias("size"), F.lit(s == 1).alias("longer")) for p, s in ((0, 0), (0, 1), (1, 1))])
-    asked = posted.select("word", "n", "gram", size.alias("letters"), F.explode(ask).alias("a")).select("word", "n", "letters", "gram", "a.pos", "a.size", "a.longer")
-    asked = asked.join(large, key, "left").select(
-        *key, "word", "n", "longer", F.explode(F.when(F.col("hot"), F.when(F.col("longer"), F.array_distinct(rest)).otherwise(marked(rest))).otherwise(none)).alias("part"))
-    ordered = F.col("longer") | (word < F.col("near"))
-    met = asked.join(held, [*key, "part"]).filter(ordered & (F.levenshtein(word, F.col("near"), 1) == 1))
+    word, size, pos = F.col("word"), F.col("size"), F.col("pos")
+    # The edit is behind the shared bigram, and all through it is alike, or before it, and all from it on is alike.
+    sides = F.array(F.struct(F.lit("<").alias("side"), F.substring(word, F.lit(1), pos + 2).alias("alike"), (pos + 3).alias("begin"), size.alias("end")),
+                    F.struct(F.lit(">").alias("side"), F.substring(word, pos + 1, size).alias("alike"), F.lit(1).alias("begin"), pos.alias("end")))
+    sided = staged(postings(words).select("word", "n", "size", F.explode(sides).alias("s")).select("word", "n", "size", "s.*"), "postings")
+    key = lambda length: F.xxhash64(length, "side", "alike")  # noqa: E731  lengths of both sides tell the position; pairs are verified
+    held, longer = sided.withColumn("key", key(size)), sided.withColumn("key", key(size - 1))
+    large = staged(held.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("hot")), "hot_buckets")
+    # In a hot bucket the letter that differs is left out: of words as long the same one, of a longer word any.
+    rest = less_one(word, F.col("begin"), F.col("end"))
+    places = F.transform(rest, lambda x, i: F.xxhash64("key", i, x))
+    wholes = lambda words_: F.transform(words_, lambda x: F.xxhash64("key", x))
+
+    def dealt(rows: DataFrame, parts: Column) -> DataFrame:
+        at = F.explode(F.when(F.col("hot"), parts).otherwise(F.array("key")))
+        return rows.join(large, "key", "left").select(at.alias("key"), "word", "n")
+
+    edited = F.col("begin") <= F.col("end")
+    as_long, whole, asking = dealt(held.filter(edited), places), dealt(held, wholes(F.array(word))), dealt(longer.filter(edited), wholes(F.array_distinct(rest)))
+    near = lambda rows: rows.select("key", word.alias("near"), F.col("n").alias("near_n"))
+    one_edit = F.levenshtein(word, F.col("near"), 1) == 1
+    met = as_long.join(near(as_long), "key").filter((word < F.col("near")) & one_edit).unionByName(asking.join(near(whole), "key").filter(one_edit))
     met = staged(met.select("word", "n", "near", "near_n").distinct(), "near_pairs")
     return met.unionByName(met.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))
 
@@ -105,7 +114,7 @@ def roots(links: DataFrame) -> DataFrame:
             return now
 
 
-def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 7, least_count: int = 2, factor: int = 10, every: int = 31, hot: int = 256) -> DataFrame:
+def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_chars: int = 7, least_count: int = 2, factor: int = 10, every: int = 31, hot: int = 128) -> DataFrame:
     """word, form, root, n, n_near, form_n for every word of at least `least_chars` letters and `least_count` occurrences."""
     words = staged(word_counts(docs, id_col, text_col, least_chars, least_count, every), "words")
     first = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
