@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,12 @@ from strata.streaming import incremental
 
 RULE = "id int, priority int, field string, mode string, pattern string, visibility string, source_scope string, threshold double, enabled boolean"
 
+USER = "username string, display_name string, profile_visibility string, default_visibility string"
+
+
+def _before(today: str, days: int) -> str:
+    return (datetime.date.fromisoformat(today) - datetime.timedelta(days=days)).isoformat()
+
 
 class Engine:
     """Lazy queries over the newest versions of the tables in `root`."""
@@ -107,7 +115,7 @@ class Engine:
         held = self.store.read("search_postings"), search.summed_sizes(self.store.read("search_sizes"))
         sessions = search.stamped(self.open_sessions())
         if public:
-            flags = catalog.session_catalog(sessions, self.store.read("users", "username string, display_name string, profile_visibility string, default_visibility string"))
+            flags = catalog.session_catalog(sessions.drop("default_visibility"), self.users())
             sessions = flags.withColumns({"reviewed_hash": F.concat_ws("/", "reviewed_hash", "reviewed_metadata_hash")})
         allowed = search.eligible(self.store.read("search_states", search.STATE), sessions, public)
         return search.search(self.store.read("search_index"), sessions, query, allowed, limit, public, held)
@@ -117,15 +125,34 @@ class Engine:
         one = filters.by_prefix(self.sessions(), session_id)
         return self.store.read("turns").join(one.select("session_id"), "session_id", "left_semi").orderBy("seq")
 
-    def context(self, **limits) -> DataFrame:
-        return lineage.context_explosions(self.sessions(), **limits)
+    def context(self, today: str, days: int = 7, public: bool = False, **limits) -> DataFrame:
+        """Workstreams of the last days that used very many tokens."""
+        listed = self.listed(public).drop("user_display_name")
+        return lineage.workstreams(listed, _before(today, days), **limits)
+
+    def relaunches(self, today: str, days: int = 30, **limits) -> DataFrame:
+        return reports.relaunches(self.open_sessions(), since=_before(today, days), **limits)
+
+    def users(self) -> DataFrame:
+        return self.store.read("users", USER)
+
+    def listed(self, public: bool = False) -> DataFrame:
+        """Sessions that a read mode may list, with their users' settings."""
+        return catalog.session_catalog(self.sessions().drop("profile_visibility", "default_visibility"), self.users()).filter("listed_public" if public else "listed_private")
+
+    def profiles(self, public: bool = True) -> DataFrame:
+        """Users whose profile may be opened."""
+        return catalog.directly_visible(self.users(), self.sessions().drop("default_visibility"), public)
+
+    def forensic(self, lines: DataFrame, words: str, limit: int = 20, public: bool = False) -> DataFrame:
+        return search.forensic(self.listed(public), self.store.read("tool_calls"), lines, words, limit, public)
 
     # Publication.
 
     def review(self) -> tuple[DataFrame, DataFrame]:
         """(findings, recommendations) of transcripts and metadata."""
         turns = self.store.read("turns").select("session_id", F.lit("transcript").alias("source"), "text")
-        meta = scan.metadata_rows(self.open_sessions(), ["first_user_message", "session_summary", "project"])
+        meta = scan.metadata_rows(self.open_sessions(), [f for f in scan.METADATA if f in self.open_sessions().columns])
         found = scan.findings(turns.unionByName(meta))
         return found, scan.recommendation(self.open_sessions(), found)
 

@@ -33,6 +33,15 @@ def user_catalog(users: DataFrame) -> DataFrame:
     return users.withColumns({"listed_public": profile == "public", "listed_private": F.lit(True), "direct_public": profile.isin("public", "unlisted"), "direct_private": F.lit(True)})
 
 
+def directly_visible(users: DataFrame, sessions: DataFrame, public: bool = True) -> DataFrame:
+    """Users whose profile may be opened: all in private mode; in public mode those whose profile allows it and who have a session that
+    may be opened, since a profile is reviewed with a published session."""
+    if not public:
+        return users
+    opened = session_catalog(sessions, users).filter("direct_public").select("username")
+    return user_catalog(users).filter("direct_public").select(*users.columns).join(opened, "username", "left_semi")
+
+
 def daily_effective(daily: DataFrame, sessions: DataFrame, measures: tuple[str, ...] = TOKENS + COUNTS) -> DataFrame:
     """Day rows, and for sessions with a time stamp but no day row their totals on the first day."""
     real = daily.select("session_id", "day", *measures, F.lit(0).alias("approximated"))

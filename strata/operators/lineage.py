@@ -60,3 +60,34 @@ def context_explosions(sessions: DataFrame, least_children: int = 2, least_token
     shares = share(F.col("child_tokens"), F.col("tokens"))
     warned = F.concat_ws("; ", F.when(F.col("children") >= 10, "many children"), F.when(F.col("max_depth") >= 3, "deep chain"), F.when(shares >= 80, "children use most tokens"))
     return kept.join(wide, "root_session_id", "left").withColumn("child_share", shares).withColumn("warnings", warned).orderBy(F.desc("tokens"), "root_session_id")
+
+
+# What a workstream is warned of, by its counters.
+HEAVY, SHOWN, CHILDREN = 250_000_000, 6, 4
+
+
+def workstreams(sessions: DataFrame, since: str, source: str = "codex", least_children: int = 2, least_tokens: int = HEAVY, limit: int = SHOWN) -> DataFrame:
+    """Roots whose descendants since a time stamp used very many tokens, heaviest first.
+
+    Only sessions of the given rows count, ancestors too: pass those that may be listed. One grouping sums a root's recent
+    sessions, and one more takes its `CHILDREN` largest.
+    """
+    rooted = roots(sessions.select("session_id", "parent_session_id")).select("session_id", "root_session_id")
+    whole = zero(F.col("total_input_tokens")) + zero(F.col("total_output_tokens"))
+    recent = sessions.filter((F.col("source") == source) & (F.col("first_timestamp") >= since)).join(rooted, "session_id")
+    rows = recent.select("session_id", "root_session_id", whole.alias("tokens"), *[zero(F.col(c)).alias(c) for c in ("total_input_tokens", "fresh_input_tokens", "cached_input_tokens", "total_output_tokens", "spawn_depth")])
+    child = F.col("session_id") != F.col("root_session_id")
+    total = lambda c: F.sum(c).cast("long")
+    sums = rows.groupBy("root_session_id").agg(
+        total("tokens").alias("total_tokens"), *[total(c).alias(c) for c in ("total_input_tokens", "fresh_input_tokens", "cached_input_tokens", "total_output_tokens")], F.count(F.lit(1)).alias("session_count"),
+        total(child.cast("int")).alias("child_session_count"), F.max("spawn_depth").alias("max_spawn_depth"), zero(F.max(F.when(child, F.col("tokens")))).alias("top_child_tokens"), zero(total(F.when(child, F.col("tokens")))).alias("child_token_burden"))
+    top = sums.filter((F.col("child_session_count") >= least_children) & (F.col("total_tokens") >= least_tokens)).orderBy(F.desc("total_tokens"), "root_session_id").limit(limit)
+    rank = F.row_number().over(Window.partitionBy("root_session_id").orderBy(F.desc("tokens"), "session_id"))
+    largest = rows.filter(child).join(F.broadcast(top.select("root_session_id")), "root_session_id").withColumn("rank", rank).filter(F.col("rank") <= CHILDREN)  # `limit` roots
+    largest = largest.groupBy("root_session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "session_id", "tokens"))).alias("top_children"))
+    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    out = top.withColumns({"cached_input_share": part("cached_input_tokens", "total_input_tokens"), "child_token_share": part("child_token_burden", "total_tokens")})
+    warned = F.array_compact(F.array(
+        F.when(F.col("cached_input_share") >= 0.9, "mostly inherited context"), F.when(F.col("child_session_count") >= 8, "fork swarm"),
+        F.when(F.col("top_child_tokens") >= 500_000_000, "giant child sessions"), F.when(F.col("max_spawn_depth") >= 2, F.concat(F.lit("spawn depth "), "max_spawn_depth"))))
+    return out.withColumn("warnings", warned).join(largest, "root_session_id", "left").orderBy(F.desc("total_tokens"), "root_session_id")

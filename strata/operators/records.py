@@ -149,24 +149,39 @@ def daily(tables: dict[str, DataFrame]) -> DataFrame:
     return usage.reconcile(summed, totals, "fallback_day", MEASURES)
 
 
-def _payload(path: str, kind: str = "string") -> Column:
+def wrapped() -> Column:
+    """Whether a record `v` has its fields in a payload."""
+    kind = F.coalesce(field("type"), field("record_type"), F.lit(""))
+    inner = F.schema_of_variant(field("payload", "variant")).startswith("OBJECT")
+    return F.coalesce(inner & kind.isin("response_item", "session_meta", "event_msg", "turn_context"), F.lit(False))
+
+
+def codex_type() -> Column:
+    """The type of a normalised record, of rows with `v` and `wrapped`."""
+    kind = F.coalesce(field("type"), field("record_type"), F.lit(""))
+    return F.when(F.col("wrapped") & (kind == "response_item"), F.coalesce(field("payload.type"), F.lit(""))).otherwise(kind)
+
+
+def own_words(column: str) -> Column:
+    """What of a codex user's text is the user's; null of text that only tells the environment."""
+    text = strip_preamble(F.col(column))
+    return F.when(~F.regexp_like(text, F.lit(r"(?s)^\s*<(environment_context|cwd)>.*?</\1>\s*$")), text)
+
+
+def payload_field(path: str, kind: str = "string") -> Column:
     """A field of the normalised record: of its payload where the type has one, else its own."""
     return F.when(F.col("wrapped"), field(f"payload.{path}", kind)).otherwise(field(path, kind))
 
 
 def codex(records: DataFrame) -> dict[str, DataFrame]:
-    kind = F.coalesce(field("type"), field("record_type"), F.lit(""))
-    inner = F.schema_of_variant(field("payload", "variant")).startswith("OBJECT")
-    wrapped = F.coalesce(inner & kind.isin("response_item", "session_meta", "event_msg", "turn_context"), F.lit(False))
-    rtype = F.when(wrapped & (kind == "response_item"), F.coalesce(field("payload.type"), F.lit(""))).otherwise(kind)
-    base = records.select("file", "seq", "v", wrapped.alias("wrapped"), rtype.alias("rtype"), field("timestamp").alias("ts"))
+    base = records.select("file", "seq", "v", wrapped().alias("wrapped")).select("file", "seq", "v", "wrapped", codex_type().alias("rtype"), field("timestamp").alias("ts"))
     # Indexes of good records, on narrow rows.
     second = F.floor(F.unix_micros(event_time(F.col("ts"))) / F.lit(1_000_000))
-    started = F.try_to_number(_payload("started_at"), F.lit("999999999999999999")).cast("double")
-    started = F.coalesce(_payload("started_at", "double"), started)
+    started = F.try_to_number(payload_field("started_at"), F.lit("999999999999999999")).cast("double")
+    started = F.coalesce(payload_field("started_at", "double"), started)
     begun = F.floor(F.when(F.abs(started) >= 1e11, started / 1000).otherwise(started))
-    narrow = base.select("file", "seq", "rtype", _payload("id").alias("id"), _payload("forked_from_id").alias("forked"),
-                         ((F.col("rtype") == "event_msg") & (_payload("type") == "task_started") & (begun == second)).alias("boundary"))
+    narrow = base.select("file", "seq", "rtype", payload_field("id").alias("id"), payload_field("forked_from_id").alias("forked"),
+                         ((F.col("rtype") == "event_msg") & (payload_field("type") == "task_started") & (begun == second)).alias("boundary"))
     index = F.row_number().over(Window.partitionBy("file").orderBy("seq")) - 1
     numbered = narrow.withColumn("i", index)
     shape = numbered.groupBy("file").agg(
@@ -180,36 +195,36 @@ def codex(records: DataFrame) -> dict[str, DataFrame]:
     rows = base.join(inherited, ["file", "seq"], "left").withColumn("replay", F.coalesce("replay", F.lit(False)))
 
     totals = "info.total_token_usage"
-    tokens = rows.filter((F.col("rtype") == "event_msg") & (_payload("type") == "token_count") & F.schema_of_variant(_payload(totals, "variant")).startswith("OBJECT"))
-    present = [_payload(f"{totals}.{c}", "variant").isNotNull() for c in usage.COUNTERS]
-    counted = tokens.select("file", "seq", "ts", "replay", *[zero(_payload(f"{totals}.{c}", "bigint")).alias(c) for c in usage.COUNTERS], (present[0] | present[1] | present[2] | present[3]).alias("any"), (present[0] & present[1] & present[2]).alias("all")).filter("any")
+    tokens = rows.filter((F.col("rtype") == "event_msg") & (payload_field("type") == "token_count") & F.schema_of_variant(payload_field(totals, "variant")).startswith("OBJECT"))
+    present = [payload_field(f"{totals}.{c}", "variant").isNotNull() for c in usage.COUNTERS]
+    counted = tokens.select("file", "seq", "ts", "replay", *[zero(payload_field(f"{totals}.{c}", "bigint")).alias(c) for c in usage.COUNTERS], (present[0] | present[1] | present[2] | present[3]).alias("any"), (present[0] & present[1] & present[2]).alias("all")).filter("any")
     nothing = F.col("all")
     for c in usage.COUNTERS:
         nothing = nothing & (F.col(c) == 0)
     deltas = usage.counter_deltas(counted, ["file"], "seq", reset=nothing, replay=F.col("replay"))
 
     kinds = ("text", "input_text", "output_text")
-    texts = typed_blocks(_payload, kinds, bare=True)
+    texts = typed_blocks(payload_field, kinds, bare=True)
     text = strip_preamble(F.array_join(texts, " "))
     context = F.regexp_like(text, F.lit(r"(?s)^\s*<(environment_context|cwd)>.*?</\1>\s*$"))
-    users = staged(rows.filter((F.col("rtype") == "message") & (_payload("role") == "user")).select("file", "seq", "ts", "replay", F.when(~context, text).alias("text"), texts.alias("texts")).filter(F.char_length("text") >= 3), "users")
-    replies = staged(rows.filter((F.col("rtype") == "message") & (_payload("role") == "assistant") & ~F.col("replay")).select("file", "seq", "ts", content_text(F.to_json(_payload("content", "variant"))).alias("text"), texts.alias("texts")).filter(F.trim("text") != ""), "replies")
+    users = staged(rows.filter((F.col("rtype") == "message") & (payload_field("role") == "user")).select("file", "seq", "ts", "replay", F.when(~context, text).alias("text"), texts.alias("texts")).filter(F.char_length("text") >= 3), "users")
+    replies = staged(rows.filter((F.col("rtype") == "message") & (payload_field("role") == "assistant") & ~F.col("replay")).select("file", "seq", "ts", content_text(F.to_json(payload_field("content", "variant"))).alias("text"), texts.alias("texts")).filter(F.trim("text") != ""), "replies")
 
     live = rows.filter(~F.col("replay"))
-    raw = _payload("arguments", "variant")
-    arguments = F.when(F.schema_of_variant(raw) == "STRING", F.try_parse_json(_payload("arguments"))).otherwise(raw)
-    call = live.filter("rtype = 'function_call'").select("file", "seq", "ts", F.coalesce(_payload("name"), F.lit("unknown")).alias("tool_name"), F.coalesce(F.nullif(_payload("call_id"), F.lit("")), _payload("id")).alias("call_id"), arguments.alias("a"))
+    raw = payload_field("arguments", "variant")
+    arguments = F.when(F.schema_of_variant(raw) == "STRING", F.try_parse_json(payload_field("arguments"))).otherwise(raw)
+    call = live.filter("rtype = 'function_call'").select("file", "seq", "ts", F.coalesce(payload_field("name"), F.lit("unknown")).alias("tool_name"), F.coalesce(F.nullif(payload_field("call_id"), F.lit("")), payload_field("id")).alias("call_id"), arguments.alias("a"))
     words = F.coalesce(*[vget(F.col("a"), k, "array<string>") for k in ("command", "cmd")])
     cmd = F.when(words.isNotNull(), F.when((F.size(words) >= 3) & (F.get(words, F.lit(1)) == "-lc"), F.element_at(words, -1)).otherwise(F.array_join(words, " "))).otherwise(F.coalesce(*[F.nullif(vget(F.col("a"), k), F.lit("")) for k in ("command", "cmd")]))
     calls = _with_paths(call.select("file", F.struct("seq", F.lit(0).alias("place")).alias("seq"), F.col("ts").alias("timestamp"), "tool_name", "call_id", cmd.alias("command"), F.to_json("a").alias("arguments")))
-    output = live.filter("rtype = 'function_call_output'").select("file", "seq", F.coalesce(F.nullif(_payload("call_id"), F.lit("")), _payload("id")).alias("call_id"), _payload("output", "variant").alias("o"), _payload("output").alias("text"))
+    output = live.filter("rtype = 'function_call_output'").select("file", "seq", F.coalesce(F.nullif(payload_field("call_id"), F.lit("")), payload_field("id")).alias("call_id"), payload_field("output", "variant").alias("o"), payload_field("output").alias("text"))
     results = output.select("file", "seq", "call_id", output_is_error(F.col("o"), F.col("text")).alias("is_error"))
     calls = staged(usage.attach_results(calls, results.filter("call_id is not null").select("file", "call_id", F.struct("seq", F.lit(0).alias("place")).alias("seq"), "is_error")), "calls")
 
-    cwd = F.nullif(F.when(F.col("rtype").isin("session_meta", "turn_context"), _payload("cwd")).when((F.col("rtype") == "message") & (_payload("role") == "user"), F.trim(F.regexp_extract(F.array_join(texts, " "), r"(?s)<cwd>(.*?)</cwd>", 1))), F.lit(""))
+    cwd = F.nullif(F.when(F.col("rtype").isin("session_meta", "turn_context"), payload_field("cwd")).when((F.col("rtype") == "message") & (payload_field("role") == "user"), F.trim(F.regexp_extract(F.array_join(texts, " "), r"(?s)<cwd>(.*?)</cwd>", 1))), F.lit(""))
     spawn = "source.subagent.thread_spawn"
-    meta = F.when(F.col("rtype") == "session_meta", F.struct(_payload("id").alias("id"), _payload("timestamp").alias("at"), F.col("ts").alias("ts"), F.coalesce(*[F.nullif(_payload(p), F.lit("")) for p in ("parent_thread_id", f"{spawn}.parent_thread_id", "forked_from_id")]).alias("parent"), zero(_payload(f"{spawn}.depth", "int")).alias("depth")))
-    told = rows.select("file", "seq", "ts", F.nullif(field("id"), F.lit("")).alias("own_id"), cwd.alias("cwd"), meta.alias("meta"), F.when(F.col("rtype") == "turn_context", F.nullif(_payload("model"), F.lit(""))).alias("model"))
+    meta = F.when(F.col("rtype") == "session_meta", F.struct(payload_field("id").alias("id"), payload_field("timestamp").alias("at"), F.col("ts").alias("ts"), F.coalesce(*[F.nullif(payload_field(p), F.lit("")) for p in ("parent_thread_id", f"{spawn}.parent_thread_id", "forked_from_id")]).alias("parent"), zero(payload_field(f"{spawn}.depth", "int")).alias("depth")))
+    told = rows.select("file", "seq", "ts", F.nullif(field("id"), F.lit("")).alias("own_id"), cwd.alias("cwd"), meta.alias("meta"), F.when(F.col("rtype") == "turn_context", F.nullif(payload_field("model"), F.lit(""))).alias("model"))
     scalars = told.groupBy("file").agg(
         _first(F.col("meta")).alias("m"), _first(F.col("ts")).alias("first_ts"), F.max_by("ts", F.when(F.col("ts") != "", F.col("seq"))).alias("last_timestamp"), F.min_by("own_id", "seq").alias("own_id"),
         F.coalesce(_first(F.col("cwd")), F.lit("unknown")).alias("project"), _first(event_day(F.col("ts"))).alias("fallback_day"), _first(F.col("model")).alias("model"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.functions.words import content_text
+from strata.operators import records
 from strata.operators.records import blocks, vget
 from strata.sources.transcripts import field
 
@@ -14,13 +15,13 @@ RESULT_CHARS, PAGE, MOST_PAGE, PAGE_BYTES = 5000, 100, 200, 4 << 20
 SHOWN = ("file", "seq", "place", "kind", "name", "call_id", "text", "is_error", "timestamp")
 
 
-def claude(records: DataFrame) -> DataFrame:
-    """file, seq, place, kind, name, call_id, text, is_error, timestamp of records (file, seq, v).
+def claude(rows: DataFrame) -> DataFrame:
+    """file, seq, place, kind, name, call_id, text, is_error, timestamp of rows (file, seq, v).
 
     Kinds are user, text, thinking, tool_use and tool_result. Of a message that stands in several records the first
     record is shown, though usage counts the fullest.
     """
-    base = records.select("file", "seq", field("type").alias("rtype"), field("timestamp").alias("timestamp"), field("message.id").alias("mid"), field("message.content", "variant").alias("content"), blocks("message.content").alias("blocks"))
+    base = rows.select("file", "seq", field("type").alias("rtype"), field("timestamp").alias("timestamp"), field("message.id").alias("mid"), field("message.content", "variant").alias("content"), blocks("message.content").alias("blocks"))
     none = F.lit(None).cast("string")
     user = base.filter("rtype = 'user'").withColumn("results", F.filter("blocks", lambda b: F.coalesce(vget(b, "type") == "tool_result", F.lit(False))))
     said = user.filter(F.size("results") == 0).select("file", "seq", F.lit(0).alias("place"), F.lit("user").alias("kind"), none.alias("name"), none.alias("call_id"), content_text(F.to_json("content")).alias("text"), F.lit(False).alias("is_error"), "timestamp").filter(F.trim("text") != "")
@@ -36,12 +37,29 @@ def claude(records: DataFrame) -> DataFrame:
     return said.unionByName(results).unionByName(parts)
 
 
-def codex(tables: dict[str, DataFrame]) -> DataFrame:
-    """The same of codex tables: what people and the model said, and tool calls with their outcome."""
-    none = F.lit(None).cast("string")
-    said = tables["turns"].select("file", "seq", F.lit(0).alias("place"), F.when(F.col("role") == "user", "user").otherwise("text").alias("kind"), none.alias("name"), none.alias("call_id"), "text", F.lit(False).alias("is_error"), none.alias("timestamp"))
-    calls = tables["tool_calls"]
-    return said.unionByName(calls.select("file", F.col("seq.seq").alias("seq"), F.lit(1).alias("place"), F.lit("tool_use").alias("kind"), F.col("tool_name").alias("name"), "call_id", F.coalesce("command", F.lit("")).alias("text"), "is_error", "timestamp"))
+def codex(rows: DataFrame) -> DataFrame:
+    """The same of codex records: what people and the model said, block by block where it has blocks of text, calls, their results
+    and summaries of reasoning."""
+    base = rows.select("file", "seq", "v", records.wrapped().alias("wrapped")).withColumn("rtype", records.codex_type()).withColumn("timestamp", field("timestamp"))
+    get, none, at = records.payload_field, F.lit(None).cast("string"), lambda k: F.lit(k).alias("kind")
+    kinds = ("text", "input_text", "output_text")
+    message = base.filter("rtype = 'message'").select("file", "seq", "timestamp", get("role").alias("role"), content_text(F.to_json(get("content", "variant"))).alias("whole"), records.typed_blocks(get, kinds).alias("blocks"))
+    user = message.filter("role = 'user'").withColumn("text", records.own_words("whole")).filter(F.char_length("text") >= 3)
+    users = user.select("file", "seq", F.lit(0).alias("place"), at("user"), none.alias("name"), none.alias("call_id"), "text", F.lit(False).alias("is_error"), "timestamp")
+    parts = F.filter("blocks", lambda b: b != "")
+    said = message.filter("role = 'assistant'").select("file", "seq", "timestamp", F.posexplode(F.when(F.size(parts) > 0, parts).otherwise(F.array("whole"))).alias("place", "text")).filter(F.trim("text") != "")
+    said = said.select("file", "seq", "place", at("text"), none.alias("name"), none.alias("call_id"), "text", F.lit(False).alias("is_error"), "timestamp")
+    raw = get("arguments", "variant")
+    given = F.coalesce(F.to_json(F.when(F.schema_of_variant(raw) == "STRING", F.try_parse_json(get("arguments"))).otherwise(raw)), F.lit("{}"))
+    calls = base.filter("rtype = 'function_call'").select("file", "seq", F.lit(0).alias("place"), at("tool_use"), F.coalesce(get("name"), F.lit("unknown")).alias("name"), get("call_id").alias("call_id"), given.alias("text"), F.lit(False).alias("is_error"), "timestamp")
+    output = base.filter("rtype = 'function_call_output'").select("file", "seq", "timestamp", get("call_id").alias("call_id"), get("output", "variant").alias("o"), get("output").alias("plain"))
+    parsed = F.coalesce(F.when(F.schema_of_variant("o") == "STRING", F.try_parse_json("plain")), F.col("o"))
+    inner = F.when(F.schema_of_variant(parsed).startswith("OBJECT"), F.coalesce(vget(parsed, "output", "variant"), vget(parsed, "content", "variant"), parsed)).otherwise(parsed)
+    shown = F.coalesce(F.when(F.schema_of_variant(inner) == "STRING", inner.cast("string")).otherwise(F.to_json(inner)), F.lit(""))
+    results = output.select("file", "seq", F.lit(0).alias("place"), at("tool_result"), none.alias("name"), "call_id", F.substring(shown, 1, RESULT_CHARS).alias("text"), records.output_is_error(F.col("o"), F.col("plain")).alias("is_error"), "timestamp")
+    summary = F.array_join(F.transform(F.coalesce(get("summary", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.coalesce(vget(x, "text"), F.lit(""))), " ")
+    thought = base.filter("rtype = 'reasoning'").select("file", "seq", F.lit(0).alias("place"), at("thinking"), none.alias("name"), none.alias("call_id"), summary.alias("text"), F.lit(False).alias("is_error"), "timestamp").filter(F.trim("text") != "")
+    return users.unionByName(said).unionByName(calls).unionByName(results).unionByName(thought)
 
 
 def page(turns: DataFrame, file: str, after: tuple | None = None, limit: int = PAGE, most_bytes: int = PAGE_BYTES) -> DataFrame:

@@ -173,8 +173,9 @@ def runaways(sessions: DataFrame, limit: int = 8) -> DataFrame:
     return out.orderBy(F.desc("score"), F.desc_nulls_last("duration_seconds"), F.desc("first_timestamp"), "session_id").limit(limit).select("session_id", "username", "tool_call_count", "error_count", "score")
 
 
-def relaunches(sessions: DataFrame, least: int = 2, limit: int = 20) -> DataFrame:
-    """Objective families that were launched again, with the latest session of each."""
+def relaunches(sessions: DataFrame, least: int = 2, limit: int = 20, since: str | None = None) -> DataFrame:
+    """Objective families that were launched again, since a time stamp where one is given, with the latest session of each."""
+    sessions = sessions if since is None else sessions.filter(F.col("first_timestamp") >= since)
     latest = F.struct("first_timestamp", "session_id")
     groups = sessions.filter(F.col("objective_family").isNotNull()).groupBy("objective_family").agg(
         F.count(F.lit(1)).alias("launches"), F.countDistinct("username").alias("operators"), F.sum("tool_call_count").cast("long").alias("tools"), F.sum("error_count").cast("long").alias("errors"),

@@ -207,6 +207,14 @@ def shown_findings(found: DataFrame, key: str = "session_id", most: int = 5) ->
     return rows.orderBy(key, F.when(F.col("severity") == "high", 0).otherwise(1), "source", "line", "start", "title")
 
 
+# Metadata that a publication shows, in the order of the review.
+METADATA = (
+    "display_name", "bio", "avatar_url", "username", "repo_name", "project", "first_user_message", "machine", "model", "git_branch", "git_commit", "session_goal",
+    "session_summary", "session_outcome", "session_status", "session_origin", "objective_family", "objective_label", "source_path", "shared_path",
+    "workspace_root", "worktree_root", "repo_root",
+)
+
+
 def metadata_rows(sessions: DataFrame, fields: list[str], key: str = "session_id") -> DataFrame:
     """Metadata fields as texts `field: value` to scan."""
     values = F.array(*[F.struct(F.lit(f).alias("source"), F.concat(F.lit(f"{f}: "), F.col(f).cast("string")).alias("text")) for f in fields])

@@ -185,6 +185,31 @@ def raw_search(lines: DataFrame, text: str) -> DataFrame:
     return hit.groupBy("file").agg(F.min_by("value", "seq").alias("value"), F.count(F.lit(1)).alias("lines"))
 
 
+def excerpt(text: Column, words: str, around: int = 90) -> Column:
+    """The text around the first place of the words, case aside."""
+    at = F.greatest(F.instr(F.lower(text), words.lower()) - around, F.lit(1))
+    return F.trim(F.regexp_replace(F.substring(text, at, F.lit(2 * around + len(words))), r"\s+", " "))
+
+
+def forensic(sessions: DataFrame, calls: DataFrame, lines: DataFrame, words: str, limit: int | None = 20, public: bool = False) -> DataFrame:
+    """session_id, role, event_index, excerpt: sessions whose metadata or tool calls hold the words, newest first, then those with a raw
+    line that does (its number counts from 1). `lines` has file, seq and value; `sessions` the file of each."""
+    may = sessions.filter("listed_public") if public else sessions
+    like = lambda c: F.col(c).ilike(f"%{words}%")
+    used = calls.filter(like("command") | like("tool_name")).select("session_id").distinct().withColumn("_used", F.lit(True))
+    told = may.join(used, "session_id", "left")
+    meta = told.filter(F.coalesce(like("first_user_message"), F.lit(False)) | F.coalesce(like("session_goal"), F.lit(False)) | F.coalesce(like("session_summary"), F.lit(False)) | F.col("_used"))
+    text = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("first_user_message", "session_goal", "session_summary")], F.lit(""))
+    rows = meta.select("session_id", "first_timestamp", F.lit("metadata").alias("role"), F.lit(None).cast("long").alias("event_index"), excerpt(text, words).alias("excerpt"))
+    # Numbers of lines are counted in files with a hit alone, on rows without text.
+    hits = lines.filter(F.lower("value").contains(words.lower())).groupBy("file").agg(F.min_by(F.struct("seq", "value"), "seq").alias("hit"))
+    hits = staged(hits.join(may.join(meta.select("session_id"), "session_id", "left_anti").select("file", "session_id", "first_timestamp"), "file"), "hits")
+    before = lines.select("file", "seq").join(hits.select("file", F.col("hit.seq").alias("at")), "file").filter(F.col("seq") <= F.col("at")).groupBy("file").agg(F.count(F.lit(1)).alias("event_index"))
+    raw = hits.join(before, "file").select("session_id", "first_timestamp", F.lit("raw").alias("role"), "event_index", excerpt(F.col("hit.value"), words).alias("excerpt"))
+    both = rows.unionByName(raw).orderBy("role", F.desc_nulls_last("first_timestamp"), "session_id")
+    return both if limit is None else both.limit(limit)
+
+
 def chunk_search(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Archive search: chunks with every word, tool results aside, by word density; with no hit, chunks
     that hold the query as it stands, tool results included, ranked 0."""

@@ -49,7 +49,7 @@ def test_reports_search_and_review(engine):
     assert [r.role for r in engine.show("s").collect()] == ["user", "assistant"]
     found, levels = engine.review()
     assert dict(levels.collect()) == {"s1": "public", "agent-w": "public", "r1": "unlisted"}
-    assert engine.context(least_children=1, least_tokens=1).count() == 1
+    assert engine.context("2026-07-05", source="claudecode", least_children=1, least_tokens=1).count() == 1
     assert {r.next_visibility for r in engine.recompute_visibility([]).collect()} == {"unlisted"}
 
 
