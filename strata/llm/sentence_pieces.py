@@ -255,6 +255,11 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def encode_and_check(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids, decoded_sha256 of every row."""
-    found = decode(encode(docs, model_path, id_col, text_col), model_path)
+    """doc_id, n_tokens, ids, decoded_sha256 of every row. A task's one worker encodes and decodes, so the vocabulary's tables stand
+    once in it, and ids are not sent to another."""
+    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model_path))
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    fields = [base.schema["doc_id"], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    there, back = _encode(vocabulary), _decode(vocabulary)
+    found = base.mapInArrow(lambda batches: back(there(batches)), T.StructType(fields))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
