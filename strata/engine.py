@@ -14,6 +14,9 @@ from strata.streaming import incremental
 
 RULE = "id int, priority int, field string, mode string, pattern string, visibility string, source_scope string, threshold double, enabled boolean"
 
+#: Version of what the catalog derives from session tables. Another one derives the catalog anew and reads no transcript; the version of
+#: the tables themselves is `incremental.PARSED`, that of the index `search.VERSION`.
+STORY = 1
 USER = "username string, display_name string, profile_visibility string, default_visibility string"
 
 
@@ -40,11 +43,16 @@ class Engine:
         """As `sync`, for the new files of a folder by Structured Streaming; the catalog and a built index follow every batch."""
         return incremental.stream(self.spark, folder, dialect, self.store, checkpoint, after=lambda count: self.catch_up(), **options)
 
+    def adopt(self, copies: DataFrame) -> None:
+        """Take managed copies (file, copy, sha256) on record, to be read where a source is gone."""
+        copies = staged(copies.select("file", "copy", "sha256"), "copies")
+        self.store.replace("copies", copies, copies.select("file").distinct(), "file")
+
     def catch_up(self) -> None:
         """Derive the catalog if it is behind the sessions, and refresh an index that was built. A run that broke off between is
         so made good by the next."""
-        now = str(self.store.version("sessions"))
-        if now != "0" and self.store.marks().get("derived") != now:
+        now = f"{self.store.version('sessions')}/{STORY}"
+        if self.store.version("sessions") and self.store.marks().get("derived") != now:
             with self.store.batch():
                 self.derive()
                 self.store.mark("derived", now)

@@ -29,8 +29,8 @@ SUMS = T.StructType([T.StructField("file", T.StringType()), T.StructField("size"
 
 def opened(uri: str):
     """A readable file of any file system that Arrow knows; a path alone is local."""
-    if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri.removeprefix("file:")
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + uri.removeprefix("file:").lstrip("/"))
     system, path = fs.FileSystem.from_uri(uri)
     return system.open_input_file(path)
 
@@ -134,15 +134,20 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file in batch.column("file").to_pylist():
             digest, size = hashlib.sha256(), 0
-            with opened(file) as source:
-                while data := source.read(BUFFER):
-                    digest.update(data)
-                    size += len(data)
-            yield pa.RecordBatch.from_pydict({"file": [file], "size": [size], "sha256": [digest.hexdigest()]})
+            try:
+                with opened(file) as source:
+                    while data := source.read(BUFFER):
+                        digest.update(data)
+                        size += len(data)
+                told = size, digest.hexdigest()
+            except OSError:  # the row says so
+                told = None, None
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((file, *told), (pa.string(), pa.int64(), pa.string()))], ["file", "size", "sha256"])
 
 
 def hashed_files(found: DataFrame) -> DataFrame:
-    """file, size, sha256 of files (file); a sum is one task's work, in one buffer, however large the file."""
+    """file, size, sha256 of files (file), null where one cannot be read; a sum is one task's work, in one buffer, however large the
+    file."""
     return found.select("file").repartition("file").mapInArrow(_sums, SUMS)
 
 

@@ -51,7 +51,9 @@ def read_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*.js
     """
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(paths)
     seq = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return rows.select(F.col("_metadata.file_path").alias("file"), seq.alias("seq"), "value")
+    # The metadata has paths as URIs; everything else has them as they are.
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return rows.select(plain.alias("file"), seq.alias("seq"), "value")
 
 
 def files(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl") -> DataFrame:

@@ -13,10 +13,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.operators import catalog, records, sinks
 from strata.operators.paths import session_paths
-from strata.sources import bounded
+from strata.sources import bounded, managed
 from strata.sources.store import Store, staged
 from strata.sources.transcripts import MOST_BYTES, changed_files, files, first_stem, holds_marker, parsed_lines, transcripts_only
 
@@ -50,10 +51,14 @@ def file_hashes(held: DataFrame) -> DataFrame:
     return held.groupBy("file").agg(F.concat_ws(":", F.count(F.lit(1)), *[s.cast("string") for s in sums]).alias("file_hash"))
 
 
-def ingest(spark: SparkSession, names: list[str], dialect: str, store: Store, markers: tuple[str, ...], most_bytes: int = MOST_BYTES) -> None:
+def ingest(spark: SparkSession, names: list[str], dialect: str, store: Store, markers: tuple[str, ...], most_bytes: int = MOST_BYTES, copies: dict[str, str] | None = None) -> None:
     """Write the sessions of files, but for files with a privacy marker: those go to the table `private_files`,
-    and of a session that is already held from one the turns are dropped."""
-    short, long = bounded.read_lines(spark, names, most_bytes)
+    and of a session that is already held from one the turns are dropped. A file of `copies` is read from there and keeps its name."""
+    copies = copies or {}
+    short, long = bounded.read_lines(spark, [copies.get(n, n) for n in names], most_bytes)
+    if copies:
+        of = spark.createDataFrame([(c, n) for n, c in copies.items()], "_copy string, _name string")
+        short, long = (x.join(of, F.col("file") == F.col("_copy"), "left").withColumn("file", F.coalesce("_name", "file")).drop("_copy", "_name") for x in (short, long))
     lines = read_once(short, markers)
     batch = spark.createDataFrame([(n,) for n in names], "file string")
     private = staged(lines.filter("marked").select("file").distinct(), "private_files")
@@ -96,21 +101,39 @@ def refresh_native(store: Store, touched: DataFrame, before: DataFrame) -> None:
     store.replace("native_usage", catalog.native_usage(rivals, known, measures).join(affected, "session_id", "left_semi"), affected)
 
 
-def refresh(spark: SparkSession, found: DataFrame, store: Store, markers: tuple[str, ...], batch: int) -> int:
-    """Ingest the new and changed of `found` (file, size, modified, dialect, priority), `batch` files at a time; of
-    files with one stem, those of earlier batches included, the first counts. Tells how many files were read."""
-    ledger = store.read("ledger", found.schema)
+#: Version of the derivation from transcripts; a file that an older one read is read again, whether or not it changed.
+PARSED = 1
+
+
+def refresh(spark: SparkSession, found: DataFrame, store: Store, markers: tuple[str, ...], batch: int, rotated: bool = False) -> int:
+    """Ingest the new and changed of `found` (file, size, modified, dialect, priority) and those that an older version read, `batch`
+    files at a time; of files with one stem, those of earlier batches included, the first counts. With `rotated`, `found` is all there is:
+    files of the ledger that are gone and of an older version are read from their managed copies, or wait as rows of
+    `retries`. Tells how many files were read."""
+    ledger = store.read("ledger", T.StructType([*found.schema.fields, T.StructField("parsed", T.IntegerType())]))
     known = ledger.select(*found.columns).join(found.select("file"), "file", "left_anti").withColumn("_new", F.lit(False))
-    first = first_stem(found.withColumn("_new", F.lit(True)).unionByName(known)).filter("_new").drop("_new")
-    changed = staged(changed_files(first, ledger), "changed_files")
+    first = first_stem(found.withColumn("_new", F.lit(True)).unionByName(known))
+    current = ledger.filter(F.coalesce("parsed", F.lit(0)) >= PARSED)
+    changed = staged(changed_files(first.filter("_new").drop("_new"), current).withColumn("path", F.col("file")), "changed_files")
+    old = ledger.filter(F.coalesce("parsed", F.lit(0)) < PARSED).join(first.filter("not _new").select("file"), "file", "left_semi")
+    if rotated and not old.isEmpty():
+        due = staged(old.select(*found.columns), "due")
+        readable, failed = managed.resolve(due, found, store.read("copies", managed.COPY))
+        readable, failed = staged(readable, "readable"), staged(failed, "failed")
+        store.replace("retries", managed.retried(store.read("retries", managed.RETRY), due, failed).join(due.select("file"), "file", "left_semi"), due, "file")
+        changed = changed.select(*found.columns, "path").unionByName(due.join(readable.select("file", "path"), "file"))
     count = changed.count()
     for dialect in sorted(r[0] for r in changed.select("dialect").distinct().collect()):
-        names = changed.filter(F.col("dialect") == dialect).select("file").toLocalIterator()
-        while part := [r.file for r in itertools.islice(names, batch)]:
+        names = changed.filter(F.col("dialect") == dialect).select("file", "path").toLocalIterator()
+        while part := list(itertools.islice(names, batch)):
             with store.batch():
-                ingest(spark, part, "codex" if dialect.startswith("codex") else dialect, store, markers)
-                done = spark.createDataFrame([(n,) for n in part], "file string")
-                store.replace("ledger", changed.join(done, "file", "left_semi").select(*found.columns), done, "file")
+                copies = {r.file: r.path for r in part if r.path != r.file}
+                ingest(spark, [r.file for r in part], "codex" if dialect.startswith("codex") else dialect, store, markers, copies=copies)
+                done = spark.createDataFrame([(r.file,) for r in part], "file string")
+                rows = changed.join(done, "file", "left_semi").select(*found.columns, F.lit(PARSED).alias("parsed"))
+                store.replace("ledger", rows, done, "file")
+                if store.version("retries"):  # what was read no longer waits
+                    store.replace("retries", store.read("retries").limit(0), done, "file")
     return count
 
 
@@ -120,7 +143,7 @@ def sync(spark: SparkSession, folders: list[tuple[str, str, int]], store: Store,
     for folder, dialect, priority in folders:
         part = files(spark, folder).withColumns({"dialect": F.lit(dialect), "priority": F.lit(priority)})
         found = part if found is None else found.unionByName(part)
-    return refresh(spark, staged(transcripts_only(found, ignore), "found_files"), store, markers, batch)
+    return refresh(spark, staged(transcripts_only(found, ignore), "found_files"), store, markers, batch, rotated=True)
 
 
 def stream(spark: SparkSession, folder: str, dialect: str, store: Store, checkpoint: str, files_per_batch: int = 200, ignore: tuple[str, ...] = (), markers: tuple[str, ...] = (), priority: int = 0, after: Callable[[int], None] | None = None):

@@ -144,7 +144,7 @@ def test_lines_keep_their_order_when_files_are_split(spark, tmp_path):
 
 def test_derive_gives_all_tables(spark, tmp_path):
     t.write(tmp_path / "a.jsonl", t.forked())
-    tables = derive(source.read_lines(spark, str(tmp_path)), "codex")
+    tables = derive(load(spark, tmp_path), "codex")
     assert tables["session_paths"].count() == 1 and tables["session_daily_usage"].count() == 1 and tables["turns"].count() == 2
 
 
