@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from strata.functions.words import content_text
 from strata.operators import archive, catalog, filters, lineage, narrative, paths, render, reports, scan, search, sinks
 from strata.plans.analogs import Catalog, continued, query
 from strata.plans.parsed import ANSWER, ARCHIVED, KEPT, LINES, PROMPT, RESULT, SPOKEN, TURNS, plain
-from strata.sources import transcripts
-from strata.sources.store import staged
+from strata.sources import push, transcripts
+from strata.sources.store import shared_dir, staged
+from strata.streaming import owners
 
 
 def _records(c: Catalog) -> DataFrame:
@@ -234,3 +237,35 @@ def snk_upsert_drift(c: Catalog) -> DataFrame:
     old = c.sessions.select("session_id", "n", "visibility", F.when(n % 5 == 0, "kept").when(n % 3 == 0, "manual").otherwise("rule").alias("visibility_source"), F.lit("h").alias("reviewed_hash"), F.lit("m").alias("reviewed_metadata_hash"), F.lit("h").alias("file_hash"), F.lit("m").alias("metadata_hash"))
     new = old.filter("n % 5 <> 0").withColumns({"visibility": F.lit("unlisted"), "visibility_source": F.lit("default"), "file_hash": F.when(n % 2 == 1, "changed").otherwise("h"), "reviewed_hash": F.lit(None).cast("string"), "reviewed_metadata_hash": F.lit(None).cast("string")})
     return sinks.upsert_sessions(old, new).select("session_id", "visibility", "visibility_source")
+
+
+@query("""SELECT file, sha256, 'raw/sha256/' || substr(sha256, 1, 2) || '/' || sha256 || '.md' AS object FROM (SELECT sha256, MIN('/f/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') || '.md') AS file, bool_or(doc_id IN (SELECT doc_id FROM labels)) AS held FROM (SELECT doc_id, sha256(coalesce(text, '')) AS sha256 FROM documents) d GROUP BY 1) x WHERE NOT held""")
+def snk_push_plan(c: Catalog) -> DataFrame:
+    """Objects that are not held yet, one of equal contents."""
+    files = lambda rows: rows.select(F.concat(F.lit("/f/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".md")).alias("file"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+    docs = c.table("documents")
+    held = push.push_plan(files(docs.join(c.table("labels").select("doc_id"), "doc_id", "left_semi")), missing_only=False)
+    return push.push_plan(files(docs), held)
+
+
+@plain("""WITH e AS (SELECT user_id % 50 AS c, 's' || event_id % 40 AS s, event_id, event_type <> 'error' AS held, CASE WHEN event_id % 7 = 0 THEN '~' ELSE strftime(ts, '%Y-%m-%d') END AS last FROM events),
+now AS (SELECT c, s, arg_max(held, event_id) AS held, arg_max(last, event_id) AS last FROM e GROUP BY 1, 2)
+SELECT 'c' || c AS claim_key, arg_min(s, (last, s)) AS owner FROM now WHERE held GROUP BY c""")
+def own_moves(c: Catalog) -> DataFrame:
+    """Who owns each claim after a stream of what sessions hold, in three batches in no order: the last move of each claim."""
+    spark, provider = c.spark, "spark.sql.streaming.stateStore.providerClass"
+    folder = f"{shared_dir(spark)}/strata-{uuid.uuid4().hex}"
+    said = c.table("events").select(
+        F.concat(F.lit("c"), F.col("user_id") % 50).alias("claim_key"), F.concat(F.lit("s"), F.col("event_id") % 40).alias("session_id"), F.when(F.col("event_id") % 7 != 0, F.date_format("ts", "yyyy-MM-dd")).alias("last_timestamp"),
+        F.lit(None).cast("string").alias("first_timestamp"), (F.col("event_type") != "error").alias("held"), F.col("event_id").cast("long").alias("seq"))
+    said.repartition(3).write.parquet(f"{folder}/in")
+    was = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(owners.EVENT).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        keep = lambda rows, number: rows.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/moves")
+        owners.owner_moves(stream).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, was)
+    moves = spark.read.parquet(f"{folder}/moves")
+    return moves.groupBy("claim_key").agg(F.max_by("owner", "batch").alias("owner")).filter("owner is not null")
