@@ -89,24 +89,26 @@ def field(path: str, kind: str = "string") -> Column:
     return F.try_variant_get("v", f"$.{path}", kind)
 
 
-def _checks() -> list[Column]:
-    """(path, type found, types allowed, a number where one is due) of each field that a record has to hold well."""
+def _checks() -> Column:
+    """(order, path, type found, types allowed, a number where one is due) of each field that a record has to hold well. Fields of an
+    object are looked up only where the record has that object."""
     record = F.coalesce(field("type"), field("record_type"))
     token = F.coalesce(field("payload.type") == "token_count", F.lit(False))
     call = F.coalesce((record == "response_item") & (field("payload.type") == "function_call"), F.lit(False))
-    anything = F.lit(None).cast("array<string>")
-
-    def check(path: str, kinds: Column, number: Column) -> Column:
-        return F.struct(F.lit(path).alias("path"), F.schema_of_variant(_at(path)).alias("kind"), kinds.alias("kinds"), number.alias("number"))
-
+    named = F.coalesce(record == "function_call", F.lit(False))
+    anything, fine = F.lit(None).cast("array<string>"), F.lit(0.0)
     typed = lambda *kinds: F.array(*map(F.lit, kinds))
     due = lambda path: F.coalesce(F.when(F.schema_of_variant(_at(path)) == "VOID", 0.0), field(path, "double"))
-    fine = F.lit(0.0)
-    out = [check(p, typed(*kinds), fine) for p, kinds in FIELD_TYPES.items()] + [check(p, anything, due(p)) for p in NUMBERS]
-    out += [check(p, F.when(token, typed("OBJECT")), fine) for p in ("payload.info", "payload.info.total_token_usage")]
-    out += [check(p, anything, F.when(token, due(p)).otherwise(fine)) for p in TOKEN_NUMBERS]
-    named = F.coalesce(record == "function_call", F.lit(False))
-    return [*out, check("name", F.when(named, typed("STRING")), fine), check("payload.name", F.when(call, typed("STRING")), fine)]
+    wanted = [(p, typed(*kinds), fine) for p, kinds in FIELD_TYPES.items()] + [(p, anything, due(p)) for p in NUMBERS]
+    wanted += [(p, F.when(token, typed("OBJECT")), fine) for p in ("payload.info", "payload.info.total_token_usage")] + [(p, anything, F.when(token, due(p)).otherwise(fine)) for p in TOKEN_NUMBERS]
+    wanted += [("name", F.when(named, typed("STRING")), fine), ("payload.name", F.when(call, typed("STRING")), fine)]
+    parts: dict[str, list[Column]] = {}
+    for order, (path, kinds, number) in enumerate(wanted):
+        own = next((p for p in ("payload.info.", "payload.source.", "message.usage.", "payload.", "message.") if path.startswith(p)), "")
+        check = F.struct(F.lit(order).alias("order"), F.lit(path).alias("path"), F.schema_of_variant(_at(path)).alias("kind"), kinds.alias("kinds"), number.alias("number"))
+        parts.setdefault(own, []).append(check)
+    whole = [F.array(*checks) if not own else F.when(_at(own.rstrip(".")).isNotNull(), F.array(*checks)).otherwise(F.slice(F.array(*checks[:1]), 1, 0)) for own, checks in parts.items()]
+    return F.concat(*whole)
 
 
 def reject_reason() -> Column:
@@ -114,7 +116,7 @@ def reject_reason() -> Column:
     that one filter goes through, so the generated code stays small."""
     found = lambda c: F.regexp_extract(c["kind"], r"^([A-Z]+)", 1)  # noqa: E731  without type arguments
     bad = lambda c: c["kind"].isNotNull() & (c["number"].isNull() | ~F.coalesce(F.array_contains(c["kinds"], found(c)), F.lit(True)))
-    return F.get(F.filter(F.array(*_checks()), bad), F.lit(0))["path"]
+    return F.array_min(F.transform(F.filter(_checks(), bad), lambda c: F.struct(c["order"].alias("order"), c["path"].alias("path"))))["path"]
 
 
 def parsed_lines(lines: DataFrame, most_chars: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -159,3 +159,15 @@ def test_infer_dialect_and_stems(spark, tmp_path):
     assert [r.file for r in kept] == ["/y/s.jsonl"]
     names = spark.createDataFrame([("/p/-home-me-my-app/s.jsonl",), ("/p/-home-x/root/subagents/agent-1.jsonl",)], "p string")
     assert [r[0] for r in names.select(source.project_of_path(F.col("p"))).collect()] == ["app", "home"]
+
+
+def test_reject_reasons(spark):
+    cases = [
+        ('{"type":3}', "type"), ('{"type":"user","message":"x"}', "message"), ('{"message":{"usage":{"input_tokens":"abc"}}}', "message.usage.input_tokens"), ('{"message":{"usage":{"input_tokens":"12","output_tokens":null}}}', None),
+        ('{"payload":{"type":"token_count","info":null}}', "payload.info"), ('{"payload":{"type":"token_count"}}', None), ('{"payload":{"type":"token_count","info":{"total_token_usage":{"input_tokens":[1]}}}}', "payload.info.total_token_usage.input_tokens"),
+        ('{"payload":{"type":"other","info":3}}', None), ('{"type":"response_item","payload":{"type":"function_call","name":3}}', "payload.name"), ('{"type":"function_call","name":null}', "name"), ('{"type":"x","name":3}', None),
+        ('{"payload":{"source":{"subagent":{"thread_spawn":{"depth":"x"}}}}}', "payload.source.subagent.thread_spawn.depth"), ('{"payload":null}', "payload"), ('{"payload":{"source":"cli"}}', None),
+        ('{"message":{"content":5,"id":{}},"timestamp":1}', "timestamp"), ('{"message":{"content":5,"id":{}}}', "message.id"), ("[1]", "not_object"), ("{", "invalid_json"), ('{"cwd":null,"id":true}', None)]
+    rows = spark.createDataFrame([("f", i, v) for i, (v, _) in enumerate(cases)], "file string, seq int, value string")
+    got = {r.seq: r.reject for r in source.parsed_lines(rows).collect()}
+    assert [(v, got[i]) for i, (v, _) in enumerate(cases)] == cases
