@@ -152,9 +152,9 @@ def test_a_broken_sync_goes_on_with_its_batch(spark, tmp_path, monkeypatch):
     store, folders = Store(spark, str(tmp_path / "store")), [(str(folder), "claudecode", 0)]
     real, seen = incremental.ingest, []
 
-    def breaks(spark, names, *rest):
+    def breaks(spark, names, *rest, **more):
         seen.append(names)
-        real(spark, names, *rest)
+        real(spark, names, *rest, **more)
         if len(seen) == 2:
             raise RuntimeError("killed after its tables were written")
     monkeypatch.setattr(incremental, "ingest", breaks)
