@@ -171,3 +171,24 @@ def test_reject_reasons(spark):
     rows = spark.createDataFrame([("f", i, v) for i, (v, _) in enumerate(cases)], "file string, seq int, value string")
     got = {r.seq: r.reject for r in source.parsed_lines(rows).collect()}
     assert [(v, got[i]) for i, (v, _) in enumerate(cases)] == cases
+
+
+def test_one_table_writes_what_it_is_made_of_alone(spark, tmp_path, monkeypatch):
+    t.write(tmp_path / "s.jsonl", [t.user("s", "2026-07-03T10:00:00Z", "hello there"), t.assistant("s", "2026-07-03T10:00:01Z", "m", t.usage(40, 20, 0, 40))])
+    rows, written = load(spark, tmp_path), []
+    monkeypatch.setattr(records, "staged", lambda df, label: written.append((label, set(df.columns))) or df)
+    claims = records.claude(rows, ("claims",))["claims"]
+    assert [label for label, _ in written] == ["fields"] and not {"texts", "calls", "results"} & written[0][1]
+    assert [(c.session_id, c.day, c.total_output_tokens) for c in claims.collect()] == [("s", "2026-07-03", 40)]
+
+
+def test_lines_that_look_good_are_good(spark):
+    """Reasons are the same whether or not a line's text was enough to pass it."""
+    from pyspark.sql import functions as F
+
+    texts = ['{"type":"user","message":{"content":"x"}}', '{"ty\\u0070e":5}', '{"type" : 5}', '{"type":"user","message":"x"}', '{"type":"a","message":{"usage":{"input_tokens":"7"}}}', '{"type":"a","message":{"usage":{"input_tokens":"x"}}}',
+             '{"type":"a","id":1.5}', '{"type":"a","id":3}', '{"type":"a","cwd":null}', '{"type":"function_call","name":3}', '{"type":"b","input":{"name":3}}', '{"a":"\\"type\\": 5"}', '{"type":"x","payload":{"type":"token_count","info":null}}', ' {"type":null}']
+    lines = spark.createDataFrame([("f", i, x) for i, x in enumerate(texts)], "file string, seq int, value string")
+    got = {r.seq: r.reject for r in source.parsed_lines(lines).collect()}
+    want = {r.seq: r.why for r in lines.select("seq", F.try_parse_json("value").alias("v")).select("seq", source.reject_reason().alias("why")).collect()}
+    assert got == want and sum(x is not None for x in want.values()) >= 7
