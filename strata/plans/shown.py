@@ -12,17 +12,12 @@ from strata.functions.classify import event_day
 from strata.functions.words import content_text
 from strata.operators import archive, catalog, filters, lineage, narrative, paths, render, reports, scan, search, sinks
 from strata.plans.analogs import Catalog, continued, query
-from strata.plans.parsed import ANSWER, ARCHIVED, KEPT, LINES, PROMPT, RESULT, SPOKEN, TURNS, plain
+from strata.plans.parsed import ARCHIVED, KEPT, LINES, SPOKEN, TURNS, claude_lines, plain
 from strata.sources import push, transcripts
 from strata.sources.store import shared_dir, staged
 from strata.streaming import owners
 
 
-def _records(c: Catalog) -> DataFrame:
-    items = c.sql(LINES)
-    return staged(transcripts.records(c.sql(PROMPT).unionByName(c.spark.sql(ANSWER, lines=items)).unionByName(c.spark.sql(RESULT, lines=items))), "records")
-
-
 # Of a message's copies display takes the first.
 RENDERED = KEPT + """, firsts AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, ln % 3 ORDER BY ln) AS c FROM lines),
 shown AS (SELECT o_orderkey AS o, 0 AS seq, 0 AS place, 'user' AS kind, NULL AS name, '  do ' || o_orderpriority || ' ' AS text, false AS is_error FROM orders
@@ -33,12 +28,15 @@ UNION ALL SELECT l_orderkey, ln * 10 + 1, 0, 'tool_result', NULL, l_returnflag,
 
 @plain(RENDERED + "SELECT '/p/-w-app/' || o || '.jsonl' AS file, seq, place, kind, name, text, is_error FROM shown")
 def prs_render(c: Catalog) -> DataFrame:
-    return render.claude(_records(c)).select("file", "seq", "place", "kind", "name", "text", "is_error")
+    return render.claude(transcripts.records(claude_lines(c))).select("file", "seq", "place", "kind", "name", "text", "is_error")
 
 
 @plain(RENDERED + "SELECT seq, place, kind, text FROM shown WHERE o = 5 AND (seq > 10 OR (seq = 10 AND place > 0)) ORDER BY seq, place LIMIT 4")
 def prs_page(c: Catalog) -> DataFrame:
-    return render.page(render.claude(_records(c)), "/p/-w-app/5.jsonl", (10, 0), 4).select("seq", "place", "kind", "text")
+    """A page needs the lines of its file alone."""
+    name = "/p/-w-app/5.jsonl"
+    lines = claude_lines(c, written=False).filter(F.col("file") == name)
+    return render.page(render.claude(transcripts.records(lines)), name, (10, 0), 4).select("seq", "place", "kind", "text")
 
 
 @query("SELECT session_id FROM sessions WHERE n % 3 <> 1")
