@@ -79,21 +79,37 @@ def scored(index: DataFrame, query: str) -> DataFrame:
     return counted.filter("tf > 0").join(F.broadcast(stats)).withColumn("score", bm25()).drop("docs", "mean_words", "hits")
 
 
-def _placed(ids: tuple[str, ...]):
+def _runs(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs [i, j) of lists with about `most` entries, at least one list each."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1))
+        yield i, j
+        i = j
+
+
+def _placed(ids: tuple[str, ...], most: int = 1 << 17):
+    """Places of each token of each document. Documents are gone through in runs of about `most` words, so that a worker holds the arrays
+    of one run (a document at least) besides the batch, and gives their memory back."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = batch.column("words")
-            coded = words.flatten().dictionary_encode()
-            codes, sizes = coded.indices.to_numpy(), np.diff(words.offsets.to_numpy())
-            owner, begin = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
-            order = np.lexsort((codes, owner))
-            code, own = codes[order], owner[order]
-            first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (own[1:] != own[:-1]))) if len(code) else np.zeros(0, np.int64)
-            places = (np.arange(len(codes)) - begin)[order].astype(np.int32)
-            at = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(places))
-            of = pa.array(own[first])
-            columns = [coded.dictionary.take(pa.array(code[first])), *[batch.column(c).take(of) for c in ids], pa.array(sizes[own[first]].astype(np.int32)), at]
-            yield pa.RecordBatch.from_arrays(columns, ["token", *ids, "n_words", "at"])
+        for whole in batches:
+            for i, j in _runs(whole.column("words").offsets.to_numpy(), most):
+                yield placed(whole.slice(i, j - i))
+                pa.default_memory_pool().release_unused()
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column("words")
+        coded = words.flatten().dictionary_encode()
+        codes, sizes = coded.indices.to_numpy(), np.diff(words.offsets.to_numpy())
+        owner, begin = np.repeat(np.arange(len(sizes)), sizes), np.repeat(np.cumsum(sizes) - sizes, sizes)
+        order = np.lexsort((codes, owner))
+        code, own = codes[order], owner[order]
+        first = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (own[1:] != own[:-1]))) if len(code) else np.zeros(0, np.int64)
+        places = (np.arange(len(codes)) - begin)[order].astype(np.int32)
+        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(code)).astype(np.int32)), pa.array(places))
+        of = pa.array(own[first])
+        columns = [coded.dictionary.take(pa.array(code[first])), *[batch.column(c).take(of) for c in ids], pa.array(sizes[own[first]].astype(np.int32)), at]
+        return pa.RecordBatch.from_arrays(columns, ["token", *ids, "n_words", "at"])
     return rows
 
 

@@ -247,3 +247,14 @@ def test_files_are_hashed_whole(spark, tmp_path):
         (tmp_path / "store/raw/sha256" / name[:2]).mkdir(parents=True, exist_ok=True)
         (tmp_path / "store/raw/sha256" / name[:2] / name).write_bytes(body)
     assert [r.sha256 for r in bounded.verified_objects(spark, str(tmp_path / "store")).collect()] == [good]
+
+
+def test_places_are_gathered_in_runs_of_documents():
+    import pyarrow as pa
+
+    words = [["a", "b", "a"], [], ["b"] * 5, ["c"], ["a", "c", "a", "c"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array([["z"], ["z"], *words], pa.list_(pa.string()))], ["doc", "words"]).slice(2)
+    told = lambda most: [x.to_pydict() for x in search._placed(("doc",), most)(iter([batch]))]
+    rows = lambda found: sorted((d, t, n, tuple(at)) for x in found for t, d, n, at in zip(x["token"], x["doc"], x["n_words"], x["at"]))
+    assert len(told(4)) > 2 and max(sum(map(len, x["at"])) for x in told(4)) <= 5
+    assert rows(told(4)) == rows(told(1 << 20)) == [(2, "a", 3, (0, 2)), (2, "b", 3, (1,)), (4, "b", 5, (0, 1, 2, 3, 4)), (5, "c", 1, (0,)), (6, "a", 4, (0, 2)), (6, "c", 4, (1, 3))]
