@@ -15,10 +15,14 @@ def resolve_parents(sessions: DataFrame) -> DataFrame:
     The parent is the earliest session of the same user and source whose thread is named, never the
     session itself; a parent id that names a session already stays; anything else becomes null.
     """
-    parents = sessions.select(F.col("username").alias("pu"), F.col("source").alias("ps"), F.col("thread_id").alias("thread"), F.col("session_id").alias("pid"), F.coalesce("first_timestamp", F.lit("")).alias("pts"))
+    thread = ["username", "source", "raw"]
     named = sessions.select("session_id", "username", "source", F.col("parent_thread_id").alias("raw"))
-    same = (F.col("username") == F.col("pu")) & (F.col("source") == F.col("ps")) & (F.col("raw") == F.col("thread")) & (F.col("session_id") != F.col("pid"))
-    by_thread = named.join(parents, same).groupBy("session_id").agg(F.min(F.struct("pts", "pid")).alias("p")).select("session_id", F.col("p.pid").alias("by_thread"))
+    parents = sessions.filter("session_id is not null").select("username", "source", F.col("thread_id").alias("raw"), F.struct(F.coalesce("first_timestamp", F.lit("")).alias("pts"), F.col("session_id").alias("pid")).alias("p"))
+    # Of a thread's sessions the two earliest are all that its children can have: the second is for the first itself.
+    first = parents.groupBy(*thread).agg(F.min("p").alias("a"))
+    second = parents.join(first, thread).filter("p.pid <> a.pid").groupBy(*thread).agg(F.min("p").alias("b"))
+    found = named.join(first.join(second, thread, "left"), thread).withColumn("p", F.when(F.col("a.pid") != F.col("session_id"), F.col("a")).otherwise(F.col("b")))
+    by_thread = found.groupBy("session_id").agg(F.min("p").alias("p")).select("session_id", F.col("p.pid").alias("by_thread"))
     by_id = named.join(sessions.select(F.col("session_id").alias("by_id")), (F.col("raw") == F.col("by_id")) & (F.col("session_id") != F.col("by_id")), "left").select("session_id", "by_id")
     return by_id.join(by_thread, "session_id", "left").select("session_id", F.coalesce("by_thread", "by_id").alias("parent_session_id"))
 

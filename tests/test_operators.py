@@ -311,3 +311,17 @@ def test_filters(spark):
     assert filters.by_username(users, "A B").first()[0] == "A B" and filters.by_username(users, "A  b!").first()[0] == "a-b"
     renamed = sinks.next_available(spark.createDataFrame([("Alice",), ("alice",), ("bob",)], "username string")).collect()
     assert sorted(r.new_name for r in renamed) == ["alice", "alice-2", "bob"]
+
+
+def test_parents_of_a_large_thread_cost_its_size(spark, monkeypatch):
+    """Children of one thread meet two of its sessions, not all of them; the thread's first session gets the second."""
+    rows = spark.range(3000).selectExpr("concat('s', lpad(id, 5, '0')) as session_id", "'u' as username", "'codex' as source", "'t' as thread_id", "'t' as parent_thread_id", "concat('2026-01-01T', lpad(id, 6, '0')) as first_timestamp")
+    met = []
+    kind = type(rows)
+    join = kind.join
+    monkeypatch.setattr(kind, "join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    found = lineage.resolve_parents(rows)
+    monkeypatch.undo()
+    assert max(x.count() for x in met) <= 3000
+    got = {r.session_id: r.parent_session_id for r in found.collect()}
+    assert len(got) == 3000 and got.pop("s00000") == "s00001" and set(got.values()) == {"s00000"}
