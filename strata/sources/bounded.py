@@ -8,6 +8,7 @@ that have some are read in Python; all others stay with Spark's reader. Its list
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from strata.sources.store import staged
 from strata.sources.transcripts import MOST_BYTES, files
 from strata.sources.transcripts import read_lines as transcripts_lines
 
-BUFFER, RANGE = 1 << 20, 128 << 20
+BUFFER, LEAST, RANGE = 1 << 20, 4 << 10, 128 << 20
 LINES = T.StructType([T.StructField("file", T.StringType()), T.StructField("start", T.LongType()), T.StructField("bytes", T.LongType())])
 SUMS = T.StructType([T.StructField("file", T.StringType()), T.StructField("size", T.LongType()), T.StructField("sha256", T.StringType())])
 
@@ -35,10 +36,13 @@ def opened(uri: str):
     return system.open_input_file(path)
 
 
-def buffers(source, begin: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(offset, bytes) from `begin` to the file's end."""
+def buffers(source, begin: int, end: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(offset, bytes) from `begin` to the file's end. A first read goes no further than `end`; what a caller then needs is the rest of a
+    line, so reads begin small there and double."""
     source.seek(begin)
-    while data := source.read(BUFFER):
+    most = LEAST
+    while data := source.read(min(BUFFER, end - begin if begin < end else most)):
+        most = most if begin < end else 2 * most
         yield begin, np.frombuffer(data, np.uint8)
         begin += len(data)
 
@@ -47,7 +51,7 @@ def long_in_range(source, begin: int, end: int, most: int) -> Iterator[tuple[int
     """(start, bytes) of lines of over `most` bytes that start in [begin, end), their line ends aside."""
     start = 0 if begin == 0 else None  # a line that began before is another range's
     at = begin
-    for at, data in buffers(source, max(begin - 1, 0)):
+    for at, data in buffers(source, max(begin - 1, 0), end):
         ends = np.flatnonzero(data == 10) + at
         at += len(data)
         starts = np.concatenate([ends[:0] if start is None else [start], ends + 1]).astype(np.int64)
@@ -63,7 +67,7 @@ def long_in_range(source, begin: int, end: int, most: int) -> Iterator[tuple[int
 def short_in_range(source, begin: int, end: int, most: int) -> Iterator[tuple[int, bytes]]:
     """(start, line) of lines of at most `most` bytes that start in [begin, end). What a buffer cuts off is held up to `most` bytes."""
     start, held = (0 if begin == 0 else None), b""  # held is None once the line is too long
-    for at, data in buffers(source, max(begin - 1, 0)):
+    for at, data in buffers(source, max(begin - 1, 0), end):
         raw, done = data.tobytes(), 0
         for k in np.flatnonzero(data == 10).tolist():
             if start is not None and held is not None and len(held) + k - done <= most:
@@ -80,30 +84,40 @@ def short_in_range(source, begin: int, end: int, most: int) -> Iterator[tuple[in
 
 
 def _in_ranges(read, most: int, names: list[str], kinds: list[pa.DataType], size: int = 4096):
-    """Rows (file, what `read` finds in a range) of ranges (file, begin, end)."""
+    """Rows (file, what `read` finds in a range) of ranges (file, begin, end). A file stays open from one of its ranges to the next, and
+    ranges share batches of rows."""
     schema = pa.schema([("file", pa.string()), *zip(names, kinds)])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, begin, end in zip(*(batch.column(c).to_pylist() for c in ("file", "begin", "end"))):
-                with opened(file) as source:
-                    found, held = [], 0
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        with contextlib.ExitStack() as held:
+            at, source = None, None
+            for batch in batches:
+                for file, begin, end in zip(*(batch.column(c).to_pylist() for c in ("file", "begin", "end"))):
+                    if file != at:
+                        held.close()
+                        at, source = file, held.enter_context(opened(file))
                     for row in read(source, begin, end, most):
-                        found.append((file, *row))
-                        held += len(row[1]) if isinstance(row[1], bytes) else 0
-                        if len(found) == size or held > 4 * BUFFER:
-                            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), schema.types)], schema=schema)
-                            found, held = [], 0
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), schema.types)], schema=schema)
+                        yield file, *row
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, held = [], 0
+        packed = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), schema.types)], schema=schema)
+        for row in found(batches):
+            some.append(row)
+            held += len(row[2]) if isinstance(row[2], bytes) else 0
+            if len(some) == size or held > 4 * BUFFER:
+                yield packed()
+                some, held = [], 0
+        if some:
+            yield packed()
     return rows
 
 
 def ranges(found: DataFrame, part: int = RANGE) -> DataFrame:
-    """file, begin, end of the byte ranges of files (file, size), dealt to tasks."""
+    """file, begin, end of the byte ranges of files (file, size), dealt to tasks; a task has those of a file one after the other."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(part).cast("long"))
     cut = found.filter("size > 0").select("file", F.explode(starts).alias("begin"))
-    return cut.withColumn("end", F.col("begin") + part).repartition("file", "begin")
+    return cut.withColumn("end", F.col("begin") + part).repartition("file", "begin").sortWithinPartitions("file", "begin")
 
 
 def long_lines(found: DataFrame, most_bytes: int = MOST_BYTES, part: int = RANGE) -> DataFrame:

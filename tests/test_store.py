@@ -4,6 +4,7 @@ import hashlib
 import json
 import resource
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,3 +259,39 @@ def test_places_are_gathered_in_runs_of_documents():
     rows = lambda found: sorted((d, t, n, tuple(at)) for x in found for t, d, n, at in zip(x["token"], x["doc"], x["n_words"], x["at"]))
     assert len(told(4)) > 2 and max(sum(map(len, x["at"])) for x in told(4)) <= 5
     assert rows(told(4)) == rows(told(1 << 20)) == [(2, "a", 3, (0, 2)), (2, "b", 3, (1,)), (4, "b", 5, (0, 1, 2, 3, 4)), (5, "c", 1, (0,)), (6, "a", 4, (0, 2)), (6, "c", 4, (1, 3))]
+
+
+def test_small_ranges_read_little_more_than_the_file(tmp_path, monkeypatch):
+    """Each range read a whole buffer of a file that it opened anew."""
+    path, size = str(tmp_path / "f"), 300_000
+    (tmp_path / "f").write_bytes(b"".join(b"%d:%s\n" % (n, b"x" * (n % 60)) for n in range(size // 35))[:size])
+    size, told, first = (tmp_path / "f").stat().st_size, {"read": 0, "opened": 0}, bounded.opened
+
+    class Counted:
+        def __init__(self, file):
+            self.file = file
+
+        def __getattr__(self, name):
+            return getattr(self.file, name)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read(self, n):
+            told["read"] += len(data := self.file.read(n))
+            return data
+
+    def counted(uri):
+        told["opened"] += 1
+        return Counted(first(uri))
+    monkeypatch.setattr(bounded, "opened", counted)
+    rows = [(path, b, b + 1000) for b in range(0, size, 1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["file", "begin", "end"])
+    reader = bounded._in_ranges(bounded.short_in_range, 60, ["start", "value"], [pa.int64(), pa.binary()])
+    got = list(reader(iter([batch])))
+    lines = (tmp_path / "f").read_bytes().split(b"\n")
+    assert [v for b in got for v in b.column("value").to_pylist()] == [x for x in lines if len(x) <= 60 and x]
+    assert told["opened"] == 1 and told["read"] < 7 * size and len(got) < 10
