@@ -31,7 +31,9 @@ class Owners(StatefulProcessor):
         was = self.owner.get() if self.owner.exists() else None
         best, search = (tuple(was) if was else None), False
         for part in rows:
-            for r in part.itertuples(index=False):
+            # Of what a session says several times in a part, its newest version alone meets the state; of one version, the first row.
+            newest = part.sort_values("seq", ascending=False, kind="stable").drop_duplicates("session_id")
+            for r in newest.itertuples(index=False):
                 if self.sessions.containsKey((r.session_id,)) and self.sessions.getValue((r.session_id,))[3] >= r.seq:
                     continue  # an older version that comes late, or one that comes twice
                 last, first, _ = now = rank(r.last_timestamp, r.first_timestamp, r.session_id)
