@@ -1,0 +1,20 @@
+"""A record is gone through once for what is asked of it."""
+
+from strata.operators import records, render
+from strata.sources import transcripts
+
+LINES = [("/c/r.jsonl", 1, '{"type":"session_meta","payload":{"id":"t"}}'), ("/c/r.jsonl", 2, '{"type":"response_item","payload":{"type":"message","role":"assistant","content":[{"type":"output_text","text":"a"},{"type":"output_text","text":" "},{"type":"output_text","text":"b"}]}}'),
+         ("/c/r.jsonl", 3, '{"type":"response_item","payload":{"type":"message","role":"user","content":"ask me"}}'), ("/c/r.jsonl", 4, '{"type":"response_item","payload":{"type":"reasoning","summary":[{"text":" "}]}}')]
+
+
+def test_codex_makes_what_is_wanted_alone(spark):
+    rows = transcripts.records(spark.createDataFrame(LINES, "file string, seq int, value string"))
+    tables = records.codex(rows, ("ids",))
+    assert list(tables) == ["ids"] and [(r.session_id, r.thread_id) for r in tables["ids"].collect()] == [("r", "t")]
+
+
+def test_display_of_codex_parses_a_line_once(spark):
+    """Each kind of turn parsed all lines anew."""
+    shown = render.codex(transcripts.records(spark.createDataFrame(LINES, "file string, seq int, value string")))
+    assert [(r.seq, r.place, r.kind, r.text) for r in shown.orderBy("seq", "place").collect()] == [(2, 0, "text", "a"), (2, 2, "text", "b"), (3, 0, "user", "ask me")]
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("Project [file") > 0 and shown._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
