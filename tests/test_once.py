@@ -1,6 +1,9 @@
 """A record is gone through once for what is asked of it."""
 
+from pyspark.sql import functions as F
+
 from strata.operators import records, render
+from strata.plans import analogs, parsed  # noqa: F401  (parsed registers its queries)
 from strata.sources import transcripts
 
 LINES = [("/c/r.jsonl", 1, '{"type":"session_meta","payload":{"id":"t"}}'), ("/c/r.jsonl", 2, '{"type":"response_item","payload":{"type":"message","role":"assistant","content":[{"type":"output_text","text":"a"},{"type":"output_text","text":" "},{"type":"output_text","text":"b"}]}}'),
@@ -18,3 +21,34 @@ def test_display_of_codex_parses_a_line_once(spark):
     shown = render.codex(transcripts.records(spark.createDataFrame(LINES, "file string, seq int, value string")))
     assert [(r.seq, r.place, r.kind, r.text) for r in shown.orderBy("seq", "place").collect()] == [(2, 0, "text", "a"), (2, 2, "text", "b"), (3, 0, "user", "ask me")]
     assert shown._jdf.queryExecution().optimizedPlan().toString().count("Project [file") > 0 and shown._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+
+
+def _plan(rows):
+    return rows._jdf.queryExecution().optimizedPlan()
+
+
+def test_head_of_a_session_is_one_aggregation(spark):
+    """A count of prompts was joined to the ids, of fields that were written for all of a session."""
+    plan = _plan(analogs.QUERIES["prs_claude_ident"](spark, "/root/testdata/sf0.001"))
+    assert plan.toString().count("Aggregate [") == 1 and "Join" not in plan.toString() and plan.collectLeaves().apply(0).toString().count("event_id") == 1
+
+
+def test_heads_of_claudecode(spark):
+    """Counts, title and model of a head are those of the session: meta prompts count but give no title, blank ones and tool results neither."""
+    user = '{"type":"user","sessionId":"s","message":{"role":"user","content":%s}%s}'
+    said = [user % ('" "', ""), user % ('"meta"', ',"isMeta":true'), user % ('[{"type":"text","text":" do "},{"type":"text","text":"it"}]', ""), user % ('"more"', ""),
+            user % ('[{"type":"tool_result","tool_use_id":"c","is_error":true},{"type":"tool_result","tool_use_id":"d"},{"type":"text","text":"hook"}]', ""), user % ('{"type":"tool_result","tool_use_id":"c","is_error":true}', ""),
+            '{"type":"assistant","message":{"id":"m","model":"","content":[{"type":"tool_use","name":"A","id":"c"},{"type":"tool_use","name":"B","id":"d"}],"usage":{"output_tokens":3}}}', '{"type":"assistant","message":{"id":"m","model":"m-1","content":"x","usage":{"output_tokens":5}}}', " "]
+    rows = transcripts.records(spark.createDataFrame([("/p/a.jsonl", i, v) for i, v in enumerate(said)] + [("/p/b.jsonl", 0, '{"type":"summary"}')], "file string, seq int, value string"))
+    names = ["session_id", "user_message_count", "tool_call_count", "error_count", "first_user_message", "model"]
+    heads = records.claude(rows, ("heads",))["heads"].select(*names).orderBy("session_id").collect()
+    assert [tuple(r) for r in heads] == [("a", 3, 2, 2, "do  it", "m-1"), ("b", 0, None, None, None, None)]
+    sessions = records.claude(rows, ("sessions",))["sessions"].select(*names, "assistant_message_count", "total_output_tokens").orderBy("session_id").collect()
+    assert [tuple(r) for r in sessions] == [("a", 3, 2, 2, "do  it", "m-1", 1, 5), ("b", 0, 0, 0, "", None, 0, 0)]
+
+
+def test_a_line_is_made_once(spark):
+    """A line made of other columns was made to be filtered and again to be parsed."""
+    made = spark.range(3).select(F.lit("f").alias("file"), F.col("id").alias("seq"), F.to_json(F.struct(F.lit("user").alias("type"), F.col("id").alias("n"))).alias("value"))
+    rows = transcripts.records(made)
+    assert _plan(rows).toString().count("StructsToJsonEvaluator") == 1 and rows.count() == 3
