@@ -35,7 +35,7 @@ def prs_render(c: Catalog) -> DataFrame:
 def prs_page(c: Catalog) -> DataFrame:
     """A page needs the lines of its file alone."""
     name = "/p/-w-app/5.jsonl"
-    lines = claude_lines(c, written=False).filter(F.col("file") == name)
+    lines = claude_lines(c).filter(F.col("file") == name)
     return render.page(render.claude(transcripts.records(lines)), name, (10, 0), 4).select("seq", "place", "kind", "text")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strata.operators import records, render
+from strata.operators import records, render, usage
 from strata.plans import analogs, parsed  # noqa: F401  (parsed registers its queries)
 from strata.sources import transcripts
 
@@ -52,3 +52,31 @@ def test_a_line_is_made_once(spark):
     made = spark.range(3).select(F.lit("f").alias("file"), F.col("id").alias("seq"), F.to_json(F.struct(F.lit("user").alias("type"), F.col("id").alias("n"))).alias("value"))
     rows = transcripts.records(made)
     assert _plan(rows).toString().count("StructsToJsonEvaluator") == 1 and rows.count() == 3
+
+
+def _moves(plan):
+    return plan.toString().count("Exchange hashpartitioning")
+
+
+def test_calls_turns_and_sessions_move_lines_once(spark):
+    """Lines were made of written items, their fields were written, and calls met their results, their files and their sessions in joins."""
+    for name in ("prs_claude_tools", "prs_user_msgs", "prs_claude"):
+        query = analogs.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+        assert "Join" not in query.optimizedPlan().toString() and query.optimizedPlan().collectLeaves().size() == 2, name
+        assert _moves(query.executedPlan()) == 1, name
+
+
+def test_results_meet_the_call_before_them(spark):
+    """The last result before the next call of the same id counts; one before any call, or without an id, counts nowhere."""
+    rows = [("f", "a", 1, False, True), ("f", "a", 2, True, None), ("f", "a", 3, False, True), ("f", "a", 4, False, False), ("f", "a", 5, True, None), ("f", "a", 6, True, None), ("f", "a", 7, False, True), ("f", None, 8, True, None), ("f", None, 9, False, True)]
+    found = usage.with_results(spark.createDataFrame(rows, "file string, call_id string, seq int, _call boolean, _error boolean"))
+    assert [(r.seq, r.is_error) for r in found.orderBy("seq").collect()] == [(2, False), (5, False), (6, True), (8, False)]
+
+
+def test_reject_reads_names_of_an_object(spark):
+    """The check read the whole line's text by a pattern; names that a record lacks are not looked up, and those written with escapes count."""
+    lines = ['{"type":"user","message":{"content":[1,"x"]}}', r'{"type":3}', '{"type":"user","message":{"content":true}}', '{"type":"user","message":{"usage":{"cache_creation":{"ephemeral_5m_input_tokens":"x"}}}}', '{"type":"user","message":{"usage":{"input_tokens":null}}}', '{"payload":{"source":{"subagent":{"thread_spawn":{"depth":[]}}}}}', '{"type":"event_msg","payload":{"type":"token_count"}}', '{"type":"event_msg","payload":{"type":"token_count","info":[]}}', '{"message":null,"cwd":null,"id":1.5}']
+    v = spark.createDataFrame(list(enumerate(lines)), "n int, value string").select("n", F.try_parse_json("value").alias("v"))
+    told = [r.why for r in v.select("n", transcripts.reject_reason().alias("why")).orderBy("n").collect()]
+    assert told == [None, "type", "message.content", "message.usage.cache_creation.ephemeral_5m_input_tokens", None, "payload.source.subagent.thread_spawn.depth", None, "payload.info", "id"]
+    assert "RLIKE" not in _plan(transcripts.records(spark.createDataFrame(LINES, "file string, seq int, value string"))).toString()
