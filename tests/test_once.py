@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from strata.operators import records, render, usage
-from strata.plans import analogs, parsed  # noqa: F401  (parsed registers its queries)
+from strata.plans import analogs, parsed, shown  # noqa: F401  (they register their queries)
 from strata.sources import transcripts
 
 LINES = [("/c/r.jsonl", 1, '{"type":"session_meta","payload":{"id":"t"}}'), ("/c/r.jsonl", 2, '{"type":"response_item","payload":{"type":"message","role":"assistant","content":[{"type":"output_text","text":"a"},{"type":"output_text","text":" "},{"type":"output_text","text":"b"}]}}'),
@@ -60,7 +60,7 @@ def _moves(plan):
 
 def test_calls_turns_and_sessions_move_lines_once(spark):
     """Lines were made of written items, their fields were written, and calls met their results, their files and their sessions in joins."""
-    for name in ("prs_claude_tools", "prs_user_msgs", "prs_claude"):
+    for name in ("prs_claude_tools", "prs_user_msgs", "prs_claude", "prs_render"):
         query = analogs.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
         assert "Join" not in query.optimizedPlan().toString() and query.optimizedPlan().collectLeaves().size() == 2, name
         assert _moves(query.executedPlan()) == 1, name
