@@ -66,6 +66,12 @@ def test_calls_turns_and_sessions_move_lines_once(spark):
         assert _moves(query.executedPlan()) == 1, name
 
 
+def test_scalars_of_a_session_have_its_model(spark):
+    """The model is one of a session's scalars, and was left out."""
+    row = analogs.QUERIES["prs_session_scalars"](spark, "/root/testdata/sf0.001").filter("model is not null").first()
+    assert row is not None and len(row.model) == 2
+
+
 def test_results_meet_the_call_before_them(spark):
     """The last result before the next call of the same id counts; one before any call, or without an id, counts nowhere."""
     rows = [("f", "a", 1, False, True), ("f", "a", 2, True, None), ("f", "a", 3, False, True), ("f", "a", 4, False, False), ("f", "a", 5, True, None), ("f", "a", 6, True, None), ("f", "a", 7, False, True), ("f", None, 8, True, None), ("f", None, 9, False, True)]
