@@ -86,3 +86,33 @@ def test_reject_reads_names_of_an_object(spark):
     told = [r.why for r in v.select("n", transcripts.reject_reason().alias("why")).orderBy("n").collect()]
     assert told == [None, "type", "message.content", "message.usage.cache_creation.ephemeral_5m_input_tokens", None, "payload.source.subagent.thread_spawn.depth", None, "payload.info", "id"]
     assert "RLIKE" not in _plan(transcripts.records(spark.createDataFrame(LINES, "file string, seq int, value string"))).toString()
+
+
+CLAIMED = [("/p/a.jsonl", 0, '{"type":"user","sessionId":"s","message":{"content":"x"}}'), ("/p/a.jsonl", 1, '{"type":"assistant","requestId":"r","message":{"id":"m","usage":{"output_tokens":3}}}'),
+           ("/p/a.jsonl", 2, '{"type":"user","timestamp":"2026-02-02T01:00:00Z","message":{"content":"x"}}'), ("/p/a.jsonl", 3, '{"type":"assistant","requestId":"r","timestamp":"2026-02-03T01:00:00Z","message":{"id":"m","usage":{"output_tokens":3}}}'),
+           ("/p/a.jsonl", 4, '{"type":"assistant","uuid":"u","timestamp":"bad","message":{"id":"n"}}'), ("/p/a.jsonl", 5, '{"type":"assistant","message":{"id":"o","usage":{"output_tokens":1}}}'), ("/p/a.jsonl", 6, '{"type":"assistant","message":{"id":""}}'),
+           ("/p/b.jsonl", 1, '{"type":"assistant","agentId":"z","message":{"id":"m","usage":{"output_tokens":1}}}'), ("/p/b.jsonl", 0, '{"type":"user","agentId":"y","timestamp":"","message":{"content":"x"}}'), ("/p/b.jsonl", 2, '{"type":"assistant","message":{"id":"m","usage":{"output_tokens":2}}}'),
+           ("/p/c.jsonl", 0, '{"type":"user","isSidechain":true,"message":{"content":"x"}}'), ("/p/c.jsonl", 1, '{"type":"assistant","message":{"id":"m"}}'), ("/p/c.jsonl", 1, '{"type":"assistant","message":{"id":"m"}}'),
+           (None, 0, '{"type":"assistant","message":{"id":"m","usage":{"output_tokens":9}}}'), ("/p/d.jsonl", 0, '{"type":"user","message":{"content":"x"}}')]
+
+
+def test_claims_alone_are_those_among_other_tables(spark):
+    """Copies, odd days, agents that differ, empty ids, a file without messages, a line that comes twice, and lines of no file."""
+    rows = transcripts.records(spark.createDataFrame(CLAIMED, "file string, seq int, value string"))
+    shown = lambda wanted: sorted(tuple(r) for r in records.claude(rows, wanted)["claims"].select("claim_key", "session_id", F.coalesce("day", F.lit("")), "total_output_tokens").collect())
+    alone = shown(("claims",))
+    assert alone == [("m:r", "a", "2026-02-02", 3), ("mid:m", "agent-c", "", 0), ("mid:m", "agent-y", "", 2), ("mid:o", "a", "2026-02-02", 1), ("uuid:u", "a", "2026-02-02", 0)]
+    assert alone == shown(("claims", "messages"))
+    split = transcripts.records(spark.createDataFrame(CLAIMED, "file string, seq int, value string").withColumn("seq", F.struct(F.lit(0).alias("block"), "seq")))
+    assert alone == sorted(tuple(r) for r in records.claude(split, ("claims",))["claims"].select("claim_key", "session_id", F.coalesce("day", F.lit("")), "total_output_tokens").collect())
+
+
+def test_claims_sort_no_part_of_the_written_fields(spark):
+    """A task sorted all rows of its part of the written fields, to find a file's session and to leave out copies."""
+    plan = analogs.QUERIES["prs_claim_key"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line or "Scan parquet" in line]
+    assert len(scans) == 2
+    for at in scans:
+        # Up from the scan to the first move of rows.
+        below = plan[max(i for i in range(at) if "Exchange" in plan[i]):at]
+        assert not [line for line in below if "Sort" in line or "WindowGroupLimit" in line], below
