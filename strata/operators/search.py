fts_index deals postings once, without a pass to sample ranges

Symptom: Postings were written, read to sample ranges of tokens, read again to be moved, and sorted in a set number of parts that grow with the data.
Evidence: the profiler, 0.10 GB: 47,265,291 rows read for 15.7 million postings, 817 JVM and 257 Python CPU seconds a GB. On 0.51 GB it stops the run at 2.34 GB of disk with 1498 MB shuffled so far.
Fix: Postings go straight from Arrow to a rebalance by token, which adaptive execution cuts where a part or a hot token grows, and are sorted there. The order is by token in each file, no longer over all files.
Effect: at 1 GB of input CPU 2479 -> 1980 s, shuffle 4.60 -> 5.13 GB, spill 0.00 -> 0.00 GB, read 5.10 -> 2.43 GB, longest task 76 -> 84 s, most memory of a task 302 -> 268 MB; at 6 GB of input CPU 13995 -> 10169 s, shuffle 27.66 -> 31.01 GB, spill 0.00 -> 0.00 GB, read 30.91 -> 14.71 GB, longest task 121 -> 136 s, most memory of a task 839 -> 336 MB; with hot keys, at 1 GB of input CPU 728 -> 652 s, shuffle 1.04 -> 1.12 GB, spill 0.00 -> 0.00 GB, read 0.93 -> 0.43 GB, longest task 24 -> 31 s, most memory of a task 302 -> 268 MB.

@@ -114,12 +114,14 @@ def _placed(ids: tuple[str, ...], most: int = 1 << 17):
 
 
 def postings(docs: DataFrame, id_columns: tuple[str, ...], text: str = "text", fold: bool = True) -> DataFrame:
-    """token, the id columns, n_words, at (places of the token in order), sorted by token: a query for a few tokens reads
-    their row groups alone. Places are gathered inside each document, so one row a token and document is moved, once."""
+    """token, the id columns, n_words, at (places of the token in order), sorted by token in each file: a query for a few tokens reads their
+    pages alone. Places are gathered inside each document, so one row a token and document is moved, once. Adaptive execution cuts parts
+    that grow large, a hot token's too, so that a task sorts as much whatever there is; a range of tokens would need a pass to sample them
+    and a written table for it, and a set number of parts."""
     held = docs.select(*id_columns, tokens(F.col(text), fold).alias("words"))
     fields = [T.StructField("token", T.StringType()), *[docs.schema[c] for c in id_columns], T.StructField("n_words", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType()))]
-    placed = staged(held.mapInArrow(_placed(tuple(id_columns)), T.StructType(fields)), "placed")
-    return placed.repartitionByRange("token", *id_columns).sortWithinPartitions("token", *id_columns)
+    placed = held.mapInArrow(_placed(tuple(id_columns)), T.StructType(fields))
+    return placed.hint("rebalance", "token").sortWithinPartitions("token", *id_columns)
 
 
 def index_stats(docs: DataFrame, text: str = "text", fold: bool = True) -> DataFrame:
