@@ -44,3 +44,17 @@ def test_a_hot_token_is_cut_in_sorted_parts(spark):
     for p in {r.p for r in parts}:
         held = [(r.token, r.doc_id) for r in parts if r.p == p]
         assert held == sorted(held)
+
+
+def test_best_of_an_index_writes_postings_once(spark, tmp_path, monkeypatch):
+    """An index wrote its postings, read them twice, and wrote them again in order."""
+    from strata.plans import analogs
+
+    docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    written = []
+    for module in (search, analogs):
+        monkeypatch.setattr(module, "staged", lambda df, label, held=module.staged: written.append(label) or held(df, label))
+    rows = analogs.QUERIES["fts_best"](spark, str(tmp_path)).select("source", "doc_id").collect()
+    assert written == ["postings", "stats"]
+    # An id that comes twice is not found by a phrase of two words, as before.
+    assert sorted(tuple(r) for r in rows) == [("b", 5), ("c", None)]
